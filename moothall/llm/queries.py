@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .decontaminate import op9_decontamination
 from .jaccard_join import OP5_SQL, op5_jaccard_join
+from .pii import op8_pii
+from .toxicity import op2_toxicity
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op6_bpe": op6_bpe}
+QUERIES = {"op2_toxicity": op2_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_bpe": op6_bpe, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination}
 ORACLES = {"op5_jaccard_join": OP5_SQL}
