@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a per-worker cache before it starts again; bounds a Python worker's memory.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,4 +118,10 @@ def null_safe(text: str | None) -> str:
     return text or ""
 
 
+def texts(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The strings of an Arrow column, a few at a time, so that a batch isn't held twice."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()
+
+
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")

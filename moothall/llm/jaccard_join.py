@@ -6,11 +6,15 @@
    whole corpus, hash): any total order is right, and this one puts frequent
    shingles last, out of the prefixes.
 3. Sets whose prefixes and sizes are equal form a group. Groups that share a
-   prefix shingle are paired under the length and positional filters.
-4. A first round verifies consecutive members of each posting list only. What
-   links is joined into components, and the second round verifies every
-   remaining pair of different components, so no link that could join two
-   components is lost and a family of copies never emits all its pairs.
+   prefix shingle are compared under the length and positional filters; the
+   members of those that pass under a bound on their symmetric difference,
+   from parity bitmaps of about two bits a shingle. A shingle's list of
+   postings is compared in blocks of bounded size.
+4. A first round keeps of each block a forest of such pairs, verifies them on
+   the full sets and joins what links into components. The second round
+   verifies every pair that passes the filters and whose components differ. So
+   no link that could join two components is lost, and a family of copies
+   doesn't emit all its pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +22,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, bitmap, in_bitmap, map_arrow, mix, ngram_hashes, table, word_hashes
+from .common import WORD, ascii_lower, bitmap, checkpoint, in_bitmap, map_arrow, mix, ngram_hashes, table, texts, word_hashes
 from .graph import connected_components
 
 #: Counters of the frequency sketch, and counters in each row that carries a part of it.
 SKETCH, SLICE = 1 << 19, 1 << 13
+#: Postings of a shingle that are compared with so many others at a time.
+BLOCK = 512
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -52,7 +58,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
         counts = np.zeros(SKETCH, np.int64)
         for b in batches:
             ids, sizes, keys = b.column(0), [], []
-            for t in b.column(1).to_pylist():
+            for t in texts(b.column(1)):
                 s = shingles(t, n)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -82,36 +88,114 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """One bit for each slot: the parity of the number of shingles in it. Of two sets, at most so many bits differ as elements do."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
-    """Rows (doc_id, size, prefix) in the global order."""
+    """Rows (doc_id, size, prefix, bits): the prefix in the global order, and the parity bitmap."""
 
     def run(batches):
         counts = sketch.value
         for b in batches:
-            sizes, prefixes = [], []
-            for t in b.column(1).to_pylist():
+            sizes, prefixes, bits = [], [], []
+            for t in texts(b.column(1)):
                 s = shingles(t, n)
                 sizes.append(len(s))
                 k = len(s) - at_least(len(s), num, den) + 1 if len(s) else 0
                 order = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]
                 prefixes.append(s[order])
+                bits.append(parity(s))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
-            yield {"doc_id": b.column(0), "size": sizes, "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(pa.list_(pa.int64()))}
+            yield {"doc_id": b.column(0), "size": sizes, "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(pa.list_(pa.int64())), "bits": bits}
+
+    return map_arrow(docs, run, "doc_id long, size long, prefix array<long>, bits binary")
+
+
+def _fold(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps of one length: longer ones are folded, which keeps their parities."""
+    n = min(map(len, bits))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, n), axis=0) for x in bits]).view(np.uint64)
+
+
+def _block_pairs(rows: list[tuple], num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of documents of one block that pass every filter; rows: (doc_id, size, pos, part, g, comp, bits)."""
+    rows.sort(key=lambda r: (r[1], r[0]))
+    doc, size, pos, part, g, comp = (np.array([r[k] for r in rows]) for k in range(6))
+    two_parts = part[0] != part.max() or part[0] != part.min()
+    bits = _fold([r[6] for r in rows])
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    rest = size - pos
+    for x in range(len(rows) - 1):
+        y = np.arange(x + 1, np.searchsorted(size, size[x] * den // num, side="right"))
+        if not len(y):
+            continue
+        total = size[x] + size[y]
+        ok = ((num + den) * np.minimum(rest[x], rest[y]) >= num * total) | (g[x] == g[y])
+        ok &= comp[x] != comp[y]
+        if two_parts:
+            ok &= part[x] != part[y]
+        y, total = y[ok], total[ok]
+        if len(y):
+            most = (total - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) // 2
+            for k in y[(num + den) * most >= num * total].tolist():
+                if forest:
+                    i, j = find(x), find(k)
+                    if i == j:
+                        continue
+                    root[i] = j
+                out.append((int(min(doc[x], doc[k])), int(max(doc[x], doc[k]))))
+    return out
+
+
+def _candidates(posting: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Distinct pairs (a, b) of rows (token, c, doc_id, size, pos, g, comp, bits), block by block; c is the token's number of rows."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = posting.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "size", "pos", "part", "g", "comp", "bits")
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for token, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (token, i, j) != key:
+                    if len(rows) > 1:
+                        found += _block_pairs(rows, num, den, forest)
+                    key, rows = (token, i, j), []
+                rows.append(tuple(row))
+            yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
+        found = _block_pairs(rows, num, den, forest) if len(rows) > 1 else []
+        yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
 
-    return map_arrow(docs, run, "doc_id long, size long, prefix array<long>")
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of documents whose shingle sets reach the similarity."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", 24))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = spark.sparkContext.broadcast(bitmap(ids, "id", 24))
 
     def sets(batches):
         for b in batches:
-            keep = np.flatnonzero(in_bitmap(wanted.value, b.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
-            b = b.take(pa.array(keep))
-            yield {"id": b.column(0), "s": [shingles(t, n).tobytes() for t in b.column(1).to_pylist()]}
+            b = b.filter(pa.array(in_bitmap(wanted.value, b.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
+            yield {"id": b.column(0), "s": [shingles(t, n).tobytes() for t in texts(b.column(1))]}
 
     def similar(batches):
         for b in batches:
@@ -125,7 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
 
     have = map_arrow(docs, sets, "id long, s binary")
     full = pairs.join(have.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return map_arrow(full.select("a", "b", "sa", "sb"), similar, "a long, b long")
+    return map_arrow(full.select("a", "b", "sa", "sb"), similar, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,44 +237,30 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     def shared(batches):
         for b in batches:
-            out = {"doc_id": [], "size": [], "gkey": [], "tokens": []}
-            for i, size, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            out = {"doc_id": [], "size": [], "g": [], "tokens": [], "bits": []}
+            for i, size, p, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 p = p.values.to_numpy()
                 at = np.flatnonzero(in_bitmap(maybe.value, p))
                 if len(at):
                     out["doc_id"].append(i)
                     out["size"].append(size)
-                    out["gkey"].append(xxhash.xxh3_128_digest(p.tobytes() + size.to_bytes(8, "little")))
+                    out["g"].append(xxhash.xxh3_64_intdigest(p.tobytes() + size.to_bytes(8, "little")) >> 1)
                     out["tokens"].append([{"token": int(t), "pos": int(k)} for t, k in zip(p[at], at, strict=True)])
+                    out["bits"].append(bits)
             yield out
 
-    members = map_arrow(prefixes, shared, "doc_id long, size long, gkey binary, tokens array<struct<token:long,pos:long>>")
-    members = members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "gkey"]).persist()
-    groups = members.groupBy("gkey").agg(F.min("doc_id").alias("g"), F.min("size").alias("size"), F.min("tokens").alias("tokens"), F.count("*").alias("n_members"))
-    in_group = Window.partitionBy("gkey").orderBy("doc_id")
-    posting = groups.select("g", "size", F.explode("tokens").alias("t")).select("t.token", "t.pos", "g", "size")
-    posting = posting.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c").persist()
-
-    fits = f"{den} * least(sx, sy) >= {num} * greatest(sx, sy) and {num + den} * (1 + least(sx - ix, sy - iy) - 1) >= {num} * (sx + sy)"
-    listed = Window.partitionBy("token").orderBy("size", "g")
-    nearest = posting.select(F.col("g").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("iy"), *(F.lag(c).over(listed).alias(o) for c, o in (("g", "x"), ("size", "sx"), ("pos", "ix"))))
-    first = nearest.where(f"x is not null and {fits}").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = first.unionByName(members.select(F.lag("doc_id").over(in_group).alias("a"), F.col("doc_id").alias("b")).where("a is not null"))
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().persist()
-    links = _verified(first, docs, n, num, den).persist()
+    members = map_arrow(prefixes, shared, "doc_id long, size long, g long, tokens array<struct<token:long,pos:long>>, bits binary")
+    members = members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    posting = members.select("doc_id", "size", "g", "bits", F.explode("tokens").alias("t")).select("t.token", "t.pos", "doc_id", "size", "g", "bits").persist()
+    counts = posting.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    first = _candidates(posting.join(counts, "token").withColumn("comp", F.col("doc_id")), num, den, True)
+    links = checkpoint(_verified(first.persist(), docs, n, num, den))
     comps = connected_components(links)
 
-    node = members.select("doc_id", "gkey").join(groups.select("gkey", "g"), "gkey").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("c")).persist()
-    # What a posting list can still join: its groups' components, one when all is joined.
-    spread = node.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    open_lists = posting.join(spread, "g").withColumns({"lo_all": F.min("lo").over(Window.partitionBy("token")), "hi_all": F.max("hi").over(Window.partitionBy("token"))}).where("lo_all <> hi_all")
-    x = open_lists.select("token", F.col("g").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("ix"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
-    y = open_lists.select("token", F.col("g").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("iy"), F.col("lo").alias("ly"), F.col("hi").alias("hy"))
-    group_pairs = x.join(y, "token").where(f"x < y and not (lx = hx and ly = hy and lx = ly) and {fits}").select("x", "y").distinct()
-    within = spread.where("lo <> hi").select(F.col("g").alias("x"), F.col("g").alias("y"))
-    expand = group_pairs.unionByName(within)
-    rest = expand.join(node.select(F.col("g").alias("x"), F.col("doc_id").alias("a"), F.col("c").alias("ca")), "x").join(node.select(F.col("g").alias("y"), F.col("doc_id").alias("b"), F.col("c").alias("cb")), "y").where("ca <> cb")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti").persist()
+    # Only lists whose rows are not all in one component can still join any.
+    labelled = posting.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    open_lists = labelled.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "c")
+    rest = _candidates(labelled.join(open_lists, "token"), num, den, False).join(first, ["a", "b"], "left_anti").persist()
     comps = connected_components(links.unionByName(_verified(rest, docs, n, num, den)))
 
     classes = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
