@@ -4,9 +4,23 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontaminate import op9_decontamination
+from .imatch import op1_imatch
 from .jaccard_join import OP5_SQL, op5_jaccard_join
+from .langid import op10_language_id
+from .licenses import OP3_SQL, op3_license_scan
 from .pii import op8_pii
+from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op2_toxicity
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_bpe": op6_bpe, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination}
-ORACLES = {"op5_jaccard_join": OP5_SQL}
+QUERIES = {
+    "op1_imatch": op1_imatch,
+    "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_bpe": op6_bpe,
+    "op8_pii": op8_pii,
+    "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
+}
+ORACLES = {"op3_license_scan": OP3_SQL, "op5_jaccard_join": OP5_SQL}
