@@ -11,6 +11,7 @@ from .licenses import OP3_SQL, op3_license_scan
 from .pii import op8_pii
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op2_toxicity
+from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_imatch": op1_imatch,
@@ -19,8 +20,9 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op3_license_scan": OP3_SQL, "op5_jaccard_join": OP5_SQL}
+ORACLES = {"op3_license_scan": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op7_url_filter": OP7_SQL}
