@@ -161,7 +161,8 @@ class Matcher:
 
     def _verify(self, row: int, item: int, diagonal: np.ndarray, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         n, k = int(self.n[item]), int(self.edits[item])
-        low, high = max(0, int(diagonal.min()) - n - k), int(diagonal.max()) - n + k
+        low = max(0, int(diagonal.min()) - n - k)
+        high = max(low, int(diagonal.max()) - n + k)
         part = parts[row][low : high + n + k + 1]
         if (at := part.find(self.texts[item].tobytes())) >= 0:
             return [(row, item, low + at, low + at + n, 0)]
