@@ -22,3 +22,29 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def civic(name: str, oracle_text: str | None = None):
+    """Register a function of a Catalog; entities that the oracle names are put before it."""
+    from moothall.catalog import Catalog, oracle
+
+    def add(fn):
+        QUERIES_BY[name] = fn
+        query(name, oracle(oracle_text) if oracle_text else None)(lambda spark, sf_dir: fn(Catalog(spark, sf_dir)))
+        return fn
+
+    return add
+
+
+QUERIES_BY: dict[str, Callable] = {}
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for m in ("reads", "joins", "aggregates", "ranking", "scalars", "search", "merges", "streams"):
+        importlib.import_module(f"moothall.plans.{m}")
+
+
+load()
