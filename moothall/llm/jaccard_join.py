@@ -8,7 +8,7 @@
 3. Sets whose prefixes and sizes are equal form a group. Groups that share a
    prefix shingle are compared under the length and positional filters; the
    members of those that pass under a bound on their symmetric difference,
-   from parity bitmaps of about two bits a shingle. A shingle's list of
+   from small parity bitmaps. A shingle's list of
    postings is compared in blocks of bounded size.
 4. A first round keeps of each block a forest of such pairs, verifies them on
    the full sets and joins what links into components. The second round
@@ -32,6 +32,8 @@ from .graph import connected_components
 SKETCH, SLICE = 1 << 19, 1 << 13
 #: Postings of a shingle that are compared with so many others at a time.
 BLOCK = 512
+#: Most bits of a parity bitmap; beyond about so many shingles it bounds less tightly.
+PARITY = 512
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -91,7 +93,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 def parity(s: np.ndarray) -> bytes:
     """One bit for each slot: the parity of the number of shingles in it. Of two sets, at most so many bits differ as elements do."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < min(2 * len(s), PARITY):
         bits *= 2
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
