@@ -1 +1,62 @@
-"""Queries."""
+"""Streams drained over the event files, and their batch forms."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from moothall.catalog import Catalog
+from moothall.plans.registry import civic
+from moothall.streaming import events
+
+
+def shared_folder(c: Catalog) -> str:
+    base = c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
+    """What the stream has put out when all files are read: the last batch where each repeats the whole, else all of them."""
+    at = shared_folder(c)
+    last: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+        last.append(batch)
+
+    events.drain(stream, mode, write, f"{at}/checkpoint")
+    return c.spark.read.parquet(f"{at}/out/batch={last[-1]}") if mode == "complete" else c.spark.read.parquet(f"{at}/out").drop("batch")
+
+
+def source(c: Catalog) -> DataFrame:
+    return events.read_events(c.spark, f"{c.sf_dir}/event[s].parquet")  # a pattern, as a table may be one file
+
+
+@civic("str10_funnel_stream", "SELECT event AS event_type, count(*) AS n FROM ev GROUP BY 1")
+def _(c: Catalog):
+    return drained(c, events.funnel(source(c)), "complete")
+
+
+@civic("str13_daily_windows_complete", "SELECT date_trunc('day', ts) AS start, event AS event_type, count(*) AS n FROM ev GROUP BY 1, 2")
+def _(c: Catalog):
+    stream = source(c).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return drained(c, stream, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@civic("str13_closed_windows_append", "SELECT start, event_type, n FROM (SELECT date_trunc('day', ts) AS start, event AS event_type, count(*) AS n FROM ev GROUP BY 1, 2), (SELECT max(ts) AS m FROM ev) WHERE start + INTERVAL 1 DAY <= m - INTERVAL 1 DAY")
+def _(c: Catalog):
+    return drained(c, events.window_counts(source(c)), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@civic("str13_sessions_batch", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(j) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS j FROM events)) GROUP BY user_id, s")
+def _(c: Catalog):
+    e = c.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@civic("str03_retried_jobs")
+def _(c: Catalog):
+    return drained(c, events.retry_jobs(source(c)), "update").dropDuplicates(["user_id"])
