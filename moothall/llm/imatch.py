@@ -102,8 +102,9 @@ def with_successors(docs: DataFrame, n: int) -> DataFrame:
     least ids, n numbers, pass through the driver.
     """
     borders = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    ranged = Bucketizer(splits=[-float("inf"), *borders, float("inf")], inputCol="__d", outputCol="__b", handleInvalid="keep").transform(docs.withColumn("__d", F.col("doc_id").cast("double")))
-    ranged = ranged.select("doc_id", "text", F.col("__b").cast("int").alias("b"))
+    ranged = docs.withColumn("__d", F.col("doc_id").cast("double"))
+    ranged = Bucketizer(splits=[-float("inf"), *borders, float("inf")], inputCol="__d", outputCol="__b").setHandleInvalid("keep").transform(ranged) if borders else ranged.withColumn("__b", F.lit(0))
+    ranged = ranged.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(borders) + 1).otherwise(F.col("__b").cast("int")).alias("b"))
     heads = sorted((r["b"], r["m"]) for r in ranged.groupBy("b").agg(F.min("doc_id").alias("m")).collect())
     if not heads:
         return docs.withColumn("guard", F.lit(False))
