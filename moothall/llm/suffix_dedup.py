@@ -107,16 +107,14 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     def neighbours(batches):
         last = None
         for b in batches:
-            out = {k: [] for k in ("doc_id", "s", "e", "other")}
-            for row in zip(*(b.column(k).to_pylist() for k in ("g", "doc_id", "pos", "before", "after")), strict=True):
-                if last is not None and last[0] == row[0]:
-                    left, right = _shared(last[3], row[3]), _shared(last[4], row[4])
+            out = {k: [] for k in ("g", "ctx", "left", "right", "lo", "hi")}
+            for row in zip(*(b.column(k).to_pylist() for k in ("g", "ctx", "before", "after", "lo", "hi", "half")), strict=True):
+                if last is not None and last[6] == row[6]:
+                    left, right = _shared(last[2], row[2]), _shared(last[3], row[3])
                     if left + K + right >= least:
                         for x, y in ((last, row), (row, last)):
-                            out["doc_id"].append(x[1])
-                            out["s"].append(x[2] - left)
-                            out["e"].append(x[2] + K + right)
-                            out["other"].append(y[1])
+                            for k, v in zip(out, (x[0], x[1], left, right, y[4], y[5]), strict=True):
+                                out[k].append(v)
                 last = row
             yield out
 
@@ -145,11 +143,19 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
         if now is not None:
             yield row(now)
 
-    dealt = map_arrow(docs, contexts, "g long, doc_id long, pos long, before binary, after binary").repartition("g")
-    spans = None
-    for order in (("after", "before"), ("before", "after")):
-        part = map_arrow(dealt.sortWithinPartitions("g", *order, "doc_id", "pos"), neighbours, "doc_id long, s long, e long, other long")
-        spans = part if spans is None else spans.unionByName(part)
+    suffixes = map_arrow(docs, contexts, "g long, doc_id long, pos long, before binary, after binary").withColumn("ctx", F.xxhash64("before", "after")).persist()
+    # Copies have equal contexts: one row stands for them all from here on.
+    kinds = suffixes.groupBy("g", "ctx").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    words = lambda c: F.expr(f"octet_length({c}) div {BYTES}").cast("long")
+    found = kinds.where("n > 1").select("g", "ctx", words("before").alias("left"), words("after").alias("right"), "lo", "hi").where(F.col("left") + F.col("right") >= reach)
+    # A match has half of what it needs beyond the k-gram on one side at least; so
+    # rows meet by the k-gram and that half, and a frequent k-gram is spread out.
+    half = -(-reach // 2) * BYTES
+    for by, then in (("after", "before"), ("before", "after")):
+        near = kinds.where(F.octet_length(by) >= half).withColumn("half", F.xxhash64("g", F.substring(by, 1, half))).repartition("half").sortWithinPartitions("half", by, then, "ctx")
+        found = found.unionByName(map_arrow(near, neighbours, "g long, ctx long, left long, right long, lo long, hi long"))
+    spans = suffixes.select("g", "ctx", "doc_id", "pos").join(found.distinct(), ["g", "ctx"])
+    spans = spans.select("doc_id", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + K + F.col("right")).alias("e"), F.when(F.col("lo") != F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
     spans = spans.groupBy("doc_id", "s", "e").agg(F.min(F.when(F.col("other") != F.col("doc_id"), F.col("other"))).alias("o")).withColumn("other", F.coalesce("o", "doc_id")).drop("o")
     return map_arrow(spans.repartition("doc_id").sortWithinPartitions("doc_id", "s", "e", "other"), joined, "doc_id long, start_word long, end_word long, n_words long, match_doc_id long, across boolean")
 
