@@ -8,6 +8,7 @@ from moothall import api
 from moothall.catalog import Catalog
 from moothall.functions import agenda, ids, texts
 from moothall.plans.registry import civic
+from moothall.sources import agendas
 
 
 @civic("flt11_skip_reasons", "SELECT id, CASE id % 6 WHEN 0 THEN 'procedural' WHEN 1 THEN 'ceremonial' WHEN 2 THEN 'administrative' END AS reason FROM matters")
@@ -191,3 +192,16 @@ def _(c: Catalog):
     after = lines.select((F.col("event_id") - 1).alias("event_id"), F.col("line").alias("after"))
     pairs = lines.where(F.col("line").endswith("view")).join(after, "event_id")
     return pairs.select("event_id", F.regexp_extract("after", "GET (click)$", 1).alias("next")).where("next <> ''")
+
+
+@civic("src18_layout_items", r"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a href=\"[^\"]*\">[^<]+</a></li>')) FROM pages) GROUP BY 1".replace('\\"', '"'))
+def _(c: Catalog):
+    nav = agendas.Layout(r"nav/ul/li$", r"nav/ul/li", attachment="$^")
+    return agendas.agenda_items(agendas.page_nodes(c.table("pages")), nav).where("sequence <= 6").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@civic("src27_line_items")
+def _(c: Catalog):
+    lines = c.texts().select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    numbered = lines.withColumn("text", F.when(F.col("line") % 3 == 0, F.concat(F.lit("1. "), "text")).otherwise(F.col("text")))
+    return agendas.lines_to_items(numbered).select("doc_id", "sequence", "number", "title")
