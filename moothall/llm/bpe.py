@@ -16,14 +16,17 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, map_arrow, table
+from .common import map_arrow, table
 
 END = "</w>"
 _NONE = 1 << 40
+#: Entries of each of the encoder's caches.
+MOST = 180_000
 #: Letters that the fast pattern knows; texts with characters beyond these and
 #: the plain ones go the way of full Unicode properties.
 _LETTERS = "a-zªµºß-öø-ɏ"
@@ -168,7 +171,7 @@ class Bpe:
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
         for cache in (self.chunks, self.words, self.agree):
-            if len(cache) >= CACHE:
+            if len(cache) >= MOST:
                 cache.clear()
         split = [self.pieces(t) for t in texts]
         new = {c: None for p in split for c in p if c not in self.chunks}
@@ -220,16 +223,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         codec = bpe(path)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, size = b.column(0), pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
             start = 0
-            while start < len(texts):  # about 2 MB of text at a time
-                stop, size = start, 0
-                while stop < len(texts) and size < 2_000_000:
-                    size += len(texts[stop] or "")
-                    stop += 1
-                got = codec.encode_batch([t or "" for t in texts[start:stop]])
+            while start < len(ids):  # about 1 MB of text at a time
+                before = size[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(size, before + 1_000_000)))
+                got = codec.encode_batch([t or "" for t in b.column(1).slice(start, stop - start).to_pylist()])
                 yield {"doc_id": ids.slice(start, stop - start), "ids": pa.array([g[0] for g in got], pa.binary()), "decoded": pa.array([g[1] for g in got], pa.string())}
                 start = stop
+        codec.chunks.clear()  # the worker goes on to other work; what is kept are words
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids binary, decoded string")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a per-worker cache before it starts again; bounds a Python worker's memory.
-CACHE = 250_000
+CACHE = 120_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         for out in fn(batches):
@@ -42,6 +43,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Have Spark hand Python no more than so many bytes at a time; texts are long, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) != f"{size}b":
+        spark.conf.set(key, f"{size}b")
+
+
 def ascii_lower(text: str) -> bytes:
     """UTF-8 with A-Z lowered and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").lower()

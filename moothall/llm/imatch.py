@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, map_arrow, mix, table
+from .common import CACHE, map_arrow, mix, table, texts
 
 #: The band of document frequencies, as shares of all documents, whose terms are kept.
 LEAST, MOST = 0.001, 0.1
@@ -38,9 +38,9 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST, text_col:
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts(b.column(0)):
                 seen.update(terms(t))
-                if len(seen) > CACHE:
+                if len(seen) > 2 * CACHE:
                     yield {"w": list(seen), "c": list(seen.values())}
                     seen.clear()
         yield {"w": list(seen), "c": list(seen.values())}
@@ -137,7 +137,7 @@ def fingerprint_documents(docs: DataFrame, words: Broadcast, id_col: str = "doc_
         last = None
         for b in batches:
             out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-            for i, t, guard in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("guard").to_pylist(), strict=True):
+            for i, t, guard in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), b.column("guard").to_pylist(), strict=True):
                 if last == "done":
                     break
                 mine = prints.of(t)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, map_arrow, table
+from .common import ascii_lower, map_arrow, table, texts
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -54,7 +54,7 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts(b.column(0)):
                 seen.update([w for w in words(t) if w in vocabulary])
         yield {"w": list(seen), "c": list(seen.values())}
 
@@ -140,7 +140,7 @@ def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "do
         s = scanner.value
         for b in batches:
             out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks")}
-            for t in b.column(1).to_pylist():
+            for t in texts(b.column(1)):
                 w = words(t)
                 base = s.places(w)
                 hits = [m for x in s.blocks(t) if (m := s.matches(x))] if t and not s.rare.isdisjoint(w) else []
