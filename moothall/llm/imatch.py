@@ -45,9 +45,9 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST, text_col:
                     seen.clear()
         yield {"w": list(seen), "c": list(seen.values())}
 
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null and t <> ''")
-    n = texts.count()
-    df = map_arrow(texts, count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    filled = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null and t <> ''")
+    n = filled.count()
+    df = map_arrow(filled, count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
     return sorted(bytes(r["w"]) for r in df.where((F.col("c") >= max(2, least * n)) & (F.col("c") <= max(2, most * n))).select("w").collect())
 
 
