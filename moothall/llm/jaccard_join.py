@@ -11,8 +11,9 @@
    from small parity bitmaps. A shingle's list of
    postings is compared in blocks of bounded size.
 4. A first round keeps of each block a forest of such pairs, verifies them on
-   the full sets and joins what links into components. The second round
-   verifies every pair that passes the filters and whose components differ. So
+   the full sets and joins what links into components. The second round takes
+   the lists of which the forest left pairs out, and verifies every pair that
+   passes the filters and whose components differ. So
    no link that could join two components is lost, and a family of copies
    doesn't emit all its pairs.
 """
@@ -32,7 +33,7 @@ from .graph import connected_components
 SKETCH, SLICE = 1 << 19, 1 << 13
 #: Postings of a shingle that are compared with so many others at a time.
 BLOCK = 512
-#: Most bits of a parity bitmap; beyond about so many shingles it bounds less tightly.
+#: Bits of a parity bitmap of a set of common size.
 PARITY = 512
 
 
@@ -90,10 +91,14 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def parity(s: np.ndarray) -> bytes:
-    """One bit for each slot: the parity of the number of shingles in it. Of two sets, at most so many bits differ as elements do."""
-    bits = 64
-    while bits < min(2 * len(s), PARITY):
+def parity(s: np.ndarray, num: int = 80, den: int = 100) -> bytes:
+    """One bit for each slot: the parity of the number of shingles in it. Of two sets, at most so many bits differ as elements do.
+
+    Two bits a shingle, up to PARITY bits; from there on just so many that the
+    bits of unlike sets, half of which differ, exceed what the similarity allows.
+    """
+    n, bits = len(s), 64
+    while bits < min(2 * n, max(PARITY, 4.8 * (den - num) / (den + num) * n)):
         bits *= 2
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -112,7 +117,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
                 k = len(s) - at_least(len(s), num, den) + 1 if len(s) else 0
                 order = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]
                 prefixes.append(s[order])
-                bits.append(parity(s))
+                bits.append(parity(s, num, den))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
             yield {"doc_id": b.column(0), "size": sizes, "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(pa.list_(pa.int64())), "bits": bits}
@@ -126,8 +131,8 @@ def _fold(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, n), axis=0) for x in bits]).view(np.uint64)
 
 
-def _block_pairs(rows: list[tuple], num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of documents of one block that pass every filter; rows: (doc_id, size, pos, part, g, comp, bits)."""
+def _block_pairs(rows: list[tuple], num: int, den: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of documents of one block that pass every filter, and whether a forest left some out; rows: (doc_id, size, pos, part, g, comp, bits)."""
     rows.sort(key=lambda r: (r[1], r[0]))
     doc, size, pos, part, g, comp = (np.array([r[k] for r in rows]) for k in range(6))
     two_parts = part[0] != part.max() or part[0] != part.min()
@@ -140,7 +145,7 @@ def _block_pairs(rows: list[tuple], num: int, den: int, forest: bool) -> list[tu
             i = root[i]
         return i
 
-    out = []
+    out, left_out = [], False
     rest = size - pos
     for x in range(len(rows) - 1):
         y = np.arange(x + 1, np.searchsorted(size, size[x] * den // num, side="right"))
@@ -158,31 +163,37 @@ def _block_pairs(rows: list[tuple], num: int, den: int, forest: bool) -> list[tu
                 if forest:
                     i, j = find(x), find(k)
                     if i == j:
+                        left_out = True
                         continue
                     root[i] = j
                 out.append((int(min(doc[x], doc[k])), int(max(doc[x], doc[k]))))
-    return out
+    return out, left_out
 
 
 def _candidates(posting: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of rows (token, c, doc_id, size, pos, g, comp, bits), block by block; c is the token's number of rows."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    """Distinct pairs (a, b) of rows (token, doc_id, size, pos, g, comp, bits), block by block; and, with b null, each token a of which a forest left pairs out."""
+    frequent = posting.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    blocks = F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = posting.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "size", "pos", "part", "g", "comp", "bits")
+    dealt = posting.join(frequent, "token", "left").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "size", "pos", "part", "g", "comp", "bits")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
+    def compared(key, rows):
+        pairs, left_out = _block_pairs(rows, num, den, forest)
+        return pairs + [(key[0], None)] * left_out
+
     def run(batches):
         key, rows = None, []
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple] = []
             for token, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (token, i, j) != key:
                     if len(rows) > 1:
-                        found += _block_pairs(rows, num, den, forest)
+                        found += compared(key, rows)
                     key, rows = (token, i, j), []
                 rows.append(tuple(row))
             yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
-        found = _block_pairs(rows, num, den, forest) if len(rows) > 1 else []
+        found = compared(key, rows) if len(rows) > 1 else []
         yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
 
     return map_arrow(dealt, run, "a long, b long").distinct()
@@ -236,9 +247,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     prefixes = _prefixes(docs.where("doc_id is not null"), n, num, den, sketch).where("size > 0").persist()
     repeated = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     maybe = spark.sparkContext.broadcast(bitmap(repeated, "token"))
+    # Texts of equal sets need not meet here; some may, as the bitmap is no exact filter, and link.
+    standing = spark.sparkContext.broadcast(bitmap(reps, "rep"))
 
     def shared(batches):
         for b in batches:
+            b = b.filter(pa.array(in_bitmap(standing.value, b.column(0).to_numpy())))
             out = {"doc_id": [], "size": [], "g": [], "tokens": [], "bits": []}
             for i, size, p, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 p = p.values.to_numpy()
@@ -252,17 +266,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             yield out
 
     members = map_arrow(prefixes, shared, "doc_id long, size long, g long, tokens array<struct<token:long,pos:long>>, bits binary")
-    members = members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     posting = members.select("doc_id", "size", "g", "bits", F.explode("tokens").alias("t")).select("t.token", "t.pos", "doc_id", "size", "g", "bits").persist()
-    counts = posting.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    first = _candidates(posting.join(counts, "token").withColumn("comp", F.col("doc_id")), num, den, True)
-    links = checkpoint(_verified(first.persist(), docs, n, num, den))
+    met = _candidates(posting.withColumn("comp", F.col("doc_id")), num, den, True).persist()
+    first = met.where("b is not null")
+    links = checkpoint(_verified(first, docs, n, num, den))
     comps = connected_components(links)
 
-    # Only lists whose rows are not all in one component can still join any.
-    labelled = posting.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    open_lists = labelled.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "c")
-    rest = _candidates(labelled.join(open_lists, "token"), num, den, False).join(first, ["a", "b"], "left_anti").persist()
+    # Every pair of the other lists was either refused or has been verified.
+    again = met.where("b is null").select(F.col("a").alias("token"))
+    labelled = posting.join(again, "token").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    rest = _candidates(labelled, num, den, False).join(first, ["a", "b"], "left_anti").persist()
     comps = connected_components(links.unionByName(_verified(rest, docs, n, num, den)))
 
     classes = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
