@@ -9,7 +9,9 @@ from moothall.catalog import AS_OF, EVENTS_AS_OF, Catalog, as_of
 from moothall.operators import relational as R
 from moothall.plans.registry import civic
 
-ZERO = F.lit(0).cast("long")
+
+def zero():
+    return F.lit(0).cast("long")
 
 
 @civic("agg01_popular_topics", "SELECT event AS topic, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, topic LIMIT 3")
@@ -133,13 +135,13 @@ def _(c: Catalog):
     g = c.meetings().select(F.col("id").alias("meeting_id"), "city_key")
     i = c.items().select("meeting_id", "summary").join(g, "meeting_id").groupBy("city_key").agg(F.count("*").alias("items"), F.count("summary").alias("summarized"))
     m = g.groupBy("city_key").agg(F.count("*").alias("meetings"))
-    return c.jurisdictions().join(m, "city_key").join(i, "city_key", "left").select("banana", "population", "meetings", F.coalesce("items", ZERO).alias("items"), F.coalesce("summarized", ZERO).alias("summarized")).orderBy(F.desc("population"))
+    return c.jurisdictions().join(m, "city_key").join(i, "city_key", "left").select("banana", "population", "meetings", F.coalesce("items", zero()).alias("items"), F.coalesce("summarized", zero()).alias("summarized")).orderBy(F.desc("population"))
 
 
 @civic("agg20_vendor_breakdown", "SELECT vendor, count(DISTINCT city_key) AS cities, count(m.id) AS meetings FROM jurisdictions LEFT JOIN meetings m USING (city_key) GROUP BY 1")
 def _(c: Catalog):
     m = c.meetings().groupBy("city_key").agg(F.count("*").alias("n"))
-    return c.jurisdictions().join(m, "city_key", "left").groupBy("vendor").agg(F.count_distinct("city_key").alias("cities"), F.sum(F.coalesce("n", ZERO)).alias("meetings"))
+    return c.jurisdictions().join(m, "city_key", "left").groupBy("vendor").agg(F.count_distinct("city_key").alias("cities"), F.sum(F.coalesce("n", zero())).alias("meetings"))
 
 
 @civic("agg21_status_pivot", "SELECT count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'postponed') AS postponed, count(*) FILTER (status IS NULL) AS held FROM meetings")
@@ -220,7 +222,7 @@ def _(c: Catalog):
     size = v.groupBy("cluster").agg(F.count_distinct("user_id").alias("size"))
     grid = v.select("comment_id").distinct().withColumn("cluster", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3))))).join(size, "cluster")
     agree = v.groupBy("comment_id", "cluster").agg(F.count_if(F.col("vote") == 1).alias("agree"))
-    p = (F.coalesce("agree", ZERO) + 1) / (F.col("size") + 2)
+    p = (F.coalesce("agree", zero()) + 1) / (F.col("size") + 2)
     return grid.join(agree, ["comment_id", "cluster"], "left").groupBy("comment_id").agg(F.round(F.avg(p), 6).alias("consensus"))
 
 

@@ -86,7 +86,7 @@ def _(c: Catalog):
     return c.meetings().select("id", texts.meeting_status(F.col("title"), more).alias("status"))
 
 
-@civic("fun16_html_text", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>', ' ', 'gi'), '<[^>]+>', '', 'g'), '&amp;', '&'), '&#038;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', chr(39)), '&nbsp;', ' '), '&#8211;', '–'), '&#8212;', '—'), '&#8217;', '’'), '\s+', ' ', 'g'))) AS digest FROM pages".replace("'\"\"'", "chr(34)"))
+@civic("fun16_html_text", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>', ' ', 'gi'), '<[^>]+>', '', 'g'), '&amp;', '&'), '&#038;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&#8211;', '–'), '&#8212;', '—'), '&#8217;', '’'), '\s+', ' ', 'g'))) AS digest FROM pages")
 def _(c: Catalog):
     return c.table("pages").select("page_id", F.md5(texts.strip_html(F.col("html")).cast("binary")).alias("digest"))
 
