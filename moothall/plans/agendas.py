@@ -205,3 +205,61 @@ def _(c: Catalog):
     lines = c.texts().select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     numbered = lines.withColumn("text", F.when(F.col("line") % 3 == 0, F.concat(F.lit("1. "), "text")).otherwise(F.col("text")))
     return agendas.lines_to_items(numbered).select("doc_id", "sequence", "number", "title")
+
+
+@civic("fun28_display_names", "SELECT event, upper(substr(event, 1, 1)) || substr(event, 2) || ' Events' AS name FROM (SELECT DISTINCT event FROM ev)")
+def _(c: Catalog):
+    return c.events().select("event").distinct().select("event", texts.display_name(F.concat("event", F.lit("_events"))).alias("name"))
+
+
+@civic("fun33_title_similarity")
+def _(c: Catalog):
+    m = c.matters()
+    after = m.select((F.col("id") - 1).alias("id"), F.col("title").alias("other"))
+    return m.join(after, "id").select("id", F.round(texts.similarity(F.col("title"), F.col("other")), 6).alias("score"))
+
+
+@civic("fun40_summary_sections", "SELECT id, title || ' facts' AS part FROM matters")
+def _(c: Catalog):
+    made = F.concat(F.lit("## Summary\nintro\n## Key Facts\n"), "title", F.lit(" facts\n## More\nrest"))
+    return c.matters().select("id", texts.section(made, "Key Facts").alias("part"))
+
+
+@civic("fun41_short_titles", "SELECT id, CASE WHEN length(title) <= 8 THEN title ELSE split_part(title, ' ', 1) || '...' END AS t FROM matters")
+def _(c: Catalog):
+    return c.matters().select("id", texts.truncate(F.col("title"), 8).alias("t"))
+
+
+@civic("fun43_flyer_texts", "SELECT id, '<strong>' || title || '</strong> facts' AS t FROM matters")
+def _(c: Catalog):
+    made = F.concat(F.lit("## Intro\nskip\n## Facts\n**"), "title", F.lit("**\n facts\n## End\nx"))
+    return c.matters().select("id", texts.flyer_text(made, ["Facts"]).alias("t"))
+
+
+@civic("fun44_place_slugs", "SELECT city_key, 'canadanation' || city_key AS slug FROM jurisdictions")
+def _(c: Catalog):
+    return c.jurisdictions().select("city_key", texts.place_slug(F.concat(F.lit("Cañáda "), "name")).alias("slug"))
+
+
+@civic("flt14_low_value_attachments", "SELECT id, id % 3 <> 2 AS low FROM matters")
+def _(c: Catalog):
+    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Tax PARCEL "), "title")).when(F.col("id") % 3 == 1, F.concat("title", F.lit(" FEIR vol 2"))).otherwise(F.col("title"))
+    return c.matters().select("id", texts.low_value_attachment(name).alias("low"))
+
+
+@civic("fun12_substantive_hash", "SELECT id, CASE WHEN id % 2 = 0 THEN '' ELSE sha256('u|' || title) END AS hash FROM matters")
+def _(c: Catalog):
+    a = F.struct(F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("Speaker card "), "title")).otherwise(F.col("title")).alias("name"))
+    return c.matters().select("id", ids.attachments_hash(F.filter(F.array(a), lambda x: ~texts.low_value_attachment(x["name"]))).alias("hash"))
+
+
+@civic("str05_stale_leases", "SELECT id, CASE WHEN status = 'postponed' AND date < TIMESTAMP '2001-06-01' - INTERVAL 10 MINUTE THEN 'pending' ELSE coalesce(status, 'done') END AS state FROM meetings")
+def _(c: Catalog):
+    stale = (F.col("status") == "postponed") & (F.col("date") < F.lit("2001-06-01").cast("timestamp_ntz") - F.expr("interval 10 minute"))
+    return c.meetings().select("id", F.when(stale, "pending").otherwise(F.coalesce("status", F.lit("done"))).alias("state"))
+
+
+@civic("str07_reprocess", "SELECT id, CASE WHEN id % 3 = 0 THEN 'skip' WHEN summary IS NULL THEN 'go' WHEN id % 2 = 0 THEN 'skip' ELSE 'go' END AS decision FROM matters")
+def _(c: Catalog):
+    old, new = F.lit("h0"), F.concat(F.lit("h"), (F.col("id") % 2).cast("string"))
+    return c.matters().select("id", F.when(F.col("id") % 3 == 0, "skip").when(F.col("summary").isNull(), "go").when(old == new, "skip").otherwise("go").alias("decision"))
