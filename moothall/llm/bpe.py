@@ -231,7 +231,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 got = codec.encode_batch([t or "" for t in b.column(1).slice(start, stop - start).to_pylist()])
                 yield {"doc_id": ids.slice(start, stop - start), "ids": pa.array([g[0] for g in got], pa.binary()), "decoded": pa.array([g[1] for g in got], pa.string())}
                 start = stop
-        codec.chunks.clear()  # the worker goes on to other work; what is kept are words
+        for cache in (codec.chunks, codec.words, codec.agree):
+            cache.clear()
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids binary, decoded string")
 

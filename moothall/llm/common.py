@@ -39,10 +39,17 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     def run(batches):
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in target], schema=target)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """At a task's end, give back what the worker, which goes on to other tasks, would keep."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Have Spark hand Python no more than so many bytes at a time; texts are long, and both sides hold a batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, table
+from .common import map_arrow, release, small_batches, table
 
 Q = 8
 #: Edits that an occurrence may have, as a share of the item's length.
@@ -240,6 +240,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, rate: float = EDIT_RATE, te
                 for start, stop in _chunks(texts):
                     keep[[start + r for r, *_ in matcher.search(texts[start:stop])]] = False
                 yield b.filter(pa.array(keep))
+            release()
 
         small_batches(spark)
         docs = docs.mapInArrow(run, docs.schema)

@@ -270,6 +270,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     met = _candidates(posting.withColumn("comp", F.col("doc_id")), num, den, True).persist()
     first = met.where("b is not null")
     links = checkpoint(_verified(first, docs, n, num, den))
+    prefixes.unpersist()
     comps = connected_components(links)
 
     # Every pair of the other lists was either refused or has been verified.
