@@ -131,6 +131,26 @@ def test_repeated_passages_by_brute_force(spark):
     assert all(r["across"] for r in got)
 
 
+def repeated_words(docs, least=50):
+    count = Counter(tuple(d[p : p + least]) for d in docs for p in range(len(d) - least + 1))
+    return {(i, q) for i, d in enumerate(docs) for p in range(len(d) - least + 1) if count[tuple(d[p : p + least])] > 1 for q in range(p, p + least)}
+
+
+def test_repeats_that_third_texts_part(spark):
+    rng = random.Random(8)
+    w = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    sides, notice, docs = [w(40) for _ in range(4)], w(45), []
+    for _ in range(16):  # pairs share 5 to 9 words beside a notice that many others hold
+        own, k = w(60), rng.randint(5, 9)
+        a, b = rng.choice(((own[:k], []), ([], own[:k]), (own[: k // 2], own[k // 2 : k])))
+        docs += [w(20) + a + notice + b + w(20) for _ in range(2)]
+    docs += [w(20) + rng.choice(sides)[-rng.randint(0, 4) :] + notice + rng.choice(sides)[: rng.randint(0, 4)] + w(20) for _ in range(80)]
+    tail = w(20)
+    docs += [w(3) + ["a"] * n + tail + w(9) for n in (37, 46, 55, 64, 73)] + [w(9) + ["b"] * 60, ["c"] * 50, w(5) + ["d"] * 40 + w(5)]
+    got = repeated_spans(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], q) for r in got for q in range(r["start_word"], r["end_word"])} == repeated_words(docs)
+
+
 def test_every_window_keeps_a_suffix():
     h = np.random.default_rng(1).integers(0, 50, 2000).astype(np.uint64)
     at = minimisers(h, 35)
