@@ -65,6 +65,14 @@ class _Known(dict):
         return out
 
 
+def near_share(hits: list[int], second: list[int]) -> float:
+    """Share of the hits with a second-person word within NEAR words; both lists of positions are sorted."""
+    if not hits or not second:
+        return 0.0
+    x = np.array(hits)
+    return float(np.mean(np.searchsorted(second, x + NEAR, "right") > np.searchsorted(second, x - NEAR, "left")))
+
+
 class Features:
     """Dense features of a text, given the learned lexicon of words and word beginnings with their weights."""
 
@@ -82,7 +90,7 @@ class Features:
         hits = [i for i, k in at if k[0] >= 0 or k[1]]
         kinds = Counter(k[0] for _, k in at)
         weights = [k[1] for _, k in at if k[1]]
-        near = int((np.abs(np.subtract.outer(hits[:256], second[:4096])).min(1) <= NEAR).sum()) / min(len(hits), 256) if hits and second else 0.0
+        near = near_share(hits, second)
         mixed = mixed_hits = 0
         for m in _MIXED.finditer(low):
             mixed += 1
@@ -91,7 +99,7 @@ class Features:
             mixed_hits += any((k := known[x]) and (k[0] >= 0 or k[1] > 0) for x in (token.translate(_PLAIN), re.sub(rb"[*._\-]", b"", token)))
         size = max(1, len(raw))
         rates = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS / size
-        shouted = sum(map(bytes.isupper, _WORD.findall(raw))) if rates[0] > 0.1 else 0
+        shouted = sum(map(bytes.isupper, _WORD.findall(raw))) if rates[0] else 0
         return [
             *(kinds[k] / n for k in range(3)), len(weights) / n, sum(weights) / n, float(len({w[i] for i, k in at if k[1]})), math.log1p(len(hits)), len(second) / n, near,
             float(rates[0]), shouted / n, *map(float, rates[1:]), mixed / n, mixed_hits / n, math.log1p(len(w)),

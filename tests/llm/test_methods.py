@@ -17,6 +17,7 @@ from moothall.llm.imatch import Fingerprints, likeness
 from moothall.llm.jaccard_join import jaccard_classes, parity, shingles
 from moothall.llm.langid import forward_backward
 from moothall.llm.suffix_dedup import minimisers, repeated_spans
+from moothall.llm.toxicity import NAMES, Features
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,3 +229,10 @@ def test_held_out_accuracy(spark):
     tox = queries.QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.01").toPandas().merge(duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.01/labels.parquet'").df(), on="doc_id")
     held = tox[tox.held_out]
     assert (held.predicted == held.toxic).mean() > 0.9 and held.score.between(0, 1).all()
+
+
+def test_toxicity_features_of_long_texts():
+    far = dict(zip(NAMES, Features({}).of("idiot " + "x " * 20 + "idiot " * 300 + "x " * 20 + "idiot you"), strict=True))
+    assert far["near_second_person"] == pytest.approx(1 / 302)
+    shouted = dict(zip(NAMES, Features({}).of("plain words here " * 200 + "GO AWAY NOW"), strict=True))
+    assert shouted["capital_words"] == pytest.approx(3 / 603)
