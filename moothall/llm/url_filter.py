@@ -38,9 +38,11 @@ def keys_of(url: Column) -> Column:
 
 
 def validity(entries: DataFrame) -> DataFrame:
-    """Intervals (list, kind, pattern, valid_from, valid_to) of dated entries (list, kind, pattern, action, at): from an add up to the next entry of the same key, for ever (null) if none follows. At one moment a removal counts after an addition."""
+    """Intervals (list, kind, pattern, valid_from, valid_to) of dated entries (list, kind, pattern, action, at): from an add up to the next entry of the same key, for ever (null) if none follows. At one moment a removal counts after an addition. Hosts are lowered, paths keep their case."""
     w = Window.partitionBy("list", "kind", "pattern").orderBy("at", "action")
-    dated = entries.select("list", "kind", F.lower("pattern").alias("pattern"), "action", "at").where("list is not null and pattern is not null and at is not null and action in ('add', 'remove')").distinct()
+    head = F.substring_index("pattern", "/", 1)
+    pattern = F.when(F.col("kind") == "prefix", F.concat(F.lower(head), F.col("pattern").substr(F.length(head) + 1, F.length("pattern")))).otherwise(F.lower("pattern"))
+    dated = entries.select("list", "kind", pattern.alias("pattern"), "action", "at").where("list is not null and pattern is not null and at is not null and action in ('add', 'remove')").distinct()
     return dated.withColumn("valid_to", F.lead("at").over(w)).where("action = 'add' and (valid_to is null or valid_to > at)").select("list", "kind", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 

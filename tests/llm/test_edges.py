@@ -105,3 +105,9 @@ def test_urls(spark):
     assert got == [("1", "https://a.", "spam", "block"), ("1", "https://a.", "spam", "block"), ("2", "http://u@A", "", "keep"), ("3", "None", "", "keep"), ("4", "nonsense", "", "keep"), ("5", "http://bad", "", "keep"), ("None", "http://goo", "spam,trusted", "allow")]
     assert filter_urls(captures, entries.where("false")).where("decision <> 'keep'").count() == 0
     assert filter_urls(captures.where("false"), entries).count() == 0
+
+
+def test_url_paths_keep_their_case(spark):
+    captures = spark.createDataFrame([(1, "http://Example.com/Spam/x"), (2, "http://example.com/spam/x")], "page_id long, url string").withColumn("fetched_at", F.expr("timestamp_ntz'2024-03-01 00:00:00'"))
+    entries = spark.createDataFrame([("spam", "prefix", "EXAMPLE.com/Spam", "add")], "list string, kind string, pattern string, action string").withColumn("at", F.expr("timestamp_ntz'2024-02-01 00:00:00'"))
+    assert {r["page_id"]: r["decision"] for r in filter_urls(captures, entries).collect()} == {1: "block", 2: "keep"}
