@@ -19,7 +19,7 @@ def shared_folder(c: Catalog) -> str:
 
 
 def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream has put out when all files are read: the last batch where each repeats the whole, else all of them."""
+    """What the stream has put out when all files are read: the last batch where each repeats the whole, else all of them, with their numbers (batch) where a row may replace an earlier one."""
     at = shared_folder(c)
     last: list[int] = []
 
@@ -28,7 +28,10 @@ def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
         last.append(batch)
 
     events.drain(stream, mode, write, f"{at}/checkpoint")
-    return c.spark.read.parquet(f"{at}/out/batch={last[-1]}") if mode == "complete" else c.spark.read.parquet(f"{at}/out").drop("batch")
+    if mode == "complete":
+        return c.spark.read.parquet(f"{at}/out/batch={last[-1]}")
+    out = c.spark.read.parquet(f"{at}/out")
+    return out if mode == "update" else out.drop("batch")
 
 
 def source(c: Catalog) -> DataFrame:
@@ -59,4 +62,5 @@ def _(c: Catalog):
 
 @civic("str03_retried_jobs")
 def _(c: Catalog):
-    return drained(c, events.retry_jobs(source(c)), "update").dropDuplicates(["user_id"])
+    rows = drained(c, events.retry_jobs(source(c)), "update")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("failed", "status"), F.col("batch")).alias("state")).select("user_id", "state.failed", "state.status")
