@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
 
 def release() -> None:
     """At a task's end, give back what the worker, which goes on to other tasks, would keep."""
-    _hashes.clear()
     pa.default_memory_pool().release_unused()
 
 
@@ -62,21 +62,74 @@ def ascii_lower(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash; starts again when it's full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
+#: Words of up to so many bytes are hashed many at a time, longer ones alone.
+LONG_WORD = 4096
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_random = np.random.Generator(np.random.PCG64(20))
+#: A random number for each byte (0 for white space), and an odd one for each place in a word.
+_BYTE = np.where(_SPACE, 0, _random.integers(1, 1 << 64, 256, dtype=np.uint64)).astype(np.uint64)
+_PLACE = _random.integers(0, 1 << 64, LONG_WORD, dtype=np.uint64) | np.uint64(1)
+
+
+def _piece_hashes(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of the bytes buf; words end at ASCII white space and where a text begins."""
+    if not len(buf):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    space = _SPACE[buf]
+    before = np.append(True, space[:-1])
+    before[begins] = True
+    starts = np.flatnonzero(before & ~space)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    low = _LOWER[buf[starts[0] :]]
+    size = np.diff(np.append(starts, len(buf)))
+    place = np.arange(len(low)) - np.repeat(starts - starts[0], size)
+    over = size > LONG_WORD
+    if over.any():
+        np.minimum(place, LONG_WORD - 1, out=place)
+    with np.errstate(over="ignore"):
+        h = mix(np.add.reduceat(_BYTE[low] * _PLACE[place], starts - starts[0]))
+    for i in np.flatnonzero(over):
+        word = low[starts[i] - starts[0] : starts[i] - starts[0] + size[i]].tobytes()
+        word = word[: re.search(rb"[\x20\x09-\x0d]|\Z", word).start()]
+        if len(word) > LONG_WORD:
+            h[i] = xxhash.xxh3_64_intdigest(word)
+    return h, starts
 
-_hashes = WordHashes()
 
+def hashed_words(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Row numbers and, for each row in turn, the 64-bit hashes of the words of a column of texts: A-Z lowered, cut at ASCII white space.
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    About `size` bytes are hashed together; a longer text goes piece by piece.
+    Equal words have equal hashes wherever they stand. Nulls have no words.
+    """
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        lo, hi = int(offsets[row]), int(offsets[stop])
+        if hi - lo <= 2 * size:
+            h, starts = _piece_hashes(data[lo:hi], (b := offsets[row:stop] - lo)[b < hi - lo])
+            yield row, np.split(h, np.searchsorted(starts, offsets[row + 1 : stop] - lo))
+        else:
+            parts, at = [], lo
+            while at < hi:
+                end = min(hi, at + size)
+                while end < hi and not _SPACE[data[end]]:
+                    gap = np.flatnonzero(_SPACE[data[end : end + size]])
+                    end = min(hi, end + (int(gap[0]) if len(gap) else size))
+                parts.append(_piece_hashes(data[at:end], np.zeros(0, np.int64))[0])
+                at = end
+            yield row, [np.concatenate(parts)]
+        row = stop
 
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -138,5 +191,3 @@ def texts(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     for start in range(0, len(column), rows):
         yield from column.slice(start, rows).to_pylist()
 
-
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")

@@ -5,17 +5,20 @@
 2. Shingles are ordered by (count in a fixed-size frequency sketch over the
    whole corpus, hash): any total order is right, and this one puts frequent
    shingles last, out of the prefixes.
-3. Sets whose prefixes and sizes are equal form a group. Groups that share a
-   prefix shingle are compared under the length and positional filters; the
-   members of those that pass under a bound on their symmetric difference,
-   from small parity bitmaps. A shingle's list of
-   postings is compared in blocks of bounded size.
-4. A first round keeps of each block a forest of such pairs, verifies them on
-   the full sets and joins what links into components. The second round takes
-   the lists of which the forest left pairs out, and verifies every pair that
-   passes the filters and whose components differ. So
-   no link that could join two components is lost, and a family of copies
-   doesn't emit all its pairs.
+3. Sets whose prefixes and sizes are equal are one group. Groups post their
+   prefix shingles as (shingle, group, size, position); groups that meet in a
+   shingle's list are compared under the length and positional filters, each
+   with the next few of its list by size. Lists too long for that come again.
+4. Of the group pairs that pass, those with one member each are tested by a
+   bound on their difference from parity bitmaps, joined once for each group.
+   A forest of them, each node's likeliest pair, is verified on the full sets,
+   as is each member against its group's first, and what links is joined into
+   components.
+5. What is left is expanded and verified: pairs of differing components; long
+   lists, in cells of bounded size, where members of a list's largest component
+   meet only the rest; and the members of groups that are not one component.
+So no link that could join two components is lost, and a family of copies
+doesn't emit all its pairs.
 """
 
 from __future__ import annotations
@@ -26,27 +29,34 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, bitmap, checkpoint, in_bitmap, map_arrow, mix, ngram_hashes, table, texts, word_hashes
+from .common import bitmap, checkpoint, hashed_words, in_bitmap, map_arrow, mix, ngram_hashes, table
 from .graph import connected_components
 
 #: Counters of the frequency sketch, and counters in each row that carries a part of it.
 SKETCH, SLICE = 1 << 19, 1 << 13
-#: Postings of a shingle that are compared with so many others at a time.
+#: Each posting meets so many next ones of its list at once; longer lists come again.
+NEXT = 7
+#: Rows of a long list that are compared with so many others at a time.
 BLOCK = 512
 #: Bits of a parity bitmap of a set of common size.
 PARITY = 512
+#: Sets that one verification task bucket compares with one other set.
+BUCKET = 256
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes; a shorter text that has words is one shingle."""
-    words = WORD.findall(ascii_lower(text or ""))
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = word_hashes(words)
+def _set(w: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct n-gram hashes of a text's word hashes; a shorter text that has words is one shingle."""
+    if not len(w):
+        return w
     if len(w) < n:
         with np.errstate(over="ignore"):
             return mix(ngram_hashes(w, len(w)) + np.uint64(len(w)))
-    return np.unique(ngram_hashes(w, n))
+    s = np.sort(ngram_hashes(w, n))
+    return s[np.append(True, s[1:] != s[:-1])]
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    return _set(next(hashed_words(pa.array([text], pa.string())))[1][0], n)
 
 
 def at_least(size, num: int, den: int):
@@ -54,28 +64,17 @@ def at_least(size, num: int, den: int):
     return -((-size * num) // den)
 
 
-def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, key) of the texts, and rows (part, counts) of the sketch, with doc_id null."""
+def _sketch(docs: DataFrame, n: int) -> np.ndarray:
+    """Counts of all texts' shingles by SKETCH slots, whatever the input's size."""
 
-    def run(batches):
+    def count(batches):
         counts = np.zeros(SKETCH, np.int64)
         for b in batches:
-            ids, sizes, keys = b.column(0), [], []
-            for t in texts(b.column(1)):
-                s = shingles(t, n)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            yield {"doc_id": ids, "n": sizes, "key": keys, "part": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())}
+            for _, lists in hashed_words(b.column(0)):
+                s = np.concatenate([_set(w, n) for w in lists])
+                counts += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         parts = [(i, c.tobytes()) for i, c in enumerate(counts.reshape(-1, SLICE)) if c.any()]
-        k = len(parts)
-        yield {"doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "key": pa.nulls(k, pa.binary()), "part": [x[0] for x in parts], "counts": [x[1] for x in parts]}
-
-    return map_arrow(docs, run, "doc_id long, n long, key binary, part int, counts binary")
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The summed sketch: SKETCH counters, whatever the input's size."""
+        yield {"part": [x[0] for x in parts], "counts": [x[1] for x in parts]}
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -84,9 +83,9 @@ def _sketch(profile: DataFrame) -> np.ndarray:
                 sums[i] = sums.get(i, 0) + np.frombuffer(c, np.int64)
         yield {"part": list(sums), "counts": [c.tobytes() for c in sums.values()]}
 
-    rows = map_arrow(profile.where("part is not null").select("part", "counts").repartition("part"), add, "part int, counts binary").collect()
+    counted = map_arrow(docs.select("text"), count, "part int, counts binary")
     out = np.zeros((SKETCH // SLICE, SLICE), np.int64)
-    for r in rows:
+    for r in map_arrow(counted.repartition("part"), add, "part int, counts binary").collect():
         out[r["part"]] += np.frombuffer(r["counts"], np.int64)
     return out.ravel()
 
@@ -105,24 +104,92 @@ def parity(s: np.ndarray, num: int = 80, den: int = 100) -> bytes:
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
-    """Rows (doc_id, size, prefix, bits): the prefix in the global order, and the parity bitmap."""
+    """Rows (doc_id, n, key, g, prefix, bits): set size, digests of the set and of (prefix, size), the prefix in the global order, and the parity bitmap."""
 
     def run(batches):
         counts = sketch.value
         for b in batches:
-            sizes, prefixes, bits = [], [], []
-            for t in texts(b.column(1)):
-                s = shingles(t, n)
-                sizes.append(len(s))
-                k = len(s) - at_least(len(s), num, den) + 1 if len(s) else 0
-                order = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]
-                prefixes.append(s[order])
-                bits.append(parity(s, num, den))
-            ends = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
-            yield {"doc_id": b.column(0), "size": sizes, "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(pa.list_(pa.int64())), "bits": bits}
+            for row, lists in hashed_words(b.column(1)):
+                out = {k: [] for k in ("n", "key", "g", "bits")}
+                prefixes = [np.zeros(0, np.uint64)]
+                for w in lists:
+                    s = _set(w, n)
+                    k = len(s) - at_least(len(s), num, den) + 1 if len(s) else 0
+                    p = s[np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:k]]
+                    prefixes.append(p)
+                    for c, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(p.tobytes() + len(s).to_bytes(8, "little")), parity(s, num, den)), strict=True):
+                        out[c].append(x)
+                ends = np.cumsum([len(p) for p in prefixes])
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
+                yield out | {"doc_id": b.column(0).slice(row, len(lists)), "prefix": flat.cast(pa.list_(pa.int64()))}
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n int, key binary, g binary, prefix array<long>, bits binary")
+
+
+def _meet(posting: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (a, b) of groups of a shared shingle that pass the length and positional filters, and rows (token, a, size, pos) of the lists longer than NEXT + 1.
+
+    posting: (token, gid, size, pos). A list is read in the order of size as a
+    stream; each row meets the NEXT rows before it.
+    """
+    dealt = posting.repartition("token").sortWithinPartitions("token", "size", "gid")
 
-    return map_arrow(docs, run, "doc_id long, size long, prefix array<long>, bits binary")
+    def run(batches):
+        held, was_long = [np.zeros(0, np.int64)] * 4, False
+        for b in batches:
+            old = len(held[0])
+            token, gid, size, pos = held = [np.concatenate([x, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(held, b.columns, strict=True)]
+            m, rest = len(token), size - pos
+            pairs = []
+            for d in range(1, NEXT + 1):
+                y = np.arange(max(old, d), m)
+                y = y[token[y] == token[y - d]]
+                x = y - d
+                ok = (num * size[y] <= den * size[x]) & ((num + den) * np.minimum(rest[x], rest[y]) >= num * (size[x] + size[y])) & (gid[x] != gid[y])
+                pairs.append((np.minimum(gid[x], gid[y])[ok], np.maximum(gid[x], gid[y])[ok]))
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[:m])
+            ends = np.append(starts[1:], m)
+            long = ends - starts > NEXT + 1
+            at = np.repeat(long, ends - starts)
+            if was_long and m:  # its rows up to here have gone out already
+                at[: ends[0]] = True
+                at[:old] = False
+            a, t = np.concatenate([p[0] for p in pairs]), np.flatnonzero(at)
+            none = pa.nulls(len(t), pa.int64())
+            yield {
+                "a": np.concatenate([a, gid[t]]), "b": pa.concat_arrays([pa.array(np.concatenate([p[1] for p in pairs])), none]), "token": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(token[t])]),
+                "size": pa.array(np.concatenate([np.zeros(len(a), np.int64), size[t]]), pa.int32()), "pos": pa.array(np.concatenate([np.zeros(len(a), np.int64), pos[t]]), pa.int32()),
+            }
+            if m:
+                was_long = bool(long[-1]) or was_long and len(starts) == 1
+                held = [x[max(starts[-1], m - NEXT if was_long else 0) :].copy() for x in (token, gid, size, pos)]
+
+    return map_arrow(dealt, run, "a long, b long, token long, size int, pos int")
+
+
+def _differing(x: list[bytes], y: list[bytes]) -> list[int]:
+    """For each two bitmaps the number of differing bits; the longer one is folded, which keeps its parities."""
+    out = []
+    for a, b in zip(x, y, strict=True):
+        if len(a) != len(b):
+            k = min(len(a), len(b))
+            a, b = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, k), axis=0).tobytes() for v in (a, b))
+        out.append((int.from_bytes(a) ^ int.from_bytes(b)).bit_count())
+    return out
+
+
+def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (a, b, diff, wide) of pairs with size, members and bits of both sides (size_a, m_a, bits_a, ...): those whose bitmaps don't rule them out, and, wide, those of more members."""
+
+    def run(batches):
+        for b in batches:
+            diff = np.array(_differing(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()), np.int64)
+            total = np.add(*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size_a", "size_b")))
+            wide = np.maximum(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("m_a", "m_b"))) > 1
+            ok = pa.array(wide | ((num + den) * ((total - diff) // 2) >= num * total))
+            yield {"a": b.column("a").filter(ok), "b": b.column("b").filter(ok), "diff": pa.array(diff).filter(ok), "wide": pa.array(wide).filter(ok)}
+
+    return map_arrow(pairs, run, "a long, b long, diff long, wide boolean")
 
 
 def _fold(bits: list[bytes]) -> np.ndarray:
@@ -131,98 +198,101 @@ def _fold(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, n), axis=0) for x in bits]).view(np.uint64)
 
 
-def _block_pairs(rows: list[tuple], num: int, den: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of documents of one block that pass every filter, and whether a forest left some out; rows: (doc_id, size, pos, part, g, comp, bits)."""
+def _cell_pairs(rows: list[tuple], num: int, den: int) -> list[tuple[int, int, bool]]:
+    """Pairs (a, b, wide) of one cell that could join components and pass every filter; rows: (id, size, pos, m, lo, hi, bits, part)."""
     rows.sort(key=lambda r: (r[1], r[0]))
-    doc, size, pos, part, g, comp = (np.array([r[k] for r in rows]) for k in range(6))
-    two_parts = part[0] != part.max() or part[0] != part.min()
-    bits = _fold([r[6] for r in rows])
-    root = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out, left_out = [], False
-    rest = size - pos
+    node, size, pos, m, lo, hi, part = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 3, 4, 5, 7))
+    two_parts, bits, out, rest = part.min() != part.max(), _fold([r[6] for r in rows]), [], size - pos
     for x in range(len(rows) - 1):
         y = np.arange(x + 1, np.searchsorted(size, size[x] * den // num, side="right"))
-        if not len(y):
-            continue
         total = size[x] + size[y]
-        ok = ((num + den) * np.minimum(rest[x], rest[y]) >= num * total) | (g[x] == g[y])
-        ok &= comp[x] != comp[y]
+        ok = ((num + den) * np.minimum(rest[x], rest[y]) >= num * total) & ~((lo[x] == lo[y]) & (hi[x] == hi[y]) & (lo[y] == hi[y])) & (node[x] != node[y])
         if two_parts:
             ok &= part[x] != part[y]
         y, total = y[ok], total[ok]
         if len(y):
+            wide = (m[x] > 1) | (m[y] > 1)
             most = (total - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) // 2
-            for k in y[(num + den) * most >= num * total].tolist():
-                if forest:
-                    i, j = find(x), find(k)
-                    if i == j:
-                        left_out = True
-                        continue
-                    root[i] = j
-                out.append((int(min(doc[x], doc[k])), int(max(doc[x], doc[k]))))
-    return out, left_out
-
-
-def _candidates(posting: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of rows (token, doc_id, size, pos, g, comp, bits), block by block; and, with b null, each token a of which a forest left pairs out."""
-    frequent = posting.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("int")
-    part = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = posting.join(frequent, "token", "left").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "size", "pos", "part", "g", "comp", "bits")
-    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-
-    def compared(key, rows):
-        pairs, left_out = _block_pairs(rows, num, den, forest)
-        return pairs + [(key[0], None)] * left_out
+            keep = wide | ((num + den) * most >= num * total)
+            out += [(int(min(node[x], k)), int(max(node[x], k)), bool(w)) for k, w in zip(node[y[keep]].tolist(), wide[keep].tolist(), strict=True)]
+    return out
+
+
+def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b, wide) of rows (key, id, size, pos, m, lo, hi, bits) that share a key and aren't one component (lo to hi) yet.
+
+    A key of more than BLOCK rows is dealt out in cells of at most two blocks.
+    Rows of its largest component meet only the others, not one another.
+    """
+    by = rows.groupBy("key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp")).agg(F.count("*").alias("c"))
+    top = by.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("t")).where(F.col("c") > BLOCK).select("key", F.col("t.comp").alias("top"), F.ceil(F.col("t.c") / BLOCK).cast("int").alias("na"), F.ceil((F.col("c") - F.coalesce("t.c", F.lit(0))) / BLOCK).cast("int").alias("nb"))
+    inside = F.coalesce((F.col("lo") == F.col("top")) & (F.col("hi") == F.col("top")), F.lit(False))
+    na, nb = F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(1))
+    part = F.when(inside, -1 - F.pmod(F.xxhash64("id", "key"), na)).otherwise(F.pmod(F.xxhash64("id", "key"), nb)).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.when(inside, upto(nb)).otherwise(F.concat(upto(nb), F.transform(upto(na), lambda x: -1 - x)))
+    dealt = rows.join(top, "key", "left").withColumn("part", part).withColumn("other", F.explode(others)).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "size", "pos", "m", "lo", "hi", "bits", "part")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        key, rows = None, []
+        cell, held = None, []
         for b in batches:
             found: list[tuple] = []
-            for token, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (token, i, j) != key:
-                    if len(rows) > 1:
-                        found += compared(key, rows)
-                    key, rows = (token, i, j), []
-                rows.append(tuple(row))
-            yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
-        found = compared(key, rows) if len(rows) > 1 else []
-        yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
+            for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, i, j) != cell:
+                    found += _cell_pairs(held, num, den) if len(held) > 1 else []
+                    cell, held = (key, i, j), []
+                held.append(tuple(row))
+            yield {k: [f[x] for f in found] for x, k in enumerate(("a", "b", "wide"))}
+        found = _cell_pairs(held, num, den) if len(held) > 1 else []
+        yield {k: [f[x] for f in found] for x, k in enumerate(("a", "b", "wide"))}
 
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long, wide boolean").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of documents whose shingle sets reach the similarity."""
+    """The distinct pairs (a, b) of documents whose shingle sets reach the similarity.
+
+    The set of a pair's node with more pairs goes to a bucket, where those of
+    up to about BUCKET partners are compared with it as they pass by.
+    """
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(ids, "id", 24))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("c"))
+    wanted = spark.sparkContext.broadcast(bitmap(ends, "id", 24))
 
     def sets(batches):
         for b in batches:
             b = b.filter(pa.array(in_bitmap(wanted.value, b.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
-            yield {"id": b.column(0), "s": [shingles(t, n).tobytes() for t in texts(b.column(1))]}
+            for row, lists in hashed_words(b.column(1)):
+                yield {"id": b.column(0).slice(row, len(lists)), "s": [_set(w, n).tobytes() for w in lists]}
 
     def similar(batches):
+        hub, own = None, []
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
-            b = b.filter(pa.array(keep, pa.bool_()))
-            yield {"a": b.column("a"), "b": b.column("b")}
-
-    have = map_arrow(docs, sets, "id long, s binary")
-    full = pairs.join(have.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return map_arrow(full.select("a", "b", "sa", "sb"), similar, "a long, b long").distinct()
+            out = []
+            for h, salt, leaf, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, salt) != hub:
+                    hub, own = (h, salt), []
+                s = np.frombuffer(s, np.uint64)
+                if leaf is None:
+                    own.append(s)
+                    continue
+                for x in own:
+                    both = np.sort(np.concatenate([x, s]))
+                    both = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if both and den * both >= num * (len(x) + len(s) - both):
+                        out.append((min(h, leaf), max(h, leaf)))
+            yield {"a": [x for x, _ in out], "b": [x for _, x in out]}
+
+    have = map_arrow(docs.where("doc_id is not null"), sets, "id long, s binary")
+    for side in "ab":
+        pairs = pairs.join(ends.select(F.col("id").alias(side), F.col("c").alias(f"c_{side}")), side)
+    hub = F.col("c_a") >= F.col("c_b")
+    pairs = pairs.select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.greatest("c_a", "c_b").alias("c"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("c") / BUCKET)).cast("int")).select("hub", "salt", "leaf")
+    needs = pairs.select(F.col("leaf").alias("id"), "hub", "salt", "leaf").unionByName(pairs.select(F.col("hub").alias("id"), "hub", "salt").distinct().withColumn("leaf", F.lit(None).cast("long")))
+    dealt = needs.join(have, "id").select("hub", "salt", "leaf", "s").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("leaf"))
+    return map_arrow(dealt, similar, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,48 +309,53 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = _profile(docs, n).persist()
-    sketch = spark.sparkContext.broadcast(_sketch(profile))
-    rows = profile.where("part is null").select("doc_id", "n", "key")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-
-    prefixes = _prefixes(docs.where("doc_id is not null"), n, num, den, sketch).where("size > 0").persist()
-    repeated = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    maybe = spark.sparkContext.broadcast(bitmap(repeated, "token"))
-    # Texts of equal sets need not meet here; some may, as the bitmap is no exact filter, and link.
-    standing = spark.sparkContext.broadcast(bitmap(reps, "rep"))
-
-    def shared(batches):
-        for b in batches:
-            b = b.filter(pa.array(in_bitmap(standing.value, b.column(0).to_numpy())))
-            out = {"doc_id": [], "size": [], "g": [], "tokens": [], "bits": []}
-            for i, size, p, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                p = p.values.to_numpy()
-                at = np.flatnonzero(in_bitmap(maybe.value, p))
-                if len(at):
-                    out["doc_id"].append(i)
-                    out["size"].append(size)
-                    out["g"].append(xxhash.xxh3_64_intdigest(p.tobytes() + size.to_bytes(8, "little")) >> 1)
-                    out["tokens"].append([{"token": int(t), "pos": int(k)} for t, k in zip(p[at], at, strict=True)])
-                    out["bits"].append(bits)
-            yield out
-
-    members = map_arrow(prefixes, shared, "doc_id long, size long, g long, tokens array<struct<token:long,pos:long>>, bits binary")
-    posting = members.select("doc_id", "size", "g", "bits", F.explode("tokens").alias("t")).select("t.token", "t.pos", "doc_id", "size", "g", "bits").persist()
-    met = _candidates(posting.withColumn("comp", F.col("doc_id")), num, den, True).persist()
-    first = met.where("b is not null")
-    links = checkpoint(_verified(first, docs, n, num, den))
-    prefixes.unpersist()
-    comps = connected_components(links)
-
-    # Every pair of the other lists was either refused or has been verified.
-    again = met.where("b is null").select(F.col("a").alias("token"))
-    labelled = posting.join(again, "token").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    rest = _candidates(labelled, num, den, False).join(first, ["a", "b"], "left_anti").persist()
-    comps = connected_components(links.unionByName(_verified(rest, docs, n, num, den)))
-
-    classes = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return rows.join(classes, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    sketch = spark.sparkContext.broadcast(_sketch(docs, n))
+    profile = _prefixes(docs, n, num, den, sketch).persist()
+    kinds = profile.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("g").alias("g"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).persist()
+    groups = kinds.groupBy("g").agg(F.min("id").alias("gid"), F.count("*").alias("m"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    met = _meet(groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "size").select("token", "gid", "size", "pos"), num, den).persist()
+    info = groups.select("gid", "g", "m", "size", "bits").persist()
+    members = kinds.select("g", "id", "size", "bits").join(info.where("m > 1").select("g", "gid"), "g").select("gid", "id", "size", "bits").persist()
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.join(info.select(F.col("gid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "m", "bits"))), s)
+
+    likely = checkpoint(_plausible(side(side(met.where("b is not null").select("a", "b").distinct(), "a"), "b"), num, den).groupBy("a", "b").agg(F.min("diff").alias("diff"), F.max("wide").alias("wide")))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct("diff", "a", "b").alias("p")).groupBy("x").agg(F.min("p").alias("p"))
+    forest = checkpoint(ends.select("p.a", "p.b").unionByName(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
+    links = checkpoint(_verified(forest, docs, n, num, den))
+    # An id with several texts is one node: its texts' first ids are joined.
+    several = profile.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
+    same = profile.where("n > 0").select("doc_id", "key").join(several, "doc_id").join(kinds.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    comps = checkpoint(connected_components(links.unionByName(same)))
+
+    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.join(comps.select(F.col("node").alias(column), F.col("component").alias("__c")), column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
+
+    # Every pair of the forest was either refused or has been joined.
+    apart = labelled(labelled(likely.where("not wide").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").join(forest, ["a", "b"], "left_anti").select("a", "b")
+    of_group = labelled(members, "id", "c").groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    spans = labelled(info.select("gid", "m", "bits"), "gid", "c").join(of_group, "gid", "left").select("gid", "m", "bits", F.coalesce("c_lo", "c").alias("lo"), F.coalesce("c_hi", "c").alias("hi"))
+    long = met.where("b is null").select(F.col("token").alias("key"), F.col("a").alias("gid"), "size", "pos").join(spans, "gid").withColumnRenamed("gid", "id")
+    again = _cells(long, num, den).persist()
+    # Group pairs, and groups, whose members aren't one component: all their members meet.
+    wide = likely.where("wide").select("a", "b").unionByName(again.where("wide").select("a", "b"))
+    for s in "ab":
+        wide = wide.join(spans.select(F.col("gid").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}")), s)
+    wide = wide.where("least(lo_a, lo_b) <> greatest(hi_a, hi_b)").select("a", "b").unionByName(of_group.where("c_lo <> c_hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
+    everyone = members.unionByName(info.where("m = 1").select("gid", F.col("gid").alias("id"), "size", "bits"))
+    met_again = wide.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array_distinct(F.array("a", "b"))).alias("gid")).join(everyone, "gid")
+    met_again = labelled(met_again, "id", "lo").select("key", "id", "size", F.lit(0).alias("pos"), F.lit(1).alias("m"), "lo", F.col("lo").alias("hi"), "bits")
+    rest = checkpoint(apart.unionByName(again.where("not wide").select("a", "b")).unionByName(_cells(met_again, num, den).select("a", "b")).distinct())
+    more = _verified(rest, docs, n, num, den)
+    joined = connected_components(labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    of_kind = labelled(kinds.select("key", "id"), "id", "c").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("key", F.coalesce("component", "c").alias("component"))
+    rows = profile.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key").join(of_kind, "key", "left")
+    out = checkpoint(rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")))
+    for df in (profile, kinds, met, info, members, again):
+        df.unpersist()
+    return out
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, bitmap, in_bitmap, map_arrow, mix, ngram_hashes, signed, table, texts, word_hashes
+from .common import bitmap, hashed_words, in_bitmap, map_arrow, mix, ngram_hashes, signed, table
 
 #: Words of a k-gram, and bytes of a word's hash in the compared contexts.
 K, BYTES = 16, 3
@@ -85,9 +85,8 @@ class Windows:
         return self._of(left, max(0, self.reach - left - STEP + 1))
 
 
-def _suffixes(text: str | None, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, kept positions, their k-grams' hashes, and how often the k-gram stands right before and after in a run."""
-    words = word_hashes(WORD.findall(ascii_lower(text or "")))
+def _suffixes(words: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's word hashes, kept positions, their k-grams' hashes, and how often the k-gram stands right before and after in a run."""
     h = ngram_hashes(words, K)
     at = minimisers(h, w)
     start, end = runs(h)
@@ -119,17 +118,17 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
 
     def grams(batches):
         for b in batches:
-            found = [_suffixes(t, w)[2] for t in texts(b.column(1))]
-            yield {"g": signed(np.concatenate([np.zeros(0, np.uint64), *found]))}
+            for _, lists in hashed_words(b.column(1)):
+                yield {"g": signed(np.concatenate([_suffixes(x, w)[2] for x in lists]))}
 
     many = map_arrow(docs, grams, "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
     maybe = spark.sparkContext.broadcast(bitmap(many, "g"))
 
     def contexts(batches):
         for b in batches:
-            for start in range(0, b.num_rows, 256):
+            for start, lists in hashed_words(b.column(1)):
                 out = {k: [] for k in ("g", "doc_id", "pos", "before", "after", "same_left", "same_right")}
-                for i, t in zip(b.column(0).slice(start, 256).to_pylist(), b.column(1).slice(start, 256).to_pylist(), strict=True):
+                for i, t in zip(b.column(0).slice(start, len(lists)).to_pylist(), lists, strict=True):
                     words, at, g, *same = _suffixes(t, w)
                     keep = in_bitmap(maybe.value, g)
                     if not keep.any():

@@ -6,11 +6,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moothall.llm import pii, queries
+from moothall.llm import jaccard_join, pii, queries
 from moothall.llm.bpe import Bpe, vocabulary
+from moothall.llm.common import hashed_words
 from moothall.llm.decontaminate import Matcher, normalise
 from moothall.llm.graph import connected_components
 from moothall.llm.imatch import Fingerprints, likeness
@@ -52,13 +54,7 @@ def near(rng, words, k):
     return " ".join(out)
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_jaccard_classes_by_brute_force(spark, n, num, den):
-    rng, texts = random.Random(n), []
-    for _ in range(12):
-        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(2, 160))]
-        texts += [near(rng, base, rng.randrange(0, 6)) for _ in range(rng.randrange(1, 9))]
-    texts += ["", "a b", "a b", "a b c", texts[3]]
+def components_by_brute_force(texts, n, num, den):
     sets = [set(shingles(t, n).tolist()) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -67,8 +63,44 @@ def test_jaccard_classes_by_brute_force(spark, n, num, den):
             if both and den * both >= num * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n, num, den).collect()}
-    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+    return {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+
+
+def classes(spark, texts, n, num, den):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n, num, den).collect()}
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_classes_by_brute_force(spark, n, num, den):
+    rng, texts = random.Random(n), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(2, 160))]
+        texts += [near(rng, base, rng.randrange(0, 6)) for _ in range(rng.randrange(1, 9))]
+    texts += ["", "a b", "a b", "a b c", texts[3]]
+    assert classes(spark, texts, n, num, den) == components_by_brute_force(texts, n, num, den)
+
+
+def test_jaccard_long_lists_and_groups(spark, monkeypatch):
+    """Families whose lists are dealt in cells, and texts of equal prefix and size, which form groups of several members."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rng = random.Random(11)
+    w = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
+    base, other, tails = w(140), w(140), [["zz", "yy", *w(6)] for _ in range(5)]
+    texts = [near(rng, base, rng.randrange(0, 5)) for _ in range(40)] + [near(rng, other, rng.randrange(2, 6)) for _ in range(25)]
+    texts += [" ".join(w(90) + t) for t in tails for _ in range(9)]  # makes the tails frequent, so they stay out of prefixes
+    for head in (w(110), w(80), w(170)):
+        texts += [" ".join([*head, *t]) for t in tails] + [" ".join([*head[:-1], "odd", *t]) for t in tails]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch = spark.sparkContext.broadcast(jaccard_join._sketch(df, 3))
+    profile = jaccard_join._prefixes(df, 3, 90, 100, sketch)
+    assert profile.groupBy("g").agg(F.countDistinct("key").alias("m")).where("m > 1").count() >= 3
+    assert classes(spark, texts, 3, 90, 100) == components_by_brute_force(texts, 3, 90, 100)
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    rows = [(5, "a b c d e f"), (5, "k l m n o p"), (3, "a b c d e f"), (7, "k l m n o p"), (9, "x y z")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {(5, 3), (3, 3), (7, 3), (9, 9)}
 
 
 def test_parity_bounds_the_difference():
@@ -231,6 +263,20 @@ def test_held_out_accuracy(spark):
     assert (held.predicted == held.toxic).mean() > 0.9 and held.score.between(0, 1).all()
 
 
+def test_word_hashes():
+    rng, word = random.Random(1), re.compile(rb"[^\x20\x09-\x0d]+")
+    texts = ["", None, "a b A", " x\x0b\x0cy", "é ü\x1c z", "q" * 5000 + " r", "q" * 5000 + "\t" + "Q" * 5000, "end", "a"] + ["".join(rng.choices("abAB \n\té", k=rng.randint(0, 50))) for _ in range(500)]
+    for size in (64, 1 << 20):
+        of, back, rows = {}, {}, 0
+        for row, lists in hashed_words(pa.array(["zz", *texts]).slice(1), size):
+            for t, h in zip(texts[row:], lists, strict=False):
+                rows += 1
+                words = word.findall((t or "").encode().lower())
+                assert len(words) == len(h)
+                assert all(of.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(words, h.tolist(), strict=True))
+        assert rows == len(texts)
+
+
 def test_toxicity_features_of_long_texts():
     far = dict(zip(NAMES, Features({}).of("idiot " + "x " * 20 + "idiot " * 300 + "x " * 20 + "idiot you"), strict=True))
     assert far["near_second_person"] == pytest.approx(1 / 302)
