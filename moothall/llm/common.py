@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,14 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where the master is local and none is set, as in tests."""
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        base = _folders[app] = _folders.get(app) or tempfile.mkdtemp(prefix="spark-shared-")
+    return base.rstrip("/")
+
+
+_folders: dict[str, str] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder that the session names."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))  # local runs and tests
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+class Shelf:
+    """Intermediate tables of one call: Parquet in the shared checkpoint folder, read again with a short plan, removed at the end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow for a function that yields a dict of column name to list or array, for each output batch."""
     from pyspark.sql.types import _parse_datatype_string  # a DDL string's types

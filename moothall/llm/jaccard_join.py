@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, checkpoint, hashed_words, in_bitmap, map_arrow, mix, ngram_hashes, table
+from .common import Shelf, bitmap, checkpoint, hashed_words, in_bitmap, map_arrow, mix, ngram_hashes, table
 from .graph import connected_components
 
 #: Counters of the frequency sketch, and counters in each row that carries a part of it.
@@ -308,26 +308,27 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Other columns are ignored. No limit holds for sizes of texts or groups.
     """
     spark = docs.sparkSession
+    shelf = Shelf(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(docs, n))
-    profile = _prefixes(docs, n, num, den, sketch).persist()
-    kinds = profile.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("g").alias("g"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).persist()
-    groups = kinds.groupBy("g").agg(F.min("id").alias("gid"), F.count("*").alias("m"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    met = _meet(groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "size").select("token", "gid", "size", "pos"), num, den).persist()
-    info = groups.select("gid", "g", "m", "size", "bits").persist()
-    members = kinds.select("g", "id", "size", "bits").join(info.where("m > 1").select("g", "gid"), "g").select("gid", "id", "size", "bits").persist()
+    profile = shelf.put(_prefixes(docs, n, num, den, sketch))
+    kinds = shelf.put(profile.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("g").alias("g"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    groups = shelf.put(kinds.groupBy("g").agg(F.min("id").alias("gid"), F.count("*").alias("m"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    met = shelf.put(_meet(groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "size").select("token", "gid", "size", "pos"), num, den))
+    info = groups.select("gid", "g", "m", "size", "bits")
+    members = shelf.put(kinds.select("g", "id", "size", "bits").join(info.where("m > 1").select("g", "gid"), "g").select("gid", "id", "size", "bits"))
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.join(info.select(F.col("gid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "m", "bits"))), s)
 
-    likely = checkpoint(_plausible(side(side(met.where("b is not null").select("a", "b").distinct(), "a"), "b"), num, den).groupBy("a", "b").agg(F.min("diff").alias("diff"), F.max("wide").alias("wide")))
+    likely = shelf.put(_plausible(side(side(met.where("b is not null").select("a", "b").distinct(), "a"), "b"), num, den).groupBy("a", "b").agg(F.min("diff").alias("diff"), F.max("wide").alias("wide")))
     ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct("diff", "a", "b").alias("p")).groupBy("x").agg(F.min("p").alias("p"))
-    forest = checkpoint(ends.select("p.a", "p.b").unionByName(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
-    links = checkpoint(_verified(forest, docs, n, num, den))
+    forest = shelf.put(ends.select("p.a", "p.b").unionByName(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
+    links = shelf.put(_verified(forest, docs, n, num, den))
     # An id with several texts is one node: its texts' first ids are joined.
     several = profile.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
     same = profile.where("n > 0").select("doc_id", "key").join(several, "doc_id").join(kinds.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    comps = checkpoint(connected_components(links.unionByName(same)))
+    comps = shelf.put(connected_components(links.unionByName(same)))
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(column), F.col("component").alias("__c")), column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
@@ -337,24 +338,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     of_group = labelled(members, "id", "c").groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
     spans = labelled(info.select("gid", "m", "bits"), "gid", "c").join(of_group, "gid", "left").select("gid", "m", "bits", F.coalesce("c_lo", "c").alias("lo"), F.coalesce("c_hi", "c").alias("hi"))
     long = met.where("b is null").select(F.col("token").alias("key"), F.col("a").alias("gid"), "size", "pos").join(spans, "gid").withColumnRenamed("gid", "id")
-    again = _cells(long, num, den).persist()
+    again = shelf.put(_cells(long, num, den))
     # Group pairs, and groups, whose members aren't one component: all their members meet.
     wide = likely.where("wide").select("a", "b").unionByName(again.where("wide").select("a", "b"))
     for s in "ab":
         wide = wide.join(spans.select(F.col("gid").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}")), s)
     wide = wide.where("least(lo_a, lo_b) <> greatest(hi_a, hi_b)").select("a", "b").unionByName(of_group.where("c_lo <> c_hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
     everyone = members.unionByName(info.where("m = 1").select("gid", F.col("gid").alias("id"), "size", "bits"))
+    wide = shelf.put(wide)
     met_again = wide.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array_distinct(F.array("a", "b"))).alias("gid")).join(everyone, "gid")
     met_again = labelled(met_again, "id", "lo").select("key", "id", "size", F.lit(0).alias("pos"), F.lit(1).alias("m"), "lo", F.col("lo").alias("hi"), "bits")
-    rest = checkpoint(apart.unionByName(again.where("not wide").select("a", "b")).unionByName(_cells(met_again, num, den).select("a", "b")).distinct())
+    rest = shelf.put(apart.unionByName(again.where("not wide").select("a", "b")).unionByName(_cells(met_again, num, den).select("a", "b")).distinct())
     more = _verified(rest, docs, n, num, den)
     joined = connected_components(labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
     of_kind = labelled(kinds.select("key", "id"), "id", "c").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("key", F.coalesce("component", "c").alias("component"))
     rows = profile.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key").join(of_kind, "key", "left")
     out = checkpoint(rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")))
-    for df in (profile, kinds, met, info, members, again):
-        df.unpersist()
+    shelf.clear()
     return out
 
 
