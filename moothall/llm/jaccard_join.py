@@ -37,9 +37,9 @@ SKETCH, SLICE = 1 << 19, 1 << 13
 #: Each posting meets so many next ones of its list at once; longer lists come again.
 NEXT = 7
 #: Rows of a long list that are compared with so many others at a time.
-BLOCK = 512
-#: Bits of a parity bitmap of a set of common size.
-PARITY = 512
+BLOCK = 256
+#: Bits of a parity bitmap of a set of common size, and bits a shingle of the wider ones that pairs apart are tested by before their sets are sent.
+PARITY, WIDER = 512, 8
 #: Sets that one verification task bucket compares with one other set.
 BUCKET = 256
 
@@ -99,6 +99,10 @@ def parity(s: np.ndarray, num: int = 80, den: int = 100) -> bytes:
     n, bits = len(s), 64
     while bits < min(2 * n, max(PARITY, 4.8 * (den - num) / (den + num) * n)):
         bits *= 2
+    return _parity(s, bits)
+
+
+def _parity(s: np.ndarray, bits: int) -> bytes:
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -250,49 +254,68 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long, wide boolean").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The distinct pairs (a, b) of documents whose shingle sets reach the similarity.
+def _met_in_buckets(pairs: DataFrame, docs: DataFrame, n: int, value, test) -> DataFrame:
+    """The distinct pairs (a, b) of documents of which test(value of one, value of the other) holds; value: of a text's shingle set, as bytes.
 
-    The set of a pair's node with more pairs goes to a bucket, where those of
+    The value of a pair's node with more pairs goes to a bucket, where those of
     up to about BUCKET partners are compared with it as they pass by.
     """
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("c"))
     wanted = spark.sparkContext.broadcast(bitmap(ends, "id", 24))
 
-    def sets(batches):
+    def values(batches):
         for b in batches:
             b = b.filter(pa.array(in_bitmap(wanted.value, b.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
             for row, lists in hashed_words(b.column(1)):
-                yield {"id": b.column(0).slice(row, len(lists)), "s": [_set(w, n).tobytes() for w in lists]}
+                yield {"id": b.column(0).slice(row, len(lists)), "v": [value(_set(w, n)) for w in lists]}
 
-    def similar(batches):
+    def tested(batches):
         hub, own = None, []
         for b in batches:
             out = []
-            for h, salt, leaf, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, salt, leaf, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (h, salt) != hub:
                     hub, own = (h, salt), []
-                s = np.frombuffer(s, np.uint64)
                 if leaf is None:
-                    own.append(s)
-                    continue
-                for x in own:
-                    both = np.sort(np.concatenate([x, s]))
-                    both = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if both and den * both >= num * (len(x) + len(s) - both):
-                        out.append((min(h, leaf), max(h, leaf)))
+                    own.append(v)
+                elif any(test(x, v) for x in own):
+                    out.append((min(h, leaf), max(h, leaf)))
             yield {"a": [x for x, _ in out], "b": [x for _, x in out]}
 
-    have = map_arrow(docs.where("doc_id is not null"), sets, "id long, s binary")
+    have = map_arrow(docs.where("doc_id is not null"), values, "id long, v binary")
     for side in "ab":
         pairs = pairs.join(ends.select(F.col("id").alias(side), F.col("c").alias(f"c_{side}")), side)
     hub = F.col("c_a") >= F.col("c_b")
     pairs = pairs.select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.greatest("c_a", "c_b").alias("c"))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("c") / BUCKET)).cast("int")).select("hub", "salt", "leaf")
     needs = pairs.select(F.col("leaf").alias("id"), "hub", "salt", "leaf").unionByName(pairs.select(F.col("hub").alias("id"), "hub", "salt").distinct().withColumn("leaf", F.lit(None).cast("long")))
-    dealt = needs.join(have, "id").select("hub", "salt", "leaf", "s").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("leaf"))
-    return map_arrow(dealt, similar, "a long, b long").distinct()
+    dealt = needs.join(have, "id").select("hub", "salt", "leaf", "v").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("leaf"))
+    return map_arrow(dealt, tested, "a long, b long").distinct()
+
+
+def _nearer(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs that wider parity bitmaps, an eighth of the sets' bytes, don't rule out either."""
+
+    def value(s: np.ndarray) -> bytes:
+        return len(s).to_bytes(8, "little") + _parity(s, 1 << max(6, (WIDER * len(s) - 1).bit_length()))
+
+    def test(x: bytes, y: bytes) -> bool:
+        total = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+        return (num + den) * ((total - _differing([x[8:]], [y[8:]])[0]) // 2) >= num * total
+
+    return _met_in_buckets(pairs, docs, n, value, test)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs whose shingle sets reach the similarity."""
+
+    def test(x: bytes, y: bytes) -> bool:
+        both = np.sort(np.frombuffer(x + y, np.uint64))
+        both = int(np.count_nonzero(both[1:] == both[:-1]))
+        return both > 0 and den * both >= num * ((len(x) + len(y)) // 8 - both)
+
+    return _met_in_buckets(pairs, docs, n, np.ndarray.tobytes, test)
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,22 +335,27 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(docs, n))
     profile = shelf.put(_prefixes(docs, n, num, den, sketch))
-    kinds = shelf.put(profile.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("g").alias("g"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    groups = shelf.put(kinds.groupBy("g").agg(F.min("id").alias("gid"), F.count("*").alias("m"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    filled = profile.where("n > 0 and doc_id is not null")
+    kinds = shelf.put(filled.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("g").alias("g")))
+    firsts = kinds.groupBy("g").agg(F.min("id").alias("gid"), F.count("*").alias("m"))
+    groups = shelf.put(filled.withColumnRenamed("doc_id", "gid").join(firsts, ["gid", "g"]).groupBy("gid", "g").agg(F.first("m").alias("m"), F.first("n").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     met = shelf.put(_meet(groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "size").select("token", "gid", "size", "pos"), num, den))
     info = groups.select("gid", "g", "m", "size", "bits")
-    members = shelf.put(kinds.select("g", "id", "size", "bits").join(info.where("m > 1").select("g", "gid"), "g").select("gid", "id", "size", "bits"))
+    members = kinds.join(info.where("m > 1").select("g", "gid"), "g").select("key", "gid", "id")
+    members = shelf.put(filled.select("key", F.col("doc_id").alias("id"), F.col("n").alias("size"), "bits").join(members, ["key", "id"]).drop("key").distinct())
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.join(info.select(F.col("gid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "m", "bits"))), s)
 
     likely = shelf.put(_plausible(side(side(met.where("b is not null").select("a", "b").distinct(), "a"), "b"), num, den).groupBy("a", "b").agg(F.min("diff").alias("diff"), F.max("wide").alias("wide")))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct("diff", "a", "b").alias("p")).groupBy("x").agg(F.min("p").alias("p"))
-    forest = shelf.put(ends.select("p.a", "p.b").unionByName(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
+    # Each node's likeliest pair, and two that chance picks, so that large families become one component.
+    by = F.xxhash64("a", "b")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct("diff", "a", "b").alias("p"), F.struct(by, "a", "b").alias("q")).groupBy("x").agg(F.array(F.struct(F.min("p")["a"].alias("a"), F.min("p")["b"].alias("b")), *(F.struct(f("q")["a"].alias("a"), f("q")["b"].alias("b")) for f in (F.min, F.max))).alias("p"))
+    forest = shelf.put(ends.select(F.explode("p").alias("p")).select("p.a", "p.b").unionByName(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
     links = shelf.put(_verified(forest, docs, n, num, den))
     # An id with several texts is one node: its texts' first ids are joined.
-    several = profile.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
-    same = profile.where("n > 0").select("doc_id", "key").join(several, "doc_id").join(kinds.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    several = filled.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
+    same = filled.select("doc_id", "key").join(several, "doc_id").join(kinds.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     comps = shelf.put(connected_components(links.unionByName(same)))
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -349,7 +377,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     met_again = wide.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array_distinct(F.array("a", "b"))).alias("gid")).join(everyone, "gid")
     met_again = labelled(met_again, "id", "lo").select("key", "id", "size", F.lit(0).alias("pos"), F.lit(1).alias("m"), "lo", F.col("lo").alias("hi"), "bits")
     rest = shelf.put(apart.unionByName(again.where("not wide").select("a", "b")).unionByName(_cells(met_again, num, den).select("a", "b")).distinct())
-    more = _verified(rest, docs, n, num, den)
+    more = _verified(shelf.put(_nearer(rest, docs, n, num, den)), docs, n, num, den)
     joined = connected_components(labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
     of_kind = labelled(kinds.select("key", "id"), "id", "c").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("key", F.coalesce("component", "c").alias("component"))
