@@ -91,12 +91,15 @@ class Features:
         kinds = Counter(k[0] for _, k in at)
         weights = [k[1] for _, k in at if k[1]]
         near = near_share(hits, second)
-        mixed = mixed_hits = 0
+        mixed = mixed_hits = end = hit = 0
         for m in _MIXED.finditer(low):
             mixed += 1
-            a, b = low.rfind(b" ", 0, m.start()) + 1, low.find(b" ", m.end())
-            token = low[max(a, m.start() - 40) : min(b if b >= 0 else len(low), m.end() + 40)].strip(b".,;:!?\"'()#%&\n\t")
-            mixed_hits += any((k := known[x]) and (k[0] >= 0 or k[1] > 0) for x in (token.translate(_PLAIN), re.sub(rb"[*._\-]", b"", token)))
+            if m.start() >= end:  # else in the token of the match before
+                end = low.find(b" ", m.end())
+                end = end if end >= 0 else len(low)
+                token = low[low.rfind(b" ", 0, m.start()) + 1 : end].strip(b".,;:!?\"'()#%&\n\t")
+                hit = any((k := known[x]) and (k[0] >= 0 or k[1] > 0) for x in (token.translate(_PLAIN), re.sub(rb"[*._\-]", b"", token)))
+            mixed_hits += hit
         size = max(1, len(raw))
         rates = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS / size
         shouted = sum(map(bytes.isupper, _WORD.findall(raw))) if rates[0] else 0
@@ -159,15 +162,15 @@ def learn_lexicon(sample: DataFrame, size: int = 500) -> dict[str, float]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on at most `rows` labelled rows, the first in the order of a hash of their id.
 
-    Three quarters of them grow the trees, a quarter fits the calibration. The
-    caller picks which labels may be seen. Rows with a null label or id are
+    Three quarters of them give the lexicon and grow the trees, a quarter fits
+    the calibration. The caller picks which labels may be seen. Rows with a null label or id are
     left out; of an id's several labels the largest counts.
     """
     spark = docs.sparkSession
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(rows).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)))
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").persist()
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(sample))
+    lexicon = spark.sparkContext.broadcast(learn_lexicon(sample.where("fold <> 0")))
     data = with_features(sample, lexicon).select("id", "fold", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v")).repartition(6, "id").persist()
     counts = {(r["fold"] == 0, r["label"]): r["n"] for r in data.groupBy((F.col("fold") == 0).alias("fold"), "label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -185,22 +188,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, id_col:
 
 
 def with_scores(featured: DataFrame, model: ToxicityModel, score_col: str = "score") -> DataFrame:
-    """Replace the features by a calibrated score from 0 to 1."""
-    keep = [c for c in featured.columns if c != FEATURES]
+    """Replace the features, and a column named as the score, by a calibrated score from 0 to 1."""
+    keep = [c for c in featured.columns if c not in (FEATURES, score_col)]
     if model.trees is None:
         return featured.select(*keep, F.lit(float(model.rate)).alias(score_col))
-    own = {c: f"__toxicity_{c}" for c in ("v", "raw", "p", "label", "s")}
+    own = {c: f"__toxicity_{c}" for c in ("v", "raw", "p", "label", "s", "score")}
     trees = model.trees.copy().setFeaturesCol(own["v"]).setRawPredictionCol(own["raw"]).setProbabilityCol(own["p"]).setPredictionCol(own["label"])
     out = trees.transform(featured.withColumn(own["v"], array_to_vector(FEATURES))).withColumn(own["s"], vector_to_array(own["p"])[1])
     if model.calibration is not None:
-        out = model.calibration.copy().setFeaturesCol(own["s"]).setPredictionCol(score_col).transform(out)
+        out = model.calibration.copy().setFeaturesCol(own["s"]).setPredictionCol(own["score"]).transform(out)
     else:
-        out = out.withColumn(score_col, F.col(own["s"]))
-    return out.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score_col))).alias(score_col))
+        out = out.withColumn(own["score"], F.col(own["s"]))
+    return out.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(own["score"]))).alias(score_col))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score for each row; null and empty texts are scored as texts without words. Nothing is moved between tasks."""
+    """docs with a score for each row, in place of a column of that name; null and empty texts are scored as texts without words. Nothing is moved between tasks."""
     return with_scores(with_features(docs, model.lexicon, text_col), model, score_col)
 
 
