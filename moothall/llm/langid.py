@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import CACHE, crc_mod, map_arrow, mix, table
 
-#: Hash slots of the n-gram and affix features, the longest n-gram in bytes, and the longest part of a word that is looked at.
-SLOTS, LONGEST, WORD_BYTES = 1 << 16, 4, 40
-_WORD = re.compile(rb"[a-z\x80-\xff']+")
+#: Hash slots of the n-gram and affix features, and the longest n-gram in bytes.
+SLOTS, LONGEST = 1 << 16, 4
+#: Runs of letters and other characters beyond ASCII; of scripts that write without spaces (Chinese, Japanese, Thai), each character.
+_WORD = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8\xb9][\x80-\xbf]|(?:[a-z']+|[\xc2-\xdf\xe1\xe2\xea-\xf4][\x80-\xbf]+|\xe0[\xa0-\xb7\xba-\xbf][\x80-\xbf])+")
 #: Words of texts that are decoded together.
 TOGETHER = 1_000_000
 
@@ -29,7 +30,7 @@ def has_letter(text: str | None) -> bool:
 
 def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Parallel arrays (word, slot): every 1- to 4-gram of the marked word, so that those with a mark are its affixes."""
-    marked = [b"^" + w[:WORD_BYTES] + b"$" for w in vocabulary]
+    marked = [b"^" + w + b"$" for w in vocabulary]
     size = np.array([len(m) for m in marked], np.int64)
     b = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     word = np.repeat(np.arange(len(marked)), size)
