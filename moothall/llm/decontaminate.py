@@ -10,6 +10,9 @@ bands, and bands that meet an item's bound are verified by banded alignment.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,8 +88,15 @@ class Matcher:
     """The index of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE) -> None:
-        kept = [(i, x) for i, t in items if len(x := normalise(t)) >= Q]
-        self.ids = [i for i, _ in kept]
+        plain = [(i, normalise(t)) for i, t in items]
+        kept = [(i, x) for i, x in plain if len(x) >= Q]
+        self.short: dict[bytes, list[int]] = {}  # shorter items, as whole words; their numbers come after the others
+        few = [(i, x) for i, x in plain if 0 < len(x) < Q]
+        for k, (_, x) in enumerate(few):
+            self.short.setdefault(x, []).append(len(kept) + k)
+        self.lengths = sorted({x.count(b" ") + 1 for x in self.short})
+        self.ids = [i for i, _ in kept + few]
+        self.size = [len(x) for _, x in kept + few]
         self.texts = [np.frombuffer(x, np.uint8) for _, x in kept]
         n = np.array([len(x) for _, x in kept], np.int64)
         own = n - Q + 1
@@ -117,9 +127,21 @@ class Matcher:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of every region found, in bytes of the normalised text."""
-        if not self.ids:
-            return []
         parts = [normalise(t) for t in texts]
+        return self._whole_words(parts) + (self._regions(parts) if len(self.n) else [])
+
+    def _whole_words(self, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for row, part in enumerate(parts if self.short else ()):
+            words = part.split()
+            ends = np.cumsum([len(w) + 1 for w in words])
+            for n in self.lengths:
+                for k in range(len(words) - n + 1):
+                    for i in self.short.get(b" ".join(words[k : k + n]), ()):
+                        out.append((row, i, int(ends[k]) - len(words[k]) - 1, int(ends[k + n - 1]) - 1, 0))
+        return out
+
+    def _regions(self, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
         buf = b"\n".join(parts)
         g = grams(buf)
@@ -151,10 +173,10 @@ class Matcher:
         half = diagonal // span[item]
         width = int(half.max()) + 3
         for shift in (0, 1):
-            key = (row * len(self.ids) + item) * width + (half + shift) // 2
+            key = (row * len(self.n) + item) * width + (half + shift) // 2
             order = np.argsort(key, kind="stable")
             names, begin, n = np.unique(key[order], return_index=True, return_counts=True)
-            for b in np.flatnonzero(n >= self.bound[(names // width) % len(self.ids)]):
+            for b in np.flatnonzero(n >= self.bound[(names // width) % len(self.n)]):
                 hits = order[begin[b] : begin[b] + n[b]]
                 out += self._verify(int(row[hits[0]]), int(item[hits[0]]), diagonal[hits], parts)
         return _distinct(out)
@@ -173,16 +195,23 @@ class Matcher:
 def _distinct(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """One of the overlapping regions of an item in a text: the fewest edits, then the first."""
     out: list[tuple[int, int, int, int, int]] = []
+    name, taken = None, []  # of one item in one text, what is taken: apart from each other, in order
     for r in sorted(found, key=lambda r: (r[0], r[1], r[4], r[2], r[3])):
-        if not any(o[:2] == r[:2] and o[2] < r[3] and r[2] < o[3] for o in reversed(out[-64:])):
+        if r[:2] != name:
+            name, taken = r[:2], []
+        at = bisect.bisect_left(taken, (r[3], -1))  # the first that starts at or after this one's end
+        if not at or taken[at - 1][1] <= r[2]:
+            taken.insert(at, (r[2], r[3]))
             out.append(r)
-    return out
+    return sorted(out)
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
+def _blocks(bench: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items, a block of about BLOCK bytes at a time."""
     items = bench.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     n = max(1, -(-int(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK))
-    return [[(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()] for b in range(n)]
+    for b in range(n):
+        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
 
 
 def _chunks(texts: list[str | None], size: int = 1_000_000):
@@ -201,8 +230,9 @@ def contaminated_regions(docs: DataFrame, bench: DataFrame, rate: float = EDIT_R
 
     start and end count bytes of the normalised text. Overlapping regions of
     one item in one text are one row. Null and empty texts have no region;
-    items of fewer than Q normalised bytes, which could be chance, are left
-    out. Null ids and repeated rows are kept as they are, other columns are
+    items of fewer than Q normalised bytes, which have no q-gram, are looked
+    up exactly and as whole words, items without a letter or digit never
+    occur. Null ids and repeated rows are kept as they are, other columns are
     ignored. Items are broadcast in blocks of bounded size; texts aren't moved.
     """
     spark = docs.sparkSession
@@ -219,7 +249,7 @@ def contaminated_regions(docs: DataFrame, bench: DataFrame, rate: float = EDIT_R
                     got = matcher.search(texts[start:stop])
                     yield {
                         "doc_id": [ids[start + r] for r, *_ in got], "item_id": [matcher.ids[i] for _, i, *_ in got], "start": [s for _, _, s, _, _ in got], "end": [e for *_, e, _ in got], "edits": [k for *_, k in got],
-                        "similarity": [1 - k / int(matcher.n[i]) for _, i, _, _, k in got],
+                        "similarity": [1 - k / matcher.size[i] for _, i, _, _, k in got],
                     }
 
         part = map_arrow(narrow, run, "doc_id long, item_id long, start long, end long, edits long, similarity double")
