@@ -19,26 +19,26 @@ from .common import ascii_lower, map_arrow, table, texts
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
-#: Notices by label.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("agpl", "licensed under the GNU Affero General Public License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc0", "dedicated to the public domain under CC0 1.0 Universal"),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission"),
+#: Label, notice, and words without which it isn't that notice.
+TEMPLATES: tuple[tuple[str, str, str], ...] = (
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "granted software"),
+    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general"),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "lesser"),
+    ("agpl", "licensed under the GNU Affero General Public License", "affero"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "attribution"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "nc"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "noncommercial"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "sa"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "sharealike"),
+    ("cc0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    ("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission", "reserved"),
 )
 #: Phrases counted wherever their words stand consecutively.
 PHRASES: tuple[tuple[str, str], ...] = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -65,54 +65,59 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "
 class Scanner:
     """Prefix index of the templates under a global order of words."""
 
-    def __init__(self, counts: dict[bytes, int], num: int, den: int, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
+    def __init__(self, counts: dict[bytes, int], num: int, den: int, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
         self.order = {w: k for k, (_, w) in enumerate(sorted((c, w) for w, c in counts.items()))}
         self.phrases = [(p.encode().split(), label) for p, label in phrases]
         self.last = {p[-1] for p, _ in self.phrases}
-        self.templates, self.index, longest = [], {}, 1
-        for label, text in templates:
+        self.templates, self.index = [], {}
+        for label, text, keys in templates:
             w = words(text)
             ranks = sorted({self.order[x] for x in w})
             need = -(-len(ranks) * num // den)
             t = len(self.templates)
-            self.templates.append((label, ranks, need))
-            for pos, r in enumerate(ranks[: len(ranks) - need + 1]):
-                self.index.setdefault(r, []).append((t, pos))
-            longest = max(longest, len(w))
-        self.span = 2 * longest
+            self.templates.append((label, ranks, need, len(w), {self.order[k] for k in words(keys)}))
+            for r in ranks[: len(ranks) - need + 1]:
+                self.index.setdefault(r, []).append(t)
         self.rare = {w for w, r in self.order.items() if r in self.index}
 
-    def blocks(self, text: str) -> list[list[bytes]]:
-        """The words of each line; a longer line is cut in windows that overlap by half, so that each notice lies in one."""
-        out = []
-        for line in ascii_lower(text).split(b"\n"):
-            w = _WORD.findall(line)
-            if len(w) <= self.span:
-                out.append(w)
-            else:
-                out += [w[i : i + self.span] for i in range(0, len(w) - self.span // 2, self.span // 2)]
-        return out
+    def matches(self, w: list[bytes]) -> dict[tuple[int, int], float]:
+        """Containment of template t in block k, for each (t, k) that reaches the threshold.
 
-    def matches(self, block: list[bytes]) -> dict[int, float]:
-        """Containment of each template that reaches the threshold in the block."""
-        if self.rare.isdisjoint(block):
+        The blocks of a template of n words are the windows of 2 n words of the
+        whole text that start at each n-th, so each run of n words lies in one.
+        """
+        if self.rare.isdisjoint(w):
             return {}
-        size = len(set(block))
-        mine = sorted({self.order[w] for w in block if w in self.order})
         out, seen = {}, set()
-        for pos, r in enumerate(mine):
-            for t, at in self.index.get(r, ()):
-                if t in seen:
-                    continue
-                seen.add(t)  # the first shared word, so nothing before it is shared
-                label, ranks, need = self.templates[t]
-                if size < need or 1 + min(len(mine) - pos - 1, len(ranks) - at - 1) < need:
-                    continue
-                both = len(set(mine).intersection(ranks))
-                if both >= need:
-                    out[t] = both / len(ranks)
+        for p, x in enumerate(w):
+            if x not in self.rare:
+                continue
+            for t in self.index[self.order[x]]:
+                _, ranks, need, n, keys = self.templates[t]
+                for k in (p // n - 1, p // n):
+                    if k < 0 or (t, k) in seen:
+                        continue
+                    seen.add((t, k))
+                    block = w[k * n : (k + 2) * n]
+                    if len(block) < need:  # the length filter
+                        continue
+                    mine = sorted({self.order[y] for y in block if y in self.order})
+                    if not keys.issubset(mine) or not self._may_reach(mine, ranks, need):
+                        continue
+                    both = len(set(mine).intersection(ranks))
+                    if both >= need:
+                        out[t, k] = both / len(ranks)
         return out
 
+    @staticmethod
+    def _may_reach(mine: list[int], ranks: list[int], need: int) -> bool:
+        """The positional filter: what can still be shared from the first shared word on."""
+        place = {r: i for i, r in enumerate(mine)}
+        for at, r in enumerate(ranks[: len(ranks) - need + 1]):
+            if r in place:
+                return 1 + min(len(mine) - place[r] - 1, len(ranks) - at - 1) >= need
+        return False
+
     def places(self, w: list[bytes]) -> list[tuple[int, str]]:
         """Start word and label of every place of a phrase."""
         out = []
@@ -123,8 +128,11 @@ class Scanner:
         return sorted(out)
 
 
-def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: word and phrase counts, labels, and the labels of all blocks that hold num / den of a template's words.
+def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
+    """One row for each row of docs: word and phrase counts, labels, and the labels of all blocks that hold num / den of a template's distinct words, its key words among them.
+
+    templates: (label, notice, key words); phrases: (words, label). n_blocks
+    counts the blocks found, of all templates.
 
     score is 1 where a phrase stands or a template is held whole, else the
     largest containment that reaches the threshold, else 0. Null texts count
@@ -133,8 +141,8 @@ def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "do
     the templates' words pass through the driver; texts aren't moved.
     """
     spark = docs.sparkSession
-    vocabulary = frozenset(w for _, t in TEMPLATES for w in words(t))
-    scanner = spark.sparkContext.broadcast(Scanner(frequencies(docs, vocabulary, text_col), num, den))
+    vocabulary = frozenset(w for _, *t in templates for x in t for w in words(x))
+    scanner = spark.sparkContext.broadcast(Scanner(frequencies(docs, vocabulary, text_col), num, den, templates, phrases))
 
     def run(batches):
         s = scanner.value
@@ -143,10 +151,10 @@ def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "do
             for t in texts(b.column(1)):
                 w = words(t)
                 base = s.places(w)
-                hits = [m for x in s.blocks(t) if (m := s.matches(x))] if t and not s.rare.isdisjoint(w) else []
+                hits = s.matches(w)
                 labels = {label for _, label in base}
-                more = labels | {s.templates[k][0] for m in hits for k in m}
-                row = (len(w), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if base else max((x for m in hits for x in m.values()), default=0.0), len(hits))
+                more = labels | {s.templates[k][0] for k, _ in hits}
+                row = (len(w), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if base else max(hits.values(), default=0.0), len(hits))
                 for k, x in zip(out, row, strict=True):
                     out[k].append(x)
             yield out | {"doc_id": b.column(0) if b.num_rows else pa.nulls(0, pa.int64())}
@@ -160,24 +168,22 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same in DuckDB: phrases by position, and every block against every template by set containment."""
-    span = 2 * max(len(words(t)) for _, t in TEMPLATES)
-    values = ", ".join(f"({k}, '{label}', {[w.decode() for w in sorted(set(words(t)))]})" for k, (label, t) in enumerate(TEMPLATES))
+    listed = lambda t: [w.decode() for w in sorted(set(words(t)))]
+    values = ", ".join(f"({k}, '{label}', {listed(t)}, {len(words(t))}, {listed(keys)})" for k, (label, t, keys) in enumerate(TEMPLATES))
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     ends = " OR ".join("(" + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p, _ in PHRASES)
     label = "CASE " + " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + f" THEN '{name}'" for p, name in PHRASES) + " END"
     return f"""
-WITH t(k, label, ws) AS (VALUES {values}),
+WITH t(k, label, ws, n, keys) AS (VALUES {values}),
 d AS (SELECT doc_id, {low} AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, {word}) AS w FROM d),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE contains(low, 'license')),
 p AS (SELECT doc_id, i - 1 AS s, {label} AS label FROM i WHERE {ends}),
 base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word FROM p GROUP BY 1),
-l AS (SELECT doc_id, regexp_extract_all(unnest(string_split(low, chr(10))), {word}) AS w FROM d),
-b AS (SELECT doc_id, row_number() OVER () AS n, ws FROM (SELECT doc_id, w AS ws FROM l WHERE len(w) <= {span} UNION ALL SELECT doc_id, w[s + 1:s + {span}] FROM (SELECT doc_id, w, unnest(range(0, len(w) - {span // 2}, {span // 2})) AS s FROM l WHERE len(w) > {span}))),
-c AS (SELECT doc_id, n, k, label, len(list_intersect(b.ws, t.ws)) AS common, len(t.ws) AS size FROM b JOIN t ON list_has_any(b.ws, t.ws)),
-m AS (SELECT * FROM c WHERE 5 * common >= 4 * size),
-best AS (SELECT doc_id, max(common / size) AS best, count(DISTINCT n) AS n_blocks FROM m GROUP BY 1),
+b AS (SELECT doc_id, k, label, t.ws, keys, s, w[s + 1:s + 2 * n] AS block FROM (SELECT doc_id, w, k, label, ws, n, keys, unnest(range(0, len(w), n)) AS s FROM w JOIN t ON list_has_all(w.w, t.keys)) t),
+m AS (SELECT doc_id, k, label, s, len(list_intersect(block, ws)) AS common, len(ws) AS size FROM b WHERE list_has_all(block, keys) AND 5 * len(list_intersect(block, ws)) >= 4 * len(ws)),
+best AS (SELECT doc_id, max(common / size) AS best, count(*) AS n_blocks FROM m GROUP BY 1),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY 1),
 pl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks

@@ -47,7 +47,7 @@ def prints(df):
 
 ONE_EACH = {
     "imatch": prints,
-    "toxicity": lambda df: score_toxicity(df.drop("score"), fit_toxicity(df, labels(df.sparkSession))),
+    "toxicity": lambda df: score_toxicity(df, fit_toxicity(df, labels(df.sparkSession))),
     "licenses": scan_licenses,
     "jaccard": jaccard_classes,
     "bpe": lambda df: digests(encode_documents(df, vocabulary())),

@@ -10,14 +10,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moothall.llm import jaccard_join, pii, queries
+from moothall.llm import jaccard_join, licenses, pii, queries
 from moothall.llm.bpe import Bpe, vocabulary
 from moothall.llm.common import hashed_words
 from moothall.llm.decontaminate import Matcher, normalise
 from moothall.llm.graph import connected_components
 from moothall.llm.imatch import Fingerprints, likeness
 from moothall.llm.jaccard_join import jaccard_classes, parity, shingles
-from moothall.llm.langid import forward_backward
+from moothall.llm.langid import features, forward_backward, words
 from moothall.llm.suffix_dedup import minimisers, repeated_spans
 from moothall.llm.toxicity import NAMES, Features
 
@@ -285,3 +285,31 @@ def test_toxicity_features_of_long_texts():
     assert far["near_second_person"] == pytest.approx(1 / 302)
     shouted = dict(zip(NAMES, Features({}).of("plain words here " * 200 + "GO AWAY NOW"), strict=True))
     assert shouted["capital_words"] == pytest.approx(3 / 603)
+
+
+def test_obfuscated_words_of_any_length():
+    f = lambda t: dict(zip(NAMES, Features({}).of(t), strict=True))
+    assert f("x" * 100 + " 1d1ot " + "y" * 100)["obfuscated_hits"] > 0
+    assert f("a.b" * 50_000)["obfuscated"] > 0
+
+
+def test_scripts_without_spaces_are_read_whole():
+    text = "漢字かな" * 100
+    assert len(words(text)) == 400 and words("été à Noël") == ["été".encode(), "à".encode(), "noël".encode()]
+    long = features([b"a" * 39 + b"b" + b"c" * 600])[1]
+    assert len(set(long.tolist())) > len(set(features([b"a" * 39 + b"b"])[1].tolist()))
+
+
+def test_many_regions_and_short_items():
+    item = "alpha beta gamma delta epsilon zeta"
+    m = Matcher([(1, item), (2, "yes no"), (3, "q"), (4, "...")])
+    found = m.search([" ".join([item, "filler words here"] * 300)])
+    assert len(found) == 300 and all(b[2] >= a[3] for a, b in zip(found, found[1:], strict=False))
+    assert [(r, m.ids[i], s, e) for r, i, s, e, _ in m.search(["Yes, no!", "yesno q", "eyes no"])] == [(0, 2, 0, 6), (1, 3, 6, 7)]
+
+
+def test_notices_wrapped_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without\nrestriction"
+    rows = [(1, "some words " * 40 + mit), (2, "This work is licensed under the GNU General\nPublic License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "licensed under the GNU Lesser General Public License"), (5, "nothing of the kind is granted")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "gpl", 3: "cc-by-nc", 4: "gpl,lgpl", 5: ""}
