@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moothall.llm.bpe import digests, encode_documents, vocabulary
-from moothall.llm.common import crc_mod, table
+from moothall.llm.common import crc_mod, shared_folder, table
 from moothall.llm.decontaminate import decontaminate
 from moothall.llm.jaccard_join import jaccard_classes
 from moothall.llm.pii import pseudonymise
@@ -23,11 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 over five-word shingles join, the one with the least id stays, once; documents without words or id stay."""
+    """Of documents that links of similarity 0.8 over five-word shingles join, the one with the least id stays; documents without words or id stay. Of rows that share id and text one stays."""
     classes = jaccard_classes(docs, n=5, num=80, den=100)
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text"))
-    return docs.join(gone, "doc_id", "left_anti").withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each but the last is written in the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
