@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moothall.catalog import Catalog
-from moothall.functions.agenda import read_only_problem
+from moothall.functions.agenda import city_and_state, read_only_problem, state_of
 from moothall.operators import relational as R
+from moothall.operators import search
 
 VIEWS = ("jurisdictions", "meetings", "items", "matters", "votes", "memberships", "events", "ratings", "opinions", "texts")
 MOST_ROWS = 100
@@ -42,3 +43,45 @@ def matter_page(c: Catalog, offset: int, limit: int) -> DataFrame:
     i = c.items().where("matter_id is not null")
     page = i.groupBy("matter_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "matter_id").offset(offset).limit(limit)
     return R.children(i.join(F.broadcast(page), "matter_id"), "matter_id", "date", ["item_id"], "timeline").join(page, "matter_id")  # a page's rows
+
+
+def search_items(c: Catalog, query: str, city_key: int, limit: int = 20) -> DataFrame:
+    """A city's items whose matter's title holds every term, newest first."""
+    m = search.match_all(c.matters().where(search.may_hold(F.col("title"), query)).withColumn("t", search.tokens(F.col("title"))), "t", query).select(F.col("id").alias("matter_id"), "title")
+    g = c.meetings().where(F.col("city_key") == city_key).select(F.col("id").alias("meeting_id"), F.col("date").alias("day"))
+    hits = c.items().join(m, "matter_id").join(g, "meeting_id").select("item_id", "title", F.col("day").alias("date"))
+    return hits.orderBy(F.desc_nulls_last("date"), "item_id").limit(min(limit, MOST_ROWS))
+
+
+def search_matters(c: Catalog, query: str, city_key: int, limit: int = 20) -> DataFrame:
+    """Matters that hold every term and were on a city's agenda."""
+    m = search.match_all(c.matters().where(search.may_hold(F.col("title"), query)).withColumn("t", search.tokens(F.col("title"))), "t", query)
+    g = c.meetings().where(F.col("city_key") == city_key).select(F.col("id").alias("meeting_id"))
+    seen = c.items().join(g, "meeting_id", "left_semi").select(F.col("matter_id").alias("id"))
+    return m.join(seen, "id", "left_semi").select("id", "title").orderBy("id").limit(min(limit, MOST_ROWS))
+
+
+def cities(c: Catalog, state: str | None = None) -> DataFrame:
+    j = c.jurisdictions()
+    return (j.where(F.col("state") == state) if state else j).orderBy("name")
+
+
+def meeting(c: Catalog, meeting_id: int) -> DataFrame:
+    """One meeting with its items in order; no row if there is none."""
+    m = c.meetings().where(F.col("id") == meeting_id)
+    items = R.children(c.items().where(F.col("meeting_id") == meeting_id), "meeting_id", "sequence", ["item_id", "matter_id", "summary"], "items")
+    return m.join(items, m.id == items.meeting_id, "left").drop("meeting_id")
+
+
+def city_meetings(c: Catalog, city_key: int, limit: int = 20) -> DataFrame:
+    return c.meetings().where(F.col("city_key") == city_key).select("id", "date").orderBy(F.desc_nulls_last("date"), "id").limit(min(limit, MOST_ROWS))
+
+
+def route_searches(queries: DataFrame, jurisdictions: DataFrame) -> DataFrame:
+    """What each search text (q) names: zipcode, state, city (with its banana), unknown (a place with a state that isn't covered) or ambiguous (no state)."""
+    s = city_and_state(F.col("q"))
+    letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    parsed = queries.withColumn("s", s).withColumn("key", F.when(F.col("s.state") != "", F.concat(letters(F.col("s.city")), "s.state")))
+    known = jurisdictions.select("banana", F.concat(letters(F.col("name")), "state").alias("key")).dropDuplicates(["key"])
+    kind = F.when(F.col("q").rlike("^[0-9]{5}$"), "zipcode").when(state_of(F.col("q")).isNotNull(), "state").when(F.col("key").isNull(), "ambiguous").when(F.col("banana").isNull(), "unknown").otherwise("city")
+    return parsed.join(known, "key", "left").select("q", kind.alias("kind"), "banana")

@@ -60,6 +60,15 @@ def query_terms(query: str) -> list[str]:
     return [stem(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP]
 
 
+def may_hold(text: Column, query: str) -> Column:
+    """Whether a text could hold every term, without cutting it into words: a stem without its last letter begins each of its words."""
+    low = F.lower(text)
+    out = F.lit(True)
+    for t in query_terms(query):
+        out = out & low.contains(t[:-1] or t)
+    return out
+
+
 def match_all(df: DataFrame, token_col: str, query: str) -> DataFrame:
     """Rows that hold every term, with a rank: the terms' share of the words. A query without terms matches nothing."""
     terms = query_terms(query)

@@ -197,7 +197,7 @@ def _(c: Catalog):
 @civic("src18_layout_items", r"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a href=\"[^\"]*\">[^<]+</a></li>')) FROM pages) GROUP BY 1".replace('\\"', '"'))
 def _(c: Catalog):
     nav = agendas.Layout(r"nav/ul/li$", r"nav/ul/li", attachment="$^")
-    return agendas.agenda_items(agendas.page_nodes(c.table("pages")), nav).where("sequence <= 6").groupBy("page_id").agg(F.count("*").alias("n"))
+    return agendas.agenda_items(agendas.page_nodes(c.table("pages")), nav).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @civic("src27_line_items")
@@ -241,10 +241,21 @@ def _(c: Catalog):
     return c.jurisdictions().select("city_key", texts.place_slug(F.concat(F.lit("Cañáda "), "name")).alias("slug"))
 
 
-@civic("flt14_low_value_attachments", "SELECT id, id % 3 <> 2 AS low FROM matters")
+_LOW = "|".join(f"(?:{p})" for patterns in texts.LOW_VALUE.values() for p in patterns)
+#: A name for each pattern, and names beside them that no pattern takes.
+_NAMES = (
+    "Public Comment 3", "public correspondence", "Comment Letter A", "Comment Ltrs", "Written Comments", "Public Hearing Comment", "Citizen comment", "Correspondence received", "Public input", "Public testimony", "Letters received", "Petitions and", "Pub Corr", "Pulbic Corr",
+    "Comm Pkt", "Cmte Pkt", "Committee Packet", "Board Pkt", "Co-Sponsor Request Chen", "cosponsorship ltr", "Sponsor request", "Communications  from Public_03", "Community Impact Statement", "Speaker Card(s)", "Parcel Table", "Parcel list", "Parcel map", "Tax parcel", "Property list",
+    "Property table", "Assessor's Parcel Table", "Assessor roll", "APN list", "Parcel number", "Omnia Partners contract", "Sourcewell contract", "NASPO ValuePoint", "U.S. Communities", "US communities", "HGAC Buy", "Master agreement", "Terms and conditions", "General conditions", "Insurance certificate",
+    "Certificate of insurance", "W-9", "W9", "Bid tabulation", "CEQA Det", "CEQA Determination", "Referral CEQA", "Referral FYI", "Myr Memo", "Mayor's memo", "Comm Rpt Rqst", "Committee Report Request", "Referral to PC", "Referral to PCs", "Hearing notice", "Notice of hearing",
+    "Notice of Public Hearing", "FEIR vol 2", "DEIR", "SEIR", "EIR", "their", "Environmental Impact Report", "CEQA findings", "Initial study", "Negative declaration", "Notice of preparation", "Staff report", "Ordinance", "Leg Ver 3", "W 9", "Assessor", "PC Transmittal",
+)
+
+
+@civic("flt14_low_value_attachments", f"SELECT id, name, regexp_matches(lower(name), '{_LOW}') AS low FROM (SELECT id, title || ' ' || ({[n.replace(chr(39), chr(96)) for n in _NAMES]})[id % {len(_NAMES)} + 1] AS name FROM matters)".replace("`", "''"))
 def _(c: Catalog):
-    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Tax PARCEL "), "title")).when(F.col("id") % 3 == 1, F.concat("title", F.lit(" FEIR vol 2"))).otherwise(F.col("title"))
-    return c.matters().select("id", texts.low_value_attachment(name).alias("low"))
+    name = F.concat("title", F.lit(" "), F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("id") % len(_NAMES) + 1).cast("int")))
+    return c.matters().select("id", name.alias("name"), texts.low_value_attachment(name).alias("low"))
 
 
 @civic("fun12_substantive_hash", "SELECT id, CASE WHEN id % 2 = 0 THEN '' ELSE sha256('u|' || title) END AS hash FROM matters")

@@ -102,14 +102,16 @@ def _(c: Catalog):
 
 @civic("agg15_visitor_patterns", "SELECT path, count(*) AS n FROM (SELECT visitor, array_to_string(list(event ORDER BY ts, event_id)[1:5], ' -> ') AS path FROM ev GROUP BY 1) GROUP BY 1 ORDER BY n DESC, path LIMIT 20")
 def _(c: Catalog):
-    ordered = c.events().groupBy("visitor").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("e"))
-    path = F.array_join(F.slice(F.transform("e", lambda x: x["event"]), 1, 5), " -> ")
+    first = R.best_per_key(c.events().select("visitor", "ts", "event_id", "event"), ["visitor"], [F.col("ts"), F.col("event_id")], 5)
+    ordered = first.groupBy("visitor").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("e"))  # five at most
+    path = F.array_join(F.transform("e", lambda x: x["event"]), " -> ")
     return ordered.groupBy(path.alias("path")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(20)
 
 
 @civic("agg16_journeys", "SELECT visitor, count(*) AS n, string_agg(event, ',' ORDER BY ts, event_id) AS journey FROM ev GROUP BY 1 ORDER BY n DESC, visitor LIMIT 10")
 def _(c: Catalog):
-    e = c.events().groupBy("visitor").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("e"))
+    top = c.events().groupBy("visitor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "visitor").limit(10)
+    e = c.events().join(F.broadcast(top), "visitor").groupBy("visitor", "n").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("e"))
     return e.select("visitor", "n", F.array_join(F.transform("e", lambda x: x["event"]), ",").alias("journey")).orderBy(F.desc("n"), "visitor").limit(10)
 
 
@@ -247,16 +249,14 @@ def _(c: Catalog):
 
 @civic("agg36_digest_groups", "SELECT visitor, string_agg(DISTINCT event, ',' ORDER BY event) AS keywords, count(*) AS n FROM ev WHERE event IN ('click', 'signup') GROUP BY 1")
 def _(c: Catalog):
-    wanted = F.array(*map(F.lit, ("click", "signup")))
-    e = c.events().groupBy("visitor").agg(F.collect_list("event").alias("all"))
-    kept = F.array_intersect("all", wanted)
-    return e.where(F.arrays_overlap("all", wanted)).select("visitor", F.array_join(F.sort_array(kept), ",").alias("keywords"), F.size(F.filter("all", lambda x: F.array_contains(wanted, x))).cast("long").alias("n"))
+    e = c.events().where(F.col("event").isin("click", "signup"))
+    return e.groupBy("visitor").agg(F.array_join(F.sort_array(F.collect_set("event")), ",").alias("keywords"), F.count("*").alias("n"))
 
 
 @civic("agg37_keywords_per_item", "SELECT k, string_agg(event, ',' ORDER BY o) AS keywords FROM (SELECT k, event, min(event_id) AS o FROM ev GROUP BY 1, 2) GROUP BY 1")
 def _(c: Catalog):
-    e = c.events().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("event_id", "event"))).alias("e"))
-    return e.select("k", F.array_join(F.array_distinct(F.transform("e", lambda x: x["event"])), ",").alias("keywords"))
+    e = c.events().groupBy("k", "event").agg(F.min("event_id").alias("first")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("first", "event"))).alias("e"))
+    return e.select("k", F.array_join(F.transform("e", lambda x: x["event"]), ",").alias("keywords"))
 
 
 @civic("agg38_dashboard_stats", f"SELECT count(*) AS alerts, sum(n)::BIGINT AS keywords, (SELECT count(DISTINCT k % 20) FROM ev WHERE event = 'signup') AS cities, (SELECT count(*) FROM ev WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 1 DAY AND ts < TIMESTAMP '{EVENTS_AS_OF}') AS matches FROM (SELECT visitor, count(DISTINCT k) AS n FROM ev WHERE event = 'signup' GROUP BY 1)")

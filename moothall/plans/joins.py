@@ -20,7 +20,7 @@ def _(c: Catalog):
 def _(c: Catalog):
     i = c.items().where("matter_id = 21").select("item_id", "meeting_id", "matter_id")
     m = c.meetings().select(F.col("id").alias("meeting_id"), "city_key", "date")
-    v = c.votes().where("vote <> 'abstain'").groupBy("meeting_id", "matter_id").agg(F.min("vote").alias("vote"))
+    v = c.votes().where("matter_id = 21 and vote <> 'abstain'").groupBy("meeting_id", "matter_id").agg(F.min("vote").alias("vote"))
     return i.join(m, "meeting_id").join(F.broadcast(c.jurisdictions()), "city_key").join(v, ["meeting_id", "matter_id"], "left").select("item_id", "date", "banana", "vote")
 
 

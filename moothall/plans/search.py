@@ -12,12 +12,12 @@ from moothall.sources import pages
 
 @civic("fts02_match_all", r"SELECT id FROM texts WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])trash([^\p{L}\p{N}]|$)') AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}])idiot([^\p{L}\p{N}]|$)')")
 def _(c: Catalog):
-    return search.match_all(c.texts().withColumn("t", search.tokens(F.col("text"))), "t", "the TRASH, idiot").select("id")
+    return search.match_all(c.texts().where(search.may_hold(F.col("text"), "the TRASH, idiot")).withColumn("t", search.tokens(F.col("text"))), "t", "the TRASH, idiot").select("id")
 
 
 @civic("fts03_ranked", r"SELECT id FROM texts WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])moron([^\p{L}\p{N}]|$)')")
 def _(c: Catalog):
-    return search.match_all(c.texts().withColumn("t", search.tokens(F.col("text"))), "t", "moron").orderBy(F.desc("rank"), "id").select("id")
+    return search.match_all(c.texts().where(search.may_hold(F.col("text"), "moron")).withColumn("t", search.tokens(F.col("text"))), "t", "moron").orderBy(F.desc("rank"), "id").select("id")
 
 
 @civic("fts04_headlines")

@@ -14,7 +14,10 @@ from moothall.streaming import events
 
 
 def shared_folder(c: Catalog) -> str:
-    base = c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    base, master = c.spark.conf.get("spark.checkpoint.dir", None), c.spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,6 +31,8 @@ def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
         last.append(batch)
 
     events.drain(stream, mode, write, f"{at}/checkpoint")
+    if not last:  # no file, no batch
+        return c.spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0)) if mode == "update" else c.spark.createDataFrame([], stream.schema)
     if mode == "complete":
         return c.spark.read.parquet(f"{at}/out/batch={last[-1]}")
     out = c.spark.read.parquet(f"{at}/out")
@@ -60,7 +65,32 @@ def _(c: Catalog):
     return events.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@civic("str03_retried_jobs")
-def _(c: Catalog):
-    rows = drained(c, events.retry_jobs(source(c)), "update")
+def _jobs_sql(tries: int) -> str:
+    """Errors since the last purchase count; a job that once had `tries` of them is dead."""
+    return f"""WITH s AS (SELECT user_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM events),
+e AS (SELECT user_id, seg, count(*) FILTER (event_type = 'error') AS n FROM s GROUP BY 1, 2), l AS (SELECT user_id, max(seg) AS seg, max(n) AS worst FROM e GROUP BY 1)
+SELECT l.user_id, CASE WHEN worst >= {tries} THEN {tries} ELSE e.n END AS failed, CASE WHEN worst >= {tries} THEN 'dead_letter' WHEN e.n > 0 OR l.seg = 0 THEN 'pending' ELSE 'completed' END AS status FROM l JOIN e ON e.user_id = l.user_id AND e.seg = l.seg"""
+
+
+def last_states(c: Catalog, tries: int) -> DataFrame:
+    rows = drained(c, events.retry_jobs(source(c), tries), "update")
     return rows.groupBy("user_id").agg(F.max_by(F.struct("failed", "status"), F.col("batch")).alias("state")).select("user_id", "state.failed", "state.status")
+
+
+@civic("str03_retried_jobs", _jobs_sql(3))
+def _(c: Catalog):
+    return last_states(c, 3)
+
+
+@civic("str04_second_failure_path", _jobs_sql(4))
+def _(c: Catalog):
+    """One attempt more before a job is dead."""
+    return last_states(c, 4)
+
+
+@civic("str09_retained_events", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def _(c: Catalog):
+    """Events appended once each, of the last seven days; the watermark bounds the ids that the stream remembers."""
+    kept = drained(c, events.retained(source(c)), "append")
+    until = kept.agg(F.max("ts")).first()[0]
+    return kept.where(F.col("ts") >= F.lit(until) - F.expr("interval 7 day")).select("event_id", "user_id")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 #: Fields of a meeting as vendors deliver it; `_corrupt` takes what is no JSON object of this shape.
 SCHEMA = """vendor string, vendor_id string, title string, start string, location string, agenda_url string, packet_url string, meeting_status string, vendor_body_id string,
 items array<struct<vendor_item_id:string,title:string,sequence:string,matter_id:string,matter_file:string,matter_type:string,agenda_number:string,sponsors:array<string>,attachments:array<struct<name:string,url:string,type:string>>>>, _corrupt string"""
-#: Vendors whose landed files are read; others are rejected by name.
-VENDORS = ("legistar", "granicus", "primegov", "municode", "novusagenda", "civicplus", "civicclerk", "escribe", "iqm2", "onbase")
+#: Vendors whose landed files are read; others are rejected by name.
+VENDORS = (
+    "granicus", "iqm2", "legistar", "novusagenda", "onbase", "primegov", "civicclerk", "civicplus", "civicengage", "civicweb", "escribe", "municode", "proudcity", "wp_events", "berkeley", "chicago", "menlopark", "ross", "visioninternet", "agendaonline", "destiny", "boardbook",
+)
 
 
 @dataclass

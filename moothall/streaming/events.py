@@ -32,6 +32,11 @@ def funnel(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def retained(events: DataFrame, days: int = 7) -> DataFrame:
+    """Each event once; what comes later than the days that are kept is left out."""
+    return events.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "ts")
+
+
 def retry_jobs(events: DataFrame, tries: int = 3) -> DataFrame:
     """State of each job (user_id) after its events: an error is tried again until there were `tries`, then it's a dead letter; a purchase completes it."""
 
