@@ -15,6 +15,8 @@ in them stands elsewhere, are compared by their hashes with all windows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,14 +148,15 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
                     out["before"] += [back[(n - p) * BYTES : (n - p + reach) * BYTES] for p in at]
                 yield out
 
-    def neighbours(batches):
+    def neighbours(batches, by):
         last = None
         for b in batches:
             out = {k: [] for k in ("g", "ctx", "left", "right", "lo", "hi")}
-            for row in zip(*(b.column(k).to_pylist() for k in ("g", "ctx", "before", "after", "lo", "hi", "half")), strict=True):
+            for row in zip(*(b.column(k).to_pylist() for k in ("g", "ctx", "rest", "other", "lo", "hi", "half")), strict=True):
                 if last is not None and last[6] == row[6]:
-                    left, right = _shared(last[2], row[2]), _shared(last[3], row[3])
-                    if left + K + right >= least:
+                    near, far = half // BYTES + _shared(last[2], row[2]), _shared(last[3], row[3])
+                    if near + K + far >= least:
+                        left, right = (far, near) if by == "after" else (near, far)
                         for x, y in ((last, row), (row, last)):
                             for k, v in zip(out, (x[0], x[1], left, right, y[4], y[5]), strict=True):
                                 out[k].append(v)
@@ -230,11 +233,13 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     words = lambda c: F.expr(f"octet_length({c}) div {BYTES}").cast("long")
     found = kinds.where("n > 1").select("g", "ctx", words("before").alias("left"), words("after").alias("right"), "lo", "hi").where(F.col("left") + F.col("right") >= reach)
     # A match has half of what it needs beyond the k-gram on one side at least; so
-    # rows meet by the k-gram and that half, and a frequent k-gram is spread out.
+    # rows meet by the k-gram and that half, which need not travel itself, and a
+    # frequent k-gram is spread out.
     half = -(-reach // 2) * BYTES
     for by, then in (("after", "before"), ("before", "after")):
-        near = kinds.where(F.octet_length(by) >= half).withColumn("half", F.xxhash64("g", F.substring(by, 1, half))).repartition("half").sortWithinPartitions("half", by, then, "ctx")
-        found = found.unionByName(map_arrow(near, neighbours, "g long, ctx long, left long, right long, lo long, hi long"))
+        near = kinds.where(F.octet_length(by) >= half).select("g", "ctx", F.expr(f"substring({by}, {half + 1})").alias("rest"), F.col(then).alias("other"), "lo", "hi", F.xxhash64("g", F.substring(by, 1, half)).alias("half"))
+        near = near.repartition("half").sortWithinPartitions("half", "rest", "other", "ctx")
+        found = found.unionByName(map_arrow(near, functools.partial(neighbours, by=by), "g long, ctx long, left long, right long, lo long, hi long"))
     found = found.distinct().persist()
     kinds_of = kinds.select("g", "ctx", F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
     bare = kinds.select("g", "before", "after")
