@@ -40,6 +40,8 @@ NEXT = 7
 BLOCK = 256
 #: Bits of a parity bitmap of a set of common size, and bits a shingle of the wider ones that pairs apart are tested by before their sets are sent.
 PARITY, WIDER = 512, 8
+#: The same for the bitmaps of long lists' cells, where each pair of a family meets: bits a shingle, and bits of a set of common size.
+FINE = (8, 4096)
 #: Sets that one verification task bucket compares with one other set.
 BUCKET = 256
 
@@ -90,14 +92,14 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-def parity(s: np.ndarray, num: int = 80, den: int = 100) -> bytes:
+def parity(s: np.ndarray, num: int = 80, den: int = 100, per: int = 2, common: int = PARITY) -> bytes:
     """One bit for each slot: the parity of the number of shingles in it. Of two sets, at most so many bits differ as elements do.
 
-    Two bits a shingle, up to PARITY bits; from there on just so many that the
+    Two bits a shingle (per), up to PARITY bits (common); from there on just so many that the
     bits of unlike sets, half of which differ, exceed what the similarity allows.
     """
     n, bits = len(s), 64
-    while bits < min(2 * n, max(PARITY, 4.8 * (den - num) / (den + num) * n)):
+    while bits < min(per * n, max(common, 4.8 * (den - num) / (den + num) * n)):
         bits *= 2
     return _parity(s, bits)
 
@@ -108,35 +110,36 @@ def _parity(s: np.ndarray, bits: int) -> bytes:
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
-    """Rows (doc_id, n, key, g, prefix, bits): set size, digests of the set and of (prefix, size), the prefix in the global order, and the parity bitmap."""
+    """Rows (doc_id, n, key, g, prefix, bits, fine): set size, digests of the set and of (prefix, size), the prefix in the global order, and two parity bitmaps."""
 
     def run(batches):
         counts = sketch.value
         for b in batches:
             for row, lists in hashed_words(b.column(1)):
-                out = {k: [] for k in ("n", "key", "g", "bits")}
+                out = {k: [] for k in ("n", "key", "g", "bits", "fine")}
                 prefixes = [np.zeros(0, np.uint64)]
                 for w in lists:
                     s = _set(w, n)
                     k = len(s) - at_least(len(s), num, den) + 1 if len(s) else 0
                     p = s[np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:k]]
                     prefixes.append(p)
-                    for c, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(p.tobytes() + len(s).to_bytes(8, "little")), parity(s, num, den)), strict=True):
+                    for c, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(p.tobytes() + len(s).to_bytes(8, "little")), parity(s, num, den), parity(s, num, den, *FINE)), strict=True):
                         out[c].append(x)
                 ends = np.cumsum([len(p) for p in prefixes])
                 flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
                 yield out | {"doc_id": b.column(0).slice(row, len(lists)), "prefix": flat.cast(pa.list_(pa.int64()))}
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n int, key binary, g binary, prefix array<long>, bits binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n int, key binary, g binary, prefix array<long>, bits binary, fine binary")
 
 
 def _meet(posting: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (a, b) of groups of a shared shingle that pass the length and positional filters, and rows (token, a, size, pos) of the lists longer than NEXT + 1.
 
     posting: (token, gid, size, pos). A list is read in the order of size as a
-    stream; each row meets the NEXT rows before it.
+    stream; each row meets the NEXT rows before it, others of equal size in
+    each list, so that a large family's pairs soon connect it.
     """
-    dealt = posting.repartition("token").sortWithinPartitions("token", "size", "gid")
+    dealt = posting.repartition("token").sortWithinPartitions("token", "size", F.xxhash64("gid", "token"))
 
     def run(batches):
         held, was_long = [np.zeros(0, np.int64)] * 4, False
@@ -338,7 +341,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     filled = profile.where("n > 0 and doc_id is not null")
     kinds = shelf.put(filled.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("g").alias("g")))
     firsts = kinds.groupBy("g").agg(F.min("id").alias("gid"), F.count("*").alias("m"))
-    groups = shelf.put(filled.withColumnRenamed("doc_id", "gid").join(firsts, ["gid", "g"]).groupBy("gid", "g").agg(F.first("m").alias("m"), F.first("n").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    groups = shelf.put(filled.withColumnRenamed("doc_id", "gid").join(firsts, ["gid", "g"]).groupBy("gid", "g").agg(F.first("m").alias("m"), F.first("n").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("fine").alias("fine")))
     met = shelf.put(_meet(groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "size").select("token", "gid", "size", "pos"), num, den))
     info = groups.select("gid", "g", "m", "size", "bits")
     members = kinds.join(info.where("m > 1").select("g", "gid"), "g").select("key", "gid", "id")
@@ -364,7 +367,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # Every pair of the forest was either refused or has been joined.
     apart = labelled(labelled(likely.where("not wide").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").join(forest, ["a", "b"], "left_anti").select("a", "b")
     of_group = labelled(members, "id", "c").groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    spans = labelled(info.select("gid", "m", "bits"), "gid", "c").join(of_group, "gid", "left").select("gid", "m", "bits", F.coalesce("c_lo", "c").alias("lo"), F.coalesce("c_hi", "c").alias("hi"))
+    spans = labelled(groups.select("gid", "m", F.col("fine").alias("bits")), "gid", "c").join(of_group, "gid", "left").select("gid", "m", "bits", F.coalesce("c_lo", "c").alias("lo"), F.coalesce("c_hi", "c").alias("hi"))
     long = met.where("b is null").select(F.col("token").alias("key"), F.col("a").alias("gid"), "size", "pos").join(spans, "gid").withColumnRenamed("gid", "id")
     again = shelf.put(_cells(long, num, den))
     # Group pairs, and groups, whose members aren't one component: all their members meet.
