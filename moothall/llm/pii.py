@@ -80,15 +80,25 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def is_card(m: Column) -> Column:
+    """13 to 19 digits of which the last is the check digit of the others."""
+    d = digits(m)
+    n = F.length(d)
+    return n.between(13, 19) & (luhn(d.substr(F.lit(1), n - 1)) == d.substr(n, F.lit(1)).cast("int"))
+
+
 def _number(m: Column, key: Column) -> Column:
-    """The last digit's distance from the Luhn check digit stays, so valid numbers stay valid and others don't become so."""
+    """Numbers whose check digit is right are permuted into such numbers; so is one behind or before another number. The rest stay."""
+
+    def card(part: Column) -> Column:
+        def new(d: Column) -> Column:
+            return _let(permute_digits(d.substr(F.lit(1), F.length(d) - 1), key, F.lit("number")), lambda b: F.concat(b, luhn(b).cast("string")))
 
-    def changed(d: Column) -> Column:
-        body = d.substr(F.lit(1), F.length(d) - 1)
-        off = (d.substr(F.length(d), F.lit(1)).cast("int") - luhn(body) + 10) % 10
-        return _let(F.struct(permute_digits(body, key, F.lit("number")).alias("b"), off.alias("o")), lambda s: F.concat(s["b"], ((luhn(s["b"]) + s["o"]) % 10).cast("string")))
+        return put_back(part, _let(digits(part), new))
 
-    return put_back(m, _let(digits(m), changed))
+    tail, head = F.regexp_replace(m, r"^[0-9]+[ \-]", ""), F.regexp_replace(m, r"[ \-][0-9]+$", "")
+    before, after = m.substr(F.lit(1), F.length(m) - F.length(tail)), m.substr(F.length(head) + 1, F.length(m))
+    return F.when(is_card(m), card(m)).when(is_card(tail), F.concat(before, card(tail))).when(is_card(head), F.concat(card(head), after)).otherwise(m)
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -102,7 +112,7 @@ def _date(m: Column, key: Column, fmts: tuple[str, ...]) -> Column:
     """Valid dates of the years that are permuted; others stay."""
     out = m
     for fmt in reversed(fmts):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(fmt)).cast("date"), F.lit("1900-01-01").cast("date"))
+        day = F.datediff(F.try_to_date(m, fmt), F.lit("1900-01-01").cast("date"))
         a, b = (F.lit(x).cast("long") for x in _DAYS)
         new = _let(permute(F.floor(day / _DAYS[1]), day % _DAYS[1], a, b, key, F.lit("date")), lambda p: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * _DAYS[1] + p["r"]).cast("int")), fmt))
         out = F.when(day.between(0, _DAYS[0] * _DAYS[1] - 1), new).otherwise(out)
@@ -146,20 +156,21 @@ def pseudonym(kind: Column, m: Column, key: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """docs with personal values in the text replaced by pseudonyms of the same format.
 
-    kinds_col, if given, names a new array column of the kinds found, in order.
-    Null texts stay null, with no kinds; texts without matches stay as they
-    are. Values that look like dates or addresses but aren't valid stay. Every
+    kinds_col, if given, names a new array column of the kinds of the values
+    that were changed, in order. Null texts stay null, with no kinds; texts
+    without matches stay as they are. Values that look like dates, addresses or
+    card numbers but aren't valid stay, and have no kind. Every
     other column and every row is kept; texts are handled whole and unmoved.
     """
     text, k = F.col(text_col), F.lit(key)
     found = "__pii_found"
     maybe = text.rlike(_MAYBE)
-    out = docs.withColumn(found, F.when(maybe, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(kind_of(m).alias("k"), m.alias("m")))))
-    new = F.transform(F.col(found), lambda s: pseudonym(s["k"], s["m"], k))
+    out = docs.withColumn(found, F.when(maybe, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: _let(kind_of(m), lambda kind: F.struct(kind.alias("k"), m.alias("m"), pseudonym(kind, m, k).alias("n"))))))
+    new = F.transform(F.col(found), lambda s: s["n"])
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     out = out.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(text))
     if kinds_col:
-        out = out.withColumn(kinds_col, F.coalesce(F.transform(F.col(found), lambda s: s["k"]), F.array().cast("array<string>")))
+        out = out.withColumn(kinds_col, F.coalesce(F.transform(F.filter(F.col(found), lambda s: s["n"] != s["m"]), lambda s: s["k"]), F.array().cast("array<string>")))
     return out.drop(found)
 
 
