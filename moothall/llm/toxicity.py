@@ -159,27 +159,31 @@ def learn_lexicon(sample: DataFrame, size: int = 500) -> dict[str, float]:
     return {r["w"]: min(r["o"], 6.0) for r in top}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, least: int = 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on at most `rows` labelled rows, the first in the order of a hash of their id.
 
     Three quarters of them give the lexicon and grow the trees, a quarter fits
-    the calibration. The caller picks which labels may be seen. Rows with a null label or id are
+    the calibration. If that quarter has fewer than `least` rows of a label, the
+    steps of an isotonic fit say nothing: then all rows give the lexicon and
+    grow the trees, and the trees' own probability is the score. The caller picks which labels may be seen. Rows with a null label or id are
     left out; of an id's several labels the largest counts.
     """
     spark = docs.sparkSession
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(rows).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)))
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").persist()
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(sample.where("fold <> 0")))
-    data = with_features(sample, lexicon).select("id", "fold", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v")).repartition(6, "id").persist()
-    counts = {(r["fold"] == 0, r["label"]): r["n"] for r in data.groupBy((F.col("fold") == 0).alias("fold"), "label").agg(F.count("*").alias("n")).collect()}
+    counts = {(r["held"], r["label"]): r["n"] for r in sample.groupBy((F.col("fold") == 0).alias("held"), "label").agg(F.count("*").alias("n")).collect()}
+    calibrated = all(counts.get((True, y), 0) >= least for y in (0, 1))
+    grow = "fold <> 0" if calibrated else "true"
+    lexicon = spark.sparkContext.broadcast(learn_lexicon(sample.where(grow)))
     total = sum(counts.values())
     rate = sum(n for (_, y), n in counts.items() if y == 1) / total if total else 0.0
-    if not all(counts.get((False, y)) for y in (0.0, 1.0)):
+    if not all(counts.get((False, y)) or (not calibrated and counts.get((True, y))) for y in (0, 1)):
         return ToxicityModel(lexicon, None, None, rate)
-    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11).fit(data.where("fold <> 0"))
+    data = with_features(sample, lexicon).select("id", "fold", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v")).repartition(6, "id").persist()
+    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11).fit(data.where(grow))
     calibration = None
-    if counts.get((True, 1.0)) and counts.get((True, 0.0)):
+    if calibrated:
         raw = trees.transform(data.where("fold = 0")).select("label", vector_to_array("probability")[1].alias("p"))
         calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw)
     data.unpersist()
