@@ -1,63 +1,141 @@
-"""Opinion clustering: two-dimensional positions, groups of like voters, and consensus."""
+"""Opinion clustering: two-dimensional positions, groups of like voters, and consensus.
+
+Voters are rows that Spark partitions at will. Only what belongs to the
+comments of one deliberation meets in a task: their products (the square of
+the comments) and at most five centres for each start.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_GROUPS = 5
+
 
 def group_count(users: int) -> int:
     """How many groups so many users are split in."""
-    return max(2, min(2 + users // 12, 5, users))
-
-
-def _positions(m: np.ndarray) -> np.ndarray:
-    """Centred principal components, two of them, the largest loading positive."""
-    x = m - m.mean(0)
-    if not np.abs(x).any():
-        return np.zeros((len(m), 2))
-    _, _, vt = np.linalg.svd(x, full_matrices=False)
-    vt = vt[:2] * np.sign(vt[:2][np.arange(len(vt[:2])), np.abs(vt[:2]).argmax(1)])[:, None]
-    out = np.zeros((len(m), 2))
-    out[:, : len(vt)] = x @ vt.T
-    return out
-
-
-def _kmeans(m: np.ndarray, k: int, tries: int = 10, steps: int = 100, seed: int = 42) -> np.ndarray:
-    """Lloyd's algorithm, the best of some starts; groups are numbered by their first row."""
-    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(m), int))
-    for _ in range(tries):
-        centres = m[rng.choice(len(m), k, replace=False)]
-        label = np.zeros(len(m), int)
-        for _ in range(steps):
-            d = ((m[:, None] - centres) ** 2).sum(2)
-            label = d.argmin(1)
-            new = np.array([m[label == j].mean(0) if (label == j).any() else centres[j] for j in range(k)])
-            if np.allclose(new, centres):
-                break
-            centres = new
-        cost = ((m - centres[label]) ** 2).sum()
-        if cost < best[0]:
-            best = cost, label
-    order = {old: new for new, old in enumerate(dict.fromkeys(best[1].tolist()))}
-    return np.array([order[x] for x in best[1].tolist()])
-
-
-def cluster_opinions(votes: DataFrame, by: str = "deliberation") -> DataFrame:
+    return max(2, min(2 + users // 12, MOST_GROUPS, users))
+
+
+def _groups(users: Column) -> Column:
+    return F.greatest(F.lit(2), F.least(2 + F.floor(users / 12), F.lit(MOST_GROUPS), users)).cast("int")
+
+
+def _clean(votes: DataFrame, by: str) -> DataFrame:
+    return votes.select(by, "user_id", "comment_id", F.col("vote").cast("double").alias("vote")).dropna().groupBy(by, "user_id", "comment_id").agg(F.max("vote").alias("vote"))
+
+
+def _centred(v: DataFrame, by: str) -> DataFrame:
+    """(by, user_id, users, row): votes less their comment's mean, in order of the comments, 0 where there is none."""
+    means = v.groupBy(by, "comment_id").agg(F.avg("vote").alias("mean"))
+    comments = means.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("comment_id", "mean"))).alias("comments")).where(F.size("comments") >= 2)
+    users = v.groupBy(by, "user_id").agg(F.map_from_entries(F.collect_list(F.struct("comment_id", "vote"))).alias("own"))
+    sizes = users.groupBy(by).agg(F.count("*").alias("users")).where("users >= 3")
+    row = F.transform("comments", lambda c: F.coalesce(F.try_element_at("own", c["comment_id"]) - c["mean"], F.lit(0.0)))
+    return users.join(comments.join(sizes, by), by).select(by, "user_id", "users", row.alias("row"))
+
+
+def _axes(rows: DataFrame, by: str) -> DataFrame:
+    """(by, axes): the two principal directions of each deliberation's rows, the largest loading of each positive."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for key, g in pdf.groupby(by):
+                m = np.stack(g["row"].to_list())
+                yield pd.DataFrame({by: key, "i": range(m.shape[1]), "product": list(m.T @ m)})
+
+    def directions(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf.i.max()) + 1
+        gram = np.zeros((n, n))
+        gram[pdf.i, pdf.j] = pdf["sum"]
+        at = np.linalg.eigh(gram)[1][:, ::-1][:, :2].T
+        at = at * np.where(at[np.arange(2), np.abs(at).argmax(1)] < 0, -1.0, 1.0)[:, None]
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "axes": [[x.tolist() for x in at]]})
+
+    cells = rows.select(by, "row").mapInPandas(products, f"`{by}` {kind}, i int, product array<double>").select(by, "i", F.posexplode("product").alias("j", "p"))
+    return cells.groupBy(by, "i", "j").agg(F.sum("p").alias("sum")).groupBy(by).applyInPandas(directions, f"`{by}` {kind}, axes array<array<double>>")
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _nearest(row: str, centres: str) -> Column:
+    """The least (squared distance, number) of the centres."""
+    return F.array_min(F.transform(centres, lambda c, i: F.named_struct(F.lit("d"), _total(F.zip_with(row, c, lambda a, b: (a - b) * (a - b))), F.lit("label"), i)))
+
+
+def _starts(rows: DataFrame, by: str, tries: int, seed: int) -> DataFrame:
+    """(by, start, centres): for each start as many rows as there are groups, picked by a hash of the user."""
+    order = Window.partitionBy(by, "start").orderBy(F.xxhash64(F.lit(seed), "start", "user_id"), "user_id")
+    ranked = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_GROUPS)
+    picked = ranked.where(F.col("rank") <= _groups(F.col("users"))).groupBy(by, "start").agg(F.sort_array(F.collect_list(F.struct("rank", "row"))).alias("p"))
+    return picked.select(by, "start", F.transform("p", lambda x: x["row"]).alias("centres"))
+
+
+def _moved(rows: DataFrame, centres: DataFrame, by: str) -> DataFrame:
+    """One step of Lloyd's algorithm: (by, start, before, centres); a centre without rows stays where it is."""
+    near = rows.join(centres, by).select(by, "start", _nearest("row", "centres")["label"].alias("label"), F.posexplode("row").alias("at", "x"))
+    means = near.groupBy(by, "start", "label", "at").agg(F.avg("x").alias("x")).groupBy(by, "start", "label").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m"))
+    new = means.groupBy(by, "start").agg(F.map_from_entries(F.collect_list(F.struct("label", F.transform("m", lambda m: m["x"]).alias("row")))).alias("new"))
+    moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("new", i), c))
+    return centres.join(new, [by, "start"]).select(by, "start", F.col("centres").alias("before"), moved.alias("centres"))
+
+
+def cluster_opinions(votes: DataFrame, folder: str, by: str = "deliberation", tries: int = 10, steps: int = 100, seed: int = 42) -> DataFrame:
     """Rows (deliberation, user_id, x, y, cluster) of the votes (deliberation, user_id, comment_id, vote), a missing vote being its comment's mean.
 
-    Deliberations of fewer than three users or two comments have no rows. One
-    deliberation is one task's matrix: its participants are people who voted
-    in one discussion.
+    Positions are the two centred principal components; groups come from
+    Lloyd's algorithm on all comments, the best of some starts, and are
+    numbered by their smallest user. Deliberations of fewer than three users
+    or two comments have no rows, rows with a null are left out, and of
+    repeated votes on one comment the highest counts. Each step's centres are
+    written under the folder, which all executors must share.
     """
-    size = votes.groupBy(by).agg(F.count_distinct("user_id").alias("u"), F.count_distinct("comment_id").alias("c")).where("u >= 3 and c >= 2").select(by)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="user_id", columns="comment_id", values="vote", aggfunc="last").sort_index()
-        full = m.fillna(m.mean()).fillna(0.0).to_numpy(float)
-        at = _positions(full)
-        return pd.DataFrame({by: pdf[by].iloc[0], "user_id": m.index, "x": at[:, 0], "y": at[:, 1], "cluster": _kmeans(full, group_count(len(m)))})
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    rows = kept(_centred(_clean(votes, by), by), "rows")
+    centres = kept(_starts(rows, by, tries, seed), "start")
+    far = F.exists(F.zip_with("before", "centres", lambda a, b: _total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))), lambda d: d > 1e-8)
+    for n in range(steps):
+        step = kept(_moved(rows, centres, by), f"step-{n}")
+        centres = step.drop("before")
+        if step.where(far).isEmpty():
+            break
+    cost = rows.join(centres, by).select(by, "start", "centres", _nearest("row", "centres")["d"].alias("d")).groupBy(by, "start", "centres").agg(F.round(F.sum("d"), 6).alias("cost"))
+    best = cost.groupBy(by).agg(F.min_by("centres", F.struct("cost", "start")).alias("centres"))
+    dot = lambda k: _total(F.zip_with("row", F.col("axes")[k], lambda a, b: a * b))
+    placed = kept(rows.join(best, by).join(_axes(rows, by), by).select(by, "user_id", dot(0).alias("x"), dot(1).alias("y"), _nearest("row", "centres")["label"].alias("label")), "placed")
+    first = placed.groupBy(by, "label").agg(F.min("user_id").alias("first"))
+    numbers = first.select(by, "label", (F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).cast("long").alias("cluster"))
+    return placed.join(numbers, [by, "label"]).select(by, "user_id", "x", "y", "cluster")
 
-    return votes.join(size, by, "left_semi").select(by, "user_id", "comment_id", F.col("vote").cast("double").alias("vote")).groupBy(by).applyInPandas(one, f"{by} long, user_id long, x double, y double, cluster long")
+
+def cluster_results(votes: DataFrame, clusters: DataFrame, by: str = "deliberation") -> DataFrame:
+    """One row for each clustered deliberation: counts, centres, consensus of each comment, and the groups' votes.
+
+    A missing vote counts as its comment's mean, so it agrees (disagrees) where
+    all who voted agree (disagree). Consensus is the mean over the groups of
+    (agreeing + 1) / (members + 2). Users' positions and groups stay rows of
+    `cluster_opinions`, because a row has no room for any number of users.
+    """
+    v = _clean(votes, by)
+    groups = clusters.groupBy(by, "cluster").agg(F.count("*").alias("seen"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    means = v.groupBy(by, "comment_id").agg(F.avg("vote").alias("mean"))
+    cast = v.join(clusters.select(by, "user_id", "cluster"), [by, "user_id"]).groupBy(by, "cluster", "comment_id").agg(F.count("*").alias("n"), F.count_if(F.col("vote") == 1).alias("a"), F.count_if(F.col("vote") == -1).alias("d"))
+    grid = groups.join(means, by).join(cast, [by, "cluster", "comment_id"], "left").fillna(0, ["n", "a", "d"])
+    rest = F.col("seen") - F.col("n")
+    cells = grid.select(by, "cluster", "comment_id", "seen", (F.col("a") + F.when(F.col("mean") == 1, rest).otherwise(0)).alias("agree"), (F.col("d") + F.when(F.col("mean") == -1, rest).otherwise(0)).alias("disagree"))
+    agreed = cells.groupBy(by, "comment_id").agg(F.avg((F.col("agree") + 1) / (F.col("seen") + 2)).alias("consensus")).groupBy(by).agg(F.count("*").alias("n_comments"), F.sort_array(F.collect_list(F.struct("comment_id", "consensus"))).alias("consensus"))
+    listed = cells.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("cluster", "comment_id", "agree", "disagree", "seen"))).alias("group_votes"))
+    size = groups.groupBy(by).agg(F.sum("seen").alias("n_participants"), F.sort_array(F.collect_list(F.struct("cluster", "x", "y"))).alias("cluster_centers"))
+    return size.join(agreed, by).join(listed, by).select(by, "n_participants", "n_comments", _groups(F.col("n_participants")).alias("k"), "cluster_centers", "consensus", "group_votes")

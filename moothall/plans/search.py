@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from moothall.catalog import Catalog
 from moothall.operators import opinions, search
 from moothall.plans.registry import civic
+from moothall.session import shared_folder
 from moothall.sources import pages
 
 
@@ -57,10 +58,19 @@ def _(c: Catalog):
     return n.select("city", F.greatest(F.lit(2).cast("long"), F.least(2 + F.floor(F.col("n") / 12), F.lit(5).cast("long"), "n")).alias("k"))
 
 
+def deliberations(c: Catalog):
+    return c.opinions().withColumn("deliberation", F.col("user_id") % 4).groupBy("deliberation", "user_id", "comment_id").agg(F.max_by("vote", F.struct("ts", "event_id")).alias("vote"))
+
+
 @civic("clu04_opinion_clusters")
 def _(c: Catalog):
-    v = c.opinions().withColumn("deliberation", F.col("user_id") % 4).groupBy("deliberation", "user_id", "comment_id").agg(F.max_by("vote", F.struct("ts", "event_id")).alias("vote"))
-    return opinions.cluster_opinions(v)
+    return opinions.cluster_opinions(deliberations(c), shared_folder(c.spark, "clusters"))
+
+
+@civic("clu05_cluster_results")
+def _(c: Catalog):
+    v = deliberations(c)
+    return opinions.cluster_results(v, opinions.cluster_opinions(v, shared_folder(c.spark, "clusters")))
 
 
 @civic("src13_page_links", r"SELECT page_id, len(regexp_extract_all(html, '<a\s[^>]*href=')) AS links FROM pages")

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moothall.catalog import Catalog
 from moothall.plans.registry import civic
+from moothall.session import shared_folder
 from moothall.streaming import events
 
 
-def shared_folder(c: Catalog) -> str:
-    base, master = c.spark.conf.get("spark.checkpoint.dir", None), c.spark.sparkContext.master
-    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
     """What the stream has put out when all files are read: the last batch where each repeats the whole, else all of them, with their numbers (batch) where a row may replace an earlier one."""
-    at = shared_folder(c)
+    at = shared_folder(c.spark, "stream")
     last: list[int] = []
 
     def write(df: DataFrame, batch: int) -> None:

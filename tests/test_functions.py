@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from moothall.functions import ids, texts
 from moothall.operators import relational as R
 from moothall.operators import search
 from moothall.operators.merge import insert_absent, replace_children, upsert
-from moothall.operators.opinions import cluster_opinions, group_count
+from moothall.operators.opinions import cluster_opinions, cluster_results, group_count
 from moothall.sources.pages import rows_of
 
 
@@ -102,12 +103,40 @@ def test_stem(word, root):
     assert search.stem(word) == root
 
 
-def test_opinion_clusters(spark):
-    votes = [(1, u, c, 1 if (u < 5) == (c < 3) else -1) for u in range(10) for c in range(6)] + [(2, 1, 1, 1)]
-    got = cluster_opinions(spark.createDataFrame(votes, "deliberation long, user_id long, comment_id long, vote int")).toPandas()
+def test_opinion_clusters(spark, tmp_path):
+    votes = [(1, u, c, 1 if (u < 5) == (c < 3) else -1) for u in range(10) for c in range(6)] + [(2, 1, 1, 1), (3, None, 1, 1), (None, 1, 1, 1)]
+    df = spark.createDataFrame(votes, "deliberation long, user_id long, comment_id long, vote int")
+    clusters = cluster_opinions(df, str(tmp_path / "a"))
+    got = clusters.toPandas()
     assert set(got.deliberation) == {1}
     assert got.groupby("user_id").cluster.first().tolist() == [0] * 5 + [1] * 5
     assert [group_count(n) for n in (3, 12, 100)] == [2, 3, 5]
+    row = cluster_results(df, clusters).collect()
+    assert [(r.deliberation, r.n_participants, r.n_comments, r.k, len(r.cluster_centers)) for r in row] == [(1, 10, 6, 2, 2)]
+    assert {round(c.consensus, 6) for c in row[0].consensus} == {round((6 / 7 + 1 / 7) / 2, 6)}
+    assert cluster_opinions(df.limit(0), str(tmp_path / "b")).count() == 0
+
+
+def test_opinion_clusters_against_numpy(spark, tmp_path):
+    """Positions equal those of a singular value decomposition, and no user is nearer to another group's mean than to its own."""
+    rng = np.random.default_rng(3)
+    full = np.where(rng.random((60, 7)) < 0.3, np.nan, rng.integers(-1, 2, (60, 7)))
+    full[:, 6] = np.where(rng.random(60) < 0.5, np.nan, 1)
+    df = spark.createDataFrame([(1, u, c, int(full[u, c])) for u in range(60) for c in range(7) if not np.isnan(full[u, c])], "deliberation long, user_id long, comment_id long, vote int")
+    clusters = cluster_opinions(df, str(tmp_path / "a"))
+    got = clusters.toPandas().sort_values("user_id")
+    assert got.user_id.tolist() == list(range(60))
+    m = np.where(np.isnan(full), np.nanmean(full, axis=0), full)
+    x = m - m.mean(0)
+    vt = np.linalg.svd(x, full_matrices=False)[2][:2]
+    vt *= np.sign(vt[np.arange(2), np.abs(vt).argmax(1)])[:, None]
+    assert np.allclose(got[["x", "y"]], x @ vt.T, atol=1e-6)
+    label = got.cluster.to_numpy()
+    centres = np.array([m[label == k].mean(0) for k in range(label.max() + 1)])
+    d = ((m[:, None] - centres) ** 2).sum(2)
+    assert np.allclose(d.min(1), d[np.arange(60), label])
+    votes = {(v.cluster, v.comment_id): (v.agree, v.disagree, v.seen) for v in cluster_results(df, clusters).collect()[0].group_votes}
+    assert votes == {(k, c): ((m[label == k, c] == 1).sum(), (m[label == k, c] == -1).sum(), (label == k).sum()) for k in range(label.max() + 1) for c in range(7)}
 
 
 def test_pages():
