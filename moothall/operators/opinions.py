@@ -82,10 +82,14 @@ def _starts(rows: DataFrame, by: str, tries: int, seed: int) -> DataFrame:
 def _moved(rows: DataFrame, centres: DataFrame, by: str) -> DataFrame:
     """One step of Lloyd's algorithm: (by, start, before, centres); a centre without rows stays where it is."""
     near = rows.join(centres, by).select(by, "start", _nearest("row", "centres")["label"].alias("label"), F.posexplode("row").alias("at", "x"))
-    means = near.groupBy(by, "start", "label", "at").agg(F.avg("x").alias("x")).groupBy(by, "start", "label").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m"))
-    new = means.groupBy(by, "start").agg(F.map_from_entries(F.collect_list(F.struct("label", F.transform("m", lambda m: m["x"]).alias("row")))).alias("new"))
-    moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("new", i), c))
-    return centres.join(new, [by, "start"]).select(by, "start", F.col("centres").alias("before"), moved.alias("centres"))
+    means = near.groupBy(by, "start", "label", "at").agg(F.avg("x").alias("x")).groupBy(by, "start").agg(F.sort_array(F.collect_list(F.struct("label", "at", "x"))).alias("new"))
+
+    def mean(c: Column, i: Column) -> Column:
+        own = F.transform(F.filter("new", lambda m: m["label"] == i), lambda m: m["x"])
+        return F.when(F.size(own) > 0, own).otherwise(c)
+
+    moved = F.transform("centres", mean)
+    return centres.join(means, [by, "start"]).select(by, "start", F.col("centres").alias("before"), moved.alias("centres"))
 
 
 def cluster_opinions(votes: DataFrame, folder: str, by: str = "deliberation", tries: int = 10, steps: int = 100, seed: int = 42) -> DataFrame:
