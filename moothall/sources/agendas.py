@@ -150,3 +150,29 @@ def lines_to_items(lines: DataFrame, number: str = r"^\s*(\d{1,3}\.|[A-Z]\.|\d{1
         F.min_by(F.regexp_extract("text", number, 1), F.when(is_item, F.col("line"))).alias("number"), F.min_by("section_text", "line").alias("section"),
         F.rtrim(F.regexp_replace(joined(F.col("in_title"), F.when(is_item, F.trim(first)).otherwise(F.trim("text")), " "), ":+$", "")).alias("title"), joined(~F.col("in_title") & (F.col("ended") == 0), F.col("text"), "\n").alias("body"),
     )
+
+
+def toc_shapes(toc: DataFrame, by: str = "doc") -> DataFrame:
+    """(doc, shape) of the outline entries (doc, nth, level, title, page): flat, hierarchical, deep_hierarchical or document_bundle.
+
+    The agenda's own pages are the commonest pages of the first level that
+    together hold 7/10 of its entries (ties: the page named first); links to
+    the page's top and bottom are no entries of it. Entries without a level or
+    page are left out, a null title is like any other.
+    """
+    e = toc.where(F.col("level").isNotNull() & F.col("page").isNotNull())
+    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"^\s+|\s+$", "")
+    top = (F.col("level") == 1) & ~title.isin("top", "bottom")
+    counts = e.groupBy(by).agg(
+        F.count_if(top).alias("n1"), F.count_if((F.col("level") == 2) & (F.col("page") <= 0)).alias("virtual"), F.count_if(F.col("level") == 3).alias("n3"), F.count_if(F.col("level") == 4).alias("n4"), F.max(F.when(F.col("level") == 2, F.col("page"))).alias("deepest"),
+    )
+    pages = e.where(top).groupBy(by, "page").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    w = Window.partitionBy(by)
+    before = F.coalesce(F.sum("n").over(w.orderBy(F.desc("n"), "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = pages.withColumn("before", before).withColumn("total", F.sum("n").over(w))
+    own = ranked.groupBy(by).agg(F.max(F.when(F.col("before") < F.col("total") * 0.7, F.col("page"))).alias("last"), F.count("*").alias("distinct"))
+    shape = (
+        F.when(F.col("n1") == 0, "flat").when((F.col("n1") <= 3) & (F.col("virtual") > 0) & (F.col("n3") >= 2), "document_bundle").when((F.col("n1") <= 2) & (F.col("n3") >= 3) & (F.col("n4") >= 1), "deep_hierarchical")
+        .when((F.col("deepest") > F.col("last") + 1) & (F.col("distinct") <= F.greatest(F.lit(5.0), F.col("n1") * 0.3)), "hierarchical").otherwise("flat")
+    )
+    return counts.join(own, by, "left").select(by, shape.alias("shape"))

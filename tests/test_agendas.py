@@ -2,7 +2,7 @@
 
 import pytest
 
-from moothall.sources.agendas import LAYOUTS, agenda_items, lines_to_items, page_nodes
+from moothall.sources.agendas import LAYOUTS, agenda_items, lines_to_items, page_nodes, toc_shapes
 
 PAGES = {
     "municode": ("<section class='agenda-section'><h2 class='section-header'>CONSENT</h2><ul class='agenda-items'><li id='i7'><span class='number'>1.</span> Pay <b>bills</b></li><ul class='agenda_item_attachments'><li><a href='/f.pdf'>Bills</a></li></ul></ul></section>", [("CONSENT", "1.", "Pay bills")]),
@@ -32,3 +32,14 @@ def test_lines(spark):
     df = spark.createDataFrame([(7, i, t) for i, t in enumerate(lines)], "doc_id long, line int, text string")
     got = [(r["number"], r["section"], r["title"], r["body"]) for r in lines_to_items(df).orderBy("sequence").collect()]
     assert got == [("1.", "CONSENT ITEMS", "APPROVE THE", "MINUTES OF MAY:\nStaff says yes."), ("2.", "CONSENT ITEMS", "Pay bills", "in full"), ("3.", "NEW BUSINESS", "Adjourn", "")]
+
+
+def test_toc_shapes(spark):
+    docs = {
+        "bundle": [(1, "Agenda", 1), (2, "a.pdf", 0), (3, "x", 4), (3, "y", 5)], "deep": [(1, "Root", 1), (2, "s", 2), (3, "a", 3), (3, "b", 4), (3, "c", 5), (4, "d", 6)],
+        "near": [(1, "a", 1), (1, "b", 2), (2, "c", 3)], "far": [(1, "a", 1), (1, "b", 1), (1, " TOP ", 9), (2, "c", 3)],
+        "spread": [(1, "x", p) for p in range(6)] + [(2, "c", 99)], "skipped": [(1, "bottom", 1), (2, "c", 9)], "null": [(1, None, 1), (None, "a", 1), (2, "c", 3), (1, "b", None)],
+    }
+    rows = [(d, n, *e) for d, es in docs.items() for n, e in enumerate(es)]
+    got = dict(toc_shapes(spark.createDataFrame(rows, "doc string, nth int, level int, title string, page int")).collect())
+    assert got == {"bundle": "document_bundle", "deep": "deep_hierarchical", "near": "flat", "far": "hierarchical", "spread": "flat", "skipped": "flat", "null": "hierarchical"}
