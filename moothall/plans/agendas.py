@@ -278,7 +278,7 @@ def _(c: Catalog):
 
 @civic("src26_toc_shapes", """WITH t AS (SELECT l_orderkey AS doc, l_linenumber AS nth, l_suppkey % 4 + 1 AS level, l_linenumber = 5 AS skipped, l_partkey % 6 - 1 AS page FROM lineitem),
 p AS (SELECT doc, page, count(*) AS n, min(nth) AS first FROM t WHERE level = 1 AND NOT skipped GROUP BY 1, 2),
-r AS (SELECT doc, page, sum(n) OVER (PARTITION BY doc ORDER BY n DESC, first) - n AS before, sum(n) OVER (PARTITION BY doc) * 0.7::DOUBLE AS most FROM p),
+r AS (SELECT doc, page, sum(n) OVER (PARTITION BY doc ORDER BY n DESC, first, page) - n AS before, sum(n) OVER (PARTITION BY doc) * 0.7::DOUBLE AS most FROM p),
 o AS (SELECT doc, max(page) FILTER (before < most) AS last, count(*) AS pages FROM r GROUP BY 1),
 c AS (SELECT doc, count(*) FILTER (level = 1 AND NOT skipped) AS n1, count(*) FILTER (level = 3) AS n3, count(*) FILTER (level = 4) AS n4, list(page) FILTER (level = 2) AS second FROM t GROUP BY 1)
 SELECT c.doc, CASE WHEN n1 = 0 THEN 'flat' WHEN n1 <= 3 AND n3 >= 2 AND len(list_filter(second, lambda x: x <= 0)) > 0 THEN 'document_bundle' WHEN n1 <= 2 AND n3 >= 3 AND n4 >= 1 THEN 'deep_hierarchical'

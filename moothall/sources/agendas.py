@@ -156,7 +156,7 @@ def toc_shapes(toc: DataFrame, by: str = "doc") -> DataFrame:
     """(doc, shape) of the outline entries (doc, nth, level, title, page): flat, hierarchical, deep_hierarchical or document_bundle.
 
     The agenda's own pages are the commonest pages of the first level that
-    together hold 7/10 of its entries (ties: the page named first); links to
+    together hold 7/10 of its entries (ties: the page named first, then the smaller); links to
     the page's top and bottom are no entries of it. Entries without a level or
     page are left out, a null title is like any other.
     """
@@ -168,7 +168,7 @@ def toc_shapes(toc: DataFrame, by: str = "doc") -> DataFrame:
     )
     pages = e.where(top).groupBy(by, "page").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
     w = Window.partitionBy(by)
-    before = F.coalesce(F.sum("n").over(w.orderBy(F.desc("n"), "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(w.orderBy(F.desc("n"), "first", "page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = pages.withColumn("before", before).withColumn("total", F.sum("n").over(w))
     own = ranked.groupBy(by).agg(F.max(F.when(F.col("before") < F.col("total") * 0.7, F.col("page"))).alias("last"), F.count("*").alias("distinct"))
     shape = (
