@@ -9,7 +9,7 @@ from moothall.catalog import Catalog
 from moothall.functions import agenda, ids, texts
 from moothall.operators import search
 from moothall.plans.registry import civic
-from moothall.plans.streams import shared_folder
+from moothall.session import shared_folder
 from moothall.sources import landed
 
 
@@ -43,7 +43,7 @@ def _landed(c: Catalog) -> landed.Landed:
     """The meetings as vendors would land them, one JSON object a line; those without a date break the contract."""
     m = c.meetings().join(F.broadcast(c.jurisdictions().select("city_key", "vendor")), "city_key")
     line = F.to_json(F.struct("vendor", F.col("id").cast("string").alias("vendor_id"), "title", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("start")))
-    at = f"{shared_folder(c)}/landed"
+    at = f"{shared_folder(c.spark, "service")}/landed"
     m.select(line.alias("value")).write.text(at)
     return landed.read_landed(c.spark, at)
 
@@ -66,7 +66,7 @@ def _(c: Catalog):
 @civic("fts01_stored_tokens", r"SELECT id FROM texts WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])moron([^\p{L}\p{N}]|$)')")
 def _(c: Catalog):
     """Searches read a table of tokens that is written once."""
-    at = f"{shared_folder(c)}/tokens"
+    at = f"{shared_folder(c.spark, "service")}/tokens"
     c.texts().select("id", search.tokens(F.col("text")).alias("t")).write.parquet(at)
     return search.match_all(c.spark.read.parquet(at), "t", "moron").select("id")
 
