@@ -9,7 +9,9 @@ from moothall.llm.imatch import fingerprint_documents, lexicon
 from moothall.llm.jaccard_join import jaccard_classes
 from moothall.llm.langid import fit_langid, predict_language
 from moothall.llm.licenses import scan_licenses
+from moothall.llm.merkle import manifest_proofs
 from moothall.llm.pii import pseudonymise
+from moothall.llm.secret_scan import scan_secrets
 from moothall.llm.suffix_dedup import repeated_spans
 from moothall.llm.toxicity import fit_toxicity, score_toxicity
 from moothall.llm.url_filter import filter_urls
@@ -53,6 +55,8 @@ ONE_EACH = {
     "bpe": lambda df: digests(encode_documents(df, vocabulary())),
     "pii": lambda df: pseudonymise(df, kinds_col="kinds"),
     "langid": lambda df: predict_language(df, fit_langid(df)),
+    "secrets": scan_secrets,
+    "merkle": manifest_proofs,
 }
 
 
