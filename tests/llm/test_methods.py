@@ -1,5 +1,6 @@
 """Operators against brute force, public libraries, round trips and held-out labels."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -207,8 +208,6 @@ def test_fingerprints():
 def test_imatch_texts(spark):
     got = queries.QUERIES["op1_imatch"](spark, SF).toPandas()
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' order by 1").fetchall()
-    import hashlib
-
     want = {i: hashlib.sha256((t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4]).encode()).hexdigest() for k, (i, t) in enumerate(rows)}
     assert dict(zip(got.doc_id, got.edited_sha256, strict=True)) == want
     assert got.near_edited.mean() > got.near_next.mean() + 0.2
@@ -226,7 +225,7 @@ def test_pseudonyms(spark):
     assert a == b and c == "12 plain 3.0"
     new = a.split("; ")
     flat = [re.sub("[^0-9]", "", x) for x in new]
-    assert flat[0] == flat[1] != "4111111111111111"
+    assert flat[0] == flat[1] != "4111111111111111" and new[2] == cards[2] and flat[3] != "5500000000000004"
     assert [luhn_ok(x) for x in flat[:4]] == [luhn_ok(re.sub("[^0-9]", "", x)) for x in cards]
     assert [re.sub("[0-9]", "9", x) for x in new[:4]] == [re.sub("[0-9]", "9", x) for x in cards]
     assert new[4] != "that.92@mail2.example.com" and "@" in new[4] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", new[5])
@@ -235,6 +234,42 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df, key="other").first()["text"] != a
 
 
+def permuted(d, key, tweak, base=10):
+    """The network over the halves of d in plain Python."""
+    h = len(d) // 2
+    x, sizes = [int(d[:h] or "0", base), int(d[h:], base)], [base**h, base ** (len(d) - h)]
+    for i in range(pii.ROUNDS):
+        digest = hashlib.sha256(f"{key}|{tweak}{len(d)}|{i}|{x[1 - i % 2]}".encode()).hexdigest()
+        x[i % 2] = (x[i % 2] + int(digest[:15], 16) % sizes[i % 2]) % sizes[i % 2]
+    write = (lambda v, n: f"{v:0{n}x}") if base == 16 else (lambda v, n: f"{v:0{n}}")
+    return (write(x[0], h) if h else "") + write(x[1], len(d) - h)
+
+
+def card(d, key):
+    body = permuted(d[:-1], key, "number")
+    return next(body + c for c in "0123456789" if luhn_ok(body + c))
+
+
+def test_pseudonyms_by_brute_force(spark):
+    rng = random.Random(8)
+    numbers = ["".join(rng.choices("0123456789", k=rng.randint(13, 19))) for _ in range(300)]
+    numbers += [next(n + c for c in "0123456789" if luhn_ok(n + c)) for n in (x[:-1] for x in numbers)]
+    valid = "4845168114407329"
+    texts = [f"a {n} b" for n in numbers] + [f"a 7 {valid} b", f"a {valid} 12 b", f"a {valid} {valid} b", f"a {valid[:4]}-{valid[4:]} b", "a 078-05-1120 b"]
+    want = [f"a {card(n, 'k') if luhn_ok(n) else n} b" for n in numbers]
+    new = card(valid, "k")
+    social = permuted("078051120", "k", "social")
+    want += [f"a 7 {new} b", f"a {new} 12 b", f"a {new} {new} b", f"a {new[:4]}-{new[4:]} b", f"a {social[:3]}-{social[3:5]}-{social[5:]} b"]
+    for hexed in ("deadbeef" * 3 + "deadbee1", "DEADBEEF" * 3 + "DEADBEE1"):  # secrets of a single digit
+        low = "".join(permuted(hexed.lower()[i : i + 16], "k", f"secret{i + 1}", 16) for i in (0, 16))
+        texts.append(f"x {hexed} y")
+        want.append(f"x {low.upper() if hexed.isupper() else low} y")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pseudonymise(df, key="k", kinds_col="kinds").orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == want
+    assert [bool(r["kinds"]) for r in rows] == [a != b for a, b in zip(texts, want, strict=True)]
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("k"), F.lit("t")).alias("x")).distinct()
     assert got.count() == 1000 and got.where("length(x) <> 3").count() == 0

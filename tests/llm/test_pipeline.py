@@ -16,6 +16,10 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def luhn_ok(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """The rows before the first stage and after each."""
@@ -70,7 +74,7 @@ def test_personal_values_change(stages):
         new = after.text[i]
         assert after.n_chars[i] == len(new)
         for value in re.findall(r"[\w.]+@[\w.]+\w|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}|[0-9a-f]{40}", t):
-            assert value not in new
+            assert (value in new) == (len(value) == 16 and value.isdecimal() and not luhn_ok(value))  # only numbers whose check digit is right are personal
 
 
 def test_tokens(stages):
