@@ -33,16 +33,17 @@ def normalise(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split())
 
 
-def grams(buf: bytes) -> np.ndarray:
-    """The Q bytes from each position on, as one number."""
-    n = len(buf) - Q + 1
+def grams(buf: bytes, q: int = Q) -> np.ndarray:
+    """The q bytes (8 at most) from each position on, as one number."""
+    n = len(buf) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    buf += bytes(8 - q)
     out = np.empty(n, np.uint64)
-    for o in range(min(Q, n)):
+    for o in range(min(8, n)):
         part = np.frombuffer(buf, "<u8", count=(len(buf) - o) // 8, offset=o)
         out[o::8] = part[: len(range(o, n, 8))]
-    return out
+    return out & np.uint64((1 << 8 * q) - 1)
 
 
 def align(item: np.ndarray, text: np.ndarray, band: int, most: int) -> tuple[int, int, int] | None:
@@ -84,28 +85,21 @@ def _edges(item: np.ndarray, text: np.ndarray, band: int, most: int, free: bool)
     return (int(row[best]), n - most + best) if row[best] <= most else None
 
 
-class Matcher:
-    """The index of a block of items."""
+def _budget(item: bytes, rate: float) -> int:
+    return int(len(item) * rate)
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE) -> None:
-        plain = [(i, normalise(t)) for i, t in items]
-        kept = [(i, x) for i, x in plain if len(x) >= Q]
-        self.short: dict[bytes, list[int]] = {}  # shorter items, as whole words; their numbers come after the others
-        few = [(i, x) for i, x in plain if 0 < len(x) < Q]
-        for k, (_, x) in enumerate(few):
-            self.short.setdefault(x, []).append(len(kept) + k)
-        self.lengths = sorted({x.count(b" ") + 1 for x in self.short})
-        self.ids = [i for i, _ in kept + few]
-        self.size = [len(x) for _, x in kept + few]
-        self.texts = [np.frombuffer(x, np.uint8) for _, x in kept]
-        n = np.array([len(x) for _, x in kept], np.int64)
-        own = n - Q + 1
-        self.edits = np.minimum((n * rate).astype(np.int64), (own - 1) // Q)
-        self.bound = own - Q * self.edits
+
+class _Index:
+    """The q-grams of items whose budget of edits leaves at least one of them whole: q * (edits + 1) <= length."""
+
+    def __init__(self, kept: list[bytes], rate: float, q: int) -> None:
+        self.q, self.texts = q, [np.frombuffer(x, np.uint8) for x in kept]
+        n = np.array([len(x) for x in kept], np.int64)
+        own = n - q + 1
+        self.edits = np.array([_budget(x, rate) for x in kept], np.int64)
+        self.bound = own - q * self.edits
         self.n = n
-        if not kept:
-            return
-        g = np.concatenate([grams(x) for _, x in kept])
+        g = np.concatenate([grams(x, q) for x in kept])
         item = np.repeat(np.arange(len(kept)), own)
         pos = np.concatenate([np.arange(k) for k in own])
         order = np.argsort(g, kind="stable")
@@ -125,26 +119,10 @@ class Matcher:
     def _slot(g: np.ndarray) -> np.ndarray:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start, end, edits) of every region found, in bytes of the normalised text."""
-        parts = [normalise(t) for t in texts]
-        return self._whole_words(parts) + (self._regions(parts) if len(self.n) else [])
-
-    def _whole_words(self, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        out = []
-        for row, part in enumerate(parts if self.short else ()):
-            words = part.split()
-            ends = np.cumsum([len(w) + 1 for w in words])
-            for n in self.lengths:
-                for k in range(len(words) - n + 1):
-                    for i in self.short.get(b" ".join(words[k : k + n]), ()):
-                        out.append((row, i, int(ends[k]) - len(words[k]) - 1, int(ends[k + n - 1]) - 1, 0))
-        return out
-
-    def _regions(self, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    def regions(self, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
         buf = b"\n".join(parts)
-        g = grams(buf)
+        g = grams(buf, self.q)
         at = np.flatnonzero(self.seen[self._slot(g)])
         where = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
         real = self.keys[where] == g[at]
@@ -192,6 +170,43 @@ class Matcher:
         return [(row, item, low + found[1], low + found[2], found[0])] if found else []
 
 
+class Matcher:
+    """The indexes of a block of items, by the longest q-grams (Q at most) of which an occurrence must hold one."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE) -> None:
+        plain = [(i, normalise(t)) for i, t in items]
+        few = [(i, x) for i, x in plain if 0 < len(x) < Q]  # as whole words
+        self.short: dict[bytes, list[int]] = {}
+        for k, (_, x) in enumerate(few):
+            self.short.setdefault(x, []).append(k)
+        self.lengths = sorted({x.count(b" ") + 1 for x in self.short})
+        by_q: dict[int, list[tuple[int, bytes]]] = {}
+        for i, x in plain:
+            if len(x) >= Q:
+                by_q.setdefault(min(Q, len(x) // (_budget(x, rate) + 1)), []).append((i, x))
+        self.ids, self.size, self.indexes = [i for i, _ in few], [len(x) for _, x in few], []
+        for q, own in sorted(by_q.items()):
+            self.indexes.append((len(self.ids), _Index([x for _, x in own], rate, q)))
+            self.ids += [i for i, _ in own]
+            self.size += [len(x) for _, x in own]
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, start, end, edits) of every region found, in bytes of the normalised text."""
+        parts = [normalise(t) for t in texts]
+        return self._whole_words(parts) + [(row, base + i, start, end, k) for base, index in self.indexes for row, i, start, end, k in index.regions(parts)]
+
+    def _whole_words(self, parts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for row, part in enumerate(parts if self.short else ()):
+            words = part.split()
+            ends = np.cumsum([len(w) + 1 for w in words])
+            for n in self.lengths:
+                for k in range(len(words) - n + 1):
+                    for i in self.short.get(b" ".join(words[k : k + n]), ()):
+                        out.append((row, i, int(ends[k]) - len(words[k]) - 1, int(ends[k + n - 1]) - 1, 0))
+        return out
+
+
 def _distinct(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """One of the overlapping regions of an item in a text: the fewest edits, then the first."""
     out: list[tuple[int, int, int, int, int]] = []
@@ -230,7 +245,7 @@ def contaminated_regions(docs: DataFrame, bench: DataFrame, rate: float = EDIT_R
 
     start and end count bytes of the normalised text. Overlapping regions of
     one item in one text are one row. Null and empty texts have no region;
-    items of fewer than Q normalised bytes, which have no q-gram, are looked
+    items of fewer than Q normalised bytes are looked
     up exactly and as whole words, items without a letter or digit never
     occur. Null ids and repeated rows are kept as they are, other columns are
     ignored. Items are broadcast in blocks of bounded size; texts aren't moved.

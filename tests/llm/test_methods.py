@@ -140,20 +140,29 @@ def edit_distance(item, text):
     return best
 
 
-def test_decontamination_by_brute_force():
+@pytest.mark.parametrize(("least", "most", "rate"), [(8, 30, 0.08), (30, 90, 0.08), (8, 40, 0.2)])
+def test_decontamination_by_brute_force(least, most, rate):
+    """The stated budget of edits holds at every length, also where an 8-gram need not survive it."""
     rng = random.Random(2)
     for _ in range(120):
         w = lambda n: "".join(rng.choices("abcdefghij ", k=n))
-        item = normalise(w(rng.randint(30, 90)))
+        item = normalise(w(rng.randint(least, most)))
+        if len(item) < 8:
+            continue
         x = list(item.decode())
-        for _ in range(rng.randint(0, int(len(item) * 0.12))):
+        for _ in range(rng.randint(0, int(len(item) * rate) + 1)):
             p, o = rng.randrange(len(x)), rng.random()
             x[p : p + (o < 0.7)] = [] if 0.4 < o < 0.7 else [rng.choice("xyz")]
         text = w(rng.randint(0, 60)) + "".join(x) + w(rng.randint(0, 60))
-        m, best = Matcher([(1, item.decode())]), edit_distance(item, normalise(text))
-        found = m.search([text])
-        assert bool(found) == (best <= m.edits[0])
-        assert not found or found[0][4] == best
+        best = edit_distance(item, normalise(text))
+        found = Matcher([(1, item.decode()), (2, "another item of some length")], rate).search([text])
+        assert bool(found) == (best <= int(len(item) * rate)), (item, text)
+        assert not found or min(f[4] for f in found) == best
+
+
+def test_short_items_may_have_an_edit():
+    m = Matcher([(7, "water heaters")])
+    assert [(m.ids[i], k) for _, i, _, _, k in m.search(["the water heaqers broke", "the waXer heaqers broke", "water heaters"])] == [(7, 1), (7, 0)]
 
 
 def test_repeated_passages_by_brute_force(spark):
