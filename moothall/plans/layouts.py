@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moothall.catalog import Catalog
 from moothall.plans.registry import civic
 from moothall.session import shared_folder
-from moothall.sources import structure, viewers
+from moothall.sources import grammars, structure, viewers
 
 _ITEMS = "(SELECT i.meeting_id AS page_id, i.sequence AS s, coalesce(m.title, 'Item ' || i.sequence) AS title, i.summary, i.n_attachments AS k, m.file, m.kind FROM items i LEFT JOIN matters m ON m.id = i.matter_id)"
 _DOCS = "array_to_string(list_transform(range(1, k + 1), lambda j: 'Doc ' || j), ',')"
@@ -157,3 +157,33 @@ def _(c: Catalog):
     boxes = tree.where("tag in ('nav', 'article', 'footer', 'div')")
     held = structure.nearest(tree.where("tag = 'a'"), structure.spans(boxes), structure.PAGE, "open", "s_open", "s_close", "size")
     return held.join(structure.spans(boxes, "tag"), ["page_id", "s_open"]).groupBy("page_id", "tag").agg(F.count("*").alias("links"))
+
+
+def agenda_texts(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Text agendas (doc_id, text), lettered for even meetings and by records for odd ones, and links (doc_id, line, url) by the line that they stand on."""
+    pages = _pages(c, lambda rows: F.lit("")).select("page_id")
+    m = c.matters().select(F.col("id").alias("matter_id"), "title")
+    i = c.items().select(F.col("meeting_id").alias("page_id"), F.col("sequence").alias("s"), F.col("n_attachments").alias("k"), "matter_id", "item_id").join(m, "matter_id", "left")
+    row = F.struct("item_id", "s", "k", F.coalesce("title", F.concat(F.lit("Item "), "s")).alias("title"))
+    listed = i.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("rows")).join(pages, "page_id")
+    even = F.col("page_id") % 2 == 0
+    number = lambda x, n: F.when(even, _text("H", n.cast("string"))).otherwise(_text("O2025-", F.lpad(n.cast("string"), 7, "0")))
+    head = F.when(even, F.array(*map(F.lit, ("Cover", "H9. Not an item", "--- PAGE 1", "H. Presentations")))).otherwise(F.array(*map(F.lit, ("City Council", "ORDINANCES", "AMENDED", "none"))))
+    lines = lambda x, n: F.array(F.when(even, _text(number(x, n), ".    ", x["title"], "  ")).otherwise(_text(n.cast("string"), ". (", number(x, n), ") ", x["title"])), F.lit(""), _text("  body of ", n.cast("string")))
+    last = F.when(even, F.array(*map(F.lit, ("J. Adjournment", "after the items")))).otherwise(F.array(*map(F.lit, ("1. (O2025-0000001) once more", "its text", "ADJOURNMENT", "after the items"))))
+    text = F.array_join(F.concat(head, F.flatten(F.transform("rows", lambda x, n: lines(x, n + 1))), last), "\n")
+    links = listed.select("page_id", F.posexplode("rows").alias("n", "x")).where("x.k > 0").select(F.col("page_id").alias("doc_id"), (F.lit(4) + F.col("n") * 3 + F.col("x.k") - 1).alias("line"), _text("u", F.col("n").cast("string")).alias("url"))
+    return listed.select(F.col("page_id").alias("doc_id"), text.alias("text")), links
+
+
+@civic(
+    "src32_city_agendas",
+    """WITH r AS (SELECT i.meeting_id AS doc_id, row_number() OVER (PARTITION BY i.meeting_id ORDER BY i.item_id, i.sequence, i.n_attachments, coalesce(m.title, 'Item ' || i.sequence)) AS n, i.n_attachments AS k, coalesce(m.title, 'Item ' || i.sequence) AS title FROM items i LEFT JOIN matters m ON m.id = i.matter_id)
+SELECT doc_id, n AS sequence, CASE WHEN doc_id % 2 = 0 THEN 'H' || n ELSE 'O2025-' || lpad(n::VARCHAR, 7, '0') END AS number, title, 'body of ' || n AS body, CASE WHEN k > 0 THEN 'u' || (n - 1) ELSE '' END AS links FROM r""",
+)
+def _(c: Catalog):
+    texts, links = agenda_texts(c)
+    even = texts.where("doc_id % 2 = 0"), links.where("doc_id % 2 = 0")
+    odd = texts.where("doc_id % 2 = 1"), links.where("doc_id % 2 = 1")
+    out = grammars.text_items(even[0], grammars.LETTERED, even[1]).unionByName(grammars.text_items(odd[0], grammars.RECORDS, odd[1]))
+    return out.withColumn("links", F.array_join("links", ","))
