@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Collection, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moothall.catalog import Catalog
-from moothall.functions.agenda import city_and_state, read_only_problem, state_of
+from moothall.functions.agenda import city_and_state, state_of
 from moothall.operators import relational as R
 from moothall.operators import search
 
@@ -14,13 +16,70 @@ VIEWS = ("jurisdictions", "meetings", "items", "matters", "votes", "memberships"
 MOST_ROWS = 100
 
 
+#: Functions that call into the JVM.
+_CALLS = frozenset(("reflect", "java_method", "try_reflect"))
+
+
+def _parts(spark: SparkSession, node) -> Iterator:
+    """A parsed tree's nodes, those of its expressions, subqueries and WITH clauses too."""
+    kind = lambda n: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{n}")
+    plan, nested, named = kind("plans.QueryPlan"), kind("expressions.PlanExpression"), kind("plans.logical.UnresolvedWith")
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += listed(x.children())
+        if plan.isInstance(x):
+            todo += listed(x.expressions())
+        if nested.isInstance(x):
+            todo.append(x.plan())
+        if named.isInstance(x):
+            todo += [r._2() for r in listed(x.cteRelations())]
+
+
+def plan_problem(spark: SparkSession, sql: str, names: Collection[str] = VIEWS) -> str | None:
+    """Why a text isn't one query over the named views, by its parsed plan; None if it is.
+
+    Commands and statements that write or define, scripts, files read by path,
+    other tables and calls into the JVM are refused, wherever they stand;
+    names of columns, literals and comments may be any words.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:  # what the parser refuses has many classes on its way here
+        return f"not one statement: {str(e).splitlines()[0]}"
+    kind = lambda n: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{n}")
+    refused, known = (kind("Command"), kind("ParsedStatement")), {n.lower() for n in names}
+    nodes = list(_parts(spark, plan))
+    for x in nodes:
+        if x.getClass().getSimpleName() == "UnresolvedWith":
+            relations = x.cteRelations()
+            known |= {relations.apply(i)._1().lower() for i in range(relations.size())}
+    for x in nodes:
+        what = x.getClass().getSimpleName()
+        if any(k.isInstance(x) for k in refused) or what == "ScriptTransformation":
+            return f"{what} is no query"
+        if what == "UnresolvedRelation" and (x.multipartIdentifier().size() != 1 or x.multipartIdentifier().head().lower() not in known):
+            return "only the named views may be read"
+        if what == "UnresolvedFunction" and x.nameParts().last().lower() in _CALLS:
+            return "calls into the JVM"
+        if what in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases") and "range" not in str(x.toString()).lower():
+            return "table functions other than range"
+    return None
+
+
 def run_sql(c: Catalog, sql: str) -> DataFrame:
-    """The rows of one SELECT over views of the entities."""
-    if problem := read_only_problem(sql):
+    """The rows of one SELECT over views of the entities, which stand only while it is analysed."""
+    if problem := plan_problem(c.spark, sql):
         raise ValueError(problem)
     for name in VIEWS:
         getattr(c, name)().createOrReplaceTempView(name)
-    return c.spark.sql(sql)
+    try:
+        return c.spark.sql(sql)
+    finally:
+        for name in VIEWS:
+            c.spark.catalog.dropTempView(name)
 
 
 def meeting_documents(c: Catalog, city_key: int) -> DataFrame:

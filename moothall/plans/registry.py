@@ -43,7 +43,7 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for m in ("reads", "joins", "aggregates", "ranking", "scalars", "agendas", "search", "merges", "streams", "services", "layouts", "indexed"):
+    for m in ("reads", "joins", "aggregates", "ranking", "scalars", "agendas", "search", "merges", "streams", "services", "layouts", "indexed", "kept"):
         importlib.import_module(f"moothall.plans.{m}")
 
 
