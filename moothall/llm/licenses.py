@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,26 +20,48 @@ from .common import ascii_lower, map_arrow, table, texts
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
-#: Label, notice, and words without which it isn't that notice.
-TEMPLATES: tuple[tuple[str, str, str], ...] = (
-    ("mit", "Released under the MIT License.", "mit"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "granted software"),
-    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general"),
-    ("lgpl", "licensed under the GNU Lesser General Public License", "lesser"),
-    ("agpl", "licensed under the GNU Affero General Public License", "affero"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "attribution"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "nc"),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "noncommercial"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "sa"),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "sharealike"),
-    ("cc0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
-    ("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission", "reserved"),
+
+class Template(NamedTuple):
+    """A notice; the words without which a block isn't it; if given, words that stand together somewhere in the block, none of the words `apart` right behind them."""
+
+    label: str
+    notice: str
+    keys: str
+    together: str = ""
+    apart: str = ""
+
+
+_LONG, _SHORT = "noncommercial sharealike noderivatives noderivs", "nc sa nd"
+#: Notices as their licences give them.
+TEMPLATES: tuple[Template, ...] = (
+    Template("mit", "Released under the MIT License.", "mit"),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "granted software"),
+    Template("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "permission portions"),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission fee"),
+    Template("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    Template("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general"),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general"),
+    Template("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "gnu merchantability"),
+    Template("lgpl", "licensed under the GNU Lesser General Public License", "lesser"),
+    Template("agpl", "licensed under the GNU Affero General Public License", "affero"),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    Template("cc-by", "Licensed under CC BY 4.0.", "cc by", "cc by", _SHORT),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "attribution", "attribution", _LONG),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", "nc", "by nc", _SHORT),
+    Template("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "noncommercial", "attribution noncommercial", _LONG),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0.", "sa", "by sa"),
+    Template("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "sharealike", "attribution sharealike"),
+    Template("cc-by-nd", "Licensed under CC BY-ND 4.0.", "nd", "by nd"),
+    Template("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "noderivatives", "attribution noderivatives"),
+    Template("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0.", "nc sa", "nc sa"),
+    Template("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "noncommercial sharealike", "noncommercial sharealike"),
+    Template("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0.", "nc nd", "nc nd"),
+    Template("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "noncommercial noderivatives", "noncommercial noderivatives"),
+    Template("cc0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    Template("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission", "reserved"),
 )
 #: Phrases counted wherever their words stand consecutively.
 PHRASES: tuple[tuple[str, str], ...] = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -65,17 +88,17 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "
 class Scanner:
     """Prefix index of the templates under a global order of words."""
 
-    def __init__(self, counts: dict[bytes, int], num: int, den: int, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
+    def __init__(self, counts: dict[bytes, int], num: int, den: int, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
         self.order = {w: k for k, (_, w) in enumerate(sorted((c, w) for w, c in counts.items()))}
         self.phrases = [(p.encode().split(), label) for p, label in phrases]
         self.last = {p[-1] for p, _ in self.phrases}
         self.templates, self.index = [], {}
-        for label, text, keys in templates:
+        for label, text, keys, together, apart in templates:
             w = words(text)
             ranks = sorted({self.order[x] for x in w})
             need = -(-len(ranks) * num // den)
             t = len(self.templates)
-            self.templates.append((label, ranks, need, len(w), {self.order[k] for k in words(keys)}))
+            self.templates.append((label, ranks, need, len(w), {self.order[k] for k in words(keys)}, words(together), frozenset(words(apart))))
             for r in ranks[: len(ranks) - need + 1]:
                 self.index.setdefault(r, []).append(t)
         self.rare = {w for w, r in self.order.items() if r in self.index}
@@ -93,7 +116,7 @@ class Scanner:
             if x not in self.rare:
                 continue
             for t in self.index[self.order[x]]:
-                _, ranks, need, n, keys = self.templates[t]
+                _, ranks, need, n, keys, together, apart = self.templates[t]
                 for k in (p // n - 1, p // n):
                     if k < 0 or (t, k) in seen:
                         continue
@@ -105,10 +128,16 @@ class Scanner:
                     if not keys.issubset(mine) or not self._may_reach(mine, ranks, need):
                         continue
                     both = len(set(mine).intersection(ranks))
-                    if both >= need:
+                    if both >= need and (not together or self._stands(w, k * n, k * n + len(block), together, apart)):
                         out[t, k] = both / len(ranks)
         return out
 
+    @staticmethod
+    def _stands(w: list[bytes], start: int, stop: int, together: list[bytes], apart: frozenset[bytes]) -> bool:
+        """Whether the words stand in a row from start to stop, and what comes next isn't one to stay apart from."""
+        m = len(together)
+        return any(w[i] == together[0] and w[i : i + m] == together and not apart.intersection(w[i + m : i + m + 1]) for i in range(start, stop - m + 1))
+
     @staticmethod
     def _may_reach(mine: list[int], ranks: list[int], need: int) -> bool:
         """The positional filter: what can still be shared from the first shared word on."""
@@ -128,10 +157,10 @@ class Scanner:
         return sorted(out)
 
 
-def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
+def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """One row for each row of docs: word and phrase counts, labels, and the labels of all blocks that hold num / den of a template's distinct words, its key words among them.
 
-    templates: (label, notice, key words); phrases: (words, label). n_blocks
+    templates: what labels a block; phrases: (words, label). n_blocks
     counts the blocks found, of all templates.
 
     score is 1 where a phrase stands or a template is held whole, else the
@@ -141,7 +170,7 @@ def scan_licenses(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "do
     the templates' words pass through the driver; texts aren't moved.
     """
     spark = docs.sparkSession
-    vocabulary = frozenset(w for _, *t in templates for x in t for w in words(x))
+    vocabulary = frozenset(w for t in templates for x in (t.notice, t.keys) for w in words(x))
     scanner = spark.sparkContext.broadcast(Scanner(frequencies(docs, vocabulary, text_col), num, den, templates, phrases))
 
     def run(batches):
@@ -169,7 +198,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same in DuckDB: phrases by position, and every block against every template by set containment."""
     listed = lambda t: [w.decode() for w in sorted(set(words(t)))]
-    values = ", ".join(f"({k}, '{label}', {listed(t)}, {len(words(t))}, {listed(keys)})" for k, (label, t, keys) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{t.label}', {listed(t.notice)}, {len(words(t.notice))}, {listed(t.keys)})" for k, t in enumerate(TEMPLATES))
+
+    def stands(t: Template) -> str:
+        own = t.together.split()
+        places = " AND ".join(f"w[s + i + {j}] = '{x}'" for j, x in enumerate(own))
+        after = f" AND coalesce(w[s + i + {len(own)}], '') NOT IN {(*t.apart.split(), '-')}" if t.apart else ""
+        return f"len(list_filter(range(1, len(block) + 2 - {len(own)}), lambda i: {places}{after})) > 0"
+
+    together = "CASE k " + " ".join(f"WHEN {k} THEN {stands(t)}" for k, t in enumerate(TEMPLATES) if t.together) + " ELSE true END"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     ends = " OR ".join("(" + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p, _ in PHRASES)
@@ -181,8 +218,8 @@ w AS (SELECT doc_id, low, regexp_extract_all(low, {word}) AS w FROM d),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE contains(low, 'license')),
 p AS (SELECT doc_id, i - 1 AS s, {label} AS label FROM i WHERE {ends}),
 base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word FROM p GROUP BY 1),
-b AS (SELECT doc_id, k, label, t.ws, keys, s, w[s + 1:s + 2 * n] AS block FROM (SELECT doc_id, w, k, label, ws, n, keys, unnest(range(0, len(w), n)) AS s FROM w JOIN t ON list_has_all(w.w, t.keys)) t),
-m AS (SELECT doc_id, k, label, s, len(list_intersect(block, ws)) AS common, len(ws) AS size FROM b WHERE list_has_all(block, keys) AND 5 * len(list_intersect(block, ws)) >= 4 * len(ws)),
+b AS (SELECT doc_id, k, label, t.ws, keys, s, w, w[s + 1:s + 2 * n] AS block FROM (SELECT doc_id, w, k, label, ws, n, keys, unnest(range(0, len(w), n)) AS s FROM w JOIN t ON list_has_all(w.w, t.keys)) t),
+m AS (SELECT doc_id, k, label, s, len(list_intersect(block, ws)) AS common, len(ws) AS size FROM b WHERE list_has_all(block, keys) AND 5 * len(list_intersect(block, ws)) >= 4 * len(ws) AND {together}),
 best AS (SELECT doc_id, max(common / size) AS best, count(*) AS n_blocks FROM m GROUP BY 1),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY 1),
 pl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1)

@@ -357,3 +357,13 @@ def test_notices_wrapped_over_lines(spark):
     rows = [(1, "some words " * 40 + mit), (2, "This work is licensed under the GNU General\nPublic License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "licensed under the GNU Lesser General Public License"), (5, "nothing of the kind is granted")]
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "mit", 2: "gpl", 3: "cc-by-nc", 4: "gpl,lgpl", 5: ""}
+
+
+def test_kin_licences_are_told_apart(spark):
+    rows = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa", "Licensed under CC BY-ND 4.0.": "cc-by-nd", "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0.": "cc-by,cc-by-sa", "Licensed under CC BY-NC-ND 4.0.": "cc-by-nc-nd", "Licensed under CC BY": "",
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["text"]: r["labels"] for r in df.join(licenses.scan_licenses(df), "doc_id").collect()} == rows
