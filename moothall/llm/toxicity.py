@@ -159,36 +159,66 @@ def learn_lexicon(sample: DataFrame, size: int = 500) -> dict[str, float]:
     return {r["w"]: min(r["o"], 6.0) for r in top}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, least: int = 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fit on at most `rows` labelled rows, the first in the order of a hash of their id.
-
-    Three quarters of them give the lexicon and grow the trees, a quarter fits
-    the calibration. If that quarter has fewer than `least` rows of a label, the
-    steps of an isotonic fit say nothing: then all rows give the lexicon and
-    grow the trees, and the trees' own probability is the score. The caller picks which labels may be seen. Rows with a null label or id are
-    left out; of an id's several labels the largest counts.
-    """
-    spark = docs.sparkSession
-    ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(rows).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").persist()
-    counts = {(r["held"], r["label"]): r["n"] for r in sample.groupBy((F.col("fold") == 0).alias("held"), "label").agg(F.count("*").alias("n")).collect()}
-    calibrated = all(counts.get((True, y), 0) >= least for y in (0, 1))
-    grow = "fold <> 0" if calibrated else "true"
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(sample.where(grow)))
-    total = sum(counts.values())
-    rate = sum(n for (_, y), n in counts.items() if y == 1) / total if total else 0.0
-    if not all(counts.get((False, y)) or (not calibrated and counts.get((True, y))) for y in (0, 1)):
-        return ToxicityModel(lexicon, None, None, rate)
-    data = with_features(sample, lexicon).select("id", "fold", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v")).repartition(6, "id").persist()
-    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11).fit(data.where(grow))
-    calibration = None
-    if calibrated:
-        raw = trees.transform(data.where("fold = 0")).select("label", vector_to_array("probability")[1].alias("p"))
-        calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw)
+#: Tasks over the labelled rows, which are bounded.
+TASKS = 8
+#: Parts of the labelled rows; each is scored by trees that the others grew.
+FOLDS = 2
+
+
+def _grow(sample: DataFrame) -> tuple[dict[str, float], GBTClassificationModel | None, float]:
+    """Lexicon and trees of the rows (id, text, label), and the share of label 1; without rows of both labels there are no trees."""
+    n, n1 = sample.agg(F.count("*"), F.sum("label")).first()
+    rate = (n1 or 0) / n if n else 0.0
+    if not 0 < rate < 1:
+        return {}, None, rate
+    lexicon = learn_lexicon(sample)
+    data = with_features(sample, sample.sparkSession.sparkContext.broadcast(lexicon)).select("id", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v"))
+    data = data.repartition(max(1, min(TASKS, n // 1000)), "id").persist()
+    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11).fit(data)
     data.unpersist()
-    sample.unpersist()
-    return ToxicityModel(lexicon, trees, calibration, rate)
+    return lexicon, trees, rate
+
+
+def out_of_fold(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(label, p) of the rows (id, text, label): each row's probability by the trees of the folds that it isn't in, or their share of label 1 where they have no trees."""
+    fold, out = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)), None
+    for k in range(folds):
+        lexicon, trees, rate = _grow(sample.where(fold != k))
+        own = sample.where(fold == k)
+        if trees is None:
+            part = own.select(F.col("label").cast("double").alias("label"), F.lit(float(rate)).alias("p"))
+        else:
+            shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+            part = trees.transform(with_features(own, shared).withColumn("v", array_to_vector(FEATURES))).select(F.col("label").cast("double").alias("label"), vector_to_array("probability")[1].alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, text, label) of the documents of at most `rows` labelled ids, the first in the order of a hash."""
+    ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(rows)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Fit on at most `rows` labelled ids; all of them give the lexicon and grow the trees.
+
+    The calibration is an isotonic fit over scores out of fold, so that every
+    row counts for it too, and at every size alike. The caller picks which
+    labels may be seen. Rows with a null label or id are left out; of an id's
+    several labels the largest counts, of an id's several documents each
+    trains. Where only one label is seen, or none, its share is the score.
+    """
+    sample = labelled(docs, labels, rows, id_col, text_col, label_col).persist()
+    try:
+        lexicon, trees, rate = _grow(sample)
+        calibration = None
+        if trees is not None:
+            calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(out_of_fold(sample))
+        return ToxicityModel(docs.sparkSession.sparkContext.broadcast(lexicon), trees, calibration, rate)
+    finally:
+        sample.unpersist()
 
 
 def with_scores(featured: DataFrame, model: ToxicityModel, score_col: str = "score") -> DataFrame:
@@ -199,10 +229,7 @@ def with_scores(featured: DataFrame, model: ToxicityModel, score_col: str = "sco
     own = {c: f"__toxicity_{c}" for c in ("v", "raw", "p", "label", "s", "score")}
     trees = model.trees.copy().setFeaturesCol(own["v"]).setRawPredictionCol(own["raw"]).setProbabilityCol(own["p"]).setPredictionCol(own["label"])
     out = trees.transform(featured.withColumn(own["v"], array_to_vector(FEATURES))).withColumn(own["s"], vector_to_array(own["p"])[1])
-    if model.calibration is not None:
-        out = model.calibration.copy().setFeaturesCol(own["s"]).setPredictionCol(own["score"]).transform(out)
-    else:
-        out = out.withColumn(own["score"], F.col(own["s"]))
+    out = model.calibration.copy().setFeaturesCol(own["s"]).setPredictionCol(own["score"]).transform(out)
     return out.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(own["score"]))).alias(score_col))
 
 

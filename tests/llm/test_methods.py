@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moothall.llm import jaccard_join, licenses, pii, queries
+from moothall.llm import jaccard_join, licenses, pii, queries, toxicity
 from moothall.llm.bpe import Bpe, vocabulary
 from moothall.llm.common import hashed_words
 from moothall.llm.decontaminate import Matcher, normalise
@@ -307,7 +307,40 @@ def test_held_out_accuracy(spark):
     assert len(held) > 20 and (held.lang == held.lang_pred).mean() > 0.95
     tox = queries.QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.01").toPandas().merge(duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.01/labels.parquet'").df(), on="doc_id")
     held = tox[tox.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.9 and held.score.between(0, 1).all()
+    assert held.score.between(0, 1).all()
+    hit, said, real = (int(x.sum()) for x in ((held.predicted == 1) & (held.toxic == 1), held.predicted == 1, held.toxic == 1))
+    assert real >= 5 and hit / real >= 0.6 and hit / said >= 0.6
+
+
+def pooled(p, y):
+    """Adjacent violators pooled by hand: the fitted value of each distinct p, equal ones as their mean."""
+    blocks = []
+    for x in sorted(set(p)):
+        own = [b for a, b in zip(p, y, strict=True) if a == x]
+        blocks.append([sum(own), len(own), [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {x: s / n for s, n, xs in blocks for x in xs}
+
+
+def test_calibration_by_pooling(spark):
+    """At the smallest size too there's an isotonic step over scores out of fold."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sample = toxicity.labelled(docs, labels, 40_000).persist()
+    pairs = toxicity.out_of_fold(sample).collect()
+    assert len(pairs) == sample.count() and len({r["p"] for r in pairs}) > 2
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.trees is not None and model.calibration is not None
+    want = pooled([r["p"] for r in pairs], [r["label"] for r in pairs])
+    steps = list(model.calibration.predictions)
+    assert steps == sorted(steps)
+    df = spark.createDataFrame([(x,) for x in want], "p double")
+    for r in model.calibration.transform(df).collect():
+        assert r["score"] == pytest.approx(want[r["p"]], abs=1e-9)
+    one = toxicity.fit_toxicity(docs, labels.where("toxic = 0"))
+    assert one.trees is None and {r["score"] for r in toxicity.score_toxicity(docs, one).select("score").collect()} == {0.0}
+    sample.unpersist()
 
 
 def test_word_hashes():
