@@ -18,7 +18,10 @@ from moothall.llm.toxicity import fit_toxicity, score_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is below 0.5 stay; a fifth of the labels isn't learned from, so that it can judge."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    return score_toxicity(docs, model, score_col="__score").where("__score < 0.5").drop("__score")
+    own = "__score"
+    while own in docs.columns:
+        own += "_"
+    return score_toxicity(docs, model, score_col=own).where(F.col(own) < 0.5).drop(own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +40,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; n_chars follows the new text."""
+    """Every document stays; n_chars follows the new text. Null texts stay null with null n_chars, empty ones empty."""
     out = pseudonymise(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts; null texts count as empty, which have no tokens."""
     return digests(encode_documents(docs, vocabulary()))
 
 
