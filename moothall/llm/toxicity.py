@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -135,28 +135,45 @@ def with_features(docs: DataFrame, lexicon: Broadcast, text_col: str = "text") -
     return docs.mapInArrow(run, schema)
 
 
-def learn_lexicon(sample: DataFrame, size: int = 500) -> dict[str, float]:
-    """The words and word beginnings most telling of label 1 in the sample (text, label), with their log odds."""
+def _fold(folds: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def learn_lexica(sample: DataFrame, folds: int, size: int = 500) -> list[dict[str, float]]:
+    """The words and word beginnings most telling of label 1, with their log odds: by all rows (id, text, label), then by the rows outside each fold. All are sums of one count."""
+    names = [f"c{k}" for k in range(2 * folds)]
 
     def count(batches):
-        seen: Counter = Counter()
+        seen: dict[str, list[int]] = {}
+
+        def hand_on() -> dict:
+            return {"w": list(seen), **{c: [x[k] for x in seen.values()] for k, c in enumerate(names)}}
+
         for b in batches:
-            for t, y in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
+            for t, y, f in zip(texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = {w.decode("utf-8", "replace") for w in words(t)}
-                seen.update((w, y) for w in own | {f"{w[:k]}*" for w in own for k in STEMS if len(w) > k})
+                for w in own | {f"{w[:k]}*" for w in own for k in STEMS if len(w) > k}:
+                    if (c := seen.get(w)) is None:
+                        c = seen[w] = [0] * len(names)
+                    c[2 * f + (y == 1)] += 1
                 if len(seen) > CACHE:
-                    yield {"w": [k[0] for k in seen], "y": [k[1] for k in seen], "c": list(seen.values())}
+                    yield hand_on()
                     seen.clear()
-        yield {"w": [k[0] for k in seen], "y": [k[1] for k in seen], "c": list(seen.values())}
-
-    n1, n0 = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    if not n1 or not n0:
-        return {}
-    by = map_arrow(sample.select("text", "label"), count, "w string, y int, c long").groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0)).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = by.where("a >= 3").select("w", odds.alias("o"), z.alias("z")).where("z > 4 and o > 1.5").orderBy(F.desc("z"), "w").limit(size).collect()
-    return {r["w"]: min(r["o"], 6.0) for r in top}
+        yield hand_on()
+
+    rows = {(r["f"], r["label"] == 1): r["n"] for r in sample.groupBy(_fold(folds).alias("f"), "label").agg(F.count("*").alias("n")).collect()}
+    counted = map_arrow(sample.select("text", "label", _fold(folds).alias("f")), count, "w string, " + ", ".join(f"{c} int" for c in names)).groupBy("w").agg(*(F.sum(c).alias(c) for c in names))
+    common = counted.where(" + ".join(names[1::2]) + " >= 3").persist()
+    out = []
+    for without in (None, *range(folds)):
+        n0, n1 = (sum(n for (f, y), n in rows.items() if y == label and f != without) for label in (False, True))
+        b, a = (sum((F.col(names[2 * f + k]) for f in range(folds) if f != without), F.lit(0)) for k in (0, 1))
+        odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+        z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        top = common.where(a >= 3).select("w", odds.alias("o"), z.alias("z")).where("z > 4 and o > 1.5").orderBy(F.desc("z"), "w").limit(size).collect() if n0 and n1 else []
+        out.append({r["w"]: min(r["o"], 6.0) for r in top})
+    common.unpersist()
+    return out
 
 
 #: Tasks over the labelled rows, which are bounded.
@@ -165,25 +182,24 @@ TASKS = 8
 FOLDS = 2
 
 
-def _grow(sample: DataFrame) -> tuple[dict[str, float], GBTClassificationModel | None, float]:
-    """Lexicon and trees of the rows (id, text, label), and the share of label 1; without rows of both labels there are no trees."""
+def _grow(sample: DataFrame, lexicon: dict[str, float]) -> tuple[GBTClassificationModel | None, float]:
+    """Trees of the rows (id, text, label), and the share of label 1; without rows of both labels there are no trees."""
     n, n1 = sample.agg(F.count("*"), F.sum("label")).first()
     rate = (n1 or 0) / n if n else 0.0
     if not 0 < rate < 1:
-        return {}, None, rate
-    lexicon = learn_lexicon(sample)
+        return None, rate
     data = with_features(sample, sample.sparkSession.sparkContext.broadcast(lexicon)).select("id", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v"))
     data = data.repartition(max(1, min(TASKS, n // 1000)), "id").persist()
     trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11).fit(data)
     data.unpersist()
-    return lexicon, trees, rate
+    return trees, rate
 
 
-def out_of_fold(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(label, p) of the rows (id, text, label): each row's probability by the trees of the folds that it isn't in, or their share of label 1 where they have no trees."""
-    fold, out = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)), None
-    for k in range(folds):
-        lexicon, trees, rate = _grow(sample.where(fold != k))
+def out_of_fold(sample: DataFrame, lexica: list[dict[str, float]]) -> DataFrame:
+    """(label, p) of the rows (id, text, label): each row's probability by the lexicon and trees of the folds that it isn't in, or their share of label 1 where they have no trees. lexica: one a fold."""
+    fold, out = _fold(len(lexica)), None
+    for k, lexicon in enumerate(lexica):
+        trees, rate = _grow(sample.where(fold != k), lexicon)
         own = sample.where(fold == k)
         if trees is None:
             part = own.select(F.col("label").cast("double").alias("label"), F.lit(float(rate)).alias("p"))
@@ -212,10 +228,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 40_000, id_col:
     """
     sample = labelled(docs, labels, rows, id_col, text_col, label_col).persist()
     try:
-        lexicon, trees, rate = _grow(sample)
+        lexicon, *lexica = learn_lexica(sample, FOLDS)
+        trees, rate = _grow(sample, lexicon)
         calibration = None
         if trees is not None:
-            calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(out_of_fold(sample))
+            calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(out_of_fold(sample, lexica))
         return ToxicityModel(docs.sparkSession.sparkContext.broadcast(lexicon), trees, calibration, rate)
     finally:
         sample.unpersist()

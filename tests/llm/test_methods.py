@@ -328,7 +328,7 @@ def test_calibration_by_pooling(spark):
     """At the smallest size too there's an isotonic step over scores out of fold."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     sample = toxicity.labelled(docs, labels, 40_000).persist()
-    pairs = toxicity.out_of_fold(sample).collect()
+    pairs = toxicity.out_of_fold(sample, toxicity.learn_lexica(sample, toxicity.FOLDS)[1:]).collect()
     assert len(pairs) == sample.count() and len({r["p"] for r in pairs}) > 2
     model = toxicity.fit_toxicity(docs, labels)
     assert model.trees is not None and model.calibration is not None
