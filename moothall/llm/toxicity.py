@@ -189,7 +189,8 @@ def _grow(sample: DataFrame, lexicon: dict[str, float]) -> tuple[GBTClassificati
     if not 0 < rate < 1:
         return None, rate
     data = with_features(sample, sample.sparkSession.sparkContext.broadcast(lexicon)).select("id", F.col("label").cast("double").alias("label"), array_to_vector(FEATURES).alias("v"))
-    data = data.repartition(max(1, min(TASKS, n // 1000)), "id").persist()
+    parts = max(1, min(TASKS, n // 1000))  # each of some hundred passes over the rows writes a file a part
+    data = data.repartition(parts, "id").coalesce(parts).persist()
     trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11).fit(data)
     data.unpersist()
     return trees, rate
