@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from moothall.catalog import Catalog
 from moothall.plans.registry import civic
 from moothall.session import shared_folder
-from moothall.streaming import events
+from moothall.streaming import events, timers
 
 
-def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
+def drained(c: Catalog, stream: DataFrame, mode: str, provider: str | None = None) -> DataFrame:
     """What the stream has put out when all files are read: the last batch where each repeats the whole, else all of them, with their numbers (batch) where a row may replace an earlier one."""
     at = shared_folder(c.spark, "stream")
     last: list[int] = []
@@ -20,7 +20,7 @@ def drained(c: Catalog, stream: DataFrame, mode: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
         last.append(batch)
 
-    events.drain(stream, mode, write, f"{at}/checkpoint")
+    events.drain(stream, mode, write, f"{at}/checkpoint", provider)
     if not last:  # no file, no batch
         return c.spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0)) if mode == "update" else c.spark.createDataFrame([], stream.schema)
     if mode == "complete":
@@ -84,3 +84,36 @@ def _(c: Catalog):
     kept = drained(c, events.retained(source(c)), "append")
     until = kept.agg(F.max("ts")).first()[0]
     return kept.where(F.col("ts") >= F.lit(until) - F.expr("interval 7 day")).select("event_id", "user_id")
+
+
+def _passed(kinds: str) -> str:
+    """Until when a stream of these rows, with a day's delay, has folded them at the end."""
+    return f"SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS w FROM ev WHERE event IN ({kinds})"
+
+
+_SYNCS, _JOBS = "'purchase', 'error'", "'click', 'purchase', 'error'"
+
+
+@civic("str02_due_syncs", f"SELECT visitor, ts + wait AS due, event AS reason FROM (SELECT visitor, ts, event, CASE event WHEN 'error' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 DAY END AS wait, lead(ts) OVER (PARTITION BY visitor ORDER BY ts, event_id) AS next FROM ev WHERE event IN ({_SYNCS})), ({_passed(_SYNCS)}) WHERE ts + wait <= w AND coalesce(next > ts + wait, true)")
+def _(c: Catalog):
+    """A visitor stands for a source, an error for a sync that failed, a purchase for one that didn't."""
+    kind = F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type"))
+    due = drained(c, timers.due_syncs(source(c), "user_id", kind), "append", timers.PROVIDER)
+    return due.select(F.col("user_id").alias("visitor"), F.col("due").cast("timestamp_ntz").alias("due"), "reason")
+
+
+@civic("str03_job_changes", f"""WITH e AS (SELECT visitor, event_id, ts, CASE WHEN event = 'click' THEN 'start' WHEN event = 'purchase' THEN 'done' WHEN k % 4 = 0 THEN 'fatal' ELSE 'retry' END AS kind FROM ev, ({_passed(_JOBS)}) WHERE event IN ({_JOBS}) AND ts <= w),
+n AS (SELECT *, lead(ts) OVER o AS next, CASE WHEN lag(kind) OVER o IN ('done', 'fatal') THEN 1 WHEN lag(kind) OVER o = 'start' AND ts - lag(ts) OVER o > INTERVAL 2 DAY + INTERVAL 30 MINUTE THEN 1 WHEN lag(kind) OVER o = 'retry' AND ts - lag(ts) OVER o > INTERVAL 2 DAY THEN 1 ELSE 0 END AS fresh FROM e WINDOW o AS (PARTITION BY visitor ORDER BY ts, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM n),
+r AS (SELECT *, count(*) FILTER (kind = 'retry') OVER (PARTITION BY visitor, seg ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM g),
+s AS (SELECT *, CASE WHEN kind = 'retry' THEN (m - 1) % 3 + 1 ELSE m % 3 END AS retries FROM r),
+p AS (SELECT *, CASE retries WHEN 0 THEN 100 WHEN 1 THEN 80 ELSE 40 END AS priority FROM s)
+SELECT visitor, event_id, ts, CASE WHEN kind = 'start' THEN 'processing' WHEN kind = 'done' THEN 'completed' WHEN kind = 'fatal' THEN 'failed' WHEN retries = 3 THEN 'dead_letter' ELSE 'pending' END AS status, retries, priority FROM p
+UNION ALL SELECT visitor, NULL, ts + INTERVAL 30 MINUTE, 'pending', retries, priority FROM p, ({_passed(_JOBS)}) WHERE kind = 'start' AND ts + INTERVAL 30 MINUTE <= w AND coalesce(next > ts + INTERVAL 30 MINUTE, true)
+UNION ALL SELECT visitor, NULL, x, 'expired', retries, priority FROM (SELECT *, ts + CASE kind WHEN 'start' THEN INTERVAL 2 DAY + INTERVAL 30 MINUTE ELSE INTERVAL 2 DAY END AS x FROM p WHERE kind = 'start' OR kind = 'retry' AND retries < 3), ({_passed(_JOBS)}) WHERE x <= w AND coalesce(next > x, true)""")
+def _(c: Catalog):
+    """A visitor stands for a job: a click claims it, a purchase completes it, of errors each fourth (by k) may not be retried; leases end and idle jobs expire by timers."""
+    error = F.when(F.get_json_object("props", "$.k").cast("long") % 4 == 0, "fatal").otherwise("retry")
+    kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", error)
+    out = drained(c, timers.job_changes(source(c), "user_id", kind), "append", timers.PROVIDER)
+    return out.select(F.col("user_id").alias("visitor"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "retries", "priority")

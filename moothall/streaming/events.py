@@ -57,6 +57,15 @@ def retry_jobs(events: DataFrame, tries: int = 3) -> DataFrame:
     return narrow.groupBy("user_id").applyInPandasWithState(fold, "user_id long, failed long, status string", "failed long, status string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Run the stream over all that is there, batch by batch, and stop."""
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, provider: str | None = None) -> None:
+    """Run the stream over all that is there, batch by batch, and stop; its state is held by the provider, if one is named."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    try:
+        if provider:
+            conf.set(name, provider)
+        running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if provider:  # a started stream has its own copy of the session
+            conf.set(name, before)
+    running.awaitTermination()
