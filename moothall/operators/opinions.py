@@ -40,6 +40,21 @@ def _centred(v: DataFrame, by: str) -> DataFrame:
     return users.join(comments.join(sizes, by), by).select(by, "user_id", "users", row.alias("row"))
 
 
+def imputed(votes: DataFrame, by: str = "deliberation") -> DataFrame:
+    """(deliberation, user_id, comment_id, vote): every user of a deliberation on each of its comments, a missing vote being the comment's mean.
+
+    The comments of a deliberation are one row with an array, which its users
+    are joined with by key; Spark sends that side everywhere only where its
+    measured size allows it. Rows with a null are left out, and of repeated
+    votes the highest counts.
+    """
+    v = _clean(votes, by)
+    means = v.groupBy(by, "comment_id").agg(F.avg("vote").alias("mean")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("comment_id", "mean"))).alias("comments"))
+    users = v.groupBy(by, "user_id").agg(F.map_from_entries(F.collect_list(F.struct("comment_id", "vote"))).alias("own"))
+    cells = users.join(means, by).select(by, "user_id", "own", F.explode("comments").alias("c"))
+    return cells.select(by, "user_id", F.col("c.comment_id").alias("comment_id"), F.coalesce(F.try_element_at("own", F.col("c.comment_id")), F.col("c.mean")).alias("vote"))
+
+
 def _axes(rows: DataFrame, by: str) -> DataFrame:
     """(by, axes): the two principal directions of each deliberation's rows, the largest loading of each positive."""
     kind = rows.schema[by].dataType.simpleString()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from moothall import api
 from moothall.catalog import Catalog
 from moothall.functions import agenda, ids, texts
+from moothall.operators import relational as R
 from moothall.plans.registry import civic
 from moothall.sources import agendas
 
@@ -130,7 +131,8 @@ def _(c: Catalog):
 
 @civic("src25_line_heights", "SELECT visitor, coalesce(list_sort(list_filter(list(value ORDER BY event_id)[1:50], lambda x: x > 2))[len(list_filter(list(value ORDER BY event_id)[1:50], lambda x: x > 2)) // 2 + 1], 14.0) AS height FROM ev GROUP BY 1")
 def _(c: Catalog):
-    e = c.events().groupBy("visitor").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    e = R.best_per_key(c.events(), ["visitor"], [F.asc("event_id"), F.asc("value")], 50)
+    e = e.groupBy("visitor").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     return e.select("visitor", agenda.upper_median(F.col("v")).alias("height"))
 
 

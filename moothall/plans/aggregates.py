@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moothall.catalog import AS_OF, EVENTS_AS_OF, Catalog, as_of
+from moothall.operators import opinions
 from moothall.operators import relational as R
 from moothall.plans.registry import civic
 
@@ -208,13 +209,9 @@ def _(c: Catalog):
 @civic("agg31_imputed_votes", """WITH v AS (SELECT user_id, comment_id, arg_max(vote, (ts, event_id)) AS vote FROM opinions GROUP BY 1, 2), m AS (SELECT comment_id, avg(vote) AS mean FROM v GROUP BY 1)
 SELECT u.user_id, m.comment_id, round(coalesce(v.vote, m.mean), 6) AS vote FROM (SELECT DISTINCT user_id FROM v) u CROSS JOIN m LEFT JOIN v ON v.user_id = u.user_id AND v.comment_id = m.comment_id""")
 def _(c: Catalog):
-    v = latest_votes(c)
-    means = v.groupBy("comment_id").agg(F.avg("vote").alias("mean"))
-    # Comments of a deliberation are few: each user's row carries them as one array, which is spread out again.
-    listed = means.agg(F.collect_list(F.struct("comment_id", "mean")).alias("all"))
-    own = v.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("comment_id", "vote"))).alias("own")).withColumn("__one", F.lit(1))
-    cells = own.join(F.broadcast(listed.withColumn("__one", F.lit(1))), "__one").select("user_id", "own", F.explode("all").alias("m"))
-    return cells.select("user_id", F.col("m.comment_id").alias("comment_id"), F.round(F.coalesce(F.try_element_at("own", F.col("m.comment_id")).cast("double"), F.col("m.mean")), 6).alias("vote"))
+    """The table is one deliberation."""
+    cells = opinions.imputed(latest_votes(c).withColumn("deliberation", F.lit(0)))
+    return cells.select("user_id", "comment_id", F.round("vote", 6).alias("vote"))
 
 
 @civic("agg32_consensus", """WITH v AS (SELECT user_id, comment_id, arg_max(vote, (ts, event_id)) AS vote FROM opinions GROUP BY 1, 2), s AS (SELECT user_id % 3 AS cluster, count(DISTINCT user_id) AS size FROM v GROUP BY 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moothall.catalog import Catalog
 from moothall.plans.registry import civic
 from moothall.session import shared_folder
-from moothall.sources import grammars, structure, viewers
+from moothall.sources import grammars, listings, structure, viewers
 
 _ITEMS = "(SELECT i.meeting_id AS page_id, i.sequence AS s, coalesce(m.title, 'Item ' || i.sequence) AS title, i.summary, i.n_attachments AS k, m.file, m.kind FROM items i LEFT JOIN matters m ON m.id = i.matter_id)"
 _DOCS = "array_to_string(list_transform(range(1, k + 1), lambda j: 'Doc ' || j), ',')"
@@ -187,3 +187,28 @@ def _(c: Catalog):
     odd = texts.where("doc_id % 2 = 1"), links.where("doc_id % 2 = 1")
     out = grammars.text_items(even[0], grammars.LETTERED, even[1]).unionByName(grammars.text_items(odd[0], grammars.RECORDS, odd[1]))
     return out.withColumn("links", F.array_join("links", ","))
+
+
+def listing_page(rows: Column) -> Column:
+    """A committee's meetings, in one of three forms by their number: classed rows whose dates follow a hidden epoch second; plain rows of a listing table, dates first, under a panel's heading; links as choices and dates by slashes. The first meeting stands there twice, and a row without a link once."""
+    day = lambda x, form: F.coalesce(F.date_format(x["date"], form), F.lit("to be set"))
+    n = lambda x: x["id"].cast("string")
+    classed = lambda x: _text('<tr class="odd"><td class="listItem">', x["title"], '</td><td class="listItem"><span style="display:none">1768204800</span>', day(x, "EEEE, MMMM d, yyyy"), F.when(x["date"].isNotNull(), " - 06:30 PM").otherwise(""), '</td><td><a href="//h/AgendaViewer.php?view_id=2&event_id=', n(x), '">Agenda</a></td></tr>')  # noqa: E731, E501
+    turned = lambda x: _text('<tr><td class="listedItem">', day(x, "MMM d, yyyy"), '</td><td class="listedItem"><a href="/AgendaViewer.php?clip_id=', n(x), '">Agenda</a></td><td><a href="packet', n(x), '.PDF">Packet</a></td></tr>')
+    choice = lambda x: _text('<tr class="listingRow even"><td class="listItem">', x["title"], '</td><td class="listItem">', day(x, "MM / dd / yyyy"), '</td><td><select><option value="">Choose</option><option value="AgendaViewer.php?event_id=', n(x), '">Agenda</option></select></td></tr>')
+    table = lambda line: _text('<table class="listingTable"><tr><td class="listItem">no link</td><td class="listItem">May 1, 2024</td></tr>', _each(F.slice(rows, 1, 1), line), _each(rows, line), "</table>")
+    panel = _text('<div class="CollapsiblePanel"><div class="CollapsiblePanelTab">Planning <b>Board</b></div><div class="CollapsiblePanelContent">', table(turned), "</div></div>")
+    return F.when(F.size(rows) % 3 == 0, table(classed)).when(F.size(rows) % 3 == 1, panel).otherwise(table(choice))
+
+
+@civic(
+    "src13_listed_meetings",
+    """SELECT page_id, id::VARCHAR AS event_id, CASE n % 3 WHEN 1 THEN CASE WHEN date IS NULL THEN 'to be set' ELSE 'Planning Board' END ELSE title END AS title, CASE n % 3 WHEN 0 THEN coalesce(date + INTERVAL 1110 MINUTE, TIMESTAMP '2026-01-12 08:00:00') ELSE date::TIMESTAMP END AS start,
+CASE n % 3 WHEN 0 THEN 'http://h/AgendaViewer.php?view_id=2&event_id=' || id WHEN 1 THEN 'http://town.example/AgendaViewer.php?clip_id=' || id ELSE 'http://town.example/agenda/AgendaViewer.php?event_id=' || id END AS agenda_url, CASE n % 3 WHEN 1 THEN 'http://town.example/agenda/packet' || id || '.PDF' END AS packet_url
+FROM (SELECT committee_key AS page_id, id, title, date, count(*) OVER (PARTITION BY committee_key) AS n FROM meetings)""",
+)
+def _(c: Catalog):
+    row = F.struct("id", "title", F.col("date").cast("timestamp").alias("date"))
+    listed = c.meetings().groupBy(F.col("committee_key").alias("page_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    pages = listed.select("page_id", F.lit("http://town.example/agenda/").alias("url"), _text("<!DOCTYPE html><html><body>", listing_page(F.col("rows")), "</body></html>").alias("html"))
+    return listings.listed_meetings(_tree(c, pages)).drop("open")

@@ -127,10 +127,11 @@ def _(c: Catalog):
     return t.select("id", F.least(F.lit(10).cast("long"), F.expr("length(text) div 500")).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@civic("win18_random_matter")
+@civic("win18_random_matter", "SELECT matter_id, count(*) AS n FROM items WHERE matter_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY md5('7:' || matter_id), matter_id LIMIT 1")
 def _(c: Catalog):
+    """Random by a hash of the id and a seed, so that the choice depends on no partition."""
     busy = c.items().where("matter_id is not null").groupBy("matter_id").agg(F.count("*").alias("n")).where("n >= 2")
-    return busy.orderBy(F.rand(7), "matter_id").limit(1)
+    return busy.orderBy(F.md5(F.concat(F.lit("7:"), F.col("matter_id").cast("string")).cast("binary")), "matter_id").limit(1)
 
 
 @civic("win19_committee_by_mode", "SELECT meeting_id, committee FROM (SELECT i.meeting_id, m.committee, row_number() OVER (PARTITION BY i.meeting_id ORDER BY count(*) DESC, m.committee) AS r FROM items i JOIN matters m ON m.id = i.matter_id GROUP BY 1, 2) WHERE r = 1")

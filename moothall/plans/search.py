@@ -28,14 +28,14 @@ def _(c: Catalog):
 
 @civic("fts05_matter_search", "SELECT id FROM matters m WHERE (title ILIKE '%widget%' OR file ILIKE '%brand#7-%') AND EXISTS (SELECT 1 FROM items i WHERE i.matter_id = m.id)")
 def _(c: Catalog):
-    m = c.matters().withColumn("t", search.tokens(F.col("title"), F.col("summary")))
-    hit = F.array_contains("t", search.stem("widget")) | F.col("file").ilike("%brand#7-%")
-    return m.where(hit).select("id").join(c.items().select(F.col("matter_id").alias("id")), "id", "left_semi")
+    by_file, by_text = F.col("file").ilike("%brand#7-%"), search.may_hold(F.concat_ws(" ", "title", "summary"), "widget")
+    m = c.matters().where(by_file | by_text).withColumn("t", search.tokens(F.col("title"), F.col("summary")))
+    return m.where(F.array_contains("t", search.stem("widget")) | by_file).select("id").join(c.items().select(F.col("matter_id").alias("id")), "id", "left_semi")
 
 
 @civic("fts06_item_search", "SELECT i.item_id, m.title, g.date FROM items i JOIN matters m ON m.id = i.matter_id JOIN meetings g ON g.id = i.meeting_id WHERE g.city_key = 2 AND contains(m.title, 'widget')")
 def _(c: Catalog):
-    m = search.match_all(c.matters().withColumn("t", search.tokens(F.col("title"))), "t", "widgets").select(F.col("id").alias("matter_id"), "title")
+    m = search.match_all(c.matters().where(search.may_hold(F.col("title"), "widgets")).withColumn("t", search.tokens(F.col("title"))), "t", "widgets").select(F.col("id").alias("matter_id"), "title")
     g = c.meetings().where("city_key = 2").select(F.col("id").alias("meeting_id"), F.col("date").alias("day"))
     return c.items().join(m, "matter_id").join(g, "meeting_id").select("item_id", "title", F.col("day").alias("date"))
 

@@ -72,7 +72,8 @@ class _Tree(HTMLParser):
                 self._close()
         a = {k: v or "" for k, v in attrs}
         self.at += 1
-        row = {"open": self.at, "close": self.at, "parent": self.open[-1]["open"] if self.open else 0, "depth": len(self.open), "tag": tag, "id": a.get("id"), "cls": a.get("class"), "style": a.get("style"), "url": urljoin(self.base, a["href"]) if a.get("href") else None, "key": next((a[k] for k in ("data-itemid", "onclick", "name") if a.get(k)), None)}
+        href = a.get("href") or (a.get("value") if tag == "option" else None)
+        row = {"open": self.at, "close": self.at, "parent": self.open[-1]["open"] if self.open else 0, "depth": len(self.open), "tag": tag, "id": a.get("id"), "cls": a.get("class"), "style": a.get("style"), "url": urljoin(self.base, href) if href else None, "key": next((a[k] for k in ("data-itemid", "onclick", "name") if a.get(k)), None)}
         if tag == "tr" and self.grids:
             self.grids[-1].next_row()
         if tag in ("td", "th") and self.grids:
