@@ -121,22 +121,40 @@ def train(sequences: list[list[tuple[bytes, int]]], languages: list[str], steps:
     return Crf(languages, slots, {w: own[i] for w, i in number.items() if listed[i]}, trans)
 
 
-def fit_langid(docs: DataFrame, rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", switch: tuple[int, int] = (5, 40)) -> Crf | None:
+def stretches(w: list[bytes], most: int, length: int = 40) -> list[bytes]:
+    """The words, or of more than `most` so many in runs of 40 that lie evenly over all of them, from the first to the last."""
+    if len(w) <= most:
+        return w
+    n = max(1, most // length)
+    return [x for i in range(n) for x in w[i * (len(w) - length) // max(1, n - 1) :][:length]]
+
+
+def fit_langid(docs: DataFrame, rows: int = 300, most: int = 4000, longest: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", switch: tuple[int, int] = (5, 40)) -> Crf | None:
     """Fit on at most `rows` documents of each language, the first in the order of a hash of their id.
 
-    Words bear their document's language. Texts are cut in runs of 5 to 40
+    The driver trains on that sample, so it is bounded: a document gives at
+    most `most` words, a longer one runs of words from all over its text, and
+    words of more than `longest` bytes are left out. Repeated rows of a
+    sampled document give its words again, up to `rows` for a language. Words bear their document's language. Texts are cut in runs of 5 to 40
     words and dealt anew over sequences, so that transitions are learned from
     text that changes language. None if no row has a text and a language.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = narrow.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= rows).select("id", "lang")
-    sample = narrow.join(F.broadcast(ids.distinct()), ["id", "lang"]).collect()
-    sample = sorted((r["lang"], r["id"], r["text"]) for r in sample)
+
+    def cut(batches):
+        for b in batches:
+            for i, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                yield {"id": [i], "lang": [lang], "words": [stretches([w for w in words(text) if len(w) <= longest], most)]}
+
+    sample = map_arrow(narrow.join(F.broadcast(ids.distinct()), ["id", "lang"]).select("id", "lang", "text"), cut, "id long, lang string, words array<binary>")
+    sample = sample.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "words"))).where(F.col("rank") <= rows)
+    sample = sorted((r["lang"], r["id"], [bytes(w) for w in r["words"]]) for r in sample.collect())
     languages = sorted({lang for lang, _, _ in sample})
     chance, runs = np.random.default_rng(5), []
-    for lang, _, text in sample:
-        w, v = words(text), languages.index(lang)
+    for lang, _, w in sample:
+        v = languages.index(lang)
         i = 0
         while i < len(w):
             n = int(chance.integers(*switch))
