@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from moothall.catalog import Catalog
 from moothall.plans.registry import civic
 from moothall.session import shared_folder
-from moothall.sources import grammars, listings, structure, viewers
+from moothall.sources import grammars, listings, structure, vendors, viewers
 
 _ITEMS = "(SELECT i.meeting_id AS page_id, i.sequence AS s, coalesce(m.title, 'Item ' || i.sequence) AS title, i.summary, i.n_attachments AS k, m.file, m.kind FROM items i LEFT JOIN matters m ON m.id = i.matter_id)"
+_ORDER = "s, title, summary NULLS FIRST, k, file NULLS FIRST, kind NULLS FIRST"
 _DOCS = "array_to_string(list_transform(range(1, k + 1), lambda j: 'Doc ' || j), ',')"
 
 
@@ -212,3 +213,74 @@ def _(c: Catalog):
     listed = c.meetings().groupBy(F.col("committee_key").alias("page_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     pages = listed.select("page_id", F.lit("http://town.example/agenda/").alias("url"), _text("<!DOCTYPE html><html><body>", listing_page(F.col("rows")), "</body></html>").alias("html"))
     return listings.listed_meetings(_tree(c, pages)).drop("open")
+
+
+def online_page(rows: Column) -> Column:
+    """Accessible entries, rows of tables with collapsed borders, or loading links alone, by the first item's number; items of one number load the same."""
+    n = lambda x: x["s"].cast("string")
+    spoken = lambda x: F.when(x["k"] > 0, _text('<span class="accessible-item-text">', x["title"], "</span>")).otherwise(x["title"])
+    entry = lambda x: _text('<div class="row accessible-item"><a href="#" onclick="loadAgendaItem(', n(x), ')">', n(x), ". ", spoken(x), "</a> aside</div>")
+    inner = lambda x: F.when(x["k"] > 0, _text("<td> </td><td><b>", n(x), '.</b> of 9</td><td><a name="I', n(x), '"></a><a href="javascript:loadAgendaItem(0,false)">', x["title"], "</a><p>Recommendation: adopt <i>", n(x), "</i></p></td>")).otherwise(_text("<td>", n(x), '.</td><td><a name="S', n(x), '"></a>', x["title"], "</td><td>1.</td>"))  # noqa: E731, E501
+    link = lambda x: _text('<p><a href="javascript:loadAgendaItem(', n(x), ',false)">', x["title"], "</a></p>")
+    bordered = _text('<table style="BORDER-COLLAPSE:collapse">', _each(rows, lambda x: _text("<tr>", inner(x), "</tr>")), "<tr><td>none</td><td>no number</td></tr></table>")
+    form = F.when(rows[0]["s"] % 3 == 0, _each(rows, entry)).when(rows[0]["s"] % 3 == 1, bordered).otherwise(_each(rows, link))
+    return _text('<div class="accessible-item">no link</div>', form, '<a href="javascript:loadAgendaItem(999,false)">Adjournment</a>')
+
+
+@civic(
+    "src14_agenda_online",
+    f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY s) AS sequence, s::VARCHAR AS vendor_item_id, CASE WHEN form < 2 THEN s || '.' END AS number, title, CASE WHEN form = 1 AND k > 0 THEN 'adopt ' || s END AS recommendation
+FROM (SELECT *, min(s) OVER (PARTITION BY page_id) % 3 AS form, row_number() OVER (PARTITION BY page_id, s ORDER BY {_ORDER}) AS r FROM {_ITEMS}) WHERE r = 1""",
+)
+def _(c: Catalog):
+    return vendors.agendaonline_items(_tree(c, _pages(c, online_page)))
+
+
+def sectioned_page(rows: Column) -> Column:
+    """A list without heading and numbers, then two sections with both and an empty entry in the first; documents in lists between the entries."""
+    papers = lambda x: F.when(x["k"] > 0, _text('<ul class="x agenda_item_attachments"><li>', _links(x, "d"), '<a href="nameless.pdf"></a></li></ul>')).otherwise("")
+    plain = lambda x: _text("<li>", x["s"].cast("string"), ". ", x["title"], "</li>", papers(x))
+    numbered = lambda x: _text("<li><num>", x["s"].cast("string"), ".</num> <b>", x["title"], "</b></li>", papers(x))
+    part = lambda letter, first: _text(f'<section class="agenda-section"><h2 class="section-header">Section <i>{letter}</i></h2><ul class="agenda-items">{first}', _each(_of(rows, letter), numbered), '</ul><ul class="agenda-items"><li>second list</li></ul></section>')
+    return _text('<section class="agenda-section"><ol class="agenda-items">', _each(_of(rows, None), plain), "</ol></section>", part("A", "<li> </li>"), part("R", ""), "<ul class='agenda-items'><li>in no section</li></ul>")
+
+
+@civic(
+    "src19_municode",
+    f"""SELECT page_id, sequence, CASE WHEN summary IS NULL THEN sequence ELSE s END::VARCHAR AS number, 'Section ' || right(summary, 1) AS section, title, {_DOCS} AS attachments
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY summary NULLS FIRST, {_ORDER}) + (summary IS NOT NULL)::BIGINT AS sequence FROM {_ITEMS})""",
+)
+def _(c: Catalog):
+    items = vendors.municode_items(_tree(c, _pages(c, sectioned_page)))
+    return items.withColumn("attachments", F.array_join(F.transform("attachments", lambda x: x["name"]), ","))
+
+
+def covers_page(rows: Column) -> Column:
+    """Links to cover sheets; one without text stands beside its title."""
+    n = lambda x: x["s"].cast("string")
+    cell = lambda x: F.when(x["k"] > 0, _text("No. ", n(x), ' <a href="CoverSheet.aspx?ItemID=', n(x), '&amp;MeetingID=1">', x["title"], "</a>")).otherwise(_text(x["title"], ' <a href="coversheet.ASPX?ItemID=', n(x), '"><img alt="item"></a>'))
+    return _text('<table class="agenda">', _each(rows, lambda x: _text("<tr><td>", cell(x), '<td><a href="DisplayAgendaPDF.ashx?ID=1">PDF</a></tr>')), '</table><a href="CoverSheet.aspx?ItemID=">no number</a>')
+
+
+@civic("src20_novus", f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY {_ORDER}) AS sequence, s::VARCHAR AS vendor_item_id, title FROM {_ITEMS}")
+def _(c: Catalog):
+    return vendors.novus_items(_tree(c, _pages(c, covers_page)))
+
+
+def levelled_page(rows: Column) -> Column:
+    """An even number of items: sections, a sub-section and items by level, those without a section named by their descriptions; an odd one: one level."""
+    docs = lambda x: F.when(x["k"] > 0, _text('<div class="documents">', F.replace(_links(x, "d"), F.lit("<a "), F.lit('<a class="file" ')), '<a href="other.pdf">other</a></div>')).otherwise("")
+    head = lambda level, title: f'<div class="item level{level}"><div class="bullet"><span>I.</span></div><div class="title">{title}</div><div class="desc"><br></div></div>'
+    item = lambda level, said=False: lambda x: _text(f'<div class="item level{level}"><div class="bullet"><b><span>', x["s"].cast("string"), '.</span></b></div><div class="title">', *(("Resolution 7</div>", '<div class="desc"><p>', x["title"], "</p><p>more</p></div>") if said else (x["title"], "</div>")), docs(x), "</div>")
+    deep = _text('<div id="divItems">', _each(_of(rows, None), item(2, True)), head(1, "Section A"), _each(_of(rows, "A"), item(3)), head(1, "Section R"), head(2, "Group"), _each(_of(rows, "R"), item(3)), "</div>", head(3, "outside"))
+    return F.when(F.size(rows) % 2 == 0, deep).otherwise(_text(head(1, "Roll Call:"), _each(rows, item(1))))
+
+
+@civic(
+    "src21_civicplus",
+    f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN deep THEN summary END NULLS FIRST, {_ORDER}) AS sequence, s::VARCHAR AS number, CASE WHEN deep THEN 'Section ' || right(summary, 1) || CASE summary WHEN 'Summary R' THEN ' > Group' ELSE '' END END AS section, title, CASE WHEN deep AND summary IS NULL THEN title || ' more' END AS body, {_DOCS} AS attachments
+FROM (SELECT *, count(*) OVER (PARTITION BY page_id) % 2 = 0 AS deep FROM {_ITEMS})""",
+)
+def _(c: Catalog):
+    items = vendors.civicplus_items(_tree(c, _pages(c, levelled_page)))
+    return items.withColumn("attachments", F.array_join(F.transform("attachments", lambda x: x["name"]), ","))

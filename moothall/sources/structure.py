@@ -132,6 +132,11 @@ def page_tree(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, _FIELDS)
 
 
+def has_class(name: str, column: str = "cls") -> Column:
+    """Whether a class is among an element's classes."""
+    return F.array_contains(F.split(F.coalesce(column, F.lit("")), r"\s+"), name)
+
+
 def inside(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points with the columns of each span (page_id, s_open, s_close, ...) of the page that holds them."""
     return enclosing(points, spans, PAGE, "open", "s_open", "s_close", "size")
@@ -160,6 +165,18 @@ def links_in(tree: DataFrame, elements: DataFrame, url: str = ".") -> DataFrame:
     return held.select("page_id", F.col("s_open").alias("open"), F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url"))).alias("links"))
 
 
+def first_of(elements: DataFrame, parts: DataFrame) -> DataFrame:
+    """(page_id, open, part): the first of the parts that stand in an element and in no other of them within it."""
+    owner = nearest(parts, spans(elements), PAGE, "open", "s_open", "s_close", "size")
+    return owner.groupBy("page_id", "s_open").agg(F.min("open").alias("part")).select("page_id", F.col("s_open").alias("open"), "part")
+
+
+def first_text(tree: DataFrame, elements: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """(page_id, open, name): the text of each element's first part, null if that has none."""
+    words = text_in(tree, parts).select("page_id", F.col("open").alias("part"), F.col("text").alias(name))
+    return first_of(elements, parts).join(words, ["page_id", "part"], "left").select("page_id", "open", name)
+
+
 def next_sibling(tree: DataFrame, tag: str) -> DataFrame:
     """(page_id, open, n_open, n_close): for each element, the first sibling after it with the tag."""
     w = Window.partitionBy("page_id", "parent").orderBy("open").rowsBetween(1, Window.unboundedFollowing)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moothall.operators.intervals import enclosing, nearest
-from moothall.sources.structure import PAGE, inside, links_in, next_sibling, records, spans, text_in
+from moothall.sources.structure import PAGE, has_class, inside, links_in, next_sibling, records, spans, text_in
 
 #: Headings of sections, and entries that are no items.
 SECTIONS = (
@@ -23,11 +23,6 @@ def _names(links: Column) -> Column:
     return F.coalesce(F.transform(links, lambda x: F.coalesce(x["name"], F.lit("Supporting Document"))), F.array().cast("array<string>"))
 
 
-def _has(name: str, column: str = "cls") -> Column:
-    """Whether a class is among an element's classes."""
-    return F.array_contains(F.split(F.coalesce(column, F.lit("")), r"\s+"), name)
-
-
 def viewer_items(tree: DataFrame) -> DataFrame:
     """(page_id, open, number, section, title, attachments) of pages where an item is a small table and its documents stand in the block quote after it.
 
@@ -79,7 +74,7 @@ def grid_items(tree: DataFrame) -> DataFrame:
     """
     at = lambda df, name, *more: df.select("page_id", F.col("open").alias(name), *more)
     div = tree.where("tag = 'div'")
-    container = at(div.where(_has("container")), "parent")
+    container = at(div.where(has_class("container")), "parent")
     grid = at(div.where(F.col("style").contains("grid-column-start")).join(container, ["page_id", "parent"], "left_semi"), "parent")
     inner = div.join(grid, ["page_id", "parent"], "left_semi")
     first = Window.partitionBy("page_id", "parent").orderBy("open")
