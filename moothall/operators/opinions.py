@@ -77,6 +77,24 @@ def _axes(rows: DataFrame, by: str) -> DataFrame:
     return cells.groupBy(by, "i", "j").agg(F.sum("p").alias("sum")).groupBy(by).applyInPandas(directions, f"`{by}` {kind}, axes array<array<double>>")
 
 
+def _along(k: int) -> Column:
+    return _total(F.zip_with("row", F.col("axes")[k], lambda a, b: a * b))
+
+
+def participants(votes: DataFrame, by: str = "deliberation") -> DataFrame:
+    """(deliberation, users, comments) of the deliberations that can be clustered: at least three users who voted and two comments; rows with a null are left out."""
+    v = votes.select(by, "user_id", "comment_id", "vote").dropna()
+    return v.groupBy(by).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("comment_id").alias("comments")).where("users >= 3 and comments >= 2")
+
+
+def positions(votes: DataFrame, folder: str, by: str = "deliberation") -> DataFrame:
+    """(deliberation, user_id, x, y): the two centred principal components of each user's votes, as in cluster_opinions; all 0 where all users vote alike."""
+    rows = _centred(_clean(votes, by), by)
+    rows.write.parquet(f"{folder}/rows")
+    rows = votes.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return rows.join(_axes(rows, by), by).select(by, "user_id", _along(0).alias("x"), _along(1).alias("y"))
+
+
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -94,28 +112,53 @@ def _starts(rows: DataFrame, by: str, tries: int, seed: int) -> DataFrame:
     return picked.select(by, "start", F.transform("p", lambda x: x["row"]).alias("centres"))
 
 
-def _moved(rows: DataFrame, centres: DataFrame, by: str) -> DataFrame:
-    """One step of Lloyd's algorithm: (by, start, before, centres); a centre without rows stays where it is."""
-    near = rows.join(centres, by).select(by, "start", _nearest("row", "centres")["label"].alias("label"), F.posexplode("row").alias("at", "x"))
-    means = near.groupBy(by, "start", "label", "at").agg(F.avg("x").alias("x")).groupBy(by, "start").agg(F.sort_array(F.collect_list(F.struct("label", "at", "x"))).alias("new"))
+def _sums(near: DataFrame, by: str) -> DataFrame:
+    """(by, start, label, n, sums) of rows (by, row, labels): the rows of each label of each start added up, a batch at a time."""
+    kind = near.schema[by].dataType.simpleString()
+
+    def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for key, g in pdf.groupby(by):
+                m, labels = np.stack(g["row"].to_list()), np.stack(g["labels"].to_list())
+                cells = [(start, k, labels[:, start] == k) for start in range(labels.shape[1]) for k in np.unique(labels[:, start])]
+                yield pd.DataFrame({by: key, "start": [c[0] for c in cells], "label": [c[1] for c in cells], "n": [c[2].sum() for c in cells], "sums": [m[c[2]].sum(0) for c in cells]})
+
+    return near.mapInPandas(added, f"`{by}` {kind}, start int, label int, n long, sums array<double>")
+
+
+def _moved(rows: DataFrame, state: DataFrame, by: str) -> DataFrame:
+    """One step of Lloyd's algorithm on a deliberation's starts (by, moving, still); a centre without rows stays where it is.
+
+    moving and still are lists of (start, centres); a start none of whose
+    centres moves goes over to still and is looked at no more.
+    """
+    labels = F.transform("moving", lambda s: _nearest("row", s["centres"])["label"])
+    near = rows.select(by, "row").join(state.where(F.size("moving") > 0).select(by, "moving"), by).select(by, "row", labels.alias("labels"))
+    cells = _sums(near, by).select(by, "start", "label", "n", F.posexplode("sums").alias("at", "x")).groupBy(by, "start", "label", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    means = cells.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("start", "label", "at", "x"))).alias("new"))
 
-    def mean(c: Column, i: Column) -> Column:
-        own = F.transform(F.filter("new", lambda m: m["label"] == i), lambda m: m["x"])
+    def mean(c: Column, nth: Column, i: Column) -> Column:
+        own = F.transform(F.filter("new", lambda m: (m["start"] == nth) & (m["label"] == i)), lambda m: m["x"])
         return F.when(F.size(own) > 0, own).otherwise(c)
 
-    moved = F.transform("centres", mean)
-    return centres.join(means, [by, "start"]).select(by, "start", F.col("centres").alias("before"), moved.alias("centres"))
+    far = lambda a, b: F.exists(F.zip_with(a, b, lambda p, q: _total(F.zip_with(p, q, lambda x, y: F.abs(x - y)))), lambda d: d > 1e-8)
+    after = F.transform("moving", lambda s, nth: F.struct(s["start"].alias("start"), F.transform(s["centres"], lambda c, i: mean(c, nth, i)).alias("centres"), s["centres"].alias("before")))
+    told = state.join(means, by, "left").withColumn("after", after).withColumn("after", F.transform("after", lambda s: F.struct(s["start"].alias("start"), s["centres"].alias("centres"), far(s["before"], s["centres"]).alias("far"))))
+    of = lambda when: F.transform(F.filter("after", when), lambda s: F.struct(s["start"].alias("start"), s["centres"].alias("centres")))
+    return told.select(by, of(lambda s: s["far"]).alias("moving"), F.concat("still", of(lambda s: ~s["far"])).alias("still"))
 
 
 def cluster_opinions(votes: DataFrame, folder: str, by: str = "deliberation", tries: int = 10, steps: int = 100, seed: int = 42) -> DataFrame:
-    """Rows (deliberation, user_id, x, y, cluster) of the votes (deliberation, user_id, comment_id, vote), a missing vote being its comment's mean.
+    """Rows (deliberation, user_id, x, y, cluster, settled) of the votes (deliberation, user_id, comment_id, vote), a missing vote being its comment's mean.
 
     Positions are the two centred principal components; groups come from
     Lloyd's algorithm on all comments, the best of some starts, and are
-    numbered by their smallest user. Deliberations of fewer than three users
-    or two comments have no rows, rows with a null are left out, and of
-    repeated votes on one comment the highest counts. Each step's centres are
-    written under the folder, which all executors must share.
+    numbered by their smallest user. settled tells whether the centres of the
+    start that was chosen came to rest within the steps; if not, they are those
+    of the last step. Deliberations of fewer than three users or two comments
+    have no rows, rows with a null are left out, and of repeated votes on one
+    comment the highest counts. Each step's centres are written under the
+    folder, which all executors must share.
     """
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -123,20 +166,20 @@ def cluster_opinions(votes: DataFrame, folder: str, by: str = "deliberation", tr
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     rows = kept(_centred(_clean(votes, by), by), "rows")
-    centres = kept(_starts(rows, by, tries, seed), "start")
-    far = F.exists(F.zip_with("before", "centres", lambda a, b: _total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))), lambda d: d > 1e-8)
+    begun = _starts(rows, by, tries, seed).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("start", "centres"))).alias("moving"))
+    state = kept(begun.withColumn("still", F.slice("moving", 1, 0)), "start")
     for n in range(steps):
-        step = kept(_moved(rows, centres, by), f"step-{n}")
-        centres = step.drop("before")
-        if step.where(far).isEmpty():
+        state = kept(_moved(rows, state, by), f"step-{n}")
+        if state.where(F.size("moving") > 0).isEmpty():
             break
-    cost = rows.join(centres, by).select(by, "start", "centres", _nearest("row", "centres")["d"].alias("d")).groupBy(by, "start", "centres").agg(F.round(F.sum("d"), 6).alias("cost"))
-    best = cost.groupBy(by).agg(F.min_by("centres", F.struct("cost", "start")).alias("centres"))
-    dot = lambda k: _total(F.zip_with("row", F.col("axes")[k], lambda a, b: a * b))
-    placed = kept(rows.join(best, by).join(_axes(rows, by), by).select(by, "user_id", dot(0).alias("x"), dot(1).alias("y"), _nearest("row", "centres")["label"].alias("label")), "placed")
+    listed = lambda name, settled: state.select(by, F.explode(name).alias("s")).select(by, "s.*", F.lit(settled).alias("settled"))
+    centres = listed("still", True).unionByName(listed("moving", False))
+    cost = rows.join(centres, by).select(by, "start", "centres", "settled", _nearest("row", "centres")["d"].alias("d")).groupBy(by, "start", "centres", "settled").agg(F.round(F.sum("d"), 6).alias("cost"))
+    best = cost.groupBy(by).agg(F.min_by(F.struct("centres", "settled"), F.struct("cost", "start")).alias("b")).select(by, "b.*")
+    placed = kept(rows.join(best, by).join(_axes(rows, by), by).select(by, "user_id", "settled", _along(0).alias("x"), _along(1).alias("y"), _nearest("row", "centres")["label"].alias("label")), "placed")
     first = placed.groupBy(by, "label").agg(F.min("user_id").alias("first"))
     numbers = first.select(by, "label", (F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).cast("long").alias("cluster"))
-    return placed.join(numbers, [by, "label"]).select(by, "user_id", "x", "y", "cluster")
+    return placed.join(numbers, [by, "label"]).select(by, "user_id", "x", "y", "cluster", "settled")
 
 
 def cluster_results(votes: DataFrame, clusters: DataFrame, by: str = "deliberation") -> DataFrame:

@@ -62,6 +62,16 @@ def deliberations(c: Catalog):
     return c.opinions().withColumn("deliberation", F.col("user_id") % 4).groupBy("deliberation", "user_id", "comment_id").agg(F.max_by("vote", F.struct("ts", "event_id")).alias("vote"))
 
 
+@civic("clu01_participants", "SELECT deliberation, count(DISTINCT user_id) AS users, count(DISTINCT comment_id) AS comments FROM (SELECT *, date_trunc('hour', ts)::TIMESTAMP AS deliberation FROM opinions) GROUP BY 1 HAVING count(DISTINCT user_id) >= 3 AND count(DISTINCT comment_id) >= 2")
+def _(c: Catalog):
+    return opinions.participants(c.opinions().withColumn("deliberation", F.date_trunc("hour", "ts").cast("timestamp_ntz")))
+
+
+@civic("clu02_positions")
+def _(c: Catalog):
+    return opinions.positions(deliberations(c), shared_folder(c.spark, "positions"))
+
+
 @civic("clu04_opinion_clusters")
 def _(c: Catalog):
     return opinions.cluster_opinions(deliberations(c), shared_folder(c.spark, "clusters"))

@@ -10,7 +10,7 @@ from moothall.functions import ids, texts
 from moothall.operators import relational as R
 from moothall.operators import search
 from moothall.operators.merge import insert_absent, replace_children, upsert
-from moothall.operators.opinions import cluster_opinions, cluster_results, group_count
+from moothall.operators.opinions import cluster_opinions, cluster_results, group_count, participants, positions
 from moothall.sources.pages import rows_of
 
 
@@ -114,7 +114,25 @@ def test_opinion_clusters(spark, tmp_path):
     row = cluster_results(df, clusters).collect()
     assert [(r.deliberation, r.n_participants, r.n_comments, r.k, len(r.cluster_centers)) for r in row] == [(1, 10, 6, 2, 2)]
     assert {round(c.consensus, 6) for c in row[0].consensus} == {round((6 / 7 + 1 / 7) / 2, 6)}
+    assert got.settled.all()
     assert cluster_opinions(df.limit(0), str(tmp_path / "b")).count() == 0
+    assert [tuple(r) for r in participants(df).collect()] == [(1, 10, 6)]
+
+
+def test_positions(spark, tmp_path):
+    """Those of the clusters; all 0 where all vote alike; none below the guard."""
+    votes = [(1, u, c, 1 if (u < 5) == (c < 3) else -1) for u in range(10) for c in range(6)] + [(2, u, c, 1) for u in range(4) for c in range(3)] + [(3, 1, 1, 1), (3, 2, 2, 1), (4, 1, None, 1)]
+    df = spark.createDataFrame(votes, "deliberation long, user_id long, comment_id long, vote int")
+    got = {(r.deliberation, r.user_id): (round(r.x, 6), round(r.y, 6)) for r in positions(df, str(tmp_path / "a")).collect()}
+    assert got == {(r.deliberation, r.user_id): (round(r.x, 6), round(r.y, 6)) for r in cluster_opinions(df, str(tmp_path / "b")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, u): (0.0, 0.0) for u in range(4)} and {k[0] for k in got} == {1, 2}
+
+
+def test_steps_that_run_out_are_told(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(1, u, c, int(rng.integers(-1, 2))) for u in range(80) for c in range(6)], "deliberation long, user_id long, comment_id long, vote int")
+    one, many = (cluster_opinions(df, str(tmp_path / str(n)), steps=n).toPandas() for n in (1, 100))
+    assert not one.settled.any() and many.settled.all() and len(one) == len(many) == 80
 
 
 def test_opinion_clusters_against_numpy(spark, tmp_path):
