@@ -111,8 +111,8 @@ def train(sequences: list[list[tuple[bytes, int]]], languages: list[str], steps:
         fwd, bwd = forward_backward(p, a, lengths)
         post = fwd * bwd
         post /= post.sum(1, keepdims=True)
-        pair = fwd[inner][:, :, None] * a * (p[inner + 1] * bwd[inner + 1])[:, None, :]
-        pair = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+        left, right = fwd[inner], p[inner + 1] * bwd[inner + 1]
+        pair = a * ((left / ((left @ a) * right).sum(1, keepdims=True)).T @ right)
         by_word = truth - np.stack([np.bincount(x, post[:, c], len(vocabulary)) for c in range(k)], 1)
         grads = (np.stack([np.bincount(slot, by_word[word, c], SLOTS) for c in range(k)], 1) - 0.01 * slots, by_word * listed[:, None] - 0.01 * own, seen - pair - 0.01 * trans)
         for m, g, s in zip((slots, own, trans), grads, sums, strict=True):
