@@ -17,12 +17,18 @@ _ORDER = "s, title, summary NULLS FIRST, k, file NULLS FIRST, kind NULLS FIRST"
 _DOCS = "array_to_string(list_transform(range(1, k + 1), lambda j: 'Doc ' || j), ',')"
 
 
+def _spread(c: Catalog, rows: DataFrame) -> DataFrame:
+    """Rows by page_id in at least four tasks a core: a page's rows are small, but what is made of them isn't, so these tasks mustn't be joined by their rows' size."""
+    tasks = max(int(c.spark.conf.get("spark.sql.shuffle.partitions")), 4 * c.spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "page_id")
+
+
 def _pages(c: Catalog, render: Callable[[Column], Column]) -> DataFrame:
     """A page (page_id, url, html) for each meeting; render makes it of the list of its items."""
     m = c.matters().select(F.col("id").alias("matter_id"), "title", "file", "kind")
     i = c.items().select("meeting_id", F.col("sequence").alias("s"), "matter_id", "summary", F.col("n_attachments").alias("k")).join(m, "matter_id", "left")
     row = F.struct("s", F.coalesce("title", F.concat(F.lit("Item "), "s")).alias("title"), "summary", "k", "file", "kind")
-    listed = i.groupBy(F.col("meeting_id").alias("page_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    listed = _spread(c, i.withColumnRenamed("meeting_id", "page_id")).groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     return listed.select("page_id", F.lit("http://town.example/agenda/").alias("url"), F.concat(F.lit("<!DOCTYPE html><html><body>"), render(F.col("rows")), F.lit("</body></html>")).alias("html"))
 
 
@@ -62,7 +68,7 @@ def viewer_page(rows: Column) -> Column:
     f"SELECT page_id, CASE summary WHEN 'Summary A' THEN '901.' || chr(96 + s) WHEN 'Summary R' THEN '902.' || chr(96 + s) ELSE s::VARCHAR END AS number, CASE summary WHEN 'Summary A' THEN 'CONSENT AGENDA' WHEN 'Summary R' THEN 'PUBLIC HEARINGS' END AS section, title, {_DOCS} AS attachments FROM {_ITEMS}",
 )
 def _(c: Catalog):
-    items = viewers.viewer_items(_tree(c, _pages(c, viewer_page)))
+    items = viewers.viewer_items(structure.page_nodes(_pages(c, viewer_page)))
     return items.select("page_id", "number", "section", "title", F.array_join("attachments", ",").alias("attachments"))
 
 
@@ -81,7 +87,7 @@ def grid_page(rows: Column) -> Column:
 CASE WHEN k > 0 THEN 'http://town.example/agenda/main' || s || '.pdf' || CASE WHEN k > 1 THEN ',http://town.example/agenda/more.pdf' ELSE '' END ELSE '' END AS attachments FROM (SELECT *, right(summary, 1) AS sec FROM {_ITEMS} WHERE summary IS NOT NULL)""",
 )
 def _(c: Catalog):
-    items = viewers.grid_items(_tree(c, _pages(c, grid_page)))
+    items = viewers.grid_items(structure.page_nodes(_pages(c, grid_page)))
     return items.select("page_id", "number", "section", "title", "staff", "description", F.array_join("attachments", ",").alias("attachments"))
 
 
@@ -93,7 +99,7 @@ def table_page(rows: Column) -> Column:
 
 @civic("src10_table_items", f"SELECT page_id, s::VARCHAR AS number, coalesce(file, 'none') AS file, coalesce(kind, 'none') AS kind, title, 'http://town.example/agenda/LegislationDetail.aspx?ID=' || s AS url FROM {_ITEMS}")
 def _(c: Catalog):
-    return viewers.table_items(_tree(c, _pages(c, table_page))).select("page_id", "number", "file", "kind", "title", "url")
+    return viewers.table_items(structure.page_nodes(_pages(c, table_page))).select("page_id", "number", "file", "kind", "title", "url")
 
 
 def detail_page(rows: Column) -> Column:
@@ -106,7 +112,7 @@ def detail_page(rows: Column) -> Column:
 
 @civic("src11_attachments", f"SELECT page_id, title AS name, 'http://town.example/agenda/View.ashx?M=F&ID=' || s AS url FROM {_ITEMS}")
 def _(c: Catalog):
-    return viewers.detail_attachments(_tree(c, _pages(c, detail_page))).select("page_id", "name", "url")
+    return viewers.detail_attachments(structure.page_nodes(_pages(c, detail_page))).select("page_id", "name", "url")
 
 
 def accessible_page(rows: Column) -> Column:
@@ -118,7 +124,7 @@ def accessible_page(rows: Column) -> Column:
 
 @civic("src12_accessible_items", f"SELECT page_id, s::VARCHAR AS number, title, '26-' || lpad(s::VARCHAR, 4, '0') AS file, {_DOCS} AS attachments FROM {_ITEMS}")
 def _(c: Catalog):
-    items = viewers.accessible_items(_tree(c, _pages(c, accessible_page)))
+    items = viewers.accessible_items(structure.page_nodes(_pages(c, accessible_page)))
     return items.select("page_id", "number", "title", "file", F.array_join(F.transform("attachments", lambda x: x["name"]), ",").alias("attachments"))
 
 
@@ -145,7 +151,7 @@ def mixed_page(rows: Column) -> Column:
 FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM {_ITEMS})""",
 )
 def _(c: Catalog):
-    return viewers.vote_layouts(_tree(c, _pages(c, mixed_page)))
+    return viewers.vote_layouts(structure.page_nodes(_pages(c, mixed_page)))
 
 
 @civic(
@@ -210,9 +216,9 @@ FROM (SELECT committee_key AS page_id, id, title, date, count(*) OVER (PARTITION
 )
 def _(c: Catalog):
     row = F.struct("id", "title", F.col("date").cast("timestamp").alias("date"))
-    listed = c.meetings().groupBy(F.col("committee_key").alias("page_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    listed = _spread(c, c.meetings().withColumnRenamed("committee_key", "page_id")).groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     pages = listed.select("page_id", F.lit("http://town.example/agenda/").alias("url"), _text("<!DOCTYPE html><html><body>", listing_page(F.col("rows")), "</body></html>").alias("html"))
-    return listings.listed_meetings(_tree(c, pages)).drop("open")
+    return listings.listed_meetings(structure.page_nodes(pages)).drop("open")
 
 
 def online_page(rows: Column) -> Column:
@@ -233,7 +239,7 @@ def online_page(rows: Column) -> Column:
 FROM (SELECT *, min(s) OVER (PARTITION BY page_id) % 3 AS form, row_number() OVER (PARTITION BY page_id, s ORDER BY {_ORDER}) AS r FROM {_ITEMS}) WHERE r = 1""",
 )
 def _(c: Catalog):
-    return vendors.agendaonline_items(_tree(c, _pages(c, online_page)))
+    return vendors.agendaonline_items(structure.page_nodes(_pages(c, online_page)))
 
 
 def sectioned_page(rows: Column) -> Column:
@@ -251,7 +257,7 @@ def sectioned_page(rows: Column) -> Column:
 FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY summary NULLS FIRST, {_ORDER}) + (summary IS NOT NULL)::BIGINT AS sequence FROM {_ITEMS})""",
 )
 def _(c: Catalog):
-    items = vendors.municode_items(_tree(c, _pages(c, sectioned_page)))
+    items = vendors.municode_items(structure.page_nodes(_pages(c, sectioned_page)))
     return items.withColumn("attachments", F.array_join(F.transform("attachments", lambda x: x["name"]), ","))
 
 
@@ -264,7 +270,7 @@ def covers_page(rows: Column) -> Column:
 
 @civic("src20_novus", f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY {_ORDER}) AS sequence, s::VARCHAR AS vendor_item_id, title FROM {_ITEMS}")
 def _(c: Catalog):
-    return vendors.novus_items(_tree(c, _pages(c, covers_page)))
+    return vendors.novus_items(structure.page_nodes(_pages(c, covers_page)))
 
 
 def levelled_page(rows: Column) -> Column:
@@ -282,5 +288,5 @@ def levelled_page(rows: Column) -> Column:
 FROM (SELECT *, count(*) OVER (PARTITION BY page_id) % 2 = 0 AS deep FROM {_ITEMS})""",
 )
 def _(c: Catalog):
-    items = vendors.civicplus_items(_tree(c, _pages(c, levelled_page)))
+    items = vendors.civicplus_items(structure.page_nodes(_pages(c, levelled_page)))
     return items.withColumn("attachments", F.array_join(F.transform("attachments", lambda x: x["name"]), ","))

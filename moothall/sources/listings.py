@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moothall.functions.texts import parse_date
-from moothall.operators.intervals import nearest
-from moothall.sources.structure import PAGE, inside, spans, text_in
-
-
-def _has(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce("cls", F.lit("")), r"\s+"), name)
+from moothall.sources.structure import around, by_page, each, first, last, let, of_class, own_parts, text_of
 
 
 def listing_date(text: Column) -> Column:
@@ -27,28 +22,6 @@ def listing_date(text: Column) -> Column:
     return F.coalesce(read, F.timestamp_seconds(stamp).cast("timestamp_ntz"))
 
 
-def _meeting_rows(tree: DataFrame) -> DataFrame:
-    """(page_id, open, close, size, plain): rows of the listing's classes, or on pages without any the rows of its tables."""
-    tr = tree.where("tag = 'tr'")
-    keep = ["page_id", "open", "close", "size"]
-    classed = tr.where(_has("odd") | _has("even") | _has("listingRow")).select(*keep)
-    held = inside(tr.select(*keep), spans(tree.where((F.col("tag") == "table") & _has("listingTable")))).select(*keep).distinct()
-    other = held.join(classed.select("page_id").distinct(), "page_id", "left_anti")
-    return classed.withColumn("plain", F.lit(False)).unionByName(other.withColumn("plain", F.lit(True)))
-
-
-def _panels(tree: DataFrame, rows: DataFrame) -> DataFrame:
-    """(page_id, s_open, panel): the heading before the folding panel that holds the row."""
-    before = Window.partitionBy("page_id", "parent").orderBy("open").rowsBetween(Window.unboundedPreceding, -1)
-    div = tree.where("tag = 'div'")
-    tab = F.last(F.when(_has("CollapsiblePanelTab"), F.col("open")), ignorenulls=True).over(before)
-    content = div.withColumn("tab_open", tab).where(_has("CollapsiblePanelContent"))
-    names = text_in(tree, div.where(_has("CollapsiblePanelTab"))).select("page_id", F.col("open").alias("tab_open"), F.col("text").alias("panel"))
-    within = nearest(rows.select("page_id", "open", "size"), spans(content), PAGE, "open", "s_open", "s_close", "size")
-    placed = within.select("page_id", F.col("open").alias("row"), F.col("s_open").alias("open")).join(content.select("page_id", "open", "tab_open"), ["page_id", "open"])
-    return placed.join(names, ["page_id", "tab_open"]).select("page_id", F.col("row").alias("s_open"), "panel")
-
-
 def listed_meetings(tree: DataFrame) -> DataFrame:
     """(page_id, open, event_id, title, start, agenda_url, packet_url), one for each meeting that a page lists, by a page's nested sets.
 
@@ -59,25 +32,38 @@ def listed_meetings(tree: DataFrame) -> DataFrame:
     UUID in the latter, whose first twelve digits count. Of rows of a page
     with one number the first stays. A date that can't be read is null.
     """
-    rows = _meeting_rows(tree)
-    at = spans(rows)
-    td = tree.where((F.col("tag") == "td") & (_has("listItem") | _has("listedItem"))).withColumn("listed", _has("listedItem"))
-    cell = td.select("page_id", "open", "size", "listed").join(nearest(td, at, PAGE, "open", "s_open", "s_close", "size").select("page_id", "open", "s_open"), ["page_id", "open"])
-    nth = F.row_number().over(Window.partitionBy("page_id", "s_open").orderBy("open"))
-    cell = cell.withColumn("nth", nth).join(text_in(tree, td), ["page_id", "open"], "left")
-    shown = cell.groupBy("page_id", "s_open").agg(*(F.max(F.when(F.col("nth") == n + 1, F.col("text"))).alias(f"t{n}") for n in range(2)), F.count("*").alias("cells"), F.bool_or("listed").alias("listed"))
-    shown = shown.where("cells >= 2").join(rows.select("page_id", F.col("open").alias("s_open"), "plain"), ["page_id", "s_open"]).where("listed or not plain")
-    link = tree.where("tag in ('a', 'option') and url is not null").select("page_id", "open", "size", "tag", "url")
-    link = link.join(nearest(link, at, PAGE, "open", "s_open", "s_close", "size").select("page_id", "open", "s_open"), ["page_id", "open"])
-    viewer, first = F.col("url").contains("AgendaViewer"), lambda which: F.min_by("url", F.when(which, F.col("open")))
-    links = link.groupBy("page_id", "s_open").agg(first(viewer & (F.col("tag") == "a")).alias("a"), first(viewer & (F.col("tag") == "option")).alias("o"), first((F.col("tag") == "a") & F.lower("url").contains(".pdf")).alias("packet_url"))
-    m = shown.join(links.select("page_id", "s_open", F.coalesce("a", "o").alias("agenda_url"), "packet_url"), ["page_id", "s_open"]).where("agenda_url is not null or packet_url is not null")
-    number = F.nullif(F.regexp_extract(F.coalesce("agenda_url", "packet_url"), r"(?:event_id|clip_id)=(\d+)", 1), F.lit(""))
-    by_file = F.nullif(F.left(F.replace(F.regexp_extract("packet_url", "[a-f0-9-]{36}", 0), F.lit("-"), F.lit("")), F.lit(12)), F.lit(""))
-    m = m.withColumn("event_id", F.coalesce(number, by_file)).where("event_id is not null").join(_panels(tree, rows), ["page_id", "s_open"], "left")
+    pages, n = by_page(tree), F.col("nodes")
+    classed = lambda x: (x["tag"] == "tr") & (of_class(x, "odd") | of_class(x, "even") | of_class(x, "listingRow"))
+    listing = lambda x: (x["tag"] == "table") & of_class(x, "listingTable")
+    pages = pages.withColumn("plain", ~F.exists(n, classed))
+    row = lambda x: F.when(F.col("plain"), (x["tag"] == "tr") & around(n, x, listing).isNotNull()).otherwise(classed(x))
+    cell = lambda y: (y["tag"] == "td") & (of_class(y, "listItem") | of_class(y, "listedItem"))
+    link = lambda y: y["tag"].isin("a", "option") & y["url"].isNotNull()
+    content = lambda y: (y["tag"] == "div") & of_class(y, "CollapsiblePanelContent")
+    pages = pages.withColumn("rows", F.filter(n, row)).withColumn("at", F.col("rows")["at"]).withColumn("tabs", F.filter(n, lambda y: (y["tag"] == "div") & of_class(y, "CollapsiblePanelTab")))
+    within_row = lambda x, which: own_parts(n, x, lambda z: (z["tag"] == "tr") & F.array_contains("at", z["at"]), which)
+    panel = lambda x: let(around(n, x, content), lambda c: let(last(F.filter("tabs", lambda t: (t["up"] == c["up"]) & (t["at"] < c["at"]))), lambda t: text_of(n, t)))
+
+    def read(x: Column) -> Column:
+        def of(v: Column) -> Column:
+            viewer = lambda y: y["url"].contains("AgendaViewer")
+            url = lambda which: first(F.filter(v["links"], which))["url"]
+            agenda = F.coalesce(url(lambda y: viewer(y) & (y["tag"] == "a")), url(lambda y: viewer(y) & (y["tag"] == "option")))
+            packet = url(lambda y: (y["tag"] == "a") & F.lower(y["url"]).contains(".pdf"))
+            kept = (F.size(v["cells"]) >= 2) & (~F.col("plain") | F.exists(v["cells"], lambda y: of_class(y, "listedItem")))
+            return F.when(kept, F.struct(x["at"].alias("at"), x["open"].alias("open"), *(text_of(n, F.get(v["cells"], F.lit(k))).alias(f"t{k}") for k in range(2)), agenda.alias("agenda_url"), packet.alias("packet_url")))
+
+        return let(F.struct(within_row(x, cell).alias("cells"), within_row(x, link).alias("links")), of)
+
+    def numbered(m: Column) -> Column:
+        number = F.nullif(F.regexp_extract(F.coalesce(m["agenda_url"], m["packet_url"]), r"(?:event_id|clip_id)=(\d+)", 1), F.lit(""))
+        by_file = F.nullif(F.left(F.replace(F.regexp_extract(m["packet_url"], "[a-f0-9-]{36}", 0), F.lit("-"), F.lit("")), F.lit(12)), F.lit(""))
+        return F.struct(F.coalesce(number, by_file).alias("event_id"), m.alias("m"))
+
+    found = F.filter(F.transform(F.filter(F.transform("rows", read), lambda m: m.isNotNull()), numbered), lambda e: e["event_id"].isNotNull())
+    once = let(found, lambda every: F.filter(every, lambda e, i: F.array_position(every["event_id"], e["event_id"]) == i + 1))
+    m = each(pages, F.transform(once, lambda e: F.struct(e["event_id"].alias("event_id"), *(e["m"][c].alias(c) for c in ("open", "t0", "t1", "agenda_url", "packet_url")), panel(F.get(n, e["m"]["at"] - 1)).alias("panel"))))
     plain, swapped = listing_date(F.col("t1")), listing_date(F.col("t0"))
     turned = plain.isNull() & swapped.isNotNull()
     own = F.when(turned, F.when(F.lower("t1") != "agenda", F.col("t1"))).otherwise(F.col("t0"))
-    once = F.row_number().over(Window.partitionBy("page_id", "event_id").orderBy("s_open"))
-    m = m.withColumn("nth", once).where("nth = 1")
-    return m.select("page_id", F.col("s_open").alias("open"), "event_id", F.coalesce(own, "panel").alias("title"), F.coalesce(plain, swapped).alias("start"), "agenda_url", "packet_url")
+    return m.select("page_id", "open", "event_id", F.coalesce(own, "panel").alias("title"), F.coalesce(plain, swapped).alias("start"), "agenda_url", "packet_url")

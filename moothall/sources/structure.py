@@ -9,12 +9,15 @@ cell has.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +27,17 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 #: An opening tag ends these elements if they are open, as far up as the next of the others.
 _ENDS = {"li": ("li", "ul ol"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr td th", "table"), "p": ("p", "body div td th li article section blockquote"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select")}
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.items()}
+_NONE = (frozenset(), frozenset())
 #: A cell's spans count up to these, as in browsers.
 _MOST_COLS, _MOST_ROWS = 1000, 65534
-_FIELDS = "page_id long, open long, close long, size long, parent long, depth int, tag string, id string, cls string, style string, url string, key string, text string, tab long, row int, col int, wide int, high int"
-_COLUMNS = [f.split()[0] for f in _FIELDS.split(", ")]
+_NODE = "at int, held int, up int, open long, close long, parent long, depth int, tag string, id string, cls string, style string, url string, key string, text string, tab long, row int, col int, wide int, high int"
+_COLUMNS = [f.split()[0] for f in _NODE.split(", ")]
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+_STRUCT = pa.struct([(c, _TYPES[t]) for c, t in (f.split() for f in _NODE.split(", "))])
+#: Places of a node's fields that the parser fills late.
+_HELD, _CLOSE, _TAG = (_COLUMNS.index(c) for c in ("held", "close", "tag"))
+#: A batch from the parser ends with the page that reaches so many nodes.
+_MOST_NODES = 20_000
 PAGE = ("page_id",)
 
 
@@ -50,37 +60,93 @@ class _Grid:
         return max(self.row, 0), at
 
 
+#: Plain tags and text; _PLAIN_ATTR reads a tag's attributes. Whatever else a page has is left to html.parser.
+_SPACE = r"[ \t\r\n\f]"
+_ATTR = rf"""{_SPACE}+([a-zA-Z][a-zA-Z-]*)=(?:"([^"<>]*)"|'([^'<>]*)')"""
+_PLAIN = re.compile(rf"<(?:/([a-zA-Z][a-zA-Z0-9]*)>|([a-zA-Z][a-zA-Z0-9]*)((?:{_ATTR.replace('(', '(?:').replace('(?:?:', '(?:')})*)>)|([^<&]+)")
+_PLAIN_ATTR = re.compile(_ATTR)
+_PLAIN_PATH = re.compile(r"\w[\w-]*(?:\.\w+)*(?:\?[\w=&%+-]+)?", re.ASCII)
+_DOCTYPE = "<!DOCTYPE html>"
+#: Elements whose content isn't read as tags.
+_RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp plaintext".split())
+
+
+@lru_cache(64)
+def _folder(base: str) -> str | None:
+    """What a plain relative path is appended to."""
+    return urljoin(base, "x")[:-1] if re.match("https?://", base) else None
+
+
+def _full(base: str, href: str) -> str:
+    folder = _folder(base)
+    return folder + href if folder and _PLAIN_PATH.fullmatch(href) else urljoin(base, href)
+
+
 class _Tree(HTMLParser):
     def __init__(self, base: str) -> None:
         super().__init__()
-        self.base, self.at, self.rows, self.open, self.count, self.grids = base, 0, [], [], Counter(), []
+        self.base, self.at, self.rows, self.open, self.count, self.grids = base, 0, [], [], defaultdict(int), []
+
+    def plain(self, html: str) -> bool:
+        """Reads a page of plain tags and text as feed would; False, with part of it read, if it has anything else."""
+        at = len(_DOCTYPE) if html.startswith(_DOCTYPE) else 0
+        for m in _PLAIN.finditer(html, at):
+            if m.start() != at:
+                return False
+            at, kind = m.end(), m.lastindex
+            if kind == 4:
+                self.handle_data(m[4])
+            elif kind == 1:
+                self.handle_endtag(m[1].lower())
+            else:
+                tag, attrs = m[2].lower(), []
+                if tag in _RAW:
+                    return False
+                for name, one, other in _PLAIN_ATTR.findall(m[3]) if m[3] else ():
+                    value = one or other
+                    if "&" in value:
+                        rest = value.replace("&amp;", "")
+                        if "&" in rest and unescape(rest) != rest:
+                            return False
+                        value = value.replace("&amp;", "&")
+                    attrs.append((name.lower(), value))
+                self.handle_starttag(tag, attrs)
+        return at == len(html)
 
     def _close(self) -> None:
         row = self.open.pop()
-        self.count[row["tag"]] -= 1
+        tag = row[_TAG]
+        self.count[tag] -= 1
         self.at += 1
-        row["close"] = self.at
-        if row["tag"] == "table" and self.grids:
+        row[_CLOSE], row[_HELD] = self.at, len(self.rows) - row[0]
+        if tag == "table" and self.grids:
             self.grids.pop()
 
+    def _place(self) -> tuple[int, int, int, int, int, int, int]:
+        self.at += 1
+        up = self.open[-1] if self.open else None
+        return len(self.rows) + 1, 0, up[0] if up else 0, self.at, self.at, up[3] if up else 0, len(self.open)
+
     def handle_starttag(self, tag, attrs):
-        ended, within = _ENDS.get(tag, ((), ()))
-        if any(self.count[t] for t in ended):
-            last = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k]["tag"] in within), -1)
-            first = next((k for k in range(last + 1, len(self.open)) if self.open[k]["tag"] in ended), None)
+        ended, within = _ENDS.get(tag, _NONE)
+        if ended and any(self.count[t] for t in ended):
+            last = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][_TAG] in within), -1)
+            first = next((k for k in range(last + 1, len(self.open)) if self.open[k][_TAG] in ended), None)
             while first is not None and len(self.open) > first:
                 self._close()
-        a = {k: v or "" for k, v in attrs}
-        self.at += 1
-        href = a.get("href") or (a.get("value") if tag == "option" else None)
-        row = {"open": self.at, "close": self.at, "parent": self.open[-1]["open"] if self.open else 0, "depth": len(self.open), "tag": tag, "id": a.get("id"), "cls": a.get("class"), "style": a.get("style"), "url": urljoin(self.base, href) if href else None, "key": next((a[k] for k in ("data-itemid", "onclick", "name") if a.get(k)), None)}
+        a = {k: v or "" for k, v in attrs} if attrs else attrs
+        marks = (None, None, None, None, None)
+        if a:
+            href = a.get("href") or (a.get("value") if tag == "option" else None)
+            marks = (a.get("id"), a.get("class"), a.get("style"), _full(self.base, href) if href else None, a.get("data-itemid") or a.get("onclick") or a.get("name") or None)
+        cell = (None, None, None, None, None)
         if tag == "tr" and self.grids:
             self.grids[-1].next_row()
         if tag in ("td", "th") and self.grids:
-            span = lambda k, most: min(max(int(a[k]), 1), most) if a.get(k, "").isdecimal() else 1
-            row["wide"], row["high"] = span("colspan", _MOST_COLS), span("rowspan", _MOST_ROWS)
-            row["tab"] = self.grids[-1].at
-            row["row"], row["col"] = self.grids[-1].place(row["wide"], row["high"])
+            span = lambda k, most: min(max(int(a[k]), 1), most) if a and a.get(k, "").isdecimal() else 1
+            wide, high = span("colspan", _MOST_COLS), span("rowspan", _MOST_ROWS)
+            cell = (self.grids[-1].at, *self.grids[-1].place(wide, high), wide, high)
+        row = [*self._place(), tag, *marks, None, *cell]
         self.rows.append(row)
         if tag in _VOID:
             return
@@ -91,15 +157,14 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.count[tag]:
-            while self.count[tag] and self.open[-1]["tag"] != tag:
+            while self.count[tag] and self.open[-1][_TAG] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
         text = " ".join(data.split())
         if text and not (self.count["script"] or self.count["style"]):
-            self.at += 1
-            self.rows.append({"open": self.at, "close": self.at, "parent": self.open[-1]["open"] if self.open else 0, "depth": len(self.open), "tag": "#text", "text": text})
+            self.rows.append([*self._place(), "#text", None, None, None, None, None, text, None, None, None, None, None])
 
     def close(self):
         super().close()
@@ -107,11 +172,45 @@ class _Tree(HTMLParser):
             self._close()
 
 
-def tree_of(html: str | None, base: str | None) -> list[dict]:
+def tree_of(html: str | None, base: str | None) -> tuple[list[list], int]:
+    """A page's nodes, and its last number."""
     p = _Tree(base or "")
-    p.feed(html or "")
+    if not p.plain(html or ""):
+        p = _Tree(base or "")
+        p.feed(html or "")
     p.close()
-    return [r | {"size": p.at} for r in p.rows]
+    return p.rows, p.at
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(page_id, size, nodes) of pages (page_id, url, html): each page's elements and texts (tag #text) as one list in document order.
+
+    at is a node's place in the list, from 1; the held nodes after it are what
+    it holds, up is the place of the element around it (0: none). The other
+    fields are page_tree's. Pages without nodes have an empty list.
+    """
+
+    def batch(ids: list, sizes: list, offsets: list, rows: list) -> pa.RecordBatch:
+        fields = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_COLUMNS), _STRUCT, strict=True)]
+        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_STRUCT)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), nodes], ["page_id", "size", "nodes"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, sizes, offsets, rows = [], [], [0], []
+            for i, url, html in zip(*part.columns, strict=True):
+                nodes, size = tree_of(html.as_py(), url.as_py())
+                rows += nodes
+                ids.append(i.as_py())
+                sizes.append(size)
+                offsets.append(len(rows))
+                if len(rows) >= _MOST_NODES:
+                    yield batch(ids, sizes, offsets, rows)
+                    ids, sizes, offsets, rows = [], [], [0], []
+            if ids:
+                yield batch(ids, sizes, offsets, rows)
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, f"page_id long, size long, nodes array<struct<{re.sub(r'(\w+) (\w+)', r'\1:\2', _NODE)}>>")
 
 
 def page_tree(pages: DataFrame) -> DataFrame:
@@ -123,20 +222,64 @@ def page_tree(pages: DataFrame) -> DataFrame:
     without a beginning are skipped, elements left open end with what holds
     them. Null and empty pages have no rows.
     """
+    return page_nodes(pages).select("page_id", "size", F.inline("nodes"))
+
+
+def by_page(tree: DataFrame) -> DataFrame:
+    """A tree as (page_id, nodes), whether it is page_nodes' lists or page_tree's rows."""
+    if "nodes" in tree.columns:
+        return tree.select("page_id", "nodes")
+    return tree.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*_COLUMNS))).alias("nodes"))
+
+
+def within(nodes: Column, x: Column) -> Column:
+    """The nodes that an element holds, at the cost of these alone."""
+    return F.slice(nodes, x["at"] + 1, x["held"])
+
+
+def holds(x: Column, y: Column) -> Column:
+    return (x["at"] < y["at"]) & (y["at"] <= x["at"] + x["held"])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(i, *(r.get(c) for c in _COLUMNS[1:])) for i, url, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True) for r in tree_of(html, url)]
-            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, _FIELDS)
+def filled(text: Column) -> Column:
+    return F.when(text != "", text)
 
 
-def has_class(name: str, column: str = "cls") -> Column:
+def text_of(nodes: Column, x: Column, by: str = " ") -> Column:
+    """The text in an element, null without any."""
+    return filled(F.array_join(within(nodes, x)["text"], by))
+
+
+def links_of(nodes: Column, x: Column, url: str = ".") -> Column:
+    """The links in an element that match, in order, with their names."""
+    found = F.filter(within(nodes, x), lambda y: (y["tag"] == "a") & y["url"].rlike(url))
+    return F.transform(found, lambda y: F.struct(text_of(nodes, y).alias("name"), y["url"].alias("url")))
+
+
+def around(nodes: Column, x: Column, which: Callable[[Column], Column]) -> Column:
+    """The innermost element around a node that fits, else null; one step for each element around it."""
+    node = lambda at: F.get(nodes, at - 1)
+    steps = F.filter(F.sequence(F.lit(0), x["depth"]), lambda d: d > 0)
+    return node(F.aggregate(steps, x["up"], lambda at, _: F.when((at == 0) | F.coalesce(which(node(at)), F.lit(False)), at).otherwise(node(at)["up"])))
+
+
+def own_parts(nodes: Column, x: Column, element: Callable[[Column], Column], part: Callable[[Column], Column]) -> Column:
+    """The parts in an element that stand in no other such element within it, in order."""
+    held = F.filter(within(nodes, x), lambda y: part(y) | (element(y) & (y["held"] > 0)))
+    inner = F.filter(held, element)
+    return F.filter(held, lambda y: part(y) & ~F.exists(inner, lambda z: holds(z, y)))
+
+
+def has_class(name: str, column: str | Column = "cls") -> Column:
     """Whether a class is among an element's classes."""
     return F.array_contains(F.split(F.coalesce(column, F.lit("")), r"\s+"), name)
 
 
+def of_class(x: Column, name: str) -> Column:
+    """The same for a node; most are told by the plain search."""
+    return F.coalesce(x["cls"].contains(name), F.lit(False)) & has_class(name, x["cls"])
+
+
 def inside(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points with the columns of each span (page_id, s_open, s_close, ...) of the page that holds them."""
     return enclosing(points, spans, PAGE, "open", "s_open", "s_close", "size")
@@ -209,3 +352,27 @@ def records(tree: DataFrame) -> DataFrame:
     last = c.groupBy("page_id", "tab").agg(F.max("row").alias("last"))
     body = down.join(last, ["page_id", "tab"]).where("in_row <= last")
     return body.join(names, ["page_id", "tab", "at"], "left").select("page_id", "tab", F.col("in_row").alias("row"), F.nullif("name", F.lit("")).alias("name"), "text", "links")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first(of: Column) -> Column:
+    return F.get(of, F.lit(0))
+
+
+def last(of: Column) -> Column:
+    return F.try_element_at(of, F.lit(-1))
+
+
+def rows_in(cells: Column) -> Column:
+    """The cells of one table as a list for each row that has any."""
+    starts = F.filter(F.transform(cells, lambda c, i: F.when((i == 0) | (F.get(cells, i - 1)["row"] != c["row"]), i)), lambda i: i.isNotNull())
+    return let(starts, lambda s: F.transform(s, lambda i, k: F.slice(cells, i + 1, F.coalesce(F.get(s, k + 1), F.size(cells)) - i)))
+
+
+def each(pages: DataFrame, items: Column) -> DataFrame:
+    """A row for each of a page's items."""
+    return pages.select("page_id", F.explode_outer(items).alias("i")).where("i is not null").select("page_id", "i.*")

@@ -1,12 +1,11 @@
-"""Agenda pages of four vendors as joins over nested sets: what stands in an item, which list it is in, which heading is above it."""
+"""Agenda pages of four vendors as lists of nested nodes: what stands in an item, which list it is in, which heading is above it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moothall.operators.intervals import nearest
-from moothall.sources.structure import PAGE, first_of, first_text, has_class, inside, links_in, spans, text_in
+from moothall.sources.structure import around, by_page, each, first, holds, last, let, links_of, of_class, own_parts, rows_in, text_of, within
 
 #: Marks of items, titles that say nothing, and entries that are no items.
 _LOADS = r"loadAgendaItem\((\d+)"
@@ -16,18 +15,13 @@ _GENERIC = r"(?i)^(?:Consent|Resolution|Agreement|Purchase|Public Hearing|Presen
 _PROCEDURAL = ("call to order", "invocation", "pledge of allegiance", "roll call", "adjournment", "adjourn", "recess", "reconvene")
 
 
-def _upto(*by: str) -> Window:
-    return Window.partitionBy(*by).orderBy("open").rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _filled(text: str | Column) -> Column:
+def _filled(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
 
-def _once(items: DataFrame) -> DataFrame:
-    """The first of the items of a page with the same vendor_item_id."""
-    w = Window.partitionBy("page_id", "vendor_item_id").orderBy("open")
-    return items.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+def _once(items: Column) -> Column:
+    """The first of a page's items with the same vendor_item_id."""
+    return let(items, lambda every: F.filter(every, lambda x, i: F.array_position(every["vendor_item_id"], x["vendor_item_id"]) == i + 1))
 
 
 def agendaonline_items(tree: DataFrame) -> DataFrame:
@@ -39,47 +33,56 @@ def agendaonline_items(tree: DataFrame) -> DataFrame:
     loading links. A page's form is the first of these that finds an item, an
     item named twice counts once, items without a title are left out.
     """
-    a = tree.where("tag = 'a'")
-    said = text_in(tree, a)
-    boxes = tree.where("tag = 'div'").where(has_class("accessible-item"))
-    loaders = a.where(F.col("key").rlike(_LOADS))
-    entry = first_of(boxes, loaders).select("page_id", F.col("part").alias("open")).join(loaders.select("page_id", "open", F.regexp_extract("key", _LOADS, 1).alias("vendor_item_id")), ["page_id", "open"])
-    named = first_text(tree, loaders, tree.where("tag = 'span'").where(has_class("accessible-item-text")), "inner")
+    pages, n = by_page(tree), F.col("nodes")
+    loads = lambda x: F.regexp_extract(x, _LOADS, 1)
+    loader = lambda x: (x["tag"] == "a") & x["key"].rlike(_LOADS)
+    box = lambda x: (x["tag"] == "div") & of_class(x, "accessible-item")
     numbered = r"^(\d+\.?[A-Z]?\.?)\s+(.+)$"
-    split = F.col("text").rlike(numbered)
-    title = F.when(_filled("inner"), F.col("inner")).when(split, F.regexp_extract("text", numbered, 2)).otherwise(F.col("text"))
-    number = F.when(_filled("inner"), F.trim(F.replace("text", "inner", F.lit("")))).when(split, F.regexp_extract("text", numbered, 1)).otherwise("")
-    none = F.lit(None).cast("string").alias("recommendation")
-    listed = _once(entry).join(said, ["page_id", "open"]).join(named, ["page_id", "open"], "left").select("page_id", "open", "vendor_item_id", number.alias("number"), title.alias("title"), none, F.lit(0).alias("form"))
-
-    tables = tree.where("tag = 'table'").where(F.lower("style").contains("border-collapse")).select("page_id", F.col("open").alias("tab"))
-    td = tree.where("tag = 'td' and tab is not null").join(tables, ["page_id", "tab"], "left_semi")
-    bold = tree.where(F.col("tag").isin("b", "strong") | ((F.col("tag") == "span") & F.lower("style").rlike(r"font-weight:\s*bold")))
-    row = Window.partitionBy("page_id", "tab", "row").orderBy("col")
-    cells = td.select("page_id", "open", "close", "tab", "row", "col").join(text_in(tree, td), ["page_id", "open"], "left").join(first_text(tree, td, bold, "bold"), ["page_id", "open"], "left")
-    cells = cells.withColumn("next", F.lead(F.struct("open", "close", "text")).over(row)).withColumn("number", F.coalesce(F.nullif("bold", F.lit("")), "text")).where(F.col("number").rlike(_NUMBER))
-    body = cells.withColumn("r", F.row_number().over(row)).where("r = 1 and next is not null").select("page_id", "number", "next.*")
-    part = lambda df, name, value: first_of(body, df).join(df.select("page_id", F.col("open").alias("part"), value.alias(name)), ["page_id", "part"]).drop("part")
-    anchor = part(a.where(F.col("key").isNotNull() & ~F.col("key").rlike(_LOADS)), "anchor", F.regexp_replace("key", "^[SI]", ""))
-    loading = part(a.where(F.col("url").rlike(_LOADS)), "loads", F.regexp_extract("url", _LOADS, 1))
-    link = first_text(tree, body, a.where("url is not null"), "link").withColumn("linked", F.lit(True))
-    asked = tree.where("tag = '#text'").where(F.col("text").rlike("(?i)Recommendation:"))
-    held = first_of(body, asked).join(nearest(asked, spans(tree.where("tag in ('p', 'td')")), PAGE, "open", "s_open", "s_close", "size").withColumnRenamed("open", "part"), ["page_id", "part"])
-    around = held.select("page_id", F.col("s_open").alias("open")).distinct().join(tree.select("page_id", "open", "close"), ["page_id", "open"])
-    wish = held.join(text_in(tree, around).select("page_id", F.col("open").alias("s_open"), F.col("text").alias("wish")), ["page_id", "s_open"]).select("page_id", "open", F.nullif(F.trim(F.regexp_extract("wish", "(?s)Recommendation:(.*)$", 1)), F.lit("")).alias("recommendation"))
-    rows = body
-    for more in (anchor, loading, link, wish):
-        rows = rows.join(more, ["page_id", "open"], "left")
-    rows = rows.select("page_id", "open", F.coalesce(F.nullif("anchor", F.lit("")), "loads").alias("vendor_item_id"), "number", F.when(F.col("linked"), F.col("link")).otherwise(F.col("text")).alias("title"), "recommendation", F.lit(1).alias("form"))
-    rows = _once(rows.where(_filled("title") & F.col("vendor_item_id").isNotNull()))
-
-    plain = _once(a.where(F.col("url").rlike(_LOADS)).select("page_id", "open", F.regexp_extract("url", _LOADS, 1).alias("vendor_item_id"))).join(said, ["page_id", "open"])
-    plain = plain.where(~F.lower("text").isin(*_NO_ITEMS)).select("page_id", "open", "vendor_item_id", F.lit("").alias("number"), F.col("text").alias("title"), none, F.lit(2).alias("form"))
-
-    every = listed.where(_filled("title")).unionByName(rows).unionByName(plain.where(_filled("title")))
-    best = every.withColumn("best", F.min("form").over(Window.partitionBy("page_id"))).where("form = best")
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("open"))
-    return best.select("page_id", nth.cast("long").alias("sequence"), "vendor_item_id", F.nullif("number", F.lit("")).alias("number"), "title", "recommendation")
+    none = F.lit(None).cast("string")
+
+    def item(at: Column, key: Column, number: Column, title: Column, wish: Column = none) -> Column:
+        return F.struct(at.alias("at"), key.alias("vendor_item_id"), number.alias("number"), title.alias("title"), wish.alias("recommendation"))
+
+    def entry(a: Column) -> Column:
+        inner = first(own_parts(n, a, loader, lambda y: (y["tag"] == "span") & of_class(y, "accessible-item-text")))
+        two = F.struct(text_of(n, a).alias("text"), let(inner, lambda y: text_of(n, y)).alias("inner"))
+
+        def read(t: Column) -> Column:
+            split = t["text"].rlike(numbered)
+            title = F.when(t["text"].isNull(), none).when(_filled(t["inner"]), t["inner"]).when(split, F.regexp_extract(t["text"], numbered, 2)).otherwise(t["text"])
+            number = F.when(_filled(t["inner"]), F.trim(F.replace(t["text"], t["inner"], F.lit("")))).when(split, F.regexp_extract(t["text"], numbered, 1)).otherwise("")
+            return item(a["at"], loads(a["key"]), number, title)
+
+        return let(two, read)
+
+    entries = F.filter(F.transform(F.filter(n, box), lambda x: first(own_parts(n, x, box, loader))), lambda a: a.isNotNull())
+    listed = F.filter(_once(F.transform(F.array_sort(entries), entry)), lambda x: _filled(x["title"]))
+
+    tables = F.filter(n, lambda x: (x["tag"] == "table") & F.lower(x["style"]).contains("border-collapse"))
+    td = lambda x: (x["tag"] == "td") & F.array_contains(F.col("tables"), x["tab"])
+    bold = lambda x: x["tag"].isin("b", "strong") | ((x["tag"] == "span") & F.lower(x["style"]).rlike(r"font-weight:\s*bold"))
+    marked = lambda c: F.coalesce(let(first(own_parts(n, c, td, bold)), lambda y: text_of(n, y)), text_of(n, c))
+    beside = lambda row: F.filter(F.transform(row, lambda c, i: let(marked(c), lambda t: F.when(t.rlike(_NUMBER), F.struct(t.alias("number"), F.get(row, i + 1).alias("cell"))))), lambda x: x.isNotNull())
+    rows = F.flatten(F.transform(F.filter(n, lambda x: (x["tag"] == "table") & F.array_contains(F.col("tables"), x["open"])), lambda t: let(F.filter(within(n, t), lambda c: (c["tag"] == "td") & (c["tab"] == t["open"])), rows_in)))
+    found = F.array_sort(F.transform(F.filter(F.transform(rows, lambda row: first(beside(row))), lambda x: x["cell"].isNotNull()), lambda x: F.struct(x["cell"]["at"].alias("at"), x["number"].alias("number"), x["cell"].alias("cell"))))
+    body = lambda x: (x["tag"] == "td") & F.array_contains(F.col("bodies"), x["at"])
+    part = lambda c, which: first(own_parts(n, c, body, which))
+
+    def row_item(x: Column) -> Column:
+        c = x["cell"]
+        anchor = F.regexp_replace(part(c, lambda y: (y["tag"] == "a") & y["key"].isNotNull() & ~y["key"].rlike(_LOADS))["key"], "^[SI]", "")
+        loading = loads(part(c, lambda y: (y["tag"] == "a") & y["url"].rlike(_LOADS))["url"])
+        title = let(part(c, lambda y: (y["tag"] == "a") & y["url"].isNotNull()), lambda a: F.when(a.isNotNull(), text_of(n, a)).otherwise(text_of(n, c)))
+        asked = part(c, lambda y: y["text"].rlike("(?i)Recommendation:"))
+        wish = let(let(asked, lambda y: around(n, y, lambda z: z["tag"].isin("p", "td"))), lambda z: F.nullif(F.trim(F.regexp_extract(text_of(n, z), "(?s)Recommendation:(.*)$", 1)), F.lit("")))
+        return item(x["at"], F.coalesce(F.nullif(anchor, F.lit("")), loading), x["number"], title, wish)
+
+    by_row = _once(F.filter(F.transform(F.col("found"), row_item), lambda x: _filled(x["title"]) & x["vendor_item_id"].isNotNull()))
+    plain = _once(F.transform(F.filter(n, lambda x: (x["tag"] == "a") & x["url"].rlike(_LOADS)), lambda a: item(a["at"], loads(a["url"]), F.lit(""), text_of(n, a))))
+    plain = F.filter(plain, lambda x: _filled(x["title"]) & ~F.lower(x["title"]).isin(*_NO_ITEMS))
+    pages = pages.withColumn("tables", tables["open"]).withColumn("found", found).withColumn("bodies", F.col("found")["at"]).withColumn("listed", listed).withColumn("rows", by_row)
+    best = F.when(F.size("listed") > 0, F.col("listed")).when(F.size("rows") > 0, F.col("rows")).otherwise(plain)
+    return each(pages, F.transform(best, lambda x, i: F.struct((i + 1).cast("long").alias("sequence"), x["vendor_item_id"].alias("vendor_item_id"), F.nullif(x["number"], F.lit("")).alias("number"), x["title"].alias("title"), x["recommendation"].alias("recommendation"))))
 
 
 def municode_items(tree: DataFrame) -> DataFrame:
@@ -91,29 +94,41 @@ def municode_items(tree: DataFrame) -> DataFrame:
     between entries belong to the last item before them; links without a name
     are left out.
     """
-    sections = tree.where("tag = 'section'").where(has_class("agenda-section"))
-    lists = first_of(sections, tree.where("tag in ('ul', 'ol')").where(has_class("agenda-items"))).select("page_id", F.col("part").alias("parent"), F.col("open").alias("s_open"))
-    li = tree.where("tag = 'li'").join(lists, ["page_id", "parent"]).withColumn("sequence", F.row_number().over(Window.partitionBy("page_id").orderBy("open")).cast("long"))
-    num = first_text(tree, li, tree.where("tag = 'num'"), "num")
-    heads = first_text(tree, sections, tree.where("tag = 'h2'").where(has_class("section-header")), "section").withColumnRenamed("open", "s_open")
-    read = li.select("page_id", "open", "parent", "s_open", "sequence").join(text_in(tree, li), ["page_id", "open"]).withColumn("title", F.trim(F.regexp_replace("text", r"^\d+\.\s*", ""))).where("title <> ''")
-    papers = tree.where("tag = 'ul'").where(has_class("agenda_item_attachments")).join(lists, ["page_id", "parent"], "left_semi")
-    both = read.select("page_id", "parent", "open", F.col("open").alias("item")).unionByName(papers.select("page_id", "parent", "open", F.lit(None).cast("long").alias("item")))
-    owned = both.withColumn("owner", F.last("item", ignorenulls=True).over(_upto("page_id", "parent"))).where("item is null and owner is not null")
-    links = owned.join(links_in(tree, papers), ["page_id", "open"]).groupBy("page_id", F.col("owner").alias("open")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("open", "links"))), lambda x: x["links"])).alias("links"))
-    out = read.join(num, ["page_id", "open"], "left").join(heads, ["page_id", "s_open"], "left").join(links, ["page_id", "open"], "left")
-    kept = F.filter(F.coalesce("links", F.array().cast("array<struct<name:string,url:string>>")), lambda x: x["name"].isNotNull())
-    return out.select("page_id", "sequence", F.coalesce(F.regexp_replace("num", r"\.+$", ""), F.col("sequence").cast("string")).alias("number"), "section", "title", kept.alias("attachments"))
+    pages, n = by_page(tree), F.col("nodes")
+    section = lambda x: (x["tag"] == "section") & of_class(x, "agenda-section")
+    papers = lambda x: (x["tag"] == "ul") & of_class(x, "agenda_item_attachments")
+    entry = lambda x: (x["tag"] == "li") & F.array_contains(F.col("at"), x["up"])
+    head = lambda x: let(first(own_parts(n, x, section, lambda y: (y["tag"] == "h2") & of_class(y, "section-header"))), lambda h: text_of(n, h))
+    lists = F.transform(F.filter(n, section), lambda x: F.struct(first(own_parts(n, x, section, lambda y: y["tag"].isin("ul", "ol") & of_class(y, "agenda-items"))).alias("l"), head(x).alias("section")))
+    title = lambda y: F.nullif(F.trim(F.regexp_replace(text_of(n, y), r"^\d+\.\s*", "")), F.lit(""))
+
+    def items(x: Column) -> Column:
+        kids = F.filter(within(n, x["l"]), lambda y: (y["up"] == x["l"]["at"]) & ((y["tag"] == "li") | papers(y)))
+        read = F.transform(kids, lambda y: F.struct(y.alias("y"), F.when(y["tag"] == "li", title(y)).alias("title")))
+
+        def owned(every: Column) -> Column:
+            starts = F.filter(F.transform(every, lambda e, i: F.when(e["title"].isNotNull(), i)), lambda i: i.isNotNull())
+            after = lambda s, i, k: F.filter(F.slice(every, i + 2, F.coalesce(F.get(s, k + 1), F.size(every)) - i - 1), lambda e: papers(e["y"]))
+            one = lambda e, mine: F.struct(
+                e["y"]["at"].alias("at"), let(first(own_parts(n, e["y"], entry, lambda y: y["tag"] == "num")), lambda y: text_of(n, y)).alias("num"), x["section"].alias("section"), e["title"].alias("title"),
+                F.filter(F.flatten(F.transform(mine, lambda e: links_of(n, e["y"]))), lambda a: a["name"].isNotNull()).alias("attachments"),
+            )
+            return let(starts, lambda s: F.transform(s, lambda i, k: one(F.get(every, i), after(s, i, k))))
+
+        return let(read, owned)
+
+    pages = pages.withColumn("lists", F.filter(lists, lambda x: x["l"].isNotNull())).withColumn("at", F.col("lists")["l"]["at"]).withColumn("li", F.filter(n, entry)["at"])
+    nth = lambda x: F.array_position("li", x["at"])
+    return each(pages, F.transform(F.array_sort(F.flatten(F.transform("lists", items))), lambda x: F.struct(nth(x).cast("long").alias("sequence"), F.coalesce(F.regexp_replace(x["num"], r"\.+$", ""), nth(x).cast("string")).alias("number"), x["section"].alias("section"), x["title"].alias("title"), x["attachments"].alias("attachments"))))
 
 
 def novus_items(tree: DataFrame) -> DataFrame:
     """(page_id, sequence, vendor_item_id, title) of pages whose items are links to cover sheets; a link without text has that of the table cell around it, if any, as title."""
+    pages, n = by_page(tree), F.col("nodes")
     cover = r"(?i)CoverSheet\.aspx\?ItemID="
-    a = tree.where("tag = 'a'").where(F.col("url").rlike(cover)).withColumn("sequence", F.row_number().over(Window.partitionBy("page_id").orderBy("open")).cast("long"))
-    td = tree.where("tag = 'td'")
-    around = nearest(a, spans(td), PAGE, "open", "s_open", "s_close", "size").join(text_in(tree, td).select("page_id", F.col("open").alias("s_open"), F.col("text").alias("cell")), ["page_id", "s_open"], "left")
-    out = a.select("page_id", "open", "sequence", "url").join(text_in(tree, a), ["page_id", "open"], "left").join(around, ["page_id", "open"], "left")
-    return out.select("page_id", "sequence", F.regexp_extract("url", cover + r"(\d+)", 1).alias("vendor_item_id"), F.coalesce("text", "cell").alias("title")).where("vendor_item_id <> ''")
+    title = lambda a: F.coalesce(text_of(n, a), let(around(n, a, lambda z: z["tag"] == "td"), lambda z: text_of(n, z)))
+    links = F.filter(n, lambda x: (x["tag"] == "a") & x["url"].rlike(cover))
+    return each(pages, F.transform(links, lambda a, i: F.struct((i + 1).cast("long").alias("sequence"), F.regexp_extract(a["url"], cover + r"(\d+)", 1).alias("vendor_item_id"), title(a).alias("title")))).where("vendor_item_id <> ''")
 
 
 def civicplus_items(tree: DataFrame) -> DataFrame:
@@ -125,29 +140,27 @@ def civicplus_items(tree: DataFrame) -> DataFrame:
     but procedural entries are items. A title that only says what kind of
     item it is gives way to the description's first paragraph.
     """
-    div = tree.where("tag = 'div'")
-    holder = div.where("id = 'divItems'").groupBy("page_id").agg(F.min("open").alias("holder"))
-    items = div.where(has_class("item")).join(holder, "page_id", "left").where("holder is null or parent = holder")
-    level = F.coalesce(F.try_element_at(F.regexp_extract_all("cls", F.lit(r"(?:^|\s)level(\d+)(?!\S)")), F.lit(1)).cast("int"), F.lit(1))
-    items = items.select("page_id", "open", "close", level.alias("level")).withColumn("flat", F.max(F.col("level") != 1).over(Window.partitionBy("page_id")) == F.lit(False))
-    of = lambda name: tree.where("tag <> '#text'").where(has_class(name))
-    bullets = inside(tree.where("tag = 'span'"), spans(of("bullet"))).dropDuplicates(["page_id", "open"])
-    desc = of("desc")
-    paragraphs = inside(tree.where("tag = 'p'"), spans(first_of(items, desc).select("page_id", F.col("part").alias("open")).join(desc.select("page_id", "open", "close"), ["page_id", "open"]))).dropDuplicates(["page_id", "open"])
-    files = inside(tree.where("tag = 'a' and url is not null").where(has_class("file")), spans(of("documents"))).dropDuplicates(["page_id", "open"])
-    owned = nearest(files, spans(items), PAGE, "open", "s_open", "s_close", "size").join(files.select("page_id", "open", "url"), ["page_id", "open"]).join(text_in(tree, files), ["page_id", "open"], "left")
-    papers = owned.groupBy("page_id", F.col("s_open").alias("open")).agg(F.transform(F.sort_array(F.collect_list(F.struct("open", F.coalesce("text", F.lit("Attachment")).alias("name"), "url"))), lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url"))).alias("attachments"))
-    for more in (first_text(tree, items, bullets, "bullet"), first_text(tree, items, of("title"), "title"), first_text(tree, items, desc, "body"), first_text(tree, items, paragraphs, "paragraph"), papers):
-        items = items.join(more, ["page_id", "open"], "left")
-    title = F.coalesce("title", F.lit(""))
-    number = F.regexp_replace(F.coalesce("bullet", F.lit("")), r"\.+$", "")
-    head = ~F.col("flat") & ((F.col("level") == 1) | ((F.col("level") == 2) & F.col("body").isNull() & F.col("attachments").isNull()))
-    order = _upto("page_id")
-    read = items.withColumn("head", head).withColumn("upper", F.last(F.when(F.col("head") & (F.col("level") == 1), F.struct("open", title.alias("t"))), ignorenulls=True).over(order)).withColumn("lower", F.last(F.when(F.col("head") & (F.col("level") == 2), F.struct("open", title.alias("t"))), ignorenulls=True).over(order))
-    under = F.when(F.col("upper").isNull() | (F.col("lower.open") > F.col("upper.open")), F.col("lower.t"))
-    procedural = F.col("flat") & F.lower(F.regexp_replace(title, ":+$", "")).isin(*_PROCEDURAL)
-    better = F.when(title.rlike(_GENERIC) & F.col("body").isNotNull(), F.coalesce("paragraph", "body")).otherwise(title)
-    named = F.coalesce(F.nullif(better, F.lit("")), F.concat(F.lit("Item "), number))
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("open")).cast("long")
-    out = read.where(~F.col("head") & ~procedural)
-    return out.select("page_id", nth.alias("sequence"), number.alias("number"), F.nullif(F.concat_ws(" > ", "upper.t", under), F.lit("")).alias("section"), named.alias("title"), "body", F.coalesce("attachments", F.array().cast("array<struct<name:string,url:string>>")).alias("attachments"))
+    pages, n = by_page(tree), F.col("nodes")
+    item = lambda x: (x["tag"] == "div") & of_class(x, "item") & (F.col("holder").isNull() | (x["up"] == F.col("holder")))
+    of = lambda name: lambda x: (x["tag"] != "#text") & of_class(x, name)
+    under = lambda y, name: around(n, y, lambda z: of_class(z, name)).isNotNull()
+    first_text = lambda x, which: let(first(own_parts(n, x, item, which)), lambda y: text_of(n, y))
+    level = lambda x: F.coalesce(F.try_element_at(F.regexp_extract_all(x["cls"], F.lit(r"(?:^|\s)level(\d+)(?!\S)")), F.lit(1)).cast("int"), F.lit(1))
+    files = lambda x: F.transform(own_parts(n, x, item, lambda y: (y["tag"] == "a") & y["url"].isNotNull() & of_class(y, "file") & under(y, "documents")), lambda y: F.struct(F.coalesce(text_of(n, y), F.lit("Attachment")).alias("name"), y["url"].alias("url")))
+    read = F.transform(F.filter(n, item), lambda x: F.struct(
+        x.alias("x"), level(x).alias("level"), F.regexp_replace(F.coalesce(first_text(x, lambda y: (y["tag"] == "span") & under(y, "bullet")), F.lit("")), r"\.+$", "").alias("number"), F.coalesce(first_text(x, of("title")), F.lit("")).alias("title"),
+        first(own_parts(n, x, item, of("desc"))).alias("desc"), first_text(x, of("desc")).alias("body"), files(x).alias("attachments"),
+    ))
+    head = lambda i: ~F.col("flat") & ((i["level"] == 1) | ((i["level"] == 2) & i["body"].isNull() & (F.size(i["attachments"]) == 0)))
+    pages = pages.withColumn("holder", first(F.filter(n, lambda x: (x["tag"] == "div") & (x["id"] == "divItems")))["at"]).withColumn("read", read).withColumn("flat", ~F.exists("read", lambda i: i["level"] != 1))
+    heads = lambda k: F.transform(F.filter("read", lambda i: head(i) & (i["level"] == k)), lambda i: F.struct(i["x"]["at"].alias("at"), i["title"].alias("t")))
+    pages = pages.withColumn("uppers", heads(1)).withColumn("lowers", heads(2)).withColumn("descs", F.filter(F.col("read")["desc"], lambda d: d.isNotNull()))
+    procedural = lambda i: F.col("flat") & F.lower(F.regexp_replace(i["title"], ":+$", "")).isin(*_PROCEDURAL)
+    paragraph = lambda i: first_text(i["x"], lambda y: (y["tag"] == "p") & F.exists("descs", lambda d: holds(d, y)))
+    better = lambda i: F.when(i["title"].rlike(_GENERIC) & i["body"].isNotNull(), F.coalesce(paragraph(i), i["body"])).otherwise(i["title"])
+    before = lambda i, of: last(F.filter(of, lambda h: h["at"] < i["x"]["at"]))
+    section = lambda u: F.nullif(F.concat_ws(" > ", u["upper"]["t"], F.when(u["upper"].isNull() | (u["lower"]["at"] > u["upper"]["at"]), u["lower"]["t"])), F.lit(""))
+    return each(pages, F.transform(F.filter("read", lambda i: ~head(i) & ~procedural(i)), lambda i, k: F.struct(
+        (k + 1).cast("long").alias("sequence"), i["number"].alias("number"), let(F.struct(before(i, "uppers").alias("upper"), before(i, "lowers").alias("lower")), section).alias("section"),
+        F.coalesce(F.nullif(better(i), F.lit("")), F.concat(F.lit("Item "), i["number"])).alias("title"), i["body"].alias("body"), i["attachments"].alias("attachments"),
+    )))

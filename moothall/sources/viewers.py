@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moothall.operators.intervals import enclosing, nearest
-from moothall.sources.structure import PAGE, has_class, inside, links_in, next_sibling, records, spans, text_in
+from moothall.sources.structure import around, by_page, each, filled, first, holds, last, let, links_of, of_class, own_parts, rows_in, text_of, within
 
 #: Headings of sections, and entries that are no items.
 SECTIONS = (
@@ -33,35 +32,32 @@ def viewer_items(tree: DataFrame) -> DataFrame:
     items, are no items. A quote belongs to the table or else to the div
     around it.
     """
-    tables = tree.where("tag = 'table'")
-    td = tree.where("tag = 'td' and tab is not null")
-    first = td.where("row = 0 and col <= 1 and wide = 1")
-    words = text_in(tree, first)
-    read = first.select("page_id", "open", "tab", "col").join(words, ["page_id", "open"], "left").groupBy("page_id", F.col("tab").alias("open")).agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("n"), F.max(F.when(F.col("col") == 1, F.coalesce("text", F.lit("")))).alias("t"))
-    number = F.rtrim(F.regexp_replace("n", r"\.+$", ""))
-    title = F.trim(F.regexp_replace(F.regexp_replace("t", r"^\[CA\]\s*", ""), r"(?s)\s*ACTION:.*$", ""))
-    entries = read.select("page_id", "open", number.alias("number"), title.alias("title")).where(F.col("number").isNotNull() & F.length("number").between(1, 5) & F.col("title").isNotNull())
-    after = next_sibling(tree, "blockquote")
-    holder = tables.select("page_id", "open", "size", "parent").join(tree.where("tag = 'div'").select("page_id", F.col("open").alias("parent"), F.lit(True).alias("in_div")), ["page_id", "parent"], "left")
-    own = after.select("page_id", "open", F.struct("n_open", "n_close").alias("q0"))
-    outer = after.select("page_id", F.col("open").alias("parent"), F.struct("n_open", "n_close").alias("q1"))
-    placed = holder.join(own, ["page_id", "open"], "left").join(outer, ["page_id", "parent"], "left")
-    quote = F.coalesce("q0", F.when(F.col("in_div"), F.col("q1")))
-    entries = entries.join(placed.select("page_id", "open", "size", quote["n_open"].alias("q_open"), quote["n_close"].alias("q_close")), ["page_id", "open"])
-    within = nearest(entries, spans(tree.where("tag = 'blockquote'")), PAGE, "open", "s_open", "s_close", "size")
-    entries = entries.join(within, ["page_id", "open"], "left")
-    plain = F.regexp_replace(F.regexp_replace("title", r"\s*\(.*\)\s*$", ""), rf"[\s.:,\-{_DASH}]+$", "")
-    ends = F.regexp_replace("title", r"\.+$", "").rlike(rf":$|\s[\-{_DASH}]\s*$")
-    top = entries.where("s_open is null").withColumn("heads", ends | (F.col("title") == "") | F.upper(plain).isin(*SECTIONS)).withColumn("plain", plain)
-    section = F.last(F.when(F.col("heads"), F.col("plain")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("open").rowsBetween(Window.unboundedPreceding, 0))
-    top = top.withColumn("section", section)
-    heads = top.where("heads and q_open is not null").select("page_id", F.col("q_open").alias("s_open"), F.col("q_close").alias("s_close"), F.col("number").alias("above"), F.col("plain").alias("section"))
-    below = inside(entries.where("s_open is not null and title <> ''").drop("s_open"), heads)
-    items = top.where(~F.col("heads") & ~F.lower(F.regexp_replace("title", r"\.+$", "")).isin(*PROCEDURAL)).select("page_id", "open", "number", "section", "title", "q_open", "q_close")
-    items = items.unionByName(below.select("page_id", "open", F.concat_ws(".", "above", "number").alias("number"), "section", "title", "q_open", "q_close"))
-    quotes = items.where("q_open is not null").select("page_id", F.col("q_open").alias("open"), F.col("q_close").alias("close"))
-    found = links_in(tree, quotes, "MetaViewer").select("page_id", F.col("open").alias("q_open"), "links")
-    return items.join(found, ["page_id", "q_open"], "left").select("page_id", "open", "number", F.nullif("section", F.lit("")).alias("section"), "title", _names(F.col("links")).alias("attachments"))
+    pages, n = by_page(tree), F.col("nodes")
+    node = lambda at: F.get(n, at - 1)
+    quote = lambda x: x["tag"] == "blockquote"
+    pages = pages.withColumn("quotes", F.filter(n, quote))
+    after = lambda x: first(F.filter("quotes", lambda q: (q["up"] == x["up"]) & (q["at"] > x["at"])))
+    ends = lambda t: F.regexp_replace(t, r"\.+$", "").rlike(rf":$|\s[\-{_DASH}]\s*$")
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"\s*\(.*\)\s*$", ""), rf"[\s.:,\-{_DASH}]+$", "")
+    title = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[CA\]\s*", ""), r"(?s)\s*ACTION:.*$", ""))
+
+    def entry(t: Column) -> Column:
+        cells = F.filter(within(n, t), lambda c: (c["tag"] == "td") & (c["tab"] == t["open"]) & (c["row"] == 0) & (c["col"] <= 1) & (c["wide"] == 1))
+        text = lambda c, col: F.array_max(F.transform(F.filter(c, lambda x: x["col"] == col), lambda x: F.coalesce(text_of(n, x), F.lit("") if col else F.lit(None).cast("string"))))
+        own = F.coalesce(after(t), F.when(node(t["up"])["tag"] == "div", after(node(t["up"]))))
+        whole = lambda r: F.when(r["number"].isNotNull() & F.length(r["number"]).between(1, 5) & r["title"].isNotNull(), F.struct(
+            t["at"].alias("at"), t["open"].alias("open"), r["number"].alias("number"), r["title"].alias("title"), own.alias("q"), around(n, t, quote).isNull().alias("top"),
+            (ends(r["title"]) | (r["title"] == "") | F.upper(plain(r["title"])).isin(*SECTIONS)).alias("heads"), plain(r["title"]).alias("plain"),
+        ))
+        return let(cells, lambda c: let(F.struct(F.rtrim(F.regexp_replace(text(c, 0), r"\.+$", "")).alias("number"), title(text(c, 1)).alias("title")), whole))
+
+    pages = pages.withColumn("entries", F.filter(F.transform(F.filter(n, lambda x: x["tag"] == "table"), entry), lambda e: e.isNotNull()))
+    pages = pages.withColumn("heads", F.filter("entries", lambda e: e["top"] & e["heads"])).withColumn("below", F.filter("entries", lambda e: ~e["top"] & (e["title"] != "")))
+    item = lambda e, number, section: F.struct(e["open"].alias("open"), number.alias("number"), F.nullif(section, F.lit("")).alias("section"), e["title"].alias("title"), _names(links_of(n, e["q"], "MetaViewer")).alias("attachments"))
+    items = F.filter("entries", lambda e: e["top"] & ~e["heads"] & ~F.lower(F.regexp_replace(e["title"], r"\.+$", "")).isin(*PROCEDURAL))
+    items = F.transform(items, lambda e: item(e, e["number"], last(F.filter("heads", lambda h: h["at"] < e["at"]))["plain"]))
+    inner = F.transform(F.filter("heads", lambda h: h["q"].isNotNull()), lambda h: F.transform(F.filter("below", lambda e: holds(h["q"], e)), lambda e: item(e, F.concat_ws(".", h["number"], e["number"]), h["plain"])))
+    return each(pages, F.concat(items, F.flatten(inner)))
 
 
 def grid_items(tree: DataFrame) -> DataFrame:
@@ -72,51 +68,48 @@ def grid_items(tree: DataFrame) -> DataFrame:
     the title, a link or plain text; brackets after the link are staff. Other
     divs beside it are the description, their documents attachments too.
     """
-    at = lambda df, name, *more: df.select("page_id", F.col("open").alias(name), *more)
-    div = tree.where("tag = 'div'")
-    container = at(div.where(has_class("container")), "parent")
-    grid = at(div.where(F.col("style").contains("grid-column-start")).join(container, ["page_id", "parent"], "left_semi"), "parent")
-    inner = div.join(grid, ["page_id", "parent"], "left_semi")
-    first = Window.partitionBy("page_id", "parent").orderBy("open")
-    inner = inner.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    heads = tree.where("tag in ('h2', 'h3')").join(at(inner, "parent"), ["page_id", "parent"], "left_semi")
-    heads = heads.withColumn("r", F.row_number().over(first)).where("r = 1").select("page_id", "open", "close", "size", "tag", "parent")
-    floats = tree.where(F.col("style").contains("float"))
-    in_head = inside(floats.where("tag = 'span'").select("page_id", "open", "close", "size"), spans(heads))
-    nth = F.row_number().over(Window.partitionBy("page_id", "s_open").orderBy("open"))
-    parts = in_head.withColumn("nth", nth).where("nth <= 2").join(text_in(tree, floats), ["page_id", "open"], "left")
-    two = parts.groupBy("page_id", F.col("s_open").alias("open")).agg(F.max(F.when(F.col("nth") == 1, F.col("text"))).alias("number"), F.max(F.when(F.col("nth") == 2, F.struct("open", "text"))).alias("content"))
-    beside = div.join(heads.select("page_id", "parent", F.col("open").alias("head"), F.col("tag").alias("kind")), ["page_id", "parent"]).select("page_id", "open", "close", "head", "kind", "style")
-    beside = beside.join(text_in(tree, beside.select("page_id", "open", "close")), ["page_id", "open"], "left").join(links_in(tree, beside.select("page_id", "open", "close")), ["page_id", "open"], "left")
-    lists = beside.groupBy("page_id", F.col("head").alias("open")).agg(
-        F.min(F.when(F.col("style").contains("float") & F.col("links").isNotNull(), F.struct("open", "text"))).alias("other"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.length("text") > 5, F.struct("open", "text")))), lambda x: x["text"]), "\n").alias("description"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("links").isNotNull(), F.struct("open", "links")))), lambda x: x["links"])).alias("more"),
-    )
-    read = heads.join(two, ["page_id", "open"], "left").join(lists, ["page_id", "open"], "left")
-    letter = F.last(F.when((F.col("tag") == "h2") & F.col("number").isNotNull(), F.regexp_replace("number", r"[.\x{a0}\s]+$", "")), ignorenulls=True)
-    read = read.withColumn("section", letter.over(Window.partitionBy("page_id").orderBy("open").rowsBetween(Window.unboundedPreceding, 0)))
-    items = read.where("tag = 'h3' and number is not null").withColumn("body", F.coalesce("content", "other"))
-    bodies = items.where("body is not null").select("page_id", F.col("body.open").alias("open")).join(tree.select("page_id", "open", "close"), ["page_id", "open"])
-    linked = links_in(tree, bodies).select("page_id", F.col("open").alias("b_open"), F.element_at("links", 1).alias("link"))
-    items = items.withColumn("b_open", F.col("body.open")).join(linked, ["page_id", "b_open"], "left")
-    title = F.coalesce("link.name", "body.text")
-    rest = F.when(F.col("body.text").startswith(F.col("link.name")), F.trim(F.col("body.text").substr(F.length("link.name") + 1, F.length("body.text"))))
-    papers = F.filter(F.coalesce("more", F.array().cast("array<struct<name:string,url:string>>")), lambda x: F.lower(x["url"]).rlike(r"cloudfront\.net|s3\.amazonaws\.com|\.pdf"))
-    every = F.array_distinct(F.concat(F.when(F.col("link").isNotNull(), F.array("link")).otherwise(F.slice(papers, 1, 0)), papers))
-    return items.where(F.coalesce(title, F.lit("")) != "").select("page_id", "open", F.regexp_replace("number", r"[\x{a0}\s]+$", "").alias("number"), "section", title.alias("title"), F.nullif(F.regexp_extract(rest, r"^\(([^)]+)\)", 1), F.lit("")).alias("staff"), F.nullif("description", F.lit("")).alias("description"), F.transform(every, lambda x: x["url"]).alias("attachments"))
+    pages, n = by_page(tree), F.col("nodes")
+    node = lambda at: F.get(n, at - 1)
+    kids = lambda x, which: F.filter(within(n, x), lambda y: (y["up"] == x["at"]) & which(y))
+    div, floats = lambda y: y["tag"] == "div", lambda y: F.coalesce(y["style"].contains("float"), F.lit(False))
+    cell = lambda x: div(x) & x["style"].contains("grid-column-start") & div(node(x["up"])) & of_class(node(x["up"]), "container")
+    held = F.transform(F.filter(n, cell), lambda x: let(first(kids(x, div)), lambda i: F.struct(i.alias("inner"), first(kids(i, lambda y: y["tag"].isin("h2", "h3"))).alias("head"))))
+    part = lambda y: F.struct(y["at"].alias("at"), text_of(n, y).alias("text"))
+
+    def read(x: Column) -> Column:
+        two = F.transform(F.slice(F.filter(within(n, x["head"]), lambda y: (y["tag"] == "span") & floats(y)), 1, 2), part)
+        beside = F.transform(kids(x["inner"], div), lambda y: F.struct(y["at"].alias("at"), text_of(n, y).alias("text"), floats(y).alias("floats"), links_of(n, y).alias("links")))
+        return let(F.struct(two.alias("two"), beside.alias("beside")), lambda v: F.struct(
+            x["head"]["at"].alias("at"), x["head"]["open"].alias("open"), x["head"]["tag"].alias("tag"), first(v["two"])["text"].alias("number"),
+            F.coalesce(F.get(v["two"], F.lit(1)), first(F.transform(F.filter(v["beside"], lambda b: b["floats"] & (F.size(b["links"]) > 0)), lambda b: F.struct(b["at"], b["text"])))).alias("body"),
+            F.array_join(F.filter(v["beside"], lambda b: F.length(b["text"]) > 5)["text"], "\n").alias("description"), F.flatten(v["beside"]["links"]).alias("more"),
+        ))
+
+    pages = pages.withColumn("read", F.transform(F.filter(held, lambda x: x["head"].isNotNull()), read))
+    pages = pages.withColumn("letters", F.filter("read", lambda r: (r["tag"] == "h2") & r["number"].isNotNull()))
+    letter = lambda r: F.regexp_replace(last(F.filter("letters", lambda h: h["at"] < r["at"]))["number"], r"[.\x{a0}\s]+$", "")
+    items = F.filter("read", lambda r: (r["tag"] == "h3") & r["number"].isNotNull())
+    out = each(pages, F.transform(items, lambda r: F.struct(
+        r["open"].alias("open"), F.regexp_replace(r["number"], r"[\x{a0}\s]+$", "").alias("number"), letter(r).alias("section"), r["body"]["text"].alias("said"), let(node(r["body"]["at"]), lambda b: first(links_of(n, b))).alias("link"),
+        F.nullif(r["description"], F.lit("")).alias("description"), F.filter(r["more"], lambda x: F.lower(x["url"]).rlike(r"cloudfront\.net|s3\.amazonaws\.com|\.pdf")).alias("papers"),
+    )))
+    title = F.coalesce("link.name", "said")
+    rest = F.when(F.col("said").startswith(F.col("link.name")), F.trim(F.col("said").substr(F.length("link.name") + 1, F.length("said"))))
+    every = F.array_distinct(F.concat(F.when(F.col("link").isNotNull(), F.array("link")).otherwise(F.slice("papers", 1, 0)), F.col("papers")))
+    return out.where(F.coalesce(title, F.lit("")) != "").select("page_id", "open", "number", "section", title.alias("title"), F.nullif(F.regexp_extract(rest, r"^\(([^)]+)\)", 1), F.lit("")).alias("staff"), "description", F.transform(every, lambda x: x["url"]).alias("attachments"))
 
 
 def detail_attachments(tree: DataFrame) -> DataFrame:
     """(page_id, nth, name, url) of a matter's page: the links of its attachments' own element, else those of documents in the table or div around the first mention of attachments. Links without a name are left out."""
-    own = tree.where((F.col("tag") == "span") & (F.col("id") == "ctl00_ContentPlaceHolder1_lblAttachments2"))
-    words = tree.where("tag = '#text'").where(F.col("text").rlike("(?i)attachments?"))
-    said = words.groupBy("page_id").agg(F.min("open").alias("open")).join(tree.select("page_id", "open", "size"), ["page_id", "open"])
-    cell = nearest(said, spans(tree.where("tag in ('td', 'div', 'span', 'tr')")), PAGE, "open", "s_open", "s_close", "size").select("page_id", F.col("s_open").alias("open")).join(said.select("page_id", "size"), "page_id")
-    box = nearest(cell, spans(tree.where("tag in ('table', 'div')")), PAGE, "open", "s_open", "s_close", "size").select("page_id", F.col("s_open").alias("open")).join(tree.select("page_id", "open", "close"), ["page_id", "open"])
-    exact = links_in(tree, own.select("page_id", "open", "close")).groupBy("page_id").agg(F.min_by("links", "open").alias("exact"))
-    near = links_in(tree, box, r"(?i)View\.ashx\?").select("page_id", F.col("links").alias("near"))
-    links = exact.join(near, "page_id", "full").select("page_id", F.posexplode(F.filter(F.coalesce("exact", "near"), lambda x: x["name"].isNotNull())).alias("nth", "l"))
-    return links.select("page_id", "nth", "l.name", "l.url")
+    pages, n = by_page(tree), F.col("nodes")
+    own = F.filter(n, lambda x: (x["tag"] == "span") & (x["id"] == "ctl00_ContentPlaceHolder1_lblAttachments2"))
+    exact = first(F.filter(F.transform(own, lambda x: links_of(n, x)), lambda links: F.size(links) > 0))
+    said = first(F.filter(n, lambda x: x["text"].rlike("(?i)attachments?")))
+    cell = let(said, lambda x: around(n, x, lambda z: z["tag"].isin("td", "div", "span", "tr")))
+    box = let(cell, lambda x: around(n, x, lambda z: z["tag"].isin("table", "div")))
+    near = let(box, lambda x: links_of(n, x, r"(?i)View\.ashx\?"))
+    named = F.filter(F.coalesce(exact, near), lambda x: x["name"].isNotNull())
+    return each(pages, F.transform(named, lambda x, i: F.struct(i.alias("nth"), x["name"].alias("name"), x["url"].alias("url"))))
 
 
 def accessible_items(tree: DataFrame) -> DataFrame:
@@ -128,37 +121,64 @@ def accessible_items(tree: DataFrame) -> DataFrame:
     as (26-2275) its file. Links after that word, and links to a PDF
     anywhere, are attachments. An item without a title has its number as one.
     """
-    leaf = tree.where("tag in ('span', 'a')")
-    words = tree.where("tag = '#text'").select("page_id", "open", "size", "text")
-    spot = nearest(words, spans(leaf), PAGE, "open", "s_open", "s_close", "size").select("page_id", "open", F.col("s_open").alias("leaf"))
-    of = leaf.select("page_id", F.col("open").alias("leaf"), "tag", "cls", "url", F.col("parent").alias("p"))
-    above = tree.where("tag = 'span'").select("page_id", F.col("open").alias("p"), F.col("cls").alias("p_cls"))
-    read = words.join(spot, ["page_id", "open"]).join(of, ["page_id", "leaf"]).join(above, ["page_id", "p"], "left").withColumn("text", F.trim(F.translate("text", " ", " ")))
-    page, order = Window.partitionBy("page_id"), Window.partitionBy("page_id").orderBy("open").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (F.col("tag") == "span") & F.col("text").rlike(r"^\d+\.$")
-    bold = F.min(F.when(numbered, F.struct("open", F.split("cls", r"\s+")[0].alias("c")))).over(page)["c"]
-    is_bold = F.array_contains(F.split(F.concat_ws(" ", "cls", "p_cls"), r"\s+"), F.col("bold"))
-    read = read.withColumn("bold", bold).withColumn("begins", F.coalesce(numbered & is_bold, F.lit(False)))
-    read = read.withColumn("item", F.sum(F.col("begins").cast("int")).over(order)).where("item > 0")
-    run = Window.partitionBy("page_id", "item").orderBy("open").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.col("text").rlike(r"(?i)^Attachments?\s*:?\s*$")
-    read = read.withColumn("mark", mark).withColumn("late", F.max(mark.cast("int")).over(run) > 0)
-    listed = lambda when, value: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("open", value.alias("v"))))), lambda x: x["v"])
-    plain = ~F.col("begins") & (F.col("tag") == "span")
-    out = read.groupBy("page_id", "item").agg(
-        F.max(F.when(F.col("begins"), F.rtrim(F.regexp_replace("text", r"\.$", "")))).alias("number"), F.array_join(listed(plain & ~F.col("late") & F.coalesce(is_bold, F.lit(False)), F.col("text")), " ").alias("title"),
-        F.min(F.when(~F.col("begins") & F.col("text").rlike(r"\(\d{2}-\d{3,5}\)"), F.struct("open", F.regexp_extract("text", r"\((\d{2}-\d{3,5})\)", 1).alias("f")))).alias("f"),
-        listed((F.col("tag") == "a") & F.col("url").isNotNull() & (F.col("late") | F.lower("url").contains(".pdf")), F.struct(F.col("text").alias("name"), "url")).alias("attachments"),
-    )
-    return out.select("page_id", F.col("item").alias("sequence"), "number", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Item "), "number")).alias("title"), F.col("f.f").alias("file"), "attachments")
+    pages, n = by_page(tree), F.col("nodes")
+    node = lambda at: F.get(n, at - 1)
+
+    def word(x: Column) -> Column:
+        above = lambda leaf: F.when(node(leaf["up"])["tag"] == "span", node(leaf["up"])["cls"])
+        return let(around(n, x, lambda z: z["tag"].isin("span", "a")), lambda leaf: F.when(leaf.isNotNull(), F.struct(x["at"].alias("at"), leaf["tag"].alias("tag"), leaf["cls"].alias("cls"), above(leaf).alias("p_cls"), leaf["url"].alias("url"), F.trim(F.translate(x["text"], "\xa0", " ")).alias("text"))))
+
+    numbered = lambda w: (w["tag"] == "span") & w["text"].rlike(r"^\d+\.$")
+    is_bold = lambda w: F.coalesce(F.array_contains(F.split(F.concat_ws(" ", w["cls"], w["p_cls"]), r"\s+"), F.col("bold")), F.lit(False))
+    mark = lambda w: w["text"].rlike(r"(?i)^Attachments?\s*:?\s*$")
+    pages = pages.withColumn("words", F.filter(F.transform(F.filter(n, lambda x: x["text"].isNotNull()), word), lambda w: w.isNotNull()))
+    pages = pages.withColumn("bold", F.split(first(F.filter("words", numbered))["cls"], r"\s+")[0])
+    starts = F.filter(F.transform("words", lambda w, i: F.when(numbered(w) & is_bold(w), i)), lambda i: i.isNotNull())
+    pages = pages.withColumn("starts", starts)
+
+    def item(words: Column, k: Column) -> Column:
+        more = F.slice(words, F.lit(2), F.size(words))
+        late = lambda w, m: F.coalesce(w["at"] >= m, F.lit(False))
+        title = lambda m: F.array_join(F.filter(more, lambda w: (w["tag"] == "span") & ~late(w, m) & is_bold(w))["text"], " ")
+        papers = lambda m: F.filter(more, lambda w: (w["tag"] == "a") & w["url"].isNotNull() & (late(w, m) | F.lower(w["url"]).contains(".pdf")))
+        number = F.rtrim(F.regexp_replace(first(words)["text"], r"\.$", ""))
+        file = F.regexp_extract(first(F.filter(more, lambda w: w["text"].rlike(r"\(\d{2}-\d{3,5}\)")))["text"], r"\((\d{2}-\d{3,5})\)", 1)
+        return let(first(F.filter(more, mark))["at"], lambda m: F.struct(
+            (k + 1).cast("long").alias("sequence"), number.alias("number"), F.coalesce(F.nullif(title(m), F.lit("")), F.concat(F.lit("Item "), number)).alias("title"), file.alias("file"),
+            F.transform(papers(m), lambda w: F.struct(w["text"].alias("name"), w["url"].alias("url"))).alias("attachments"),
+        ))
+
+    return each(pages, F.transform("starts", lambda i, k: let(F.slice("words", i + 1, F.coalesce(F.get("starts", k + 1), F.size("words")) - i), lambda words: item(words, k))))
 
 
 def table_items(tree: DataFrame, number: str = "agenda #", file: str = "file #", title: str = "title", kind: str = "type") -> DataFrame:
     """(page_id, tab, row, number, file, kind, title, url) of tables that have the title's heading: a row is an item, its parts are named by the headings (in either case), wherever the columns stand. Rows without a title are left out."""
-    r = records(tree).withColumn("name", F.lower(F.trim(F.regexp_replace("name", r"[:\s]+$", ""))))
-    part = lambda name: F.max(F.when(F.col("name") == name, F.col("text")))
-    out = r.groupBy("page_id", "tab", "row").agg(part(number).alias("number"), part(file).alias("file"), part(kind).alias("kind"), part(title).alias("title"), F.max(F.when(F.col("name") == file, F.element_at("links", 1)["url"])).alias("url"))
-    return out.where("title is not null")
+    pages, n = by_page(tree), F.col("nodes")
+    own_text = lambda c: filled(F.array_join(own_parts(n, c, lambda y: y["tab"].isNotNull(), lambda y: y["text"].isNotNull())["text"], " "))
+    tables = F.transform(F.filter(n, lambda x: x["tag"] == "table"), lambda t: F.struct(t["open"].alias("tab"), F.filter(within(n, t), lambda c: c["tab"] == t["open"]).alias("cells")))
+    tables = F.filter(tables, lambda t: F.size(t["cells"]) > 0)
+    pages = pages.select("page_id", "nodes", F.explode_outer(tables).alias("t")).where("t is not null").select("page_id", "nodes", "t.*")
+    th, reach = lambda c: c["tag"] == "th", lambda c: F.sequence(c["col"], c["col"] + c["wide"] - 1)
+    pages = pages.withColumn("data", F.when(F.exists("cells", th), F.array_distinct(F.filter("cells", lambda c: c["tag"] == "td")["row"])))
+    head = lambda c: F.when(F.col("data").isNotNull(), th(c) & ~F.array_contains("data", c["row"])).otherwise(c["row"] == 0)
+    heads = F.filter(F.flatten(F.transform(F.filter("cells", head), lambda c: let(own_text(c), lambda x: F.transform(reach(c), lambda at: F.struct(at.alias("at"), c["row"].alias("row"), x.alias("text")))))), lambda h: h["text"].isNotNull())
+    pages = pages.withColumn("heads", heads)
+    name = lambda at: F.array_join(F.array_sort(F.transform(F.filter("heads", lambda h: h["at"] == at), lambda h: F.struct(h["row"], h["text"])))["text"], " / ")
+    names = F.transform(F.array_distinct(F.col("heads")["at"]), lambda at: F.struct(at.alias("at"), F.lower(F.trim(F.regexp_replace(name(at), r"[:\s]+$", ""))).alias("name")))
+    pages = pages.withColumn("names", names).withColumn("body", F.filter("cells", lambda c: ~head(c))).withColumn("last", F.array_max(F.col("cells")["row"]))
+    called = lambda wanted: F.filter("names", lambda x: x["name"] == wanted)["at"]
+    pages = pages.withColumns({"at_number": called(number), "at_file": called(file), "at_kind": called(kind), "at_title": called(title)})
+    pages = pages.where(F.size("at_title") > 0).withColumn("tall", F.filter("body", lambda c: c["high"] > 1)).withColumn("runs", rows_in(F.col("body")))
+    reached = lambda r: F.filter("tall", lambda c: (c["row"] < r) & (c["row"] + F.least(c["high"], F.lit(1000)) > r))
+    begun = lambda k: first(F.get("runs", k))["row"]
+    # A row without a cell of its own has only those that reach down to it.
+    sheet = F.flatten(F.transform("runs", lambda run, k: F.transform(F.sequence(begun(k), F.coalesce(begun(k + 1) - 1, F.col("last"))), lambda r: F.struct(r.alias("row"), F.concat(F.when(r == begun(k), run).otherwise(F.slice(run, 1, 0)), reached(r)).alias("cells")))))
+    # Cells of one name: the greatest text, and the greatest address of a first link.
+    under = lambda cells, at: F.filter(cells, lambda c: F.exists(at, lambda a: (c["col"] <= a) & (a < c["col"] + c["wide"])))
+    text = lambda r, at: F.array_max(F.transform(under(r["cells"], at), own_text))
+    url = lambda r: F.array_max(F.transform(under(r["cells"], "at_file"), lambda c: first(links_of(n, c))["url"]))
+    rows = F.transform(sheet, lambda r: F.struct(F.col("tab").alias("tab"), r["row"].alias("row"), text(r, "at_number").alias("number"), text(r, "at_file").alias("file"), text(r, "at_kind").alias("kind"), text(r, "at_title").alias("title"), url(r).alias("url")))
+    return each(pages, F.filter(rows, lambda r: r["title"].isNotNull()))
 
 
 class Look(NamedTuple):
@@ -180,14 +200,6 @@ LOOKS = (
 )
 
 
-def _marked(tree: DataFrame, looks: Sequence[Look], part: str) -> DataFrame:
-    """(page_id, look, s_open, s_close, key): elements that a layout's pattern for the part fits, all layouts in one pass."""
-    cls = F.regexp_replace(F.trim("cls"), r"\s+", ".")
-    step = F.concat("tag", *(F.coalesce(F.concat(F.lit(mark), F.nullif(c, F.lit(""))), F.lit("")) for mark, c in ((".", cls), ("#", F.col("id")), ("~", F.col("style")), ("@", F.col("key")))))
-    which = F.array_compact(F.array(*(F.when(step.rlike(getattr(x, part)), F.lit(x.name)) for x in looks)))
-    return tree.where("tag <> '#text'").select("page_id", F.explode(which).alias("look"), F.col("open").alias("s_open"), F.col("close").alias("s_close"), "key")
-
-
 def vote_layouts(tree: DataFrame, looks: Sequence[Look] = LOOKS) -> DataFrame:
     """(page_id, layout, votes, sequence, vendor_item_id, number, title): each page's items by the layout that finds the most of them.
 
@@ -195,19 +207,34 @@ def vote_layouts(tree: DataFrame, looks: Sequence[Look] = LOOKS) -> DataFrame:
     earlier one of the list counts. Pages on which none finds an item have no
     row. Text counts for the innermost item around it.
     """
-    by = ("page_id", "look")
-    items = _marked(tree, looks, "item").where("s_open < s_close")
-    words = tree.where("tag = '#text'").select("page_id", "open", "size", "text")
-
-    def parts(part: str, name: str) -> DataFrame:
-        held = enclosing(words, _marked(tree, looks, part).drop("key"), PAGE, "open", "s_open", "s_close", "size").select(*by, "open", "size", "text").dropDuplicates([*by, "open"])
-        owner = nearest(held, items, by, "open", "s_open", "s_close", "size")
-        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("open", "text"))), lambda x: x["text"]), " ")
-        return held.join(owner, [*by, "open"]).groupBy(*by, "s_open").agg(text.alias(name))
-
-    found = parts("title", "title")
-    rank = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(looks) for x in (k.name, i))), F.col("look"))
-    best = found.groupBy(*by).agg(F.count("*").alias("votes")).groupBy("page_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), rank.alias("r"), "look")).alias("b")).select("page_id", F.col("b.look").alias("look"), (-F.col("b.v")).alias("votes"))
-    out = found.join(best, [*by]).join(parts("number", "number"), [*by, "s_open"], "left").join(items.select(*by, "s_open", "key"), [*by, "s_open"])
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("s_open"))
-    return out.select("page_id", F.col("look").alias("layout"), "votes", nth.cast("long").alias("sequence"), F.col("key").alias("vendor_item_id"), F.regexp_replace("number", r"\.$", "").alias("number"), "title")
+    pages, n = by_page(tree), F.col("nodes")
+    parts = ("item", "title", "number")
+
+    def marks(x: Column) -> Column:
+        cls = F.regexp_replace(F.trim(x["cls"]), r"\s+", ".")
+        step = F.concat(x["tag"], *(F.coalesce(F.concat(F.lit(mark), F.nullif(c, F.lit(""))), F.lit("")) for mark, c in ((".", cls), ("#", x["id"]), ("~", x["style"]), ("@", x["key"]))))
+        which = lambda s, part: F.array_compact(F.array(*(F.when(s.rlike(getattr(look, part)), F.lit(k)) for k, look in enumerate(looks))))
+        return F.when(x["text"].isNull(), let(step, lambda s: F.struct(*(which(s, part).alias(part) for part in parts))))
+
+    pages = pages.withColumn("marks", F.transform(n, marks))
+    fits = lambda x, part, k: F.coalesce(F.array_contains(F.get("marks", x["at"] - 1)[part], k), F.lit(False))
+
+    def text(x: Column, part: str, k: int) -> Column:
+        """The text of the item's parts; a part may also be the item, or reach around it."""
+        words = own_parts(n, x, lambda y: fits(y, "item", k), lambda y: y["text"].isNotNull() & around(n, y, lambda z: fits(z, part, k)).isNotNull())
+        return filled(F.array_join(words["text"], " "))
+
+    def found(k: int) -> Column:
+        items = F.transform(F.filter(n, lambda x: (x["held"] > 0) & fits(x, "item", k)), lambda x: F.struct(x.alias("x"), text(x, "title", k).alias("title")))
+        return F.filter(items, lambda i: i["title"].isNotNull())
+
+    for k in range(len(looks)):
+        pages = pages.withColumn(f"found{k}", found(k))
+    pages = pages.withColumn("most", F.greatest(*(F.size(f"found{k}") for k in range(len(looks))), F.lit(1)))
+
+    def chosen(k: int) -> Column:
+        number = lambda i: F.regexp_replace(text(i["x"], "number", k), r"\.$", "")
+        return F.transform(f"found{k}", lambda i, nth: F.struct(F.lit(looks[k].name).alias("layout"), F.col("most").cast("long").alias("votes"), (nth + 1).cast("long").alias("sequence"), i["x"]["key"].alias("vendor_item_id"), number(i).alias("number"), i["title"].alias("title")))
+
+    best = F.coalesce(*(F.when(F.size(f"found{k}") == F.col("most"), chosen(k)) for k in range(len(looks))))
+    return each(pages, best)
