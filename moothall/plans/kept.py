@@ -30,7 +30,7 @@ def _(c: Catalog):
 
 @civic("snk13_trending_sketches", f"SELECT entity, count(DISTINCT user_id) AS visitors FROM ratings WHERE ts::DATE BETWEEN DATE '{EVENTS_AS_OF}' - 6 AND DATE '{EVENTS_AS_OF}' GROUP BY 1")
 def _(c: Catalog):
-    """Visitors of the last seven days by sketches of days: most events first, then late ones, some of them twice."""
+    """Visitors of the last seven days by exact sets of days: most events first, then late ones, some of them twice."""
     at, r = shared_folder(c.spark, "sketches"), c.ratings()
     late = F.pmod(F.xxhash64("user_id", "ts"), F.lit(5)) == 0
     for load in (r.where(~late), r.where(late), r.where(late & (F.col("user_id") % 2 == 0))):

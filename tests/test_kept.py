@@ -48,6 +48,15 @@ def test_sketches_add_up(spark, events, tmp_path):
     assert got == {k: len({w for i, ts, w in EVENTS if ts and i % 3 == k and "2024-01-02" <= ts < "2024-01-05"}) for k in range(3)}
 
 
+def test_many_visitors_are_counted_exactly(spark, tmp_path):
+    """An estimate was off by some per cent from a few hundred visitors a key on."""
+    at = str(tmp_path / "many")
+    e = spark.range(40_000).selectExpr("timestamp'2024-01-01' + make_interval(0, 0, 0, id % 3) as ts", "id % 2 as k", "id div 4 as who")
+    for load in (e.where("who % 5 <> 0"), e.where("who % 5 = 0"), e.where("who % 10 = 0")):
+        daily.add_sketches(load, at, "k", "who")
+    assert {r["k"]: r["visitors"] for r in daily.trending(spark, at, "k", dt.date(2024, 1, 3)).collect()} == {0: 10_000, 1: 10_000}
+
+
 def test_replayed_batches_change_nothing(spark, tmp_path):
     q = JobQueue(spark, str(tmp_path / "q"))
     batch = spark.createDataFrame([(i, float(i % 10)) for i in range(30)], "job_id long, priority double")
