@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moothall.sources.pages import MOST_ROWS, arrow_schema, as_batch
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _KEPT = ("id", "data-itemid", "data-mig", "name", "onclick")
 
@@ -62,12 +64,20 @@ def nodes_of(html: str | None, base: str | None) -> list[tuple]:
 def page_nodes(pages: DataFrame) -> DataFrame:
     """Rows (page_id, nth, kind, path, text, url, key) of pages (page_id, url, html); null and empty pages have none."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = [(i, n, *row) for i, url, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True) for n, row in enumerate(nodes_of(html, url))]
-            yield pd.DataFrame(out, columns=["page_id", "nth", "kind", "path", "text", "url", "key"])
+    fields = "page_id long, nth int, kind string, path string, text string, url string, key string"
+    schema = arrow_schema(fields)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = []
+            for i, url, html in zip(*part.columns, strict=True):
+                out += ((i.as_py(), n, *row) for n, row in enumerate(nodes_of(html.as_py(), url.as_py())))
+                if len(out) >= MOST_ROWS:
+                    yield as_batch(out, schema)
+                    out = []
+            yield as_batch(out, schema)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, nth int, kind string, path string, text string, url string, key string")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, fields)
 
 
 @dataclass(frozen=True)
