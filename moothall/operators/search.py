@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +36,32 @@ def stem(word: str) -> str:
     return word[:-1] + "i" if word.endswith("y") and vowel(word[:-1]) else word
 
 
-def _stems(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: So many words are held as Python objects before they go to Arrow's buffers.
+MOST_WORDS = 50_000
+
+
+def _stems(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     known: dict[str, str] = {}
     for part in texts:
-        out = []
-        for t in part:
-            words = [w for w in re.findall(r"[^\W_]+", (t or "").lower()) if w not in STOP]
+        lists, out, held = [], [], 0
+        for k, t in enumerate(part):
+            words = [w for w in re.findall(r"[^\W_]+", (t.as_py() or "").lower()) if w not in STOP]
             for w in words:
                 if w not in known:
                     if len(known) > 200_000:
                         known.clear()
                     known[w] = stem(w)
             out.append([known.get(w) or stem(w) for w in words])
-        yield pd.Series(out)
+            held += len(words)
+            if held >= MOST_WORDS or k + 1 == len(part):
+                lists.append(pa.array(out, pa.list_(pa.string())))
+                out, held = [], 0
+        yield pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.string()))
 
 
 def tokens(*texts: Column) -> Column:
     """Stemmed lower-case words without stop words, in order."""
-    return F.pandas_udf(_stems, "array<string>")(F.concat_ws(" ", *texts))
+    return F.arrow_udf(_stems, "array<string>")(F.concat_ws(" ", *texts))
 
 
 def query_terms(query: str) -> list[str]:
