@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moothall.operators.search import STOP, query_terms, stem
+from moothall.operators.search import MOST_WORDS, STOP, query_terms, stem
 
 BUCKETS = 64
 #: BM25's usual weights.
@@ -18,26 +18,30 @@ K1, B = 1.2, 0.75
 _TOKEN = "array<struct<t:string,s:int,e:int>>"
 
 
-def _spots(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _spots(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     word, known = regex.compile(r"[\p{L}\p{N}]+"), {}
     for part in texts:
-        out = []
-        for text in part:
-            row = []
-            for m in word.finditer(text or ""):
+        lists, ends, found = [], [0], []
+        for k, text in enumerate(part):
+            for m in word.finditer(text.as_py() or ""):
                 w = m[0].lower()
                 if w not in known:
                     if len(known) > 200_000:
                         known.clear()
                     known[w] = None if w in STOP else stem(w)
-                row.append((known[w], m.start(), m.end()))
-            out.append(row)
-        yield pd.Series(out)
+                found.append((known[w], m.start(), m.end()))
+            ends.append(len(found))
+            if len(found) >= MOST_WORDS or k + 1 == len(part):
+                columns = zip(*found, strict=True) if found else [()] * 3
+                words = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["t", "s", "e"])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words))
+                ends, found = [0], []
+        yield pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.struct([("t", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))
 
 
 def spots(text: Column) -> Column:
     """Every word of a text, in order: its stem (null for words that no query needs), first character and end, from 0."""
-    return F.pandas_udf(_spots, _TOKEN)(text)
+    return F.arrow_udf(_spots, _TOKEN)(text)
 
 
 @dataclass(frozen=True)
