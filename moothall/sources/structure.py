@@ -34,8 +34,11 @@ _NODE = "at int, held int, up int, open long, close long, parent long, depth int
 _COLUMNS = [f.split()[0] for f in _NODE.split(", ")]
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 _STRUCT = pa.struct([(c, _TYPES[t]) for c, t in (f.split() for f in _NODE.split(", "))])
-#: Places of a node's fields that the parser fills late.
-_HELD, _CLOSE, _TAG = (_COLUMNS.index(c) for c in ("held", "close", "tag"))
+#: The parser's rows have a node's fields up to depth, what its tag says (tag to key), its text, and its cell's place (tab to high); these are read or filled late.
+_HELD, _CLOSE, _MARKS, _CELL = (_COLUMNS.index(c) for c in ("held", "close", "tag", "tab"))
+_TEXT, _NO_CELL, _TOP = ("#text", None, None, None, None, None), (None,) * 5, (0, 0, 0, 0)
+#: Different tags kept for an address.
+_MOST_TAGS = 2_000
 #: A batch from the parser ends with the page that reaches so many nodes.
 _MOST_NODES = 20_000
 PAGE = ("page_id",)
@@ -82,6 +85,45 @@ def _full(base: str, href: str) -> str:
     return folder + href if folder and _PLAIN_PATH.fullmatch(href) else urljoin(base, href)
 
 
+def _marked(base: str, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[tuple, int, int]:
+    """What a tag says of its node (tag, id, cls, style, url, key), and a cell's spans, 0 for other tags."""
+    a = {k: v or "" for k, v in attrs}
+    href = a.get("href") or (a.get("value") if tag == "option" else None)
+    marks = tag, a.get("id"), a.get("class"), a.get("style"), _full(base, href) if href else None, a.get("data-itemid") or a.get("onclick") or a.get("name") or None
+    if tag not in ("td", "th"):
+        return marks, 0, 0
+    span = lambda k, most: min(max(int(a[k]), 1), most) if a.get(k, "").isdecimal() else 1
+    return marks, span("colspan", _MOST_COLS), span("rowspan", _MOST_ROWS)
+
+
+def _plain_tag(base: str, source: str) -> tuple | None:
+    """(tag, marks or None for an end, whether it ends others, spans, void) of what stands between a tag's brackets; None if it isn't plain."""
+    m = _PLAIN.fullmatch(f"<{source}>")
+    if m is None:
+        return None
+    if m[1]:
+        return m[1].lower(), None, False, 0, 0, False
+    tag, attrs = m[2].lower(), []
+    if tag in _RAW:
+        return None
+    for name, one, other in _PLAIN_ATTR.findall(m[3]) if m[3] else ():
+        value = one or other
+        if "&" in value:
+            rest = value.replace("&amp;", "")
+            if "&" in rest and unescape(rest) != rest:
+                return None
+            value = value.replace("&amp;", "&")
+        attrs.append((name.lower(), value))
+    marks, wide, high = _marked(base, tag, attrs)
+    return tag, marks, tag in _ENDS, wide, high, tag in _VOID
+
+
+@lru_cache(64)
+def _tags(base: str) -> dict[str, tuple]:
+    """Tags read so far, of pages with one address, by what stands between their brackets; () for those that aren't plain."""
+    return {}
+
+
 class _Tree(HTMLParser):
     def __init__(self, base: str) -> None:
         super().__init__()
@@ -89,33 +131,45 @@ class _Tree(HTMLParser):
 
     def plain(self, html: str) -> bool:
         """Reads a page of plain tags and text as feed would; False, with part of it read, if it has anything else."""
-        at = len(_DOCTYPE) if html.startswith(_DOCTYPE) else 0
-        for m in _PLAIN.finditer(html, at):
-            if m.start() != at:
+        tags, rows, opened, count, grids = _tags(self.base), self.rows, self.open, self.count, self.grids
+        head, *parts = html[len(_DOCTYPE) if html.startswith(_DOCTYPE) else 0 :].split("<")
+        if "&" in head:
+            return False
+        self.handle_data(head)
+        for part in parts:
+            source, end, data = part.partition(">")
+            if (tag := tags.get(source)) is None:
+                if len(tags) >= _MOST_TAGS:
+                    tags.clear()
+                tag = tags[source] = _plain_tag(self.base, source) or ()
+            if not tag or not end or "&" in data:
                 return False
-            at, kind = m.end(), m.lastindex
-            if kind == 4:
-                self.handle_data(m[4])
-            elif kind == 1:
-                self.handle_endtag(m[1].lower())
+            name, marks, ended, wide, high, void = tag
+            if marks is None:
+                if count[name]:
+                    while count[name] and opened[-1][_MARKS][0] != name:
+                        self._close()
+                    self._close()
             else:
-                tag, attrs = m[2].lower(), []
-                if tag in _RAW:
-                    return False
-                for name, one, other in _PLAIN_ATTR.findall(m[3]) if m[3] else ():
-                    value = one or other
-                    if "&" in value:
-                        rest = value.replace("&amp;", "")
-                        if "&" in rest and unescape(rest) != rest:
-                            return False
-                        value = value.replace("&amp;", "&")
-                    attrs.append((name.lower(), value))
-                self.handle_starttag(tag, attrs)
-        return at == len(html)
+                if ended or wide or name in ("tr", "table"):
+                    self._begin(name, marks, wide, high)
+                else:
+                    self.at = at = self.at + 1
+                    up = opened[-1] if opened else _TOP
+                    row = [len(rows) + 1, 0, up[0], at, at, up[3], len(opened), marks, None, _NO_CELL]
+                    rows.append(row)
+                    if not void:
+                        opened.append(row)
+                        count[name] += 1
+            if data and (text := " ".join(data.split())):
+                self.at = at = self.at + 1
+                up = opened[-1] if opened else _TOP
+                rows.append([len(rows) + 1, 0, up[0], at, at, up[3], len(opened), _TEXT, text, _NO_CELL])
+        return True
 
     def _close(self) -> None:
         row = self.open.pop()
-        tag = row[_TAG]
+        tag = row[_MARKS][0]
         self.count[tag] -= 1
         self.at += 1
         row[_CLOSE], row[_HELD] = self.at, len(self.rows) - row[0]
@@ -124,29 +178,22 @@ class _Tree(HTMLParser):
 
     def _place(self) -> tuple[int, int, int, int, int, int, int]:
         self.at += 1
-        up = self.open[-1] if self.open else None
-        return len(self.rows) + 1, 0, up[0] if up else 0, self.at, self.at, up[3] if up else 0, len(self.open)
+        up = self.open[-1] if self.open else _TOP
+        return len(self.rows) + 1, 0, up[0], self.at, self.at, up[3], len(self.open)
 
-    def handle_starttag(self, tag, attrs):
+    def _begin(self, tag: str, marks: tuple, wide: int, high: int) -> None:
         ended, within = _ENDS.get(tag, _NONE)
         if ended and any(self.count[t] for t in ended):
-            last = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][_TAG] in within), -1)
-            first = next((k for k in range(last + 1, len(self.open)) if self.open[k][_TAG] in ended), None)
+            last = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][_MARKS][0] in within), -1)
+            first = next((k for k in range(last + 1, len(self.open)) if self.open[k][_MARKS][0] in ended), None)
             while first is not None and len(self.open) > first:
                 self._close()
-        a = {k: v or "" for k, v in attrs} if attrs else attrs
-        marks = (None, None, None, None, None)
-        if a:
-            href = a.get("href") or (a.get("value") if tag == "option" else None)
-            marks = (a.get("id"), a.get("class"), a.get("style"), _full(self.base, href) if href else None, a.get("data-itemid") or a.get("onclick") or a.get("name") or None)
-        cell = (None, None, None, None, None)
+        cell = _NO_CELL
         if tag == "tr" and self.grids:
             self.grids[-1].next_row()
-        if tag in ("td", "th") and self.grids:
-            span = lambda k, most: min(max(int(a[k]), 1), most) if a and a.get(k, "").isdecimal() else 1
-            wide, high = span("colspan", _MOST_COLS), span("rowspan", _MOST_ROWS)
+        if wide and self.grids:
             cell = (self.grids[-1].at, *self.grids[-1].place(wide, high), wide, high)
-        row = [*self._place(), tag, *marks, None, *cell]
+        row = [*self._place(), marks, None, cell]
         self.rows.append(row)
         if tag in _VOID:
             return
@@ -155,16 +202,19 @@ class _Tree(HTMLParser):
         if tag == "table":
             self.grids.append(_Grid(self.at))
 
+    def handle_starttag(self, tag, attrs):
+        self._begin(tag, *_marked(self.base, tag, attrs))
+
     def handle_endtag(self, tag):
         if self.count[tag]:
-            while self.count[tag] and self.open[-1][_TAG] != tag:
+            while self.count[tag] and self.open[-1][_MARKS][0] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
         text = " ".join(data.split())
         if text and not (self.count["script"] or self.count["style"]):
-            self.rows.append([*self._place(), "#text", None, None, None, None, None, text, None, None, None, None, None])
+            self.rows.append([*self._place(), _TEXT, text, _NO_CELL])
 
     def close(self):
         super().close()
@@ -191,8 +241,16 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     """
 
     def batch(ids: list, sizes: list, offsets: list, rows: list) -> pa.RecordBatch:
-        fields = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_COLUMNS), _STRUCT, strict=True)]
-        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_STRUCT)))
+        *places, marks, texts, cells = zip(*rows, strict=True) if rows else [()] * (_MARKS + 3)
+        columns = [pa.array(c, f.type) for c, f in zip(places, _STRUCT, strict=False)]
+        for repeated, first in ((marks, _MARKS), (cells, _CELL)):  # each different one goes to Arrow once
+            kinds = {m: k for k, m in enumerate(dict.fromkeys(repeated))}
+            at = pa.array([kinds[m] for m in repeated], pa.int32())
+            of = zip(*kinds, strict=True) if kinds else [()] * (len(_NO_CELL) if first == _CELL else len(_TEXT))
+            columns += [pa.array(c, _STRUCT[first + k].type).take(at) for k, c in enumerate(of)]
+            if first == _MARKS:
+                columns.append(pa.array(texts, pa.string()))
+        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_STRUCT)))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), nodes], ["page_id", "size", "nodes"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,15 +317,14 @@ def links_of(nodes: Column, x: Column, url: str = ".") -> Column:
 def around(nodes: Column, x: Column, which: Callable[[Column], Column]) -> Column:
     """The innermost element around a node that fits, else null; one step for each element around it."""
     node = lambda at: F.get(nodes, at - 1)
-    steps = F.filter(F.sequence(F.lit(0), x["depth"]), lambda d: d > 0)
+    steps = F.sequence(F.lit(0), x["depth"])  # the last finds nothing new
     return node(F.aggregate(steps, x["up"], lambda at, _: F.when((at == 0) | F.coalesce(which(node(at)), F.lit(False)), at).otherwise(node(at)["up"])))
 
 
 def own_parts(nodes: Column, x: Column, element: Callable[[Column], Column], part: Callable[[Column], Column]) -> Column:
     """The parts in an element that stand in no other such element within it, in order."""
-    held = F.filter(within(nodes, x), lambda y: part(y) | (element(y) & (y["held"] > 0)))
-    inner = F.filter(held, element)
-    return F.filter(held, lambda y: part(y) & ~F.exists(inner, lambda z: holds(z, y)))
+    inner = F.filter(within(nodes, x), lambda y: (y["held"] > 0) & element(y))
+    return let(inner, lambda i: F.filter(within(nodes, x), lambda y: part(y) & ~F.exists(i, lambda z: holds(z, y))))
 
 
 def has_class(name: str, column: str | Column = "cls") -> Column:

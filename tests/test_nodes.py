@@ -32,3 +32,11 @@ def test_no_rows_move_between_tasks(spark, parse):
     pages = structure.page_nodes(spark.createDataFrame([(1, "http://h/", "<p>x")], "page_id long, url string, html string"))
     plan = parse(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_equal_tags_are_read_once(monkeypatch):
+    read, real = [], structure._plain_tag
+    monkeypatch.setattr(structure, "_plain_tag", lambda base, source: read.append(source) or real(base, source))
+    structure._tags.cache_clear()
+    rows, _ = structure.tree_of('<table><tr><td class="a">x</td></tr></table>' * 50, "http://h/")
+    assert len(rows) == 200 and len(read) == 6
