@@ -221,8 +221,12 @@ def vote_layouts(tree: DataFrame, looks: Sequence[Look] = LOOKS) -> DataFrame:
 
     def text(x: Column, part: str, k: int) -> Column:
         """The text of the item's parts; a part may also be the item, or reach around it."""
-        words = own_parts(n, x, lambda y: fits(y, "item", k), lambda y: y["text"].isNotNull() & around(n, y, lambda z: fits(z, part, k)).isNotNull())
-        return filled(F.array_join(words["text"], " "))
+        fit = lambda z: fits(z, part, k)
+        whole = fit(x) | around(n, x, fit).isNotNull()
+        outer = F.filter(within(n, x), lambda y: (y["held"] > 0) & fit(y) & around(n, y, fit).isNull())
+        inner = F.filter(within(n, x), lambda y: (y["held"] > 0) & fits(y, "item", k))
+        held = F.when(whole, within(n, x)).otherwise(F.flatten(F.transform(outer, lambda y: within(n, y))))
+        return let(inner, lambda i: filled(F.array_join(F.filter(held, lambda y: y["text"].isNotNull() & ~F.exists(i, lambda z: holds(z, y)))["text"], " ")))
 
     def found(k: int) -> Column:
         items = F.transform(F.filter(n, lambda x: (x["held"] > 0) & fits(x, "item", k)), lambda x: F.struct(x.alias("x"), text(x, "title", k).alias("title")))
