@@ -11,15 +11,17 @@ from moothall.sources.structure import around, by_page, each, first, last, let,
 
 def listing_date(text: Column) -> Column:
     """The moment that a listing shows: a hidden epoch second before it, a weekday, and dashes or "at" before the clock are skipped; the epoch second counts only where nothing else can be read."""
-    raw = F.trim(F.regexp_replace(text, r"[\x{a0}\s]+", " "))
-    stamp = F.nullif(F.regexp_extract(raw, r"^\d{10}", 0), F.lit("")).cast("long")
-    plain = F.regexp_replace(raw, r"^\d{10}\s*", "")
-    plain = F.regexp_replace(plain, r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b,?\s*", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\s*/\s*", "/"), r"(?i)\s+(?:-|–|at)\s+", " ")
-    more = (F.try_to_timestamp(plain, F.lit(f)) for f in ("MMM d, yyyy h:mm a", "M/d/yy h:mm a", "M/d/yy"))
-    # A bare number isn't a date, though a cast would read four digits as a year.
-    read = F.when(plain.rlike(r"\D"), F.coalesce(parse_date(plain), *(m.cast("timestamp_ntz") for m in more)))
-    return F.coalesce(read, F.timestamp_seconds(stamp).cast("timestamp_ntz"))
+
+    def read(raw: Column) -> Column:
+        stamp = F.nullif(F.regexp_extract(raw, r"^\d{10}", 0), F.lit("")).cast("long")
+        plain = F.regexp_replace(raw, r"^\d{10}\s*", "")
+        plain = F.regexp_replace(plain, r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b,?\s*", "")
+        plain = F.regexp_replace(F.regexp_replace(plain, r"\s*/\s*", "/"), r"(?i)\s+(?:-|–|at)\s+", " ")
+        more = lambda p: (F.try_to_timestamp(p, F.lit(f)).cast("timestamp_ntz") for f in ("MMM d, yyyy h:mm a", "M/d/yy h:mm a", "M/d/yy"))
+        # A bare number isn't a date, though a cast would read four digits as a year; nor is what has no digit.
+        return F.coalesce(let(plain, lambda p: F.when(p.rlike(r"\D") & p.rlike(r"\d"), F.coalesce(parse_date(p), *more(p)))), F.timestamp_seconds(stamp).cast("timestamp_ntz"))
+
+    return let(F.trim(F.regexp_replace(text, r"[\x{a0}\s]+", " ")), read)
 
 
 def listed_meetings(tree: DataFrame) -> DataFrame:
@@ -61,9 +63,10 @@ def listed_meetings(tree: DataFrame) -> DataFrame:
         return F.struct(F.coalesce(number, by_file).alias("event_id"), m.alias("m"))
 
     found = F.filter(F.transform(F.filter(F.transform("rows", read), lambda m: m.isNotNull()), numbered), lambda e: e["event_id"].isNotNull())
-    once = let(found, lambda every: F.filter(every, lambda e, i: F.array_position(every["event_id"], e["event_id"]) == i + 1))
+    once = let(found, lambda every: let(every["event_id"], lambda ids: F.filter(every, lambda e, i: F.array_position(ids, e["event_id"]) == i + 1)))
     m = each(pages, F.transform(once, lambda e: F.struct(e["event_id"].alias("event_id"), *(e["m"][c].alias(c) for c in ("open", "t0", "t1", "agenda_url", "packet_url")), panel(F.get(n, e["m"]["at"] - 1)).alias("panel"))))
-    plain, swapped = listing_date(F.col("t1")), listing_date(F.col("t0"))
-    turned = plain.isNull() & swapped.isNotNull()
-    own = F.when(turned, F.when(F.lower("t1") != "agenda", F.col("t1"))).otherwise(F.col("t0"))
-    return m.select("page_id", "open", "event_id", F.coalesce(own, "panel").alias("title"), F.coalesce(plain, swapped).alias("start"), "agenda_url", "packet_url")
+    # Each cell is read once, the title's only where the other isn't a date.
+    dates = lambda plain: let(F.when(plain.isNull(), listing_date(F.col("t0"))), lambda swapped: F.struct(plain.alias("plain"), swapped.alias("swapped")))
+    m = m.withColumn("d", let(listing_date(F.col("t1")), dates))
+    own = F.when(F.col("d.swapped").isNotNull(), F.when(F.lower("t1") != "agenda", F.col("t1"))).otherwise(F.col("t0"))
+    return m.select("page_id", "open", "event_id", F.coalesce(own, "panel").alias("title"), F.coalesce("d.plain", "d.swapped").alias("start"), "agenda_url", "packet_url")
