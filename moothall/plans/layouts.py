@@ -168,11 +168,10 @@ def _(c: Catalog):
 
 def agenda_texts(c: Catalog) -> tuple[DataFrame, DataFrame]:
     """Text agendas (doc_id, text), lettered for even meetings and by records for odd ones, and links (doc_id, line, url) by the line that they stand on."""
-    pages = _pages(c, lambda rows: F.lit("")).select("page_id")
     m = c.matters().select(F.col("id").alias("matter_id"), "title")
     i = c.items().select(F.col("meeting_id").alias("page_id"), F.col("sequence").alias("s"), F.col("n_attachments").alias("k"), "matter_id", "item_id").join(m, "matter_id", "left")
     row = F.struct("item_id", "s", "k", F.coalesce("title", F.concat(F.lit("Item "), "s")).alias("title"))
-    listed = i.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("rows")).join(pages, "page_id")
+    listed = i.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     even = F.col("page_id") % 2 == 0
     number = lambda x, n: F.when(even, _text("H", n.cast("string"))).otherwise(_text("O2025-", F.lpad(n.cast("string"), 7, "0")))
     head = F.when(even, F.array(*map(F.lit, ("Cover", "H9. Not an item", "--- PAGE 1", "H. Presentations")))).otherwise(F.array(*map(F.lit, ("City Council", "ORDINANCES", "AMENDED", "none"))))

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moothall.sources.structure import let
+
 #: Lines of a block; a long text's blocks are read apart from each other.
 BLOCK = 256
 
@@ -50,11 +52,16 @@ def read_lines(texts: DataFrame, grammar: Grammar, block: int = BLOCK) -> DataFr
     """
     names, table = [n for n, _ in grammar.classes], grammar.table()
     moves = F.array(*(F.array(*map(F.lit, row)) for row in table))
-    kind = F.lit(len(names))
-    for i, (_, pattern) in reversed(list(enumerate(grammar.classes))):
-        kind = F.when(F.col("text").rlike(pattern), i).otherwise(kind)
-    lines = texts.select("doc_id", F.posexplode(F.split("text", r"\r?\n", -1)).alias("line", "text")).select("doc_id", "line", "text", kind.alias("k"), F.floor(F.col("line") / block).cast("int").alias("block"))
-    blocks = lines.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line", "k", "text"))).alias("lines"))
+    def kind(text: Column) -> Column:
+        of = F.lit(len(names))
+        for i, (_, pattern) in reversed(list(enumerate(grammar.classes))):
+            of = F.when(text.rlike(pattern), i).otherwise(of)
+        return of
+
+    split = F.split("text", r"\r?\n", -1)
+    cut = let(split, lambda every: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / block).cast("int")), lambda k: F.slice(every, k * block + 1, block)))
+    blocks = texts.where("text is not null").select("doc_id", F.posexplode(cut).alias("block", "raw"))
+    blocks = blocks.select("doc_id", "block", F.transform("raw", lambda x, i: F.struct((F.col("block") * block + i).alias("line"), kind(x).alias("k"), x.alias("text"))).alias("lines"))
     ident = F.array(*map(F.lit, range(len(table))))
     blocks = blocks.withColumn("f", F.aggregate("lines", ident, lambda f, x: F.transform(f, lambda s: moves[s][x["k"]])))
     earlier = F.collect_list("f").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a number a state, for each block
@@ -78,12 +85,14 @@ def text_items(texts: DataFrame, grammar: Grammar, links: DataFrame | None = Non
     lines = read_lines(texts, grammar)
     starts = (F.col("class") == grammar.item) & F.col("state").isin(*grammar.inside)
     order = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    own = lines.where(F.col("state").isin(*grammar.inside)).withColumn("starts", starts).withColumn("begin", F.max(F.when(starts, F.col("line"))).over(order))
     if links is not None:
+        # Links come as lines of their own; all that follows is by document, so that rows move once.
         hung = links.groupBy("doc_id", "line").agg(F.sort_array(F.collect_list("url")).alias("urls"))
-        own = own.join(hung, ["doc_id", "line"], "left")
+        every = lines.unionByName(hung, allowMissingColumns=True).repartition("doc_id")
+        lines = every.withColumn("urls", F.max("urls").over(Window.partitionBy("doc_id", "line")))
     else:
-        own = own.withColumn("urls", F.lit(None).cast("array<string>"))
+        lines = lines.withColumn("urls", F.lit(None).cast("array<string>"))
+    own = lines.where(F.col("state").isin(*grammar.inside)).withColumn("starts", starts).withColumn("begin", F.max(F.when(starts, F.col("line"))).over(order))
     listed = lambda when, v: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line", v.alias("v"))))), lambda x: x["v"])
     first = lambda g: F.max(F.when(F.col("starts"), F.regexp_extract("text", pattern, g)))
     items = own.groupBy("doc_id", "begin").agg(first(1).alias("number"), first(2).alias("title"), F.array_join(listed(~F.col("starts") & (F.trim("text") != ""), F.trim("text")), "\n").alias("body"), F.flatten(listed(F.col("urls").isNotNull(), F.col("urls"))).alias("links"))
