@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -44,6 +45,27 @@ def spots(text: Column) -> Column:
     return F.arrow_udf(_spots, _TOKEN)(text)
 
 
+def _runs(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    word, of = regex.compile(r"[\p{L}\p{N}]+"), pa.struct([("t", pa.string()), ("w", pa.string())])
+    for part in parts:
+        lists, ends, found = [], [0], []
+        for k, (text, first, last) in enumerate(zip(*part, strict=True)):
+            for m in islice(word.finditer(text.as_py() or ""), first.as_py(), last.as_py() + 1):
+                w = m[0].lower()
+                found.append((None if w in STOP else stem(w), m[0]))
+            ends.append(len(found))
+            if len(found) >= MOST_WORDS or k + 1 == len(part[0]):
+                columns = zip(*found, strict=True) if found else [()] * 2
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["t", "w"])))
+                ends, found = [0], []
+        yield pa.concat_arrays(lists) if lists else pa.array([], pa.list_(of))
+
+
+def run_of(text: Column, first: Column, last: Column) -> Column:
+    """The words of a text from one to another, from 0, with their stems: one walk over the text, however many words."""
+    return F.arrow_udf(_runs, "array<struct<t:string,w:string>>")(text, first, last)
+
+
 @dataclass(frozen=True)
 class Index:
     """postings (term, id, tf, at; partitioned by bucket and version) and lengths (id, version, size) under one path."""
@@ -113,10 +135,8 @@ class Index:
 def headlines(docs: DataFrame, windows: DataFrame, query: str, before: int = 5, words: int = 30) -> DataFrame:
     """(id, first, last, headline) of docs (id, text): the words of the window and some around it, at least `words` where the text has them, hits in marks. Only the texts that have a window are cut into words."""
     terms = F.array(*map(F.lit, query_terms(query)))
-    met = docs.join(windows, "id").withColumn("w", spots(F.col("text")))
     start = F.greatest(F.col("first") - before, F.lit(0))
     until = F.greatest(F.col("last"), start + words - 1)
-    shown = F.slice("w", start + 1, until - start + 1)
-    word = lambda x: F.col("text").substr(x["s"] + 1, x["e"] - x["s"])
-    marked = F.transform(shown, lambda x: F.when(F.array_contains(terms, x["t"]), F.concat(F.lit("<mark>"), word(x), F.lit("</mark>"))).otherwise(word(x)))
+    met = docs.join(windows, "id").withColumn("w", run_of(F.col("text"), start.cast("long"), until.cast("long")))
+    marked = F.transform("w", lambda x: F.when(F.array_contains(terms, x["t"]), F.concat(F.lit("<mark>"), x["w"], F.lit("</mark>"))).otherwise(x["w"]))
     return met.select("id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.array_join(marked, " ").alias("headline"))

@@ -87,3 +87,24 @@ def test_items_of_a_text(spark):
     got = [(r["sequence"], r["number"], r["title"], r["body"], list(r["links"])) for r in G.text_items(docs, G.LETTERED, links).orderBy("sequence").collect()]
     assert got == [(1, "H1", "First", "one\ntwo", ["a", "b"]), (2, "H2", "Second", "", []), (3, "H3", "Third", "", ["d"])]
     assert G.text_items(docs.where(F.lit(False)), G.RECORDS).count() == 0
+
+
+def test_runs_of_words_in_one_walk():
+    """Words of long windows, by batches whose words go to Arrow in several lots."""
+    import pyarrow as pa
+
+    from moothall.operators import index
+
+    text = "é trash idiots the " * 500
+    part = pa.array([text, None, text] * 20), pa.array([3, 0, 1998] * 20), pa.array([1999, 5, 5000] * 20)
+    (got,) = index._runs(iter([part]))
+    words, stems = text.split(), ["é", "trash", "idiot", None] * 500
+    assert got.to_pylist() == [[{"t": t, "w": w} for t, w in zip(stems[a:b], words[a:b])] for a, b in ((3, 2000), (0, 0), (1998, 2000))] * 20
+
+
+def test_automata_move_lines_twice(spark):
+    texts = spark.createDataFrame([(1, "O2025-0000001 x\nbody")], "doc_id long, text string")
+    links = spark.createDataFrame([(1, 1, "u"), (1, 9, "none")], "doc_id long, line int, url string")
+    items = G.text_items(texts, G.RECORDS, links)
+    assert items._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id") <= 3
+    assert [r["links"] for r in items.collect()] == [["u"]]
