@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moothall.catalog import Catalog
@@ -149,11 +149,25 @@ def _(c: Catalog):
     return tried.join(F.broadcast(known), "variant", "left").groupBy("name").agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("nth"))).alias("hit"))
 
 
+def word_overlap(matters: DataFrame, most: int = 500) -> DataFrame:
+    """(a, b, score) of all pairs a < b of one file's matters (id, title, file): the share of the shorter title's words that both have.
+
+    Matters of a file with the same words are one list, or several of at most
+    `most`; a pair of lists has one score, and pairs are written out where the
+    lists meet.
+    """
+    m = matters.select("file", "id", F.array_sort(F.array_distinct(F.split("title", " "))).alias("w"))
+    nth = F.row_number().over(Window.partitionBy("file", "w").orderBy("id")) - 1
+    lists = m.withColumn("part", F.floor(nth / most)).groupBy("file", "w", "part").agg(F.collect_list("id").alias("ids"))
+    a, b = lists.select("file", F.col("w").alias("wa"), F.col("ids").alias("ids_a")), lists.select("file", F.col("w").alias("wb"), F.col("ids").alias("ids_b"))
+    score = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
+    met = a.join(b, "file").where(F.array_min("ids_a") < F.array_max("ids_b")).select("ids_a", "ids_b", score.alias("score"))
+    return met.select("ids_b", "score", F.explode("ids_a").alias("a")).select("a", "score", F.explode("ids_b").alias("b")).where("a < b").select("a", "b", "score")
+
+
 @civic("jon24_word_overlap", "SELECT a.id AS a, b.id AS b, len(list_intersect(string_split(a.title, ' '), string_split(b.title, ' '))) / least(len(list_distinct(string_split(a.title, ' '))), len(list_distinct(string_split(b.title, ' ')))) AS score FROM matters a JOIN matters b ON a.file = b.file AND a.id < b.id")
 def _(c: Catalog):
-    m = c.matters().select("file", "id", F.array_distinct(F.split("title", " ")).alias("w"))
-    a, b = m.select("file", F.col("id").alias("a"), F.col("w").alias("wa")), m.select("file", F.col("id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, "file").where("a < b").select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))).alias("score"))
+    return word_overlap(c.matters())
 
 
 @civic("jon25_county_members", "SELECT banana, kind FROM jurisdictions WHERE banana = 'nation0AF' OR county_banana = 'nation0AF'")
