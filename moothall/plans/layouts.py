@@ -99,7 +99,7 @@ def table_page(rows: Column) -> Column:
 
 @civic("src10_table_items", f"SELECT page_id, s::VARCHAR AS number, coalesce(file, 'none') AS file, coalesce(kind, 'none') AS kind, title, 'http://town.example/agenda/LegislationDetail.aspx?ID=' || s AS url FROM {_ITEMS}")
 def _(c: Catalog):
-    return viewers.table_items(structure.page_nodes(_pages(c, table_page))).select("page_id", "number", "file", "kind", "title", "url")
+    return viewers.table_items(_pages(c, table_page)).select("page_id", "number", "file", "kind", "title", "url")
 
 
 def detail_page(rows: Column) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moothall.sources import structure
+from moothall.sources.columns import Mark, Nodes, first_of, joined, layout, lists, places, spread
 from moothall.sources.structure import around, by_page, each, filled, first, holds, last, let, links_of, of_class, own_parts, rows_in, text_of, within
 
 #: Headings of sections, and entries that are no items.
@@ -151,34 +157,79 @@ def accessible_items(tree: DataFrame) -> DataFrame:
     return each(pages, F.transform("starts", lambda i, k: let(F.slice("words", i + 1, F.coalesce(F.get("starts", k + 1), F.size("words")) - i), lambda words: item(words, k))))
 
 
+def _greatest(key: np.ndarray, at: np.ndarray, texts: pa.Array, wanted: np.ndarray) -> pa.Array:
+    """For each wanted key (ascending) the greatest of its texts, which stand at these places; null without any."""
+    some = texts.is_valid().to_numpy(zero_copy_only=False)[at]
+    key, at = key[some], at[some]
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    again = np.flatnonzero(key[1:] == key[:-1])
+    if len(again):
+        best: dict[int, tuple[str, int]] = {}
+        for k in np.unique(np.concatenate([again, again + 1])).tolist():
+            best[key[k]] = max(best.get(key[k], ("", -1)), (texts[int(at[k])].as_py(), int(at[k])))
+        key, first = np.unique(key, return_index=True)
+        at = np.array([best[k][1] if k in best else a for k, a in zip(key.tolist(), at[first].tolist(), strict=True)])
+    found = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+    return texts.take(places(np.where(key[found] == wanted, at[found], -1) if len(key) else np.full(len(wanted), -1)))
+
+
 def table_items(tree: DataFrame, number: str = "agenda #", file: str = "file #", title: str = "title", kind: str = "type") -> DataFrame:
-    """(page_id, tab, row, number, file, kind, title, url) of tables that have the title's heading: a row is an item, its parts are named by the headings (in either case), wherever the columns stand. Rows without a title are left out."""
-    pages, n = by_page(tree), F.col("nodes")
-    own_text = lambda c: filled(F.array_join(own_parts(n, c, lambda y: y["tab"].isNotNull(), lambda y: y["text"].isNotNull())["text"], " "))
-    tables = F.transform(F.filter(n, lambda x: x["tag"] == "table"), lambda t: F.struct(t["open"].alias("tab"), F.filter(within(n, t), lambda c: c["tab"] == t["open"]).alias("cells")))
-    tables = F.filter(tables, lambda t: F.size(t["cells"]) > 0)
-    pages = pages.select("page_id", "nodes", F.explode_outer(tables).alias("t")).where("t is not null").select("page_id", "nodes", "t.*")
-    th, reach = lambda c: c["tag"] == "th", lambda c: F.sequence(c["col"], c["col"] + c["wide"] - 1)
-    pages = pages.withColumn("data", F.when(F.exists("cells", th), F.array_distinct(F.filter("cells", lambda c: c["tag"] == "td")["row"])))
-    head = lambda c: F.when(F.col("data").isNotNull(), th(c) & ~F.array_contains("data", c["row"])).otherwise(c["row"] == 0)
-    heads = F.filter(F.flatten(F.transform(F.filter("cells", head), lambda c: let(own_text(c), lambda x: F.transform(reach(c), lambda at: F.struct(at.alias("at"), c["row"].alias("row"), x.alias("text")))))), lambda h: h["text"].isNotNull())
-    pages = pages.withColumn("heads", heads)
-    name = lambda at: F.array_join(F.array_sort(F.transform(F.filter("heads", lambda h: h["at"] == at), lambda h: F.struct(h["row"], h["text"])))["text"], " / ")
-    names = F.transform(F.array_distinct(F.col("heads")["at"]), lambda at: F.struct(at.alias("at"), F.lower(F.trim(F.regexp_replace(name(at), r"[:\s]+$", ""))).alias("name")))
-    pages = pages.withColumn("names", names).withColumn("body", F.filter("cells", lambda c: ~head(c))).withColumn("last", F.array_max(F.col("cells")["row"]))
-    called = lambda wanted: F.filter("names", lambda x: x["name"] == wanted)["at"]
-    pages = pages.withColumns({"at_number": called(number), "at_file": called(file), "at_kind": called(kind), "at_title": called(title)})
-    pages = pages.where(F.size("at_title") > 0).withColumn("tall", F.filter("body", lambda c: c["high"] > 1)).withColumn("runs", rows_in(F.col("body")))
-    reached = lambda r: F.filter("tall", lambda c: (c["row"] < r) & (c["row"] + F.least(c["high"], F.lit(1000)) > r))
-    begun = lambda k: first(F.get("runs", k))["row"]
-    # A row without a cell of its own has only those that reach down to it.
-    sheet = F.flatten(F.transform("runs", lambda run, k: F.transform(F.sequence(begun(k), F.coalesce(begun(k + 1) - 1, F.col("last"))), lambda r: F.struct(r.alias("row"), F.concat(F.when(r == begun(k), run).otherwise(F.slice(run, 1, 0)), reached(r)).alias("cells")))))
-    # Cells of one name: the greatest text, and the greatest address of a first link.
-    under = lambda cells, at: F.filter(cells, lambda c: F.exists(at, lambda a: (c["col"] <= a) & (a < c["col"] + c["wide"])))
-    text = lambda r, at: F.array_max(F.transform(under(r["cells"], at), own_text))
-    url = lambda r: F.array_max(F.transform(under(r["cells"], "at_file"), lambda c: first(links_of(n, c))["url"]))
-    rows = F.transform(sheet, lambda r: F.struct(F.col("tab").alias("tab"), r["row"].alias("row"), text(r, "at_number").alias("number"), text(r, "at_file").alias("file"), text(r, "at_kind").alias("kind"), text(r, "at_title").alias("title"), url(r).alias("url")))
-    return each(pages, F.filter(rows, lambda r: r["title"].isNotNull()))
+    """(page_id, tab, row, number, file, kind, title, url) of tables that have the title's heading: a row is an item, its parts are named by the headings (in either case), wherever the columns stand. Rows without a title are left out.
+
+    Headings are the th of rows that have no td, or the first row where a
+    table has no th; those of several rows are joined, upper first. Cells
+    count in each column and row that they reach. Of cells of one name in a
+    row the greatest text counts, and the greatest address of a first link.
+    """
+    wanted = {"number": number, "file": file, "kind": kind, "title": title}
+
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        at, tab, row, col, wide, high = n.cells
+        far = max(len(n), structure._MOST_COLS, structure._MOST_ROWS) * 2 + 1
+        among = np.sort(at)
+        text = n.own_text(among, among).take(pa.array(np.searchsorted(among, at)))
+        th = n.fits(lambda m: m.tag == "th")[at]
+        line = tab * far + row
+        head = np.where(np.isin(tab, tab[th]), th & ~np.isin(line, line[~th]), row == 0)
+        # The names that stand over each column.
+        heads = np.flatnonzero(head & text.is_valid().to_numpy(zero_copy_only=False))
+        offsets, column = spread(col[heads], col[heads] + wide[heads])
+        cell = np.repeat(heads, np.diff(offsets))
+        over = tab[cell] * far + column
+        order = np.lexsort((row[cell], over))
+        over, cell = over[order], cell[order]
+        parts = text.take(pa.array(cell)).dictionary_encode()
+        called = parts.dictionary.to_pylist() if len(parts) else []
+        codes = parts.indices.to_numpy(zero_copy_only=False)
+        places_of, begun, count = np.unique(over, return_index=True, return_counts=True)
+        first = codes[begun]
+        tidy = lambda name: re.sub(r"[:\s]+$", "", name).strip(" ").lower()
+        names = [tidy(name) for name in called]
+        for k in np.flatnonzero(count > 1).tolist():  # headings of several rows
+            several = range(int(begun[k]), int(begun[k] + count[k]))
+            first[k] = len(names)
+            names.append(tidy(" / ".join(t for _, t in sorted((int(row[cell[i]]), called[codes[i]]) for i in several))))
+        columns = {c: places_of[np.array([name == w for name in names] or [False])[first]] if len(first) else places_of for c, w in wanted.items()}
+        # What is below them, in each row that it reaches.
+        body = np.flatnonzero(~head & np.isin(tab, columns["title"] // far))
+        ends = np.flatnonzero(np.append(tab[1:] != tab[:-1], True)) if len(tab) else np.zeros(0, np.int64)
+        bottom = np.maximum.reduceat(row, np.append(0, ends[:-1] + 1))[np.searchsorted(tab[ends], tab[body])] if len(body) else row[body]
+        offsets, reached = spread(row[body], np.minimum(row[body] + np.minimum(high[body], 1000), bottom + 1))
+        cell = np.repeat(body, np.diff(offsets))
+        line = tab[cell] * far + reached
+        under = {c: np.searchsorted(k, tab[cell] * far + col[cell]) < np.searchsorted(k, tab[cell] * far + col[cell] + wide[cell]) for c, k in columns.items()}
+        titled = under["title"] & text.is_valid().to_numpy(zero_copy_only=False)[cell]
+        rows = np.unique(line[titled])
+        out = {c: _greatest(line[which], cell[which], text, rows) for c, which in under.items()}
+        lo, hi = n.inside(at, n.links)
+        url = n.by_mark(lambda m: m.url, np.append(n.links, -1)[np.where(hi > lo, lo, -1)])
+        of = rows // far
+        return n.page[of], {
+            "tab": pa.array(n.opened[of]), "row": pa.array(rows % far, pa.int32()), "number": out["number"], "file": out["file"], "kind": out["kind"], "title": out["title"], "url": _greatest(line[under["file"]], cell[under["file"]], url, rows),
+        }
+
+    return layout(tree, read, "tab long, row int, number string, file string, kind string, title string, url string")
 
 
 class Look(NamedTuple):
