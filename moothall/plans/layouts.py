@@ -287,5 +287,5 @@ def levelled_page(rows: Column) -> Column:
 FROM (SELECT *, count(*) OVER (PARTITION BY page_id) % 2 = 0 AS deep FROM {_ITEMS})""",
 )
 def _(c: Catalog):
-    items = vendors.civicplus_items(structure.page_nodes(_pages(c, levelled_page)))
+    items = vendors.civicplus_items(_pages(c, levelled_page))
     return items.withColumn("attachments", F.array_join(F.transform("attachments", lambda x: x["name"]), ","))

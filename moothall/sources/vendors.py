@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moothall.sources.columns import Nodes, first_of, layout, lists, spread
 from moothall.sources.structure import around, by_page, each, first, holds, last, let, links_of, of_class, own_parts, rows_in, text_of, within
 
 #: Marks of items, titles that say nothing, and entries that are no items.
@@ -140,27 +146,42 @@ def civicplus_items(tree: DataFrame) -> DataFrame:
     but procedural entries are items. A title that only says what kind of
     item it is gives way to the description's first paragraph.
     """
-    pages, n = by_page(tree), F.col("nodes")
-    item = lambda x: (x["tag"] == "div") & of_class(x, "item") & (F.col("holder").isNull() | (x["up"] == F.col("holder")))
-    of = lambda name: lambda x: (x["tag"] != "#text") & of_class(x, name)
-    under = lambda y, name: around(n, y, lambda z: of_class(z, name)).isNotNull()
-    first_text = lambda x, which: let(first(own_parts(n, x, item, which)), lambda y: text_of(n, y))
-    level = lambda x: F.coalesce(F.try_element_at(F.regexp_extract_all(x["cls"], F.lit(r"(?:^|\s)level(\d+)(?!\S)")), F.lit(1)).cast("int"), F.lit(1))
-    files = lambda x: F.transform(own_parts(n, x, item, lambda y: (y["tag"] == "a") & y["url"].isNotNull() & of_class(y, "file") & under(y, "documents")), lambda y: F.struct(F.coalesce(text_of(n, y), F.lit("Attachment")).alias("name"), y["url"].alias("url")))
-    read = F.transform(F.filter(n, item), lambda x: F.struct(
-        x.alias("x"), level(x).alias("level"), F.regexp_replace(F.coalesce(first_text(x, lambda y: (y["tag"] == "span") & under(y, "bullet")), F.lit("")), r"\.+$", "").alias("number"), F.coalesce(first_text(x, of("title")), F.lit("")).alias("title"),
-        first(own_parts(n, x, item, of("desc"))).alias("desc"), first_text(x, of("desc")).alias("body"), files(x).alias("attachments"),
-    ))
+
+    def read(n: Nodes) -> tuple[None, dict[str, pa.Array]]:
+        up = n.up
+        holders = n.where(lambda m: m.tag == "div" and m.id == "divItems")
+        holder = np.append(holders, -1)[first_of(n.page[holders], np.arange(n.pages))]
+        items = n.where(lambda m: m.tag == "div" and m.has("item"))
+        items = items[(holder[n.page[items]] < 0) | (up[items] == holder[n.page[items]])]
+        classed = lambda name: n.where(lambda m: m.has(name))
+        own = lambda parts: np.append(parts, -1)[first_of(n.owner(parts, items), items)]
+        under = lambda parts, name: parts[n.owner(parts, classed(name)) >= 0]
+        descs = own(classed("desc"))
+        some = np.sort(descs[descs >= 0])
+        paragraphs = n.tagged("p")
+        files = under(n.where(lambda m: m.tag == "a" and m.url is not None and m.has("file")), "documents")
+        of = n.owner(files, items)
+        files = files[of >= 0][np.argsort(of[of >= 0], kind="stable")]
+        of = np.sort(of[of >= 0])
+        offsets, at = spread(np.searchsorted(of, items), np.searchsorted(of, items, "right"))
+        level = n.by_mark(lambda m: next((int(x) for x in re.findall(r"(?:^|\s)level([0-9]+)(?!\S)", m.cls or "")), 1), items, pa.int32())
+        columns = {
+            "at": pa.array(items), "level": level, "number": n.text(own(under(n.tagged("span"), "bullet"))), "title": pc.fill_null(n.text(own(classed("title"))), ""), "body": n.text(descs),
+            "paragraph": n.text(own(paragraphs[n.owner(paragraphs, some) >= 0])), "attachments": lists(offsets, n.named(files[at], "Attachment")),
+        }
+        return None, {"read": n.by_page(items, pa.StructArray.from_arrays(list(columns.values()), list(columns)))}
+
+    pages = layout(tree, read, "read array<struct<at:long,level:int,number:string,title:string,body:string,paragraph:string,attachments:array<struct<name:string,url:string>>>>")
+    pages = pages.withColumn("flat", ~F.exists("read", lambda i: i["level"] != 1))
     head = lambda i: ~F.col("flat") & ((i["level"] == 1) | ((i["level"] == 2) & i["body"].isNull() & (F.size(i["attachments"]) == 0)))
-    pages = pages.withColumn("holder", first(F.filter(n, lambda x: (x["tag"] == "div") & (x["id"] == "divItems")))["at"]).withColumn("read", read).withColumn("flat", ~F.exists("read", lambda i: i["level"] != 1))
-    heads = lambda k: F.transform(F.filter("read", lambda i: head(i) & (i["level"] == k)), lambda i: F.struct(i["x"]["at"].alias("at"), i["title"].alias("t")))
-    pages = pages.withColumn("uppers", heads(1)).withColumn("lowers", heads(2)).withColumn("descs", F.filter(F.col("read")["desc"], lambda d: d.isNotNull()))
+    heads = lambda k: F.transform(F.filter("read", lambda i: head(i) & (i["level"] == k)), lambda i: F.struct(i["at"].alias("at"), i["title"].alias("t")))
+    pages = pages.withColumn("uppers", heads(1)).withColumn("lowers", heads(2))
     procedural = lambda i: F.col("flat") & F.lower(F.regexp_replace(i["title"], ":+$", "")).isin(*_PROCEDURAL)
-    paragraph = lambda i: first_text(i["x"], lambda y: (y["tag"] == "p") & F.exists("descs", lambda d: holds(d, y)))
-    better = lambda i: F.when(i["title"].rlike(_GENERIC) & i["body"].isNotNull(), F.coalesce(paragraph(i), i["body"])).otherwise(i["title"])
-    before = lambda i, of: last(F.filter(of, lambda h: h["at"] < i["x"]["at"]))
+    better = lambda i: F.when(i["title"].rlike(_GENERIC) & i["body"].isNotNull(), F.coalesce(i["paragraph"], i["body"])).otherwise(i["title"])
+    number = lambda i: F.regexp_replace(F.coalesce(i["number"], F.lit("")), r"\.+$", "")
+    before = lambda i, of: last(F.filter(of, lambda h: h["at"] < i["at"]))
     section = lambda u: F.nullif(F.concat_ws(" > ", u["upper"]["t"], F.when(u["upper"].isNull() | (u["lower"]["at"] > u["upper"]["at"]), u["lower"]["t"])), F.lit(""))
     return each(pages, F.transform(F.filter("read", lambda i: ~head(i) & ~procedural(i)), lambda i, k: F.struct(
-        (k + 1).cast("long").alias("sequence"), i["number"].alias("number"), let(F.struct(before(i, "uppers").alias("upper"), before(i, "lowers").alias("lower")), section).alias("section"),
-        F.coalesce(F.nullif(better(i), F.lit("")), F.concat(F.lit("Item "), i["number"])).alias("title"), i["body"].alias("body"), i["attachments"].alias("attachments"),
+        (k + 1).cast("long").alias("sequence"), number(i).alias("number"), let(F.struct(before(i, "uppers").alias("upper"), before(i, "lowers").alias("lower")), section).alias("section"),
+        F.coalesce(F.nullif(better(i), F.lit("")), F.concat(F.lit("Item "), number(i))).alias("title"), i["body"].alias("body"), i["attachments"].alias("attachments"),
     )))

@@ -8,7 +8,7 @@ import pytest
 from test_nodes import BITS, ODD
 
 from moothall.plans import registry
-from moothall.sources import columns, structure, viewers
+from moothall.sources import columns, structure, vendors, viewers
 
 URLS = ["http://h/a/b.html?x=1", "http://other/", ""]
 
@@ -55,6 +55,7 @@ def test_owners_are_the_innermost_around():
 #: Layouts by their queries, with what pages of theirs are made of.
 LAYOUTS = {
     "src10_table_items": (viewers.table_items, ["<table>", "</table>", "<tr>", "</tr>", "<th>Title", "<th colspan=2>File #", "<th>Type:", "<td>a", "<td rowspan='2'>b", "<td colspan='2'><a href='x'>c</a>", "</td>"]),
+    "src21_civicplus": (vendors.civicplus_items, ["<div>", "</div>", "<p>d", "<div class='item level1'><div class='title'>S</div>", "<div class='item level2'>", "<div class='item level3'>", "<div class='bullet'><span>1.</span></div>", "<div class='title'>Resolution 7</div>", "<div class='desc'>", "<div class='documents'><a class='file' href='q'>", "<div id='divItems'>"]),
 }
 
 
