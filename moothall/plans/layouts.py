@@ -124,7 +124,7 @@ def accessible_page(rows: Column) -> Column:
 
 @civic("src12_accessible_items", f"SELECT page_id, s::VARCHAR AS number, title, '26-' || lpad(s::VARCHAR, 4, '0') AS file, {_DOCS} AS attachments FROM {_ITEMS}")
 def _(c: Catalog):
-    items = viewers.accessible_items(structure.page_nodes(_pages(c, accessible_page)))
+    items = viewers.accessible_items(_pages(c, accessible_page))
     return items.select("page_id", "number", "title", "file", F.array_join(F.transform("attachments", lambda x: x["name"]), ",").alias("attachments"))
 
 

@@ -127,34 +127,46 @@ def accessible_items(tree: DataFrame) -> DataFrame:
     as (26-2275) its file. Links after that word, and links to a PDF
     anywhere, are attachments. An item without a title has its number as one.
     """
-    pages, n = by_page(tree), F.col("nodes")
-    node = lambda at: F.get(n, at - 1)
+    is_number, is_mark, has_file = r"^\d+\.$", r"^[Aa][Tt][Tt][Aa][Cc][Hh][Mm][Ee][Nn][Tt][Ss]?\s*:?\s*$", r"\(\d{2}-\d{3,5}\)"
 
-    def word(x: Column) -> Column:
-        above = lambda leaf: F.when(node(leaf["up"])["tag"] == "span", node(leaf["up"])["cls"])
-        return let(around(n, x, lambda z: z["tag"].isin("span", "a")), lambda leaf: F.when(leaf.isNotNull(), F.struct(x["at"].alias("at"), leaf["tag"].alias("tag"), leaf["cls"].alias("cls"), above(leaf).alias("p_cls"), leaf["url"].alias("url"), F.trim(F.translate(x["text"], "\xa0", " ")).alias("text"))))
-
-    numbered = lambda w: (w["tag"] == "span") & w["text"].rlike(r"^\d+\.$")
-    is_bold = lambda w: F.coalesce(F.array_contains(F.split(F.concat_ws(" ", w["cls"], w["p_cls"]), r"\s+"), F.col("bold")), F.lit(False))
-    mark = lambda w: w["text"].rlike(r"(?i)^Attachments?\s*:?\s*$")
-    pages = pages.withColumn("words", F.filter(F.transform(F.filter(n, lambda x: x["text"].isNotNull()), word), lambda w: w.isNotNull()))
-    pages = pages.withColumn("bold", F.split(first(F.filter("words", numbered))["cls"], r"\s+")[0])
-    starts = F.filter(F.transform("words", lambda w, i: F.when(numbered(w) & is_bold(w), i)), lambda i: i.isNotNull())
-    pages = pages.withColumn("starts", starts)
-
-    def item(words: Column, k: Column) -> Column:
-        more = F.slice(words, F.lit(2), F.size(words))
-        late = lambda w, m: F.coalesce(w["at"] >= m, F.lit(False))
-        title = lambda m: F.array_join(F.filter(more, lambda w: (w["tag"] == "span") & ~late(w, m) & is_bold(w))["text"], " ")
-        papers = lambda m: F.filter(more, lambda w: (w["tag"] == "a") & w["url"].isNotNull() & (late(w, m) | F.lower(w["url"]).contains(".pdf")))
-        number = F.rtrim(F.regexp_replace(first(words)["text"], r"\.$", ""))
-        file = F.regexp_extract(first(F.filter(more, lambda w: w["text"].rlike(r"\(\d{2}-\d{3,5}\)")))["text"], r"\((\d{2}-\d{3,5})\)", 1)
-        return let(first(F.filter(more, mark))["at"], lambda m: F.struct(
-            (k + 1).cast("long").alias("sequence"), number.alias("number"), F.coalesce(F.nullif(title(m), F.lit("")), F.concat(F.lit("Item "), number)).alias("title"), file.alias("file"),
-            F.transform(papers(m), lambda w: F.struct(w["text"].alias("name"), w["url"].alias("url"))).alias("attachments"),
-        ))
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        leaf = n.owner(n.words, n.tagged("span", "a"))
+        at, text, leaf = n.words[leaf >= 0], n.texts.filter(pa.array(leaf >= 0)), leaf[leaf >= 0]
+        matches = lambda pattern: pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False)
+        span, page, up = n.fits(lambda m: m.tag == "span"), n.page[at], n.up[leaf]
+        above = np.where((up >= 0) & span[up], n.code[up], -1)
+        # Each page's class, and the words of it: one test for each kind of page and span.
+        numbered = span[leaf] & matches(is_number)
+        first = first_of(np.where(numbered, page, -1), np.arange(n.pages))
+        bold = np.where(first >= 0, n.code[leaf[first]] if len(leaf) else first, -1)
+        kinds, of = np.unique(np.stack([bold[page], n.code[leaf], above]), axis=1, return_inverse=True)
+
+        def in_class(b: int, x: int, y: int) -> bool:
+            own = [n.marks[k].cls for k in (x, y) if k >= 0 and n.marks[k].cls is not None]
+            return b >= 0 and n.marks[b].cls is not None and re.split(r"\s+", n.marks[b].cls)[0] in re.split(r"\s+", " ".join(own))
+
+        is_bold = np.array([in_class(*k) for k in kinds.T.tolist()], bool)[of.reshape(-1)]
+        starts = np.flatnonzero(numbered & is_bold)
+        ends = np.minimum(np.append(starts[1:], len(at))[: len(starts)], np.searchsorted(page, page[starts], "right"))
+        item = np.cumsum(np.isin(np.arange(len(at)), starts)) - 1
+        more = (item >= 0) & (np.arange(len(at)) < (ends[item] if len(starts) else 0)) & ~(numbered & is_bold)
+        owner = np.where(more, item, -1)
+        every = np.arange(len(starts))
+        mark = first_of(np.where(matches(is_mark), owner, -1), every)
+        late = more & (mark[item] >= 0) & (np.arange(len(at)) >= mark[item]) if len(starts) else more
+        title = np.flatnonzero(more & span[leaf] & is_bold & ~late)
+        to_pdf = n.fits(lambda m: m.tag == "a" and m.url is not None and ".pdf" in m.url.lower())
+        papers = np.flatnonzero(more & (to_pdf[leaf] | late & n.fits(lambda m: m.tag == "a" and m.url is not None)[leaf]))
+        named = pa.StructArray.from_arrays([text.take(pa.array(papers)), n.by_mark(lambda m: m.url, leaf[papers])], ["name", "url"])
+        file = first_of(np.where(matches(has_file), owner, -1), every)
+        return page[starts], {
+            "sequence": pa.array(n.nth(at[starts])), "number": text.take(pa.array(starts)), "title": joined(text.take(pa.array(title)), *(np.searchsorted(item[title], every, side) for side in ("left", "right"))), "file": text.take(places(file)),
+            "attachments": lists(np.searchsorted(item[papers], np.arange(len(starts) + 1)), named),
+        }
 
-    return each(pages, F.transform("starts", lambda i, k: let(F.slice("words", i + 1, F.coalesce(F.get("starts", k + 1), F.size("words")) - i), lambda words: item(words, k))))
+    items = layout(tree, read, "sequence long, number string, title string, file string, attachments array<struct<name:string,url:string>>")
+    number = F.rtrim(F.regexp_replace("number", r"\.$", ""))
+    return items.select("page_id", "sequence", number.alias("number"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Item "), number)).alias("title"), F.regexp_extract("file", r"\((\d{2}-\d{3,5})\)", 1).alias("file"), "attachments")
 
 
 def _greatest(key: np.ndarray, at: np.ndarray, texts: pa.Array, wanted: np.ndarray) -> pa.Array:

@@ -56,6 +56,7 @@ def test_owners_are_the_innermost_around():
 LAYOUTS = {
     "src10_table_items": (viewers.table_items, ["<table>", "</table>", "<tr>", "</tr>", "<th>Title", "<th colspan=2>File #", "<th>Type:", "<td>a", "<td rowspan='2'>b", "<td colspan='2'><a href='x'>c</a>", "</td>"]),
     "src21_civicplus": (vendors.civicplus_items, ["<div>", "</div>", "<p>d", "<div class='item level1'><div class='title'>S</div>", "<div class='item level2'>", "<div class='item level3'>", "<div class='bullet'><span>1.</span></div>", "<div class='title'>Resolution 7</div>", "<div class='desc'>", "<div class='documents'><a class='file' href='q'>", "<div id='divItems'>"]),
+    "src12_accessible_items": (viewers.accessible_items, ["<div>", "</div>", "</span>", "<span class='a b'>1.</span>", "<span class='a'>2.</span>", "<span class='a'>Title</span>", "<span class='c'>", "Attachments:", "(26-2275)", "<a href='x.PDF'>p</a>", "<a href='y'>q</a>"]),
 }
 
 
