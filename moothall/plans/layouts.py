@@ -151,7 +151,7 @@ def mixed_page(rows: Column) -> Column:
 FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM {_ITEMS})""",
 )
 def _(c: Catalog):
-    return viewers.vote_layouts(structure.page_nodes(_pages(c, mixed_page)))
+    return viewers.vote_layouts(_pages(c, mixed_page))
 
 
 @civic(

@@ -270,38 +270,33 @@ def vote_layouts(tree: DataFrame, looks: Sequence[Look] = LOOKS) -> DataFrame:
     earlier one of the list counts. Pages on which none finds an item have no
     row. Text counts for the innermost item around it.
     """
-    pages, n = by_page(tree), F.col("nodes")
-    parts = ("item", "title", "number")
-
-    def marks(x: Column) -> Column:
-        cls = F.regexp_replace(F.trim(x["cls"]), r"\s+", ".")
-        step = F.concat(x["tag"], *(F.coalesce(F.concat(F.lit(mark), F.nullif(c, F.lit(""))), F.lit("")) for mark, c in ((".", cls), ("#", x["id"]), ("~", x["style"]), ("@", x["key"]))))
-        which = lambda s, part: F.array_compact(F.array(*(F.when(s.rlike(getattr(look, part)), F.lit(k)) for k, look in enumerate(looks))))
-        return F.when(x["text"].isNull(), let(step, lambda s: F.struct(*(which(s, part).alias(part) for part in parts))))
-
-    pages = pages.withColumn("marks", F.transform(n, marks))
-    fits = lambda x, part, k: F.coalesce(F.array_contains(F.get("marks", x["at"] - 1)[part], k), F.lit(False))
-
-    def text(x: Column, part: str, k: int) -> Column:
-        """The text of the item's parts; a part may also be the item, or reach around it."""
-        fit = lambda z: fits(z, part, k)
-        whole = fit(x) | around(n, x, fit).isNotNull()
-        outer = F.filter(within(n, x), lambda y: (y["held"] > 0) & fit(y) & around(n, y, fit).isNull())
-        inner = F.filter(within(n, x), lambda y: (y["held"] > 0) & fits(y, "item", k))
-        held = F.when(whole, within(n, x)).otherwise(F.flatten(F.transform(outer, lambda y: within(n, y))))
-        return let(inner, lambda i: filled(F.array_join(F.filter(held, lambda y: y["text"].isNotNull() & ~F.exists(i, lambda z: holds(z, y)))["text"], " ")))
-
-    def found(k: int) -> Column:
-        items = F.transform(F.filter(n, lambda x: (x["held"] > 0) & fits(x, "item", k)), lambda x: F.struct(x.alias("x"), text(x, "title", k).alias("title")))
-        return F.filter(items, lambda i: i["title"].isNotNull())
-
-    for k in range(len(looks)):
-        pages = pages.withColumn(f"found{k}", found(k))
-    pages = pages.withColumn("most", F.greatest(*(F.size(f"found{k}") for k in range(len(looks))), F.lit(1)))
-
-    def chosen(k: int) -> Column:
-        number = lambda i: F.regexp_replace(text(i["x"], "number", k), r"\.$", "")
-        return F.transform(f"found{k}", lambda i, nth: F.struct(F.lit(looks[k].name).alias("layout"), F.col("most").cast("long").alias("votes"), (nth + 1).cast("long").alias("sequence"), i["x"]["key"].alias("vendor_item_id"), number(i).alias("number"), i["title"].alias("title")))
-
-    best = F.coalesce(*(F.when(F.size(f"found{k}") == F.col("most"), chosen(k)) for k in range(len(looks))))
-    return each(pages, best)
+
+    def step(m: Mark) -> str:
+        cls = re.sub(r"\s+", ".", m.cls.strip(" ")) if m.cls else m.cls
+        return m.tag + "".join(mark + c for mark, c in ((".", cls), ("#", m.id), ("~", m.style), ("@", m.key)) if c)
+
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        steps = [step(m) for m in n.marks]
+        some = n.held > 0
+
+        def fit(look: Look, part: str) -> np.ndarray:
+            pattern = re.compile(getattr(look, part))
+            return np.flatnonzero(np.array([*(bool(pattern.search(s)) for s in steps), False])[n.code] & some)
+
+        items = [fit(look, "item") for look in looks]
+        titles = [n.own_text(at, at, n.owner(n.words, fit(look, "title")) >= 0) for at, look in zip(items, looks, strict=True)]
+        titled = [t.is_valid().to_numpy(zero_copy_only=False) for t in titles]
+        items, among = [at[t] for at, t in zip(items, titled, strict=True)], items
+        votes = np.stack([np.bincount(n.page[at], minlength=n.pages) for at in items])
+        best, most = votes.argmax(axis=0), np.maximum(votes.max(axis=0), 1)
+        kept = [best[n.page[at]] == k for k, at in enumerate(items)]
+        at = np.concatenate([at[k] for at, k in zip(items, kept, strict=True)])
+        number = [n.own_text(at[k], all_, n.owner(n.words, fit(look, "number")) >= 0) for at, k, all_, look in zip(items, kept, among, looks, strict=True)]
+        return n.page[at], {
+            "look": pa.array(best[n.page[at]], pa.int32()), "votes": pa.array(most[n.page[at]]), "sequence": pa.array(np.concatenate([n.nth(at[k]) for at, k in zip(items, kept, strict=True)])),
+            "vendor_item_id": n.by_mark(lambda m: m.key, at), "number": pa.concat_arrays(number), "title": pa.concat_arrays([t.drop_null().filter(pa.array(k)) for t, k in zip(titles, kept, strict=True)]),
+        }
+
+    found = layout(tree, read, "look int, votes long, sequence long, vendor_item_id string, number string, title string")
+    name = F.get(F.array(*(F.lit(look.name) for look in looks)), F.col("look"))
+    return found.select("page_id", name.alias("layout"), "votes", "sequence", "vendor_item_id", F.regexp_replace("number", r"\.$", "").alias("number"), "title")
