@@ -256,7 +256,7 @@ def sectioned_page(rows: Column) -> Column:
 FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY summary NULLS FIRST, {_ORDER}) + (summary IS NOT NULL)::BIGINT AS sequence FROM {_ITEMS})""",
 )
 def _(c: Catalog):
-    items = vendors.municode_items(structure.page_nodes(_pages(c, sectioned_page)))
+    items = vendors.municode_items(_pages(c, sectioned_page))
     return items.withColumn("attachments", F.array_join(F.transform("attachments", lambda x: x["name"]), ","))
 
 

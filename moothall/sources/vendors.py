@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moothall.sources.columns import Nodes, first_of, layout, lists, spread
-from moothall.sources.structure import around, by_page, each, first, holds, last, let, links_of, of_class, own_parts, rows_in, text_of, within
+from moothall.sources.structure import around, by_page, each, first, last, let, of_class, own_parts, rows_in, text_of, within
 
 #: Marks of items, titles that say nothing, and entries that are no items.
 _LOADS = r"loadAgendaItem\((\d+)"
@@ -100,32 +100,40 @@ def municode_items(tree: DataFrame) -> DataFrame:
     between entries belong to the last item before them; links without a name
     are left out.
     """
-    pages, n = by_page(tree), F.col("nodes")
-    section = lambda x: (x["tag"] == "section") & of_class(x, "agenda-section")
-    papers = lambda x: (x["tag"] == "ul") & of_class(x, "agenda_item_attachments")
-    entry = lambda x: (x["tag"] == "li") & F.array_contains(F.col("at"), x["up"])
-    head = lambda x: let(first(own_parts(n, x, section, lambda y: (y["tag"] == "h2") & of_class(y, "section-header"))), lambda h: text_of(n, h))
-    lists = F.transform(F.filter(n, section), lambda x: F.struct(first(own_parts(n, x, section, lambda y: y["tag"].isin("ul", "ol") & of_class(y, "agenda-items"))).alias("l"), head(x).alias("section")))
-    title = lambda y: F.nullif(F.trim(F.regexp_replace(text_of(n, y), r"^\d+\.\s*", "")), F.lit(""))
-
-    def items(x: Column) -> Column:
-        kids = F.filter(within(n, x["l"]), lambda y: (y["up"] == x["l"]["at"]) & ((y["tag"] == "li") | papers(y)))
-        read = F.transform(kids, lambda y: F.struct(y.alias("y"), F.when(y["tag"] == "li", title(y)).alias("title")))
-
-        def owned(every: Column) -> Column:
-            starts = F.filter(F.transform(every, lambda e, i: F.when(e["title"].isNotNull(), i)), lambda i: i.isNotNull())
-            after = lambda s, i, k: F.filter(F.slice(every, i + 2, F.coalesce(F.get(s, k + 1), F.size(every)) - i - 1), lambda e: papers(e["y"]))
-            one = lambda e, mine: F.struct(
-                e["y"]["at"].alias("at"), let(first(own_parts(n, e["y"], entry, lambda y: y["tag"] == "num")), lambda y: text_of(n, y)).alias("num"), x["section"].alias("section"), e["title"].alias("title"),
-                F.filter(F.flatten(F.transform(mine, lambda e: links_of(n, e["y"]))), lambda a: a["name"].isNotNull()).alias("attachments"),
-            )
-            return let(starts, lambda s: F.transform(s, lambda i, k: one(F.get(every, i), after(s, i, k))))
-
-        return let(read, owned)
-
-    pages = pages.withColumn("lists", F.filter(lists, lambda x: x["l"].isNotNull())).withColumn("at", F.col("lists")["l"]["at"]).withColumn("li", F.filter(n, entry)["at"])
-    nth = lambda x: F.array_position("li", x["at"])
-    return each(pages, F.transform(F.array_sort(F.flatten(F.transform("lists", items))), lambda x: F.struct(nth(x).cast("long").alias("sequence"), F.coalesce(F.regexp_replace(x["num"], r"\.+$", ""), nth(x).cast("string")).alias("number"), x["section"].alias("section"), x["title"].alias("title"), x["attachments"].alias("attachments"))))
+
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        up, sections = n.up, n.where(lambda m: m.tag == "section" and m.has("agenda-section"))
+        own = lambda elements, of, parts: np.append(parts, -1)[first_of(n.owner(parts, elements), of)]
+        held = own(sections, sections, n.where(lambda m: m.tag in ("ul", "ol") and m.has("agenda-items")))
+        head = n.text(own(sections, sections, n.where(lambda m: m.tag == "h2" and m.has("section-header"))))
+        order = np.argsort(held, kind="stable")
+        order = order[held[order] >= 0]
+        listed = held[order]
+        entries, papers = n.tagged("li"), n.where(lambda m: m.tag == "ul" and m.has("agenda_item_attachments"))
+        entries, papers = (x[np.isin(up[x], listed)] for x in (entries, papers))
+        title = pc.utf8_trim(pc.replace_substring_regex(n.text(entries), r"^\d+\.\s*", "", max_replacements=1), " ")
+        full = np.flatnonzero(pc.fill_null(pc.not_equal(title, ""), False).to_numpy(zero_copy_only=False))
+        items = entries[full]
+        # Papers belong to the item of their list that began last before them.
+        far = len(n) + 1
+        by_list = np.argsort(up[items] * far + items)
+        key = (up[items] * far + items)[by_list]
+        k = np.searchsorted(key, up[papers] * far + papers) - 1
+        of = np.append(by_list, -1)[k]
+        of = np.where((k >= 0) & (up[items[of]] == up[papers]), of, -1) if len(items) else of
+        offsets, at = spread(*n.inside(papers, n.links))
+        owner = np.repeat(of, np.diff(offsets))
+        links = n.named(n.links[at])
+        named = np.flatnonzero((owner >= 0) & pc.struct_field(links, "name").is_valid().to_numpy(zero_copy_only=False))
+        named = named[np.argsort(owner[named], kind="stable")]
+        links = links.take(pa.array(named))
+        return n.page[items], {
+            "sequence": pa.array(n.nth(entries)[full]), "number": n.text(own(entries, items, n.tagged("num"))), "section": head.take(pa.array(order[np.searchsorted(listed, up[items])])), "title": title.take(pa.array(full)),
+            "attachments": lists(np.searchsorted(owner[named], np.arange(len(items) + 1)), links),
+        }
+
+    items = layout(tree, read, "sequence long, number string, section string, title string, attachments array<struct<name:string,url:string>>")
+    return items.withColumn("number", F.coalesce(F.regexp_replace("number", r"\.+$", ""), F.col("sequence").cast("string")))
 
 
 def novus_items(tree: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ LAYOUTS = {
     "src21_civicplus": (vendors.civicplus_items, ["<div>", "</div>", "<p>d", "<div class='item level1'><div class='title'>S</div>", "<div class='item level2'>", "<div class='item level3'>", "<div class='bullet'><span>1.</span></div>", "<div class='title'>Resolution 7</div>", "<div class='desc'>", "<div class='documents'><a class='file' href='q'>", "<div id='divItems'>"]),
     "src12_accessible_items": (viewers.accessible_items, ["<div>", "</div>", "</span>", "<span class='a b'>1.</span>", "<span class='a'>2.</span>", "<span class='a'>Title</span>", "<span class='c'>", "Attachments:", "(26-2275)", "<a href='x.PDF'>p</a>", "<a href='y'>q</a>"]),
     "src17_chosen_layouts": (viewers.vote_layouts, ["<div class='meeting-item' data-itemid='7'>", "<div class='agenda-item'>", "</div>", "text", "<table data-itemid='3'>", "<tr><th>2.</th>", "<td>t</td>", "</table>", "<table style='border-collapse: collapse'>", "<td class='text'>u</td>", "<p class='MsoNormal'>", "<a name='AI5_X'>w</a>"]),
+    "src19_municode": (vendors.municode_items, ["<section class='agenda-section'><ul class='agenda-items'>", "<section class='agenda-section'>", "</section>", "<h2 class='section-header'>H</h2>", "<ul class='agenda-items'>", "</ul>", "<li>A</li>", "<li>2.</li>", "<li><num>4.</num> B</li>", "<ul class='agenda_item_attachments'><li><a href='f'>F</a></li></ul>"]),
 }
 
 
