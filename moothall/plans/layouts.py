@@ -87,7 +87,7 @@ def grid_page(rows: Column) -> Column:
 CASE WHEN k > 0 THEN 'http://town.example/agenda/main' || s || '.pdf' || CASE WHEN k > 1 THEN ',http://town.example/agenda/more.pdf' ELSE '' END ELSE '' END AS attachments FROM (SELECT *, right(summary, 1) AS sec FROM {_ITEMS} WHERE summary IS NOT NULL)""",
 )
 def _(c: Catalog):
-    items = viewers.grid_items(structure.page_nodes(_pages(c, grid_page)))
+    items = viewers.grid_items(_pages(c, grid_page))
     return items.select("page_id", "number", "section", "title", "staff", "description", F.array_join("attachments", ",").alias("attachments"))
 
 

@@ -74,31 +74,60 @@ def grid_items(tree: DataFrame) -> DataFrame:
     the title, a link or plain text; brackets after the link are staff. Other
     divs beside it are the description, their documents attachments too.
     """
-    pages, n = by_page(tree), F.col("nodes")
-    node = lambda at: F.get(n, at - 1)
-    kids = lambda x, which: F.filter(within(n, x), lambda y: (y["up"] == x["at"]) & which(y))
-    div, floats = lambda y: y["tag"] == "div", lambda y: F.coalesce(y["style"].contains("float"), F.lit(False))
-    cell = lambda x: div(x) & x["style"].contains("grid-column-start") & div(node(x["up"])) & of_class(node(x["up"]), "container")
-    held = F.transform(F.filter(n, cell), lambda x: let(first(kids(x, div)), lambda i: F.struct(i.alias("inner"), first(kids(i, lambda y: y["tag"].isin("h2", "h3"))).alias("head"))))
-    part = lambda y: F.struct(y["at"].alias("at"), text_of(n, y).alias("text"))
-
-    def read(x: Column) -> Column:
-        two = F.transform(F.slice(F.filter(within(n, x["head"]), lambda y: (y["tag"] == "span") & floats(y)), 1, 2), part)
-        beside = F.transform(kids(x["inner"], div), lambda y: F.struct(y["at"].alias("at"), text_of(n, y).alias("text"), floats(y).alias("floats"), links_of(n, y).alias("links")))
-        return let(F.struct(two.alias("two"), beside.alias("beside")), lambda v: F.struct(
-            x["head"]["at"].alias("at"), x["head"]["open"].alias("open"), x["head"]["tag"].alias("tag"), first(v["two"])["text"].alias("number"),
-            F.coalesce(F.get(v["two"], F.lit(1)), first(F.transform(F.filter(v["beside"], lambda b: b["floats"] & (F.size(b["links"]) > 0)), lambda b: F.struct(b["at"], b["text"])))).alias("body"),
-            F.array_join(F.filter(v["beside"], lambda b: F.length(b["text"]) > 5)["text"], "\n").alias("description"), F.flatten(v["beside"]["links"]).alias("more"),
-        ))
 
-    pages = pages.withColumn("read", F.transform(F.filter(held, lambda x: x["head"].isNotNull()), read))
-    pages = pages.withColumn("letters", F.filter("read", lambda r: (r["tag"] == "h2") & r["number"].isNotNull()))
-    letter = lambda r: F.regexp_replace(last(F.filter("letters", lambda h: h["at"] < r["at"]))["number"], r"[.\x{a0}\s]+$", "")
-    items = F.filter("read", lambda r: (r["tag"] == "h3") & r["number"].isNotNull())
-    out = each(pages, F.transform(items, lambda r: F.struct(
-        r["open"].alias("open"), F.regexp_replace(r["number"], r"[\x{a0}\s]+$", "").alias("number"), letter(r).alias("section"), r["body"]["text"].alias("said"), let(node(r["body"]["at"]), lambda b: first(links_of(n, b))).alias("link"),
-        F.nullif(r["description"], F.lit("")).alias("description"), F.filter(r["more"], lambda x: F.lower(x["url"]).rlike(r"cloudfront\.net|s3\.amazonaws\.com|\.pdf")).alias("papers"),
-    )))
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        div, up = n.fits(lambda m: m.tag == "div"), n.up
+        box = n.fits(lambda m: m.tag == "div" and m.has("container"))
+        cells = n.where(lambda m: m.tag == "div" and "grid-column-start" in (m.style or ""))
+        cells = cells[(up[cells] >= 0) & box[up[cells]]]
+        divs = np.flatnonzero(div)
+        inner = first_of(up[divs], cells)
+        inner = divs[inner[inner >= 0]]
+        tops = n.tagged("h2", "h3")
+        order = np.sort(inner)
+        head = first_of(up[tops], order)
+        inner, head = order[head >= 0], tops[head[head >= 0]]
+        order = np.argsort(head, kind="stable")
+        inner, head = inner[order], head[order]
+        spans = n.where(lambda m: m.tag == "span" and "float" in (m.style or ""))
+        lo, hi = n.inside(head, spans)
+        two = [np.append(spans, -1)[np.where(hi - lo > k, lo + k, -1)] for k in range(2)]
+        # The divs beside a heading.
+        by_inner = np.argsort(inner, kind="stable")
+        beside = divs[np.isin(up[divs], inner)]
+        of = by_inner[np.searchsorted(inner[by_inner], up[beside])]
+        order = np.argsort(of, kind="stable")
+        beside, of = beside[order], of[order]
+        first, last = n.inside(beside, n.links)
+        floats = n.fits(lambda m: "float" in (m.style or ""))[beside]
+        other = first_of(np.where(floats & (last > first), of, -1), np.arange(len(head)))
+        body = np.where(two[1] >= 0, two[1], np.where(other >= 0, np.append(beside, -1)[other], -1))
+        text = n.text(beside)
+        long = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(text), 5), False).to_numpy(zero_copy_only=False))
+        description = joined(text.take(pa.array(long)), *(np.searchsorted(of[long], np.arange(len(head)), side) for side in ("left", "right")), "\n")
+        _, at = spread(first, last)
+        more = n.named(n.links[at])
+        of = np.repeat(of, last - first)
+        number = n.text(two[0])
+        known = number.is_valid().to_numpy(zero_copy_only=False)
+        letters = head[n.fits(lambda m: m.tag == "h2")[head] & known]
+        k = np.searchsorted(letters, head) - 1
+        letter = np.where((k >= 0) & (n.page[np.append(letters, 0)[k]] == n.page[head]), np.append(letters, 0)[k], -1) if len(head) else head
+        lo, hi = n.inside(body, n.links)
+        link = np.append(n.links, -1)[np.where(hi > lo, lo, -1)]
+        papers = lists(np.searchsorted(of, np.arange(len(head) + 1)), more)
+        kept = np.flatnonzero(n.fits(lambda m: m.tag == "h3")[head] & known)
+        a = pa.StructArray.from_arrays([n.text(link[kept]), n.by_mark(lambda m: m.url, link[kept])], ["name", "url"], mask=pa.array(link[kept] < 0))
+        return n.page[head[kept]], {
+            "open": pa.array(n.opened[head[kept]]), "number": number.take(pa.array(kept)), "letter": number.take(places(np.where(letter >= 0, np.searchsorted(head, letter), -1))).take(pa.array(kept)),
+            "said": n.text(body[kept]), "link": a, "description": description.take(pa.array(kept)), "more": papers.take(pa.array(kept)),
+        }
+
+    fields = "open long, number string, letter string, said string, link struct<name:string,url:string>, description string, more array<struct<name:string,url:string>>"
+    out = layout(tree, read, fields).select(
+        "page_id", "open", F.regexp_replace("number", r"[\x{a0}\s]+$", "").alias("number"), F.regexp_replace("letter", r"[.\x{a0}\s]+$", "").alias("section"), "said", "link",
+        F.nullif("description", F.lit("")).alias("description"), F.filter("more", lambda x: F.lower(x["url"]).rlike(r"cloudfront\.net|s3\.amazonaws\.com|\.pdf")).alias("papers"),
+    )
     title = F.coalesce("link.name", "said")
     rest = F.when(F.col("said").startswith(F.col("link.name")), F.trim(F.col("said").substr(F.length("link.name") + 1, F.length("said"))))
     every = F.array_distinct(F.concat(F.when(F.col("link").isNotNull(), F.array("link")).otherwise(F.slice("papers", 1, 0)), F.col("papers")))
