@@ -68,7 +68,7 @@ def viewer_page(rows: Column) -> Column:
     f"SELECT page_id, CASE summary WHEN 'Summary A' THEN '901.' || chr(96 + s) WHEN 'Summary R' THEN '902.' || chr(96 + s) ELSE s::VARCHAR END AS number, CASE summary WHEN 'Summary A' THEN 'CONSENT AGENDA' WHEN 'Summary R' THEN 'PUBLIC HEARINGS' END AS section, title, {_DOCS} AS attachments FROM {_ITEMS}",
 )
 def _(c: Catalog):
-    items = viewers.viewer_items(structure.page_nodes(_pages(c, viewer_page)))
+    items = viewers.viewer_items(_pages(c, viewer_page))
     return items.select("page_id", "number", "section", "title", F.array_join("attachments", ",").alias("attachments"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from moothall.sources import structure
 from moothall.sources.columns import Mark, Nodes, first_of, joined, layout, lists, places, spread
-from moothall.sources.structure import around, by_page, each, filled, first, holds, last, let, links_of, of_class, own_parts, rows_in, text_of, within
+from moothall.sources.structure import around, by_page, each, first, let, links_of
 
 #: Headings of sections, and entries that are no items.
 SECTIONS = (
@@ -24,10 +24,6 @@ PROCEDURAL = ("call meeting to order", "call to order", "call roll", "roll call"
 _DASH = "–—"
 
 
-def _names(links: Column) -> Column:
-    return F.coalesce(F.transform(links, lambda x: F.coalesce(x["name"], F.lit("Supporting Document"))), F.array().cast("array<string>"))
-
-
 def viewer_items(tree: DataFrame) -> DataFrame:
     """(page_id, open, number, section, title, attachments) of pages where an item is a small table and its documents stand in the block quote after it.
 
@@ -38,32 +34,68 @@ def viewer_items(tree: DataFrame) -> DataFrame:
     items, are no items. A quote belongs to the table or else to the div
     around it.
     """
-    pages, n = by_page(tree), F.col("nodes")
-    node = lambda at: F.get(n, at - 1)
-    quote = lambda x: x["tag"] == "blockquote"
-    pages = pages.withColumn("quotes", F.filter(n, quote))
-    after = lambda x: first(F.filter("quotes", lambda q: (q["up"] == x["up"]) & (q["at"] > x["at"])))
-    ends = lambda t: F.regexp_replace(t, r"\.+$", "").rlike(rf":$|\s[\-{_DASH}]\s*$")
-    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"\s*\(.*\)\s*$", ""), rf"[\s.:,\-{_DASH}]+$", "")
-    title = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[CA\]\s*", ""), r"(?s)\s*ACTION:.*$", ""))
-
-    def entry(t: Column) -> Column:
-        cells = F.filter(within(n, t), lambda c: (c["tag"] == "td") & (c["tab"] == t["open"]) & (c["row"] == 0) & (c["col"] <= 1) & (c["wide"] == 1))
-        text = lambda c, col: F.array_max(F.transform(F.filter(c, lambda x: x["col"] == col), lambda x: F.coalesce(text_of(n, x), F.lit("") if col else F.lit(None).cast("string"))))
-        own = F.coalesce(after(t), F.when(node(t["up"])["tag"] == "div", after(node(t["up"]))))
-        whole = lambda r: F.when(r["number"].isNotNull() & F.length(r["number"]).between(1, 5) & r["title"].isNotNull(), F.struct(
-            t["at"].alias("at"), t["open"].alias("open"), r["number"].alias("number"), r["title"].alias("title"), own.alias("q"), around(n, t, quote).isNull().alias("top"),
-            (ends(r["title"]) | (r["title"] == "") | F.upper(plain(r["title"])).isin(*SECTIONS)).alias("heads"), plain(r["title"]).alias("plain"),
-        ))
-        return let(cells, lambda c: let(F.struct(F.rtrim(F.regexp_replace(text(c, 0), r"\.+$", "")).alias("number"), title(text(c, 1)).alias("title")), whole))
-
-    pages = pages.withColumn("entries", F.filter(F.transform(F.filter(n, lambda x: x["tag"] == "table"), entry), lambda e: e.isNotNull()))
-    pages = pages.withColumn("heads", F.filter("entries", lambda e: e["top"] & e["heads"])).withColumn("below", F.filter("entries", lambda e: ~e["top"] & (e["title"] != "")))
-    item = lambda e, number, section: F.struct(e["open"].alias("open"), number.alias("number"), F.nullif(section, F.lit("")).alias("section"), e["title"].alias("title"), _names(links_of(n, e["q"], "MetaViewer")).alias("attachments"))
-    items = F.filter("entries", lambda e: e["top"] & ~e["heads"] & ~F.lower(F.regexp_replace(e["title"], r"\.+$", "")).isin(*PROCEDURAL))
-    items = F.transform(items, lambda e: item(e, e["number"], last(F.filter("heads", lambda h: h["at"] < e["at"]))["plain"]))
-    inner = F.transform(F.filter("heads", lambda h: h["q"].isNotNull()), lambda h: F.transform(F.filter("below", lambda e: holds(h["q"], e)), lambda e: item(e, F.concat_ws(".", h["number"], e["number"]), h["plain"])))
-    return each(pages, F.concat(items, F.flatten(inner)))
+    ends = rf":$|\s[\-{_DASH}]\s*$"
+
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        tables, up = n.tagged("table"), n.up
+        quotes, far = n.tagged("blockquote"), len(n) + 1
+        top_up = lambda at: np.where(up[at] >= 0, up[at], len(n) + n.page[at])
+        by_up = np.argsort(top_up(quotes), kind="stable")
+        key = top_up(quotes)[by_up] * (far + n.pages) + quotes[by_up]
+
+        def after(at: np.ndarray) -> np.ndarray:
+            """The first quote with the same element around it behind each element, else -1."""
+            k = np.searchsorted(key, top_up(at) * (far + n.pages) + at)
+            found = np.append(quotes[by_up], -1)[k]
+            return np.where((found >= 0) & (top_up(found) == top_up(at)), found, -1) if len(n) else found
+
+        def cell_text(col: int) -> pa.Array:
+            at, tab, row, column, wide, _ = n.cells
+            chosen = (row == 0) & (column == col) & (wide == 1) & n.fits(lambda m: m.tag == "td")[at]
+            text = n.text(at[chosen])
+            if col:
+                text = pc.fill_null(text, "")
+            return _greatest(tab[chosen], np.arange(len(text)), text, tables)
+
+        cut = lambda text, *patterns: cut(pc.replace_substring_regex(text, patterns[0], ""), *patterns[1:]) if patterns else text
+        number = pc.utf8_rtrim(cut(cell_text(0), r"\.+$"), " ")
+        title = pc.utf8_trim(cut(cell_text(1), r"^\[CA\]\s*", r"(?s)\s*ACTION:.*$"), " ")
+        length = pc.fill_null(pc.utf8_length(number), 0).to_numpy(zero_copy_only=False)
+        entry = (length >= 1) & (length <= 5) & title.is_valid().to_numpy(zero_copy_only=False)
+        at, number, title = tables[entry], number.filter(pa.array(entry)), title.filter(pa.array(entry))
+        box = n.fits(lambda m: m.tag == "div")
+        own = after(at)
+        around = np.where((up[at] >= 0) & box[up[at]], up[at], -1)
+        own = np.where(own >= 0, own, np.where(around >= 0, after(np.maximum(around, 0)), -1)) if len(n) else own
+        top = n.owner(at, quotes) < 0
+        plain = cut(title, r"\s*\(.*\)\s*$", rf"[\s.:,\-{_DASH}]+$")
+        bare = cut(title, r"\.+$")
+        true = lambda mask: mask.to_numpy(zero_copy_only=False)
+        heads = true(pc.match_substring_regex(bare, ends)) | true(pc.equal(title, "")) | true(pc.is_in(pc.utf8_upper(plain), pa.array(SECTIONS)))
+        procedural = true(pc.is_in(pc.utf8_lower(bare), pa.array(PROCEDURAL)))
+        # Items by the last section before them, and those in a section's quote below it.
+        head = np.flatnonzero(top & heads)
+        items = np.flatnonzero(top & ~heads & ~procedural)
+        k = np.searchsorted(head, items) - 1
+        section = np.append(head, -1)[k]
+        section = np.where((k >= 0) & (n.page[at[section]] == n.page[at[items]]), section, -1) if len(at) else section
+        below = np.flatnonzero(~top & true(pc.not_equal(title, "")))
+        heading = head[own[head] >= 0]
+        order = np.argsort(own[heading], kind="stable")
+        heading = heading[order]
+        offsets, inner = spread(*n.inside(own[heading], at[below]))
+        of, inner = np.repeat(heading, np.diff(offsets)), below[inner]
+        take = lambda values, k: values.take(places(k))
+        every = np.concatenate([items, inner])
+        links = n.where(lambda m: m.tag == "a" and "MetaViewer" in (m.url or ""))
+        offsets, papers = spread(*n.inside(own[every], links))
+        return n.page[at[every]], {
+            "open": pa.array(n.opened[at[every]]), "number": pa.concat_arrays([number.take(pa.array(items)), pc.binary_join_element_wise(number.take(pa.array(of)), number.take(pa.array(inner)), ".")]),
+            "section": pa.concat_arrays([take(plain, section), plain.take(pa.array(of))]), "title": title.take(pa.array(every)), "attachments": lists(offsets, pc.fill_null(n.text(links[papers]), "Supporting Document")),
+        }
+
+    items = layout(tree, read, "open long, number string, section string, title string, attachments array<string>")
+    return items.withColumn("section", F.nullif("section", F.lit("")))
 
 
 def grid_items(tree: DataFrame) -> DataFrame:

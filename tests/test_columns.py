@@ -60,6 +60,7 @@ LAYOUTS = {
     "src17_chosen_layouts": (viewers.vote_layouts, ["<div class='meeting-item' data-itemid='7'>", "<div class='agenda-item'>", "</div>", "text", "<table data-itemid='3'>", "<tr><th>2.</th>", "<td>t</td>", "</table>", "<table style='border-collapse: collapse'>", "<td class='text'>u</td>", "<p class='MsoNormal'>", "<a name='AI5_X'>w</a>"]),
     "src19_municode": (vendors.municode_items, ["<section class='agenda-section'><ul class='agenda-items'>", "<section class='agenda-section'>", "</section>", "<h2 class='section-header'>H</h2>", "<ul class='agenda-items'>", "</ul>", "<li>A</li>", "<li>2.</li>", "<li><num>4.</num> B</li>", "<ul class='agenda_item_attachments'><li><a href='f'>F</a></li></ul>"]),
     "src15_grid_items": (viewers.grid_items, ["<div class='container'>", "</div>", "<div style='grid-column-start: 1'><div>", "<h2><span style='float:left'>A.</span></h2>", "<h3><span style='float:left'>A.1</span><span style='float:left'><a href='m.pdf'>T</a>(Clerk)</span></h3>", "<h3><span style='float:left'>A.2</span></h3>", "<div style='float:left'><a href='z.pdf'>zz</a> (me)</div>", "<div>long text</div>"]),
+    "src16_viewer_items": (viewers.viewer_items, ["<div>", "</div>", "<blockquote>", "</blockquote>", "<a href='MetaViewer?m=1'>d</a>", "<table><tr><td>1.</td><td>Parks ACTION: none</td></tr></table>", "<table><tr><td>2.</td><td>CONSENT AGENDA:</td></tr></table><blockquote>", "<table><tr><td>a.</td><td>[CA] Roads</td></tr></table>", "<table><tr><td>3</td><td>Roll Call.</td></tr></table>"]),
 }
 
 
