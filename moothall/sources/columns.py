@@ -26,9 +26,6 @@ from moothall.sources import structure
 #: A lot ends with the page that reaches so many bytes of HTML, or so many nodes.
 _MOST_BYTES, _MOST_NODES = 1_000_000, 50_000
 _OPEN, _VOID, _END, _SKIP = range(4)
-#: Bytes with which white space other than a single blank may begin.
-_ODD_BYTE = np.zeros(256, bool)
-_ODD_BYTE[[*range(32), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _LINK = pa.struct([("name", pa.string()), ("url", pa.string())])
 
 
@@ -273,6 +270,11 @@ def _walk(kinds: list[int], names: list[int], rules: list[tuple[frozenset, froze
         close[k] = stop
 
 
+def _small(level: np.ndarray) -> np.ndarray:
+    """Levels in two bytes where these hold them, which NumPy sorts by digits."""
+    return level.astype(np.int16) if len(level) and -(1 << 15) < int(level.min()) and int(level.max()) < 1 << 15 else level
+
+
 def _levels(kind: np.ndarray, name: np.ndarray, names: list[str], first: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each opening tag the end tag of its level, and the pages where that isn't right: an end is missing, or not its element's own, or implied."""
     n = len(kind)
@@ -282,6 +284,7 @@ def _levels(kind: np.ndarray, name: np.ndarray, names: list[str], first: np.ndar
     level = depth[1:] - depth[first[:-1]][page] + (kind == _END)
     odd[page[(kind == _END) & (level < 1)]] = True
     tags = np.flatnonzero(((kind == _OPEN) | (kind == _END)) & ~odd[page])
+    level = _small(level)
     order = tags[np.argsort(level[tags], kind="stable")]
     a, b = order[0::2], order[1::2]
     close[a] = b
@@ -289,12 +292,12 @@ def _levels(kind: np.ndarray, name: np.ndarray, names: list[str], first: np.ndar
     # An opening tag may end others: those up to the next that keeps them in.
     opens, far = np.sort(a), n + 1
     by_level = np.argsort(level[opens], kind="stable")
-    key = level[opens][by_level] * far + opens[by_level]
+    key = level[opens][by_level].astype(np.int64) * far + opens[by_level]
     for tag, (ended, within) in structure._ENDS.items():
         if tag in names:
             stops, ends = (np.array([x in s for x in names]) for s in (within, ended))
             at = opens[name[opens] == names.index(tag)]
-            up = level[at] - 1
+            up = level[at].astype(np.int64) - 1
             while len(at):
                 at, up = at[up > 0], up[up > 0]
                 around = opens[by_level[np.searchsorted(key, up * far + at) - 1]]
@@ -310,7 +313,7 @@ _FAMILIES = (("table",), ("td", "th"), ("tr",)), (("table",), ("tr",), ()), (("u
 
 def _implied(kind: np.ndarray, name: np.ndarray, names: list[str], page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of cells, rows and entries of lists that are left to the next one: the tags before which they stand, and their names. They are guesses, to be tested by level."""
-    begun = np.minimum(np.searchsorted(page, np.arange(page[-1] + 1)), len(page) - 1)
+    begun = np.searchsorted(page, np.arange(page[-1] + 1))
     found, called = [], []
     for outer, inner, others in _FAMILIES:
         ids = [np.array([x in s for x in names])[name] for s in (outer, inner, others)]
@@ -318,13 +321,15 @@ def _implied(kind: np.ndarray, name: np.ndarray, names: list[str], page: np.ndar
         level = np.cumsum(step) + (step < 0)
         level -= (np.cumsum(step) - step)[begun][page]
         at = np.flatnonzero((ids[0] | ids[1] | ids[2]) & ((kind == _OPEN) | (kind == _END)))
-        at = at[np.argsort(level[at] + page[at] * (int(level.max()) + 1 - min(int(level.min()), 0)), kind="stable")]
         if len(at):
+            at = at[np.argsort(_small(level[at]), kind="stable")]
             here, then = at, np.append(at[1:], at[0])
             alone = np.append((level[at[1:]] != level[at[:-1]]) | (page[at[1:]] != page[at[:-1]]), True)
             left = ids[1][here] & (kind[here] == _OPEN) & (alone | ~(ids[1][then] & (kind[then] == _END)))
-            found.append(np.where(alone, np.searchsorted(page, page[here], "right"), then)[left])
-            called.append(name[here][left])
+            here, then, alone = here[left], then[left], alone[left]
+            then[alone] = np.append(begun[1:], len(page))[page[here[alone]]]
+            found.append(then)
+            called.append(name[here])
     return (np.concatenate(found), np.concatenate(called)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -405,10 +410,14 @@ def _plain(html: pa.StringArray, urls: list[str]) -> tuple[np.ndarray, Nodes | N
     texts = pieces.take(pa.array(2 * at + 1))
     lo, hi = end[at] + 1, stop[at]
     blank = data == ord(" ")
-    strange = _ODD_BYTE[data]
+    strange = (data < 32) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))  # what white space other than a single blank may begin with
     strange[1:] |= blank[1:] & blank[:-1]
-    seen = np.concatenate([[0], np.cumsum(strange)])
-    loose = (seen[hi] > seen[lo]) | blank[lo] | blank[hi - 1] if len(at) else np.zeros(0, bool)
+    loose = blank[lo] | blank[hi - 1] if len(at) else np.zeros(0, bool)
+    strange = np.flatnonzero(strange)
+    of = np.searchsorted(lo, strange, "right") - 1
+    within = of >= 0
+    within[within] = strange[within] < hi[of[within]]
+    loose[of[within]] = True
     if loose.any():
         texts = pc.replace_with_mask(texts, pa.array(loose), pa.array([" ".join(t.split()) for t in texts.filter(pa.array(loose)).to_pylist()], pa.string()))
         some = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)

@@ -200,13 +200,14 @@ def accessible_items(tree: DataFrame) -> DataFrame:
         numbered = span[leaf] & matches(is_number)
         first = first_of(np.where(numbered, page, -1), np.arange(n.pages))
         bold = np.where(first >= 0, n.code[leaf[first]] if len(leaf) else first, -1)
-        kinds, of = np.unique(np.stack([bold[page], n.code[leaf], above]), axis=1, return_inverse=True)
+        base = len(n.marks) + 1
+        kinds = pa.array(((bold[page] + 1) * base + n.code[leaf] + 1) * base + above + 1).dictionary_encode()
 
         def in_class(b: int, x: int, y: int) -> bool:
             own = [n.marks[k].cls for k in (x, y) if k >= 0 and n.marks[k].cls is not None]
             return b >= 0 and n.marks[b].cls is not None and re.split(r"\s+", n.marks[b].cls)[0] in re.split(r"\s+", " ".join(own))
 
-        is_bold = np.array([in_class(*k) for k in kinds.T.tolist()], bool)[of.reshape(-1)]
+        is_bold = np.array([in_class(k // base // base - 1, k // base % base - 1, k % base - 1) for k in kinds.dictionary.to_pylist()], bool)[kinds.indices.to_numpy(zero_copy_only=False)]
         starts = np.flatnonzero(numbered & is_bold)
         ends = np.minimum(np.append(starts[1:], len(at))[: len(starts)], np.searchsorted(page, page[starts], "right"))
         item = np.cumsum(np.isin(np.arange(len(at)), starts)) - 1
