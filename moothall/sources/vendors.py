@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moothall.sources.columns import Nodes, first_of, layout, lists, spread
-from moothall.sources.structure import around, by_page, each, first, last, let, of_class, own_parts, rows_in, text_of, within
+from moothall.sources.columns import Nodes, first_of, layout, lists, places, spread
+from moothall.sources.structure import around, by_page, each, first, let, of_class, own_parts, rows_in, text_of, within
 
 #: Marks of items, titles that say nothing, and entries that are no items.
 _LOADS = r"loadAgendaItem\((\d+)"
@@ -155,7 +155,7 @@ def civicplus_items(tree: DataFrame) -> DataFrame:
     item it is gives way to the description's first paragraph.
     """
 
-    def read(n: Nodes) -> tuple[None, dict[str, pa.Array]]:
+    def read(n: Nodes) -> tuple[np.ndarray, dict[str, pa.Array]]:
         up = n.up
         holders = n.where(lambda m: m.tag == "div" and m.id == "divItems")
         holder = np.append(holders, -1)[first_of(n.page[holders], np.arange(n.pages))]
@@ -172,24 +172,29 @@ def civicplus_items(tree: DataFrame) -> DataFrame:
         files = files[of >= 0][np.argsort(of[of >= 0], kind="stable")]
         of = np.sort(of[of >= 0])
         offsets, at = spread(np.searchsorted(of, items), np.searchsorted(of, items, "right"))
-        level = n.by_mark(lambda m: next((int(x) for x in re.findall(r"(?:^|\s)level([0-9]+)(?!\S)", m.cls or "")), 1), items, pa.int32())
-        columns = {
-            "at": pa.array(items), "level": level, "number": n.text(own(under(n.tagged("span"), "bullet"))), "title": pc.fill_null(n.text(own(classed("title"))), ""), "body": n.text(descs),
-            "paragraph": n.text(own(paragraphs[n.owner(paragraphs, some) >= 0])), "attachments": lists(offsets, n.named(files[at], "Attachment")),
+        level = n.by_mark(lambda m: next((int(x) for x in re.findall(r"(?:^|\s)level([0-9]+)(?!\S)", m.cls or "")), 1), items, pa.int32()).to_numpy(zero_copy_only=False)
+        title, body, page = pc.fill_null(n.text(own(classed("title"))), ""), n.text(descs), n.page[items]
+        flat = np.bincount(page[level != 1], minlength=n.pages)[page] == 0
+        heads = ~flat & ((level == 1) | ((level == 2) & body.is_null().to_numpy(zero_copy_only=False) & (np.diff(offsets) == 0)))
+        procedural = flat & pc.is_in(pc.utf8_lower(pc.replace_substring_regex(title, ":+$", "")), pa.array(_PROCEDURAL)).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(~heads & ~procedural)
+
+        def before(of: int) -> np.ndarray:
+            """The last heading of a level before each item on its page, else -1."""
+            found = np.append(-1, np.flatnonzero(heads & (level == of)))
+            found = found[np.searchsorted(found[1:], kept)]
+            return np.where((found >= 0) & (page[found] == page[kept]), found, -1) if len(page) else kept
+
+        upper, lower = before(1), before(2)
+        take = lambda values: values.take(pa.array(kept))
+        return page[kept], {
+            "sequence": pa.array(n.nth(items[kept])), "number": take(n.text(own(under(n.tagged("span"), "bullet")))), "upper": title.take(places(upper)), "lower": title.take(places(np.where(lower > upper, lower, -1))),
+            "title": take(title), "body": take(body), "paragraph": take(n.text(own(paragraphs[n.owner(paragraphs, some) >= 0]))), "attachments": take(lists(offsets, n.named(files[at], "Attachment"))),
         }
-        return None, {"read": n.by_page(items, pa.StructArray.from_arrays(list(columns.values()), list(columns)))}
-
-    pages = layout(tree, read, "read array<struct<at:long,level:int,number:string,title:string,body:string,paragraph:string,attachments:array<struct<name:string,url:string>>>>")
-    pages = pages.withColumn("flat", ~F.exists("read", lambda i: i["level"] != 1))
-    head = lambda i: ~F.col("flat") & ((i["level"] == 1) | ((i["level"] == 2) & i["body"].isNull() & (F.size(i["attachments"]) == 0)))
-    heads = lambda k: F.transform(F.filter("read", lambda i: head(i) & (i["level"] == k)), lambda i: F.struct(i["at"].alias("at"), i["title"].alias("t")))
-    pages = pages.withColumn("uppers", heads(1)).withColumn("lowers", heads(2))
-    procedural = lambda i: F.col("flat") & F.lower(F.regexp_replace(i["title"], ":+$", "")).isin(*_PROCEDURAL)
-    better = lambda i: F.when(i["title"].rlike(_GENERIC) & i["body"].isNotNull(), F.coalesce(i["paragraph"], i["body"])).otherwise(i["title"])
-    number = lambda i: F.regexp_replace(F.coalesce(i["number"], F.lit("")), r"\.+$", "")
-    before = lambda i, of: last(F.filter(of, lambda h: h["at"] < i["at"]))
-    section = lambda u: F.nullif(F.concat_ws(" > ", u["upper"]["t"], F.when(u["upper"].isNull() | (u["lower"]["at"] > u["upper"]["at"]), u["lower"]["t"])), F.lit(""))
-    return each(pages, F.transform(F.filter("read", lambda i: ~head(i) & ~procedural(i)), lambda i, k: F.struct(
-        (k + 1).cast("long").alias("sequence"), number(i).alias("number"), let(F.struct(before(i, "uppers").alias("upper"), before(i, "lowers").alias("lower")), section).alias("section"),
-        F.coalesce(F.nullif(better(i), F.lit("")), F.concat(F.lit("Item "), number(i))).alias("title"), i["body"].alias("body"), i["attachments"].alias("attachments"),
-    )))
+
+    items = layout(tree, read, "sequence long, number string, upper string, lower string, title string, body string, paragraph string, attachments array<struct<name:string,url:string>>")
+    number = F.regexp_replace(F.coalesce("number", F.lit("")), r"\.+$", "")
+    better = F.when(F.col("title").rlike(_GENERIC) & F.col("body").isNotNull(), F.coalesce("paragraph", "body")).otherwise(F.col("title"))
+    return items.select(
+        "page_id", "sequence", number.alias("number"), F.nullif(F.concat_ws(" > ", "upper", "lower"), F.lit("")).alias("section"), F.coalesce(F.nullif(better, F.lit("")), F.concat(F.lit("Item "), number)).alias("title"), "body", "attachments",
+    )
